@@ -48,11 +48,11 @@ def run_hybrid(
     regions = tables.table_regions(tables.wide_segments(segments, pages))
     rows = tables.to_contract(tables.extract_bom(words, regions, cell_tables, digits))
     page = F.coalesce(F.regexp_extract("page_id", r"(\d+)$", 1).try_cast("bigint"), F.lit(0))
-    bom = rows.withColumn("bom_ord", page * F.lit(1_000_000_000).cast("bigint") + F.col("row_ord"))
+    bom = rows.withColumn("bom_ord", page * F.lit(1_000_000_000_000) + F.col("row_ord"))
     found = cand.select_candidates(contours, pages)
     judged = responses.parse_classifications(crop_responses)
     callouts = cand.attach_classification(found, judged, pages)
     callouts = callouts.withColumn(
-        "call_ord", page * F.lit(1_000_000_000).cast("bigint") + F.col("call_ord")
+        "call_ord", page * F.lit(1_000_000_000_000) + F.col("call_ord")
     )
     return Hybrid(bom, found, judged, callouts)

@@ -48,7 +48,7 @@ def extractions_from_responses(
     raw verification responses keyed by ``doc_id, page_id, call_ord``.
     """
     parsed = responses.parse_json_response(raw)
-    in_order = _page_number() * F.lit(1_000_000_000).cast("bigint")
+    in_order = _page_number() * F.lit(1_000_000_000_000)
     bom_sent = parsed.filter("stage = 'bom'")
     bom_checked = responses.validate_bom_items(responses.list_items(bom_sent, "bom_items"), threshold)
     bom = bom_checked.filter("valid").withColumn("bom_ord", in_order + F.col("index"))

@@ -22,7 +22,7 @@ def _page(documents: DataFrame) -> DataFrame:
 def _place(index: str) -> Column:
     """Ordinal over all pages of a document: page number, then list index."""
     page = F.regexp_extract("page_id", r"(\d+)$", 1).try_cast("bigint")
-    return F.coalesce(page, F.lit(0)) * F.lit(1_000_000_000).cast("bigint") + F.col(index)
+    return F.coalesce(page, F.lit(0)) * F.lit(1_000_000_000_000) + F.col(index)
 
 
 def bom_rows(documents: DataFrame) -> DataFrame:
