@@ -7,9 +7,10 @@ from checks.registry import FRAGMENTS, check
 from checks.scalar_checks import key_sql
 from draftweave.functions import geometry as geo
 from draftweave.functions import scalars as sc
-from draftweave.operators import diff, procure, reconcile, validate, views
+from draftweave.operators import diff, procure, reconcile, skew, validate, views
 from draftweave.plans.workspace import build_workspace
 from draftweave.sinks import documents, exports
+from draftweave.sources import workspaces
 from draftweave.sources.catalog import catalog, merge_catalog
 
 FRAGMENTS["keyed_bom"] = f"""
@@ -117,7 +118,6 @@ def _(t):
 def _(t):
     key = W.partitionBy("doc_id", "key")
     rows = reconcile.bom_rows(t.bom).filter("key is not null")
-    from draftweave.operators import skew
     hot = skew.hot_groups(rows, ["doc_id", "key"])
     sizes = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("bom_n")) if hot is not None else None
     numbered = skew.ranked(rows, ["doc_id", "key"], [F.col("bom_ord")], "bom_rn", hot)
@@ -132,7 +132,6 @@ def _(t):
 
 @check("o01_key_order", "select doc_id, key, row_number() over (partition by doc_id order by cast(key as hugeint)) as pos from (select distinct doc_id, key from @keyed_bom)")
 def _(t):
-    from draftweave.operators import skew
     keys = reconcile.bom_rows(t.bom).filter("key is not null").select("doc_id", "key").distinct()
     hot = skew.hot_groups(keys, ["doc_id"])
     return skew.ranked(keys, ["doc_id"], sc.key_order(F.col("key")), "pos", hot)
@@ -281,7 +280,6 @@ def _(t):
 
 @check("s02_read_workspace", "select cast(doc_id as varchar) as doc_id, " + COMPONENT_ID + " as component_id, item as item_number, conf as confidence_score, case when boxed then xmin end as xmin, total_cost from @validated")
 def _(t):
-    from draftweave.sources import workspaces
     documents.write_workspace(workspace(t).documents, f"{t.scratch}/workspaces")
     rows = workspaces.component_rows(workspaces.read_workspace(t.spark, f"{t.scratch}/workspaces"))
     return rows.select("doc_id", "component_id", "item_number", "confidence_score", F.col("bounding_box.xmin").alias("xmin"),
