@@ -20,6 +20,7 @@ SHARED = [
 ]
 
 BY_LINE = "(l_linenumber * 1000000000000000000 + l_partkey * 100000000 + l_suppkey)"
+BY_PAGE_LINE = "(((l_orderkey % 64) * 10 + l_linenumber) * 10000000000000000 + l_partkey * 10000000 + l_suppkey)"
 BY_SUPPLIER = "(l_suppkey * 10000000000000 + l_linenumber * 1000000000000 + l_partkey)"
 PAGE_OF_LINE = """cast(floor(l_orderkey / 64) as bigint) as doc_id,
        concat('page_00', cast(cast(floor(l_orderkey / 16) as bigint) % 4 + 1 as STR)) as page_id"""
@@ -88,7 +89,7 @@ INPUTS = {
                'Override' as supplier_source, 'Made to Order' as stock_status
         from @part where p_partkey % 6 = 0""",
     "boxes": """
-        select {page_of_line}, {by_line} as call_ord,
+        select {page_of_line}, {by_page_line} as call_ord,
                cast(l_linenumber as STR) as bubble_number, cast(50 + l_partkey % 51 as double) / 100 as confidence_score,
                cast((l_partkey * 3) % 300 as double) as xmin, cast((l_suppkey * 11) % 300 as double) as ymin,
                cast((l_partkey * 3) % 300 + 60 + l_quantity as double) as xmax,
@@ -105,7 +106,7 @@ INPUTS = {
                cast((l_suppkey * 7) % 400 + 120 + l_linenumber * 40 as double) as ry1
         from @lineitem""",
     "contours": """
-        select {page_of_line}, {by_line} as contour_ord,
+        select {page_of_line}, {by_page_line} as contour_ord,
                cast(case when l_partkey % 31 = 0 then 0.5 when l_suppkey % 29 = 0 then 90 else 8 + l_partkey % 40 end as double) as radius,
                case when l_partkey % 41 = 0 then 0.0
                     else (case when cast(floor(l_orderkey / 16) as bigint) % 3 = 0 then cast(55 + (l_suppkey * 31) % 44 as double)
@@ -130,22 +131,22 @@ INPUTS = {
     "words": """
         select {page_of_line}, region_id, word_ord, text, x, y, w, h from (
         select l_orderkey, case when l_orderkey % 32 < 16 then 'page' else '1' end as region_id,
-               {by_line} as word_ord, cast(l_linenumber as STR) as text, 50 as x,
+               {by_page_line} as word_ord, cast(l_linenumber as STR) as text, 50 as x,
                cast(100 + ((l_orderkey % 16) * 7 + l_linenumber) * 25 + l_partkey % 6 as int) as y, 14 as w, 12 as h from @lineitem
         union all
-        select l_orderkey, case when l_orderkey % 32 < 16 then 'page' else '1' end, {by_line},
+        select l_orderkey, case when l_orderkey % 32 < 16 then 'page' else '1' end, {by_page_line},
                concat('x', cast(cast(l_quantity as int) as STR)), 150,
                cast(100 + ((l_orderkey % 16) * 7 + l_linenumber) * 25 + l_suppkey % 6 as int), 20, 12 from @lineitem
         union all
-        select l_orderkey, case when l_orderkey % 32 < 16 then 'page' else '1' end, {by_line},
+        select l_orderkey, case when l_orderkey % 32 < 16 then 'page' else '1' end, {by_page_line},
                concat('Part', l_returnflag), 300,
                cast(100 + ((l_orderkey % 16) * 7 + l_linenumber) * 25 as int), 40, 12 from @lineitem
         union all
-        select l_orderkey, case when l_orderkey % 32 < 16 then 'page' else '1' end, {by_line},
+        select l_orderkey, case when l_orderkey % 32 < 16 then 'page' else '1' end, {by_page_line},
                concat('type', cast(l_partkey % 10 as STR)), 346 + cast(l_partkey % 3 as int),
                cast(100 + ((l_orderkey % 16) * 7 + l_linenumber) * 25 + l_partkey % 3 as int), 36, 12 from @lineitem
         union all
-        select l_orderkey, case when l_orderkey % 32 < 16 then 'page' else '1' end, {by_line},
+        select l_orderkey, case when l_orderkey % 32 < 16 then 'page' else '1' end, {by_page_line},
                case l_partkey % 3 when 0 then '|' else 'Steel' end, 600,
                cast(100 + ((l_orderkey % 16) * 7 + l_linenumber) * 25 as int), 38, 12 from @lineitem
         union all
@@ -298,7 +299,7 @@ _NAMES = re.compile(r"@([a-z_]+)")
 
 def _filled(sql: str) -> str:
     parts = {
-        "{by_line}": BY_LINE, "{by_supplier}": BY_SUPPLIER,
+        "{by_line}": BY_LINE, "{by_page_line}": BY_PAGE_LINE, "{by_supplier}": BY_SUPPLIER,
         "{page_of_line}": PAGE_OF_LINE, "{page_of_order}": PAGE_OF_ORDER,
     }
     for mark, text in parts.items():

@@ -47,7 +47,7 @@ def order_callouts(t):
 
 
 def _moved(e, lo, hi, size):
-    return f"""case when dx0 is null then {e} else greatest(0.0::double, least(1000.0::double, ({lo} / 1000.0::double * {size}
+    return f"""case when dx0 is null or {e} is null then {e} else greatest(0.0::double, least(1000.0::double, ({lo} / 1000.0::double * {size}
         + {e} / 1000.0::double * (({hi} - {lo}) / 1000.0::double * {size})) / {size} * 1000.0::double)) end as {e}"""
 
 
@@ -175,7 +175,7 @@ def words(t):
 
 
 FRAGMENTS["real_words"] = "select *, y + h / 2 as centre from @words where regexp_matches(text, '[A-Za-z0-9]')"
-FRAGMENTS["centres"] = f"select {IMAGE}, centre, count(*) as n, row_number() over (partition by {IMAGE} order by centre) as i from @real_words group by all"
+FRAGMENTS["centres"] = f"select {IMAGE}, centre, count(*) as n from @real_words group by all"
 FRAGMENTS["row_lists"] = f"""
     select {IMAGE}, list_reduce(list_prepend({{'s': 0.0::double, 'n': 0.0::double, 'r': 0, 'out': [{{'c': -1.0::double, 'r': 0}}]}},
         list_transform(list({{'c': centre, 'n': n}} order by centre), lambda x: {{'s': x.c, 'n': x.n::double, 'r': 0, 'out': [{{'c': x.c, 'r': 0}}]}})),
@@ -217,8 +217,8 @@ def gapped(t):
     return tables.word_gaps(tables.text_rows(tables.real_words(w), skew.hot_groups(w, tables.IMAGE)))
 
 
-@check("w04_word_gaps", f"""select {IMAGE}, row_no, x as at, arg_min(gap, (centre, word_ord)) as gap from (select *, coalesce(gap, -99999) as gap0 from @word_gaps)
-    where gap is not null group by {IMAGE}, row_no, x having arg_min(gap0, (centre, word_ord)) <> -99999""")
+@check("w04_word_gaps", f"""select * from (select {IMAGE}, row_no, x as at, arg_min(coalesce(gap, -99999), (centre, word_ord)) as gap
+    from @word_gaps group by {IMAGE}, row_no, x) where gap <> -99999""")
 def _(t):
     return gapped(t).filter("gap is not null").select("doc_id", "page_id", "region_id", "row_no", F.col("left").alias("at"), "gap")
 
@@ -285,9 +285,10 @@ def _(t):
 
 
 FRAGMENTS["row_cells"] = f"""
-    select * from (select {IMAGE}, row_no, list(text order by cell_no) as cells, list(digits order by cell_no) as digits,
-      count(*) over (partition by {IMAGE}) as n from (select c.*, nullif(regexp_replace(d.digits, '[^0-9]', '', 'g'), '') as digits
-        from @cells c left join @digits d using ({IMAGE}, row_no, cell_no)) group by all) where n >= 2"""
+    select * from (select *, count(*) over (partition by {IMAGE}) as n from (
+      select {IMAGE}, row_no, list(text order by cell_no) as cells, list(digits order by cell_no) as digits
+      from (select c.*, nullif(regexp_replace(d.digits, '[^0-9]', '', 'g'), '') as digits
+            from @cells c left join @digits d using ({IMAGE}, row_no, cell_no)) group by all)) where n >= 2"""
 FRAGMENTS["headers_found"] = f"""
     select {IMAGE}, min(row_no) as header_no, arg_min(m, row_no) as m from (select {IMAGE}, row_no, {map_sql('cells')} as m from @row_cells where row_no <= 3)
     where {ANY} > 0 group by all"""

@@ -28,7 +28,8 @@ def edges(b: Column) -> tuple[Column, ...]:
 
 def clamp(x: Column, low: float = 0.0, high: float | Column = SCALE) -> Column:
     high = high if isinstance(high, Column) else F.lit(high)
-    return F.greatest(F.lit(low), F.least(high, x))
+    # greatest and least skip nulls, so a missing value is kept out of them.
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(high, x)))
 
 
 def normalize_coordinate(pixel: Column, size: Column) -> Column:

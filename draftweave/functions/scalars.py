@@ -8,7 +8,9 @@ text "3.0" is ambiguous.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INTEGER_TEXT = r"^[+-]?[0-9]+$"
@@ -38,22 +40,22 @@ def ascii_digits(c: Column) -> Column:
 # --- kinds of untyped scalars -------------------------------------------------
 
 
+# Type names of parsed JSON and the kinds they stand for.
+VARIANT_KINDS = {
+    "VOID": "null", "BOOLEAN": "bool", "BIGINT": "int", "DECIMAL": "float", "DOUBLE": "float",
+    "FLOAT": "float", "STRING": "string", "ARRAY": "array", "OBJECT": "object",
+}
+
+
 def variant_kind(v: Column) -> Column:
-    """Kind of a VARIANT value; SQL null (a missing key) gives SQL null."""
-    shape = F.schema_of_variant(v)
-    whole = F.regexp_extract(shape, r"^DECIMAL\((\d+),0\)$", 1)
-    return (
-        F.when(v.isNull(), F.lit(None).cast("string"))
-        .when(shape == "VOID", "null")
-        .when(shape == "BOOLEAN", "bool")
-        .when(shape == "BIGINT", "int")
-        .when(F.when(whole != "", whole.cast("int")).otherwise(0) > 18, "int")
-        .when(shape.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float")
-        .when(shape == "STRING", "string")
-        .when(shape.startswith("ARRAY"), "array")
-        .when(shape.startswith("OBJECT"), "object")
-        .otherwise("string")
-    )
+    """Kind of a VARIANT value; SQL null (a missing key) gives SQL null.
+
+    Whole numbers beyond 64 bits parse as DECIMAL(n,0) and are integers. The
+    value appears once in the expression, so nesting stays cheap.
+    """
+    shape = F.regexp_replace(F.schema_of_variant(v), r"^DECIMAL\((19|[23][0-9]),0\)$", "BIGINT")
+    names = F.create_map(*[F.lit(x) for pair in VARIANT_KINDS.items() for x in pair])
+    return F.try_element_at(names, F.regexp_extract(shape, "^[A-Z]+", 0))
 
 
 def variant_text(v: Column) -> Column:
@@ -76,6 +78,28 @@ def variant_field(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
+def computed(frame: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns as the output of a generator of one row.
+
+    Later filters and projections then read finished values. Over a plain
+    projection the optimizer would copy long expressions into every filter, and
+    derive constraints for each combination of aliases.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [F.col(c) for c in frame.columns if c not in columns]
+    return frame.select(*kept, F.inline(F.array(row)))
+
+
+def with_fields(frame: DataFrame, source: str, names: Sequence[str], prefix: str = "") -> DataFrame:
+    """Add text and kind of named fields of a VARIANT column: ``<prefix><name>``, ``<prefix><name>_kind``."""
+    out: dict[str, Column] = {}
+    for n in names:
+        value = variant_field(F.col(source), n)
+        out[f"{prefix}{n}"] = variant_text(value)
+        out[f"{prefix}{n}_kind"] = variant_kind(value)
+    return computed(frame, out)
+
+
 # --- identifiers --------------------------------------------------------------
 
 

@@ -35,8 +35,8 @@ def strip_fences(text: Column) -> Column:
 def parse_json_response(responses: DataFrame) -> DataFrame:
     """Add ``parsed`` (a VARIANT object or null) and ``parse_error`` (G-01)."""
     text = F.col("response_text")
-    value = F.try_parse_json(strip_fences(text))
-    rows = responses.withColumn("_value", value).withColumn("_kind", sc.variant_kind(F.col("_value")))
+    rows = responses.withColumn("_value", F.try_parse_json(strip_fences(text)))
+    rows = rows.withColumn("_kind", sc.variant_kind(F.col("_value")))
     names = F.create_map(*[F.lit(x) for pair in PYTHON_NAMES.items() for x in pair])
     error = (
         F.when(F.coalesce(sc.strip(text), F.lit("")) == "", "Empty response from vision model")
@@ -51,35 +51,28 @@ def parse_json_response(responses: DataFrame) -> DataFrame:
     }).drop("_value", "_kind")
 
 
-def list_items(parsed: DataFrame, name: str) -> DataFrame:
-    """Items of a named list with their index, and a warning when it is no list (G-08).
+def _with_list(parsed: DataFrame, name: str) -> DataFrame:
+    field = parsed.withColumn("_field", sc.variant_field(F.col("parsed"), name))
+    return field.withColumn("_field_kind", sc.variant_kind(F.col("_field")))
 
-    A response whose field is not a list gives one row with a null index.
-    """
-    field = sc.variant_field(F.col("parsed"), name)
-    kind = sc.variant_kind(field)
-    bad = F.col("parsed").isNotNull() & field.isNotNull() & (kind != "array")
-    items = F.when(kind == "array", F.try_variant_get(F.col("parsed"), f"$.{name}", "array<variant>"))
-    return parsed.withColumn("not_a_list", F.coalesce(bad, F.lit(False))).select(
-        *[c for c in parsed.columns if c not in ("parsed", "response_text")], "not_a_list",
-        F.posexplode_outer(items).alias("index", "raw"),
+
+def list_items(parsed: DataFrame, name: str) -> DataFrame:
+    """Items of a named list with their index as ``index, raw``."""
+    items = F.when(F.col("_field_kind") == "array", F.try_variant_get("_field", "$", "array<variant>"))
+    return _with_list(parsed, name).select(
+        *[c for c in parsed.columns if c not in ("parsed", "response_text")],
+        F.posexplode(items).alias("index", "raw"),
     )
 
 
 def reject_non_list(parsed: DataFrame, name: str, label: str) -> DataFrame:
     """Warnings for fields that should be lists (G-08)."""
-    field = sc.variant_field(F.col("parsed"), name)
-    return parsed.filter(F.col("parsed").isNotNull() & (sc.variant_kind(field) != "array")).select(
+    return _with_list(parsed, name).filter(F.col("_field_kind") != "array").select(
         *[c for c in REQUEST if c in parsed.columns],
         F.lit(f"{label} response '{name}' was not a list; treated as empty").alias("warning"),
     )
 
 
-def _text(raw: Column, name: str) -> tuple[Column, Column]:
-    field = sc.variant_field(raw, name)
-    return sc.variant_text(field), sc.variant_kind(field)
-
-
 def _optional_text_ok(kind: Column) -> Column:
     return kind.isNull() | kind.isin("null", "string")
 
@@ -108,51 +101,49 @@ def validate_bom_items(items: DataFrame, threshold: float = LOW_CONFIDENCE) -> D
     Guessed-name fields are never read, ``part_name`` is always null, and
     ``material`` fills a missing ``material_specification``.
     """
-    raw = F.col("raw")
-    shape = sc.variant_kind(raw)
-    item, item_kind = _text(raw, "item_number")
-    number, number_kind = _text(raw, "part_number")
-    description, description_kind = _text(raw, "description")
-    revision, revision_kind = _text(raw, "revision")
-    spec, spec_kind = _text(raw, "material_specification")
-    legacy, legacy_kind = _text(raw, "material")
-    material = F.when(_present(spec_kind), spec).otherwise(legacy)
-    material_kind = F.when(_present(spec_kind), spec_kind).otherwise(legacy_kind)
-    amount, amount_kind = _text(raw, "quantity")
-    quantity = F.when(_present(amount_kind), lax_quantity(amount, amount_kind))
-    score, score_kind = _text(raw, "confidence_score")
-    confidence = sc.clamp_confidence(score, score_kind)
+    plain = ["item_number", "part_number", "description", "revision"]
+    raw = ["material_specification", "material", "quantity", "confidence_score"]
+    rows = items.withColumn("_shape", sc.variant_kind(F.col("raw")))
+    rows = sc.with_fields(sc.with_fields(rows, "raw", plain), "raw", raw, "raw_")
+    text = {**{n: F.col(n) for n in plain}, **{n: F.col(f"raw_{n}") for n in raw}}
+    kind = {**{n: F.col(f"{n}_kind") for n in plain}, **{n: F.col(f"raw_{n}_kind") for n in raw}}
+    spec_given = _present(kind["material_specification"])
+    rows = rows.withColumns({
+        "material_specification": F.when(spec_given, text["material_specification"]).otherwise(text["material"]),
+        "_material_kind": F.when(spec_given, kind["material_specification"]).otherwise(kind["material"]),
+        "quantity": F.when(_present(kind["quantity"]), lax_quantity(text["quantity"], kind["quantity"])),
+        "confidence_score": sc.clamp_confidence(text["confidence_score"], kind["confidence_score"]),
+    })
+    quantity = F.col("quantity")
     reason = (
-        F.when(shape != "object", "BOM row is not an object")
-        .when(item_kind.isNull(), "item_number is missing")
-        .when(item_kind != "string", "item_number is not text")
-        .when(~_optional_text_ok(number_kind), "part_number is not text")
-        .when(~_optional_text_ok(description_kind), "description is not text")
-        .when(_present(amount_kind) & quantity.isNull(), "quantity is not a whole number")
+        F.when(F.col("_shape") != "object", "BOM row is not an object")
+        .when(kind["item_number"].isNull(), "item_number is missing")
+        .when(kind["item_number"] != "string", "item_number is not text")
+        .when(~_optional_text_ok(kind["part_number"]), "part_number is not text")
+        .when(~_optional_text_ok(kind["description"]), "description is not text")
+        .when(_present(kind["quantity"]) & quantity.isNull(), "quantity is not a whole number")
         .when(quantity < 0, F.concat(F.lit("quantity cannot be negative, got "), quantity.cast("string")))
-        .when(~_optional_text_ok(material_kind), "material_specification is not text")
-        .when(~_optional_text_ok(revision_kind), "revision is not text")
+        .when(~_optional_text_ok(F.col("_material_kind")), "material_specification is not text")
+        .when(~_optional_text_ok(kind["revision"]), "revision is not text")
     )
-    rows = items.filter("index is not null").withColumns({
-        "_reason": reason, "item_number": item, "part_number": number, "description": description,
-        "quantity": quantity, "material_specification": material, "revision": revision,
-        "confidence_score": confidence,
-    })
+    rows = rows.withColumn("_reason", reason)
     skipped = F.concat(
         F.lit("Skipped invalid BOM row at index "), F.col("index").cast("string"), F.lit(": "), F.col("_reason")
     )
     low = F.when(
         sc.is_low_confidence(F.col("confidence_score"), threshold),
-        sc.low_confidence_warning("BOM item", F.col("item_number"), F.col("confidence_score")),
+        sc.low_confidence_warning("BOM item", text["item_number"], F.col("confidence_score")),
     )
-    return rows.select(
-        *[c for c in items.columns if c not in ("raw", "not_a_list")],
-        F.col("_reason").isNull().alias("valid"),
-        "item_number", "part_number", F.lit(None).cast("string").alias("part_name"),
-        "description", "quantity", "material_specification", "revision", "confidence_score",
-        F.when(F.col("_reason").isNotNull(), F.array(skipped)).otherwise(
+    checked = sc.computed(rows, {
+        "valid": F.col("_reason").isNull(),
+        "part_name": F.lit(None).cast("string"),
+        "warnings": F.when(F.col("_reason").isNotNull(), F.array(skipped)).otherwise(
             F.filter(F.array(low), lambda x: x.isNotNull())
-        ).alias("warnings"),
+        ),
+    })
+    return checked.select(
+        *[c for c in items.columns if c != "raw"], "valid", "item_number", "part_number", "part_name",
+        "description", "quantity", "material_specification", "revision", "confidence_score", "warnings",
     )
 
 
@@ -175,8 +166,8 @@ def _repr(text: Column, kind: Column) -> Column:
     return F.when(kind == "string", quoted).otherwise(sc.scalar_repr(text, kind))
 
 
-def _number(raw: Column, name: str) -> Column:
-    text, kind = _text(raw, name)
+def _number(name: str) -> Column:
+    text, kind = F.col(name), F.col(f"{name}_kind")
     return F.when(kind == "bool", F.when(text == "true", 1.0).otherwise(0.0)).otherwise(sc.safe_float(text, kind))
 
 
@@ -188,48 +179,50 @@ def validate_callouts(
     ``width`` and ``height`` name columns with the size of the image the model
     saw; boxes off the 0-1000 scale are read as pixels of it.
     """
-    raw = F.col("raw")
     size = [F.lit(None).cast("double") if c is None else F.col(c).cast("double") for c in (width, height)]
-    bubble, bubble_kind = _text(raw, "bubble_number")
-    place, place_kind = _text(raw, "location_description")
-    score, score_kind = _text(raw, "confidence_score")
-    status, status_kind = _text(raw, "leader_line_status")
-    main = sc.variant_field(raw, "bubble_bbox")
-    legacy = sc.variant_field(raw, "bounding_box")
-    boxed = F.when(sc.variant_kind(main) == "object", main).when(sc.variant_kind(legacy) == "object", legacy)
-    end = sc.variant_field(raw, "leader_endpoint")
-
-    rows = items.filter("index is not null").withColumns({
-        "_shape": sc.variant_kind(raw), "_bubble": bubble, "_bubble_kind": bubble_kind,
-        "_place": place, "_place_kind": place_kind,
-        "confidence_score": sc.clamp_confidence(score, score_kind),
-        "_status_raw": F.when(_present(status_kind), sc.scalar_repr(status, status_kind)),
-        "_status_kind": status_kind, "_boxed": boxed,
-        "_end": end, "_end_kind": sc.variant_kind(end),
+    names = ["bubble_number", "location_description", "confidence_score", "leader_line_status",
+             "bubble_bbox", "bounding_box", "leader_endpoint"]
+    rows = items.withColumns({
+        "_shape": sc.variant_kind(F.col("raw")),
+        **{f"f_{n}_v": sc.variant_field(F.col("raw"), n) for n in ("bubble_bbox", "bounding_box", "leader_endpoint")},
     })
-    box = geo.box(*[_number(F.col("_boxed"), e) for e in geo.EDGES])
+    rows = sc.with_fields(rows, "raw", names, "f_")
+    status, status_kind = F.col("f_leader_line_status"), F.col("f_leader_line_status_kind")
     rows = rows.withColumns({
-        "_label": F.when(F.col("_shape") == "object", _repr(F.col("_bubble"), F.coalesce("_bubble_kind", F.lit("null")))).otherwise("?"),
+        "confidence_score": sc.clamp_confidence(F.col("f_confidence_score"), F.col("f_confidence_score_kind")),
+        "_status_raw": F.when(_present(status_kind), sc.scalar_repr(status, status_kind)),
+        "_boxed": F.when(F.col("f_bubble_bbox_kind") == "object", F.col("f_bubble_bbox_v")).when(
+            F.col("f_bounding_box_kind") == "object", F.col("f_bounding_box_v")),
+    })
+    rows = sc.with_fields(rows, "_boxed", geo.EDGES, "b_")
+    rows = sc.with_fields(rows, "f_leader_endpoint_v", ["x", "y"], "e_")
+    box = geo.box(*[_number(f"b_{e}") for e in geo.EDGES])
+    rows = sc.computed(rows, {
+        "_label": F.when(F.col("_shape") == "object", _repr(F.col("f_bubble_number"), F.coalesce("f_bubble_number_kind", F.lit("null")))).otherwise("?"),
         "_box": F.when(F.col("_boxed").isNotNull(), box),
-        "_x": _number(F.col("_end"), "x"), "_y": _number(F.col("_end"), "y"),
+        "_x": _number("e_x"), "_y": _number("e_y"),
     })
     numbers = F.lit(True)
     for e in geo.EDGES:
         numbers = numbers & F.col("_box")[e].isNotNull()
     on_page = F.col("_x").between(0.0, geo.SCALE) & F.col("_y").between(0.0, geo.SCALE)
     sized = F.coalesce((size[0] > 0) & (size[1] > 0), F.lit(False))
-    x = F.when(~on_page & sized, geo.normalize_coordinate(F.col("_x"), size[0])).otherwise(F.col("_x"))
-    y = F.when(~on_page & sized, geo.normalize_coordinate(F.col("_y"), size[1])).otherwise(F.col("_y"))
+    rows = rows.withColumns({
+        "_x": F.when(~on_page & sized, geo.normalize_coordinate(F.col("_x"), size[0])).otherwise(F.col("_x")),
+        "_y": F.when(~on_page & sized, geo.normalize_coordinate(F.col("_y"), size[1])).otherwise(F.col("_y")),
+    })
+    x, y = F.col("_x"), F.col("_y")
     point = F.struct(x.alias("x"), y.alias("y"))
-    has_end = F.coalesce(F.col("_end_kind") != "null", F.lit(False))
+    has_end = F.coalesce(F.col("f_leader_endpoint_kind") != "null", F.lit(False))
     end_ok = F.coalesce(
-        (F.col("_end_kind") == "object") & x.between(0.0, geo.SCALE) & y.between(0.0, geo.SCALE), F.lit(False)
+        (F.col("f_leader_endpoint_kind") == "object") & x.between(0.0, geo.SCALE) & y.between(0.0, geo.SCALE), F.lit(False)
     )
     lowered = F.lower(sc.strip(F.col("_status_raw")))
     empty_status = F.col("_status_raw").isNull() | (F.col("_status_raw") == "")
-    rows = rows.withColumns({
-        "bubble_bbox": F.when(numbers, geo.resolve_bbox(F.col("_box"), *size)),
-        "_leader_given": F.col("_status_kind").isNotNull() | F.col("_end").isNotNull(),
+    rows = rows.withColumn("_numbers", F.coalesce(numbers, F.lit(False)))
+    rows = sc.computed(rows, {
+        "bubble_bbox": F.when(F.col("_numbers"), geo.resolve_bbox(F.col("_box"), *size)),
+        "_leader_given": F.col("f_leader_line_status_kind").isNotNull() | F.col("f_leader_endpoint_v").isNotNull(),
         "_status": F.when(empty_status, "missing").otherwise(lowered),
         "_bad_end": has_end & ~end_ok,
         "_point": F.when(end_ok, point),
@@ -245,29 +238,30 @@ def validate_callouts(
     invalid = (
         F.when(~F.col("_status").isin("clear", "unclear", "missing"), F.concat(
             F.lit("leader_line_status must be one of ['clear', 'missing', 'unclear'], got "),
-            _repr(F.col("_status_raw"), F.col("_status_kind")),
+            _repr(F.col("_status_raw"), F.col("f_leader_line_status_kind")),
         ))
-        .when(F.col("_bubble_kind").isNull(), "'bubble_number'")
-        .when(~_optional_text_ok(F.col("_place_kind")), "location_description is not text")
+        .when(F.col("f_bubble_number_kind").isNull(), "'bubble_number'")
+        .when(~_optional_text_ok(F.col("f_location_description_kind")), "location_description is not text")
     )
     rows = rows.withColumn("_invalid", invalid)
     box_problem = (
         F.when(F.col("_boxed").isNull(), "malformed bubble_bbox: missing or not an object")
-        .when(~numbers, "box edge missing or not a number")
+        .when(~F.col("_numbers"), "box edge missing or not a number")
         .when(F.col("bubble_bbox").isNull(), "box out of range or out of order")
     )
+    rows = rows.withColumn("_box_problem", box_problem)
     gate = (
         F.when(F.col("_shape") != "object", F.concat(
             F.lit("Skipped invalid callout at index "), at, F.lit(": callout row is not an object")))
         .when(low_score, F.concat(
             F.lit("Skipped callout at index "), where, F.lit("confidence "),
             sc.two_decimals(F.col("confidence_score")), F.lit(f" below minimum {CALLOUT_MIN_CONFIDENCE}")))
-        .when(box_problem.isNotNull(), F.concat(
-            F.lit("Malformed bubble_bbox for callout at index "), where, box_problem))
+        .when(F.col("_box_problem").isNotNull(), F.concat(
+            F.lit("Malformed bubble_bbox for callout at index "), where, F.col("_box_problem")))
         .when(~F.col("_status").isin("clear", "unclear", "missing"), F.concat(
             F.lit("Skipped invalid callout at index "), at, F.lit(": "), F.col("_invalid")))
     )
-    rows = rows.withColumn("_gate", gate)
+    rows = sc.computed(rows, {"_gate": gate})
     checked, given, pointed = F.col("_checked"), F.col("_leader_given"), F.col("_point").isNotNull()
     subject = F.concat(F.lit(" for callout bubble "), label)
     leader_warning = (
@@ -288,10 +282,9 @@ def validate_callouts(
     skipped = F.when(F.col("_invalid").isNotNull(), F.concat(
         F.lit("Skipped invalid callout at index "), at, F.lit(": "), F.col("_invalid")))
     leader = resolve_leader(F.when(given, checked).otherwise("missing"), F.col("_point"))
-    valid = F.col("_gate").isNull() & F.col("_invalid").isNull()
-    rows = rows.withColumns({
-        "valid": valid,
-        "bubble_number": F.when(valid, sc.scalar_repr(F.col("_bubble"), F.col("_bubble_kind"))),
+    rows = sc.computed(rows, {"valid": F.col("_gate").isNull() & F.col("_invalid").isNull()})
+    rows = sc.computed(rows, {
+        "bubble_number": F.when(F.col("valid"), sc.scalar_repr(F.col("f_bubble_number"), F.col("f_bubble_number_kind"))),
         "_leader": leader,
         "_before": F.when(F.col("_gate").isNotNull(), F.array("_gate")).otherwise(
             F.filter(F.array(bad_end, leader_warning, skipped), lambda w: w.isNotNull())
@@ -307,9 +300,9 @@ def validate_callouts(
                  sc.low_confidence_warning("callout bubble", F.col("bubble_number"), F.col("confidence_score")))
     after = F.filter(F.array(repeated, low), lambda w: w.isNotNull())
     return rows.select(
-        *[c for c in items.columns if c not in ("raw", "not_a_list")],
+        *[c for c in items.columns if c != "raw"],
         "valid", "bubble_number",
-        F.when(F.col("valid"), F.col("_place")).alias("location_description"),
+        F.when(F.col("valid"), F.col("f_location_description")).alias("location_description"),
         F.when(F.col("valid"), F.col("bubble_bbox")).alias("bubble_bbox"),
         "confidence_score",
         F.when(F.col("valid"), F.col("_leader.endpoint")).alias("leader_endpoint"),
@@ -345,9 +338,7 @@ def tiled_callouts(responses: DataFrame, tiles: DataFrame, iou: float = 0.5, thr
     failed = parsed.filter("parse_error is not null").select(
         *on, F.concat(F.lit("Callout detection failed on "), "tile", F.lit(": "), "parse_error").alias("warning")
     )
-    not_lists = parsed.filter(
-        F.col("parsed").isNotNull() & (sc.variant_kind(sc.variant_field(F.col("parsed"), "callouts")) != "array")
-    ).select(*on, F.concat(
+    not_lists = _with_list(parsed, "callouts").filter(F.col("_field_kind") != "array").select(*on, F.concat(
         F.lit("Callout response on "), "tile", F.lit(" 'callouts' was not a list; treated as empty")).alias("warning"))
     rows = checked.select(*on, F.explode("warnings").alias("w")).select(
         *on, F.concat("tile", F.lit(": "), "w").alias("warning")
@@ -366,12 +357,10 @@ def parse_classifications(responses: DataFrame) -> DataFrame:
     """
     text = F.coalesce("response_text", F.lit(""))
     found = sc.blank_to_null(F.regexp_extract(text, r"(?s)\{.*\}", 0))
-    rows = responses.withColumn("_v", F.try_parse_json(found)).withColumns({
-        "_found": found, **{
-            f"_{n}": sc.variant_field(F.col("_v"), n) for n in ("is_balloon", "number", "confidence")
-        },
-    })
-    flag, flag_kind = sc.variant_text(F.col("_is_balloon")), sc.variant_kind(F.col("_is_balloon"))
+    rows = responses.withColumn("_found", found)
+    rows = rows.withColumn("_v", F.try_parse_json("_found"))
+    rows = sc.with_fields(rows, "_v", ["is_balloon", "number", "confidence"], "f_")
+    flag, flag_kind = F.col("f_is_balloon"), F.col("f_is_balloon_kind")
     truthy = (
         F.when(flag_kind == "bool", flag == "true")
         .when(flag_kind.isin("int", "float"), flag.try_cast("double") != 0)
@@ -380,7 +369,7 @@ def parse_classifications(responses: DataFrame) -> DataFrame:
         .when(flag_kind == "object", flag != "{}")
         .otherwise(False)
     )
-    raw, kind = sc.variant_text(F.col("_number")), sc.variant_kind(F.col("_number"))
+    raw, kind = F.col("f_number"), F.col("f_number_kind")
     stripped = sc.strip(raw)
     number = (
         F.when(kind == "bool", F.when(raw == "true", F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
@@ -388,8 +377,7 @@ def parse_classifications(responses: DataFrame) -> DataFrame:
         .when((kind == "string") & stripped.rlike(sc.INTEGER_TEXT), stripped.try_cast("bigint"))
     )
     number = F.when(kind == "int", raw.try_cast("bigint")).otherwise(number)
-    score, score_kind = sc.variant_text(F.col("_confidence")), sc.variant_kind(F.col("_confidence"))
-    confidence = sc.clamp_confidence(score, score_kind)
+    confidence = sc.clamp_confidence(F.col("f_confidence"), F.col("f_confidence_kind"))
     error = F.when(F.col("_found").isNull(), F.concat(
         F.lit("unparseable response: "), _repr(F.substring(text, 1, 200), F.lit("string"))
     )).when(F.col("_v").isNull(), "invalid JSON")
@@ -411,12 +399,10 @@ def extraction_diagnostics(parsed: DataFrame, checked: DataFrame, name: str) ->
     ``name`` is the list the stage fills, ``bom_items`` or ``callouts``.
     """
     by = ["doc_id", "page_id", "stage"]
-    field = sc.variant_field(F.col("parsed"), name)
     size = F.when(
-        sc.variant_kind(field) == "array",
-        F.size(F.try_variant_get(F.col("parsed"), f"$.{name}", "array<variant>")),
+        F.col("_field_kind") == "array", F.size(F.try_variant_get("_field", "$", "array<variant>"))
     ).otherwise(0)
-    sent = parsed.groupBy(*by).agg(
+    sent = _with_list(parsed, name).groupBy(*by).agg(
         F.count(F.lit(1)).alias("responses"),
         F.sum(F.length(F.coalesce("response_text", F.lit("")))).alias("raw_length"),
         F.sum(size).alias("parsed_count"),

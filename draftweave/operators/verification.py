@@ -17,9 +17,10 @@ def parse_verifications(responses: DataFrame) -> DataFrame:
     parsed = rs.parse_json_response(responses)
     names = ["valid", "reason", "bubble_number", "leader_visible", "endpoint_visible",
              "bbox_surrounds_bubble", "confidence_score"]
-    rows = parsed.withColumns({f"_{n}": sc.variant_field(F.col("parsed"), n) for n in names})
-    text = {n: sc.variant_text(F.col(f"_{n}")) for n in names}
-    kind = {n: F.coalesce(sc.variant_kind(F.col(f"_{n}")), F.lit("null")) for n in names}
+    rows = sc.with_fields(parsed, "parsed", names, "f_")
+    text = {n: F.col(f"f_{n}") for n in names}
+    rows = rows.withColumns({f"k_{n}": F.coalesce(f"f_{n}_kind", F.lit("null")) for n in names})
+    kind = {n: F.col(f"k_{n}") for n in names}
 
     def flag(name: str):
         """Lax boolean: booleans, 0/1 and their common words; null otherwise."""
@@ -52,6 +53,8 @@ def parse_verifications(responses: DataFrame) -> DataFrame:
         .when(~readable | ~score_ok | ~texts_ok, "malformed verdict")
         .when(flag("valid") & ~complete, "valid verdict is incomplete")
     )
+    rows = sc.computed(rows, {"problem": problem, "_outside": outside})
+    problem, outside = F.col("problem"), F.col("_outside")
     verdict = F.when(problem.isNotNull(), "failed").when(outside | ~flag("valid"), "invalid").otherwise("valid")
     keep = verdict == "valid"
     return rows.select(
@@ -63,7 +66,7 @@ def parse_verifications(responses: DataFrame) -> DataFrame:
         F.when(keep, flag("leader_visible")).alias("leader_visible"),
         F.when(keep, flag("endpoint_visible")).alias("endpoint_visible"),
         F.when(keep, score).alias("new_confidence"),
-        problem.alias("problem"),
+        "problem",
     )
 
 

@@ -25,40 +25,41 @@ def _place(index: str) -> Column:
     return F.coalesce(page, F.lit(0)) * F.lit(1_000_000_000_000) + F.col(index)
 
 
+def _scalars(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Text and kind of the VARIANT fields of ``r``; an absent field has kind null."""
+    texts = {f"t_{n}": sc.variant_text(F.col(f"r.{n}")) for n in names}
+    kinds = {f"k_{n}": F.coalesce(sc.variant_kind(F.col(f"r.{n}")), F.lit("null")) for n in names}
+    return rows.withColumns({**texts, **kinds})
+
+
 def bom_rows(documents: DataFrame) -> DataFrame:
     """BOM rows of extraction documents, typed, with identifier kinds (S-01, U-04, P-02, P-03)."""
     rows = _page(documents).select("doc_id", "page_id", F.posexplode("bom_items").alias("i", "r"))
-    item, quantity, score = F.col("r.item_number"), F.col("r.quantity"), F.col("r.confidence_score")
-    return rows.select(
+    return _scalars(rows, ["item_number", "quantity", "confidence_score"]).select(
         "doc_id", "page_id", _place("i").alias("bom_ord"),
-        sc.variant_text(item).alias("item_number"),
-        F.coalesce(sc.variant_kind(item), F.lit("null")).alias("item_kind"),
+        F.col("t_item_number").alias("item_number"), F.col("k_item_number").alias("item_kind"),
         "r.part_number", "r.part_name", "r.description",
-        sc.safe_int(sc.variant_text(quantity), sc.variant_kind(quantity)).alias("quantity"),
+        sc.safe_int(F.col("t_quantity"), F.col("k_quantity")).alias("quantity"),
         "r.material_specification", "r.material", "r.revision",
-        sc.safe_float(sc.variant_text(score), sc.variant_kind(score)).alias("confidence_score"),
+        sc.safe_float(F.col("t_confidence_score"), F.col("k_confidence_score")).alias("confidence_score"),
     )
 
 
-def _edge(box: Column, name: str) -> Column:
-    v = sc.variant_field(box, name)
-    return sc.safe_float(sc.variant_text(v), sc.variant_kind(v))
-
-
 def callout_rows(documents: DataFrame) -> DataFrame:
     """Callout rows of extraction documents (S-01, X-15, X-16)."""
     rows = _page(documents).select("doc_id", "page_id", F.posexplode("callouts").alias("i", "r"))
-    bubble, score = F.col("r.bubble_number"), F.col("r.confidence_score")
     main, legacy = F.col("r.bubble_bbox"), F.col("r.bounding_box")
     empty = F.coalesce(F.schema_of_variant(main).isin("VOID", "OBJECT<>"), F.lit(True))
-    picked = F.when(empty, legacy).otherwise(main)
-    box = geo.normalize_bounding_box(*[_edge(picked, e) for e in geo.EDGES])
+    rows = _scalars(rows, ["bubble_number", "confidence_score"]).withColumn(
+        "_picked", F.when(empty, legacy).otherwise(main)
+    )
+    rows = sc.with_fields(rows, "_picked", geo.EDGES, "b_")
+    box = geo.normalize_bounding_box(*[sc.safe_float(F.col(f"b_{e}"), F.col(f"b_{e}_kind")) for e in geo.EDGES])
     return rows.select(
         "doc_id", "page_id", _place("i").alias("call_ord"),
-        sc.variant_text(bubble).alias("bubble_number"),
-        F.coalesce(sc.variant_kind(bubble), F.lit("null")).alias("bubble_kind"),
+        F.col("t_bubble_number").alias("bubble_number"), F.col("k_bubble_number").alias("bubble_kind"),
         "r.location_description", box.alias("bubble_bbox"),
-        sc.safe_float(sc.variant_text(score), sc.variant_kind(score)).alias("confidence_score"),
+        sc.safe_float(F.col("t_confidence_score"), F.col("k_confidence_score")).alias("confidence_score"),
         "r.leader_endpoint", "r.leader_line_status",
     )
 
