@@ -1,16 +1,15 @@
 """Checks of raw model responses, verdicts, files, documents and streams."""
 
-import json
-
 from pyspark.sql import functions as F
 
 from checks.page_checks import ATTACHED, PAGE, box_column, order_callouts, sheets
 from checks.registry import FRAGMENTS, check
-from draftweave import schemas
+from checks.scalar_checks import iou_sql
 from draftweave.functions import scalars as sc
 from draftweave.operators import candidates as cand
-from draftweave.operators import dedupe, diff, inventory, responses, verification
+from draftweave.operators import dedupe, diff, inventory, responses, tables, verification
 from draftweave.sources import extractions
+from draftweave.streaming.workspaces import stream_workspaces
 
 KEY = "doc_id, page_id, tile"
 
@@ -242,18 +241,10 @@ FRAGMENTS["tile_boxes"] = f"""
 FRAGMENTS["tile_parsed"] = parsed_sql("tile_responses")
 FRAGMENTS["tile_items"] = items_sql("tile_parsed", "callouts")
 # The fixture gives each page at most two detections per number that overlap, so one comparison decides.
-FRAGMENTS["tile_kept"] = """
-    select * from (select *, row_number() over (partition by doc_id, page_id, bubble_number order by confidence_score desc, call_ord) as rk from @tile_boxes) a
-    where not exists (select 1 from (select *, row_number() over (partition by doc_id, page_id, bubble_number order by confidence_score desc, call_ord) as rk from @tile_boxes) b
-      where a.doc_id = b.doc_id and a.page_id = b.page_id and a.bubble_number = b.bubble_number and b.rk < a.rk and ({iou}) >= 0.5)"""
-
-
-def _iou_pairs():
-    from checks.scalar_checks import iou_sql
-    FRAGMENTS["tile_kept"] = FRAGMENTS["tile_kept"].replace("{iou}", iou_sql("b.", "a."))
-
-
-_iou_pairs()
+FRAGMENTS["tile_ranked"] = "select *, row_number() over (partition by doc_id, page_id, bubble_number order by confidence_score desc, call_ord) as rk from @tile_boxes"
+FRAGMENTS["tile_kept"] = f"""
+    select * from @tile_ranked a where not exists (select 1 from @tile_ranked b
+      where a.doc_id = b.doc_id and a.page_id = b.page_id and a.bubble_number = b.bubble_number and b.rk < a.rk and ({iou_sql('b.', 'a.')}) >= 0.5)"""
 
 
 @check("e05_tiled_callouts", f"select {PAGE}, bubble_number, call_ord, confidence_score, xmin, ymax from @tile_kept")
@@ -297,7 +288,6 @@ def _(t):
     from (select doc_id, count(*) as x from @vector_rows group by all) a full join (select doc_id, count(*) as y from @picked group by all) b on a.doc_id = b.doc_id
     full join (select doc_id, count(*) as z from @verdicts where is_balloon group by all) c on coalesce(a.doc_id, b.doc_id) = c.doc_id""")
 def _(t):
-    from draftweave.operators import tables
     return cand.stage_counts(tables.rows_from_cell_tables(t.cell_tables), cand.select_candidates(t.contours), responses.parse_classifications(t.crop_responses))
 
 
@@ -327,7 +317,7 @@ def _(t):
     case v when 'failed' then 'Callout verification failed for bubble ''' || bubble_number || '''; keeping original detection (' || coalesce(problem, 'no verdict') || ')'
            when 'invalid' then 'Rejected callout bubble ''' || bubble_number || ''' after verification: ' || coalesce(why, case when outside then 'Proposed bounding box does not surround the bubble' end, 'Verification rejected without a reason')
            else case when num <> bubble_number then 'Verification corrected bubble number ''' || bubble_number || ''' -> ''' || num || '''' end end as warning
-    from @order_callouts c left join (select * exclude (verdict), verdict as v0 from @judged) j using (doc_id, page_id, call_ord), lateral (select coalesce(v0, 'failed') as v) z""")
+    from @order_callouts c left join (select * exclude (verdict, v), verdict as v0 from @judged) j using (doc_id, page_id, call_ord), lateral (select coalesce(v0, 'failed') as v) z""")
 def _(t):
     out = verification.apply_verification(order_callouts(t), verification.parse_verifications(t.verdict_responses))
     return out.select("doc_id", "page_id", "call_ord", "bubble_number", "confidence_score", "location_description", "leader_line_status",
@@ -457,7 +447,6 @@ STREAMED = f"""select doc_id, item_number, link_status, count(*) as n from (
 
 @check("r01_stream_workspaces", STREAMED)
 def _(t):
-    from draftweave.streaming.workspaces import stream_workspaces
     t.extractions.select("json").write.text(f"{t.scratch}/arriving")
     stream_workspaces(t.spark, f"{t.scratch}/arriving", f"{t.scratch}/out", f"{t.scratch}/progress", available_now=True).awaitTermination()
     rows = t.spark.read.parquet(f"{t.scratch}/out/components")

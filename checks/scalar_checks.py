@@ -6,7 +6,16 @@ from checks.registry import check
 from draftweave.functions import geometry as geo
 from draftweave.functions import scalars as sc
 
-TXT, KIND = F.col("txt"), F.col("kind")
+
+
+def txt():
+    return F.col("txt")
+
+
+def kind():
+    return F.col("kind")
+
+
 NUMERIC = "'^[+-]?([0-9]+\\.?[0-9]*([eE][+-]?[0-9]+)?|\\.[0-9]+([eE][+-]?[0-9]+)?)$'"
 WHOLE = "'^[+-]?[0-9]+$'"
 
@@ -26,7 +35,7 @@ def _scalars(t, **cols):
 
 @check("p01_normalize_identifier", f"select doc_id, ord, {key_sql('txt', 'kind')} as key from @scalars", bench=True)
 def _(t):
-    return _scalars(t, key=sc.normalize_identifier(TXT, KIND))
+    return _scalars(t, key=sc.normalize_identifier(txt(), kind()))
 
 
 @check("p02_safe_int", f"""select doc_id, ord, case
@@ -34,7 +43,7 @@ def _(t):
     when kind = 'float' then case when cast(txt as double) = floor(cast(txt as double)) then cast(cast(txt as double) as bigint) end
     when kind = 'string' and regexp_matches(trim(txt), {WHOLE}) then cast(trim(txt) as bigint) end as v from @scalars""")
 def _(t):
-    return _scalars(t, v=sc.safe_int(TXT, KIND))
+    return _scalars(t, v=sc.safe_int(txt(), kind()))
 
 
 FLOAT_SQL = f"""case when kind in ('int', 'float') then cast(txt as double)
@@ -45,18 +54,18 @@ CLAMP_SQL = f"""greatest(0.0::double, least(1.0::double, coalesce(
 
 @check("p03_safe_float", f"select doc_id, ord, {FLOAT_SQL} as v from @scalars")
 def _(t):
-    return _scalars(t, v=sc.safe_float(TXT, KIND))
+    return _scalars(t, v=sc.safe_float(txt(), kind()))
 
 
 @check("p04_clamp_confidence", f"select doc_id, ord, {CLAMP_SQL} as v from @scalars")
 def _(t):
-    return _scalars(t, v=sc.clamp_confidence(TXT, KIND))
+    return _scalars(t, v=sc.clamp_confidence(txt(), kind()))
 
 
 @check("p05_is_valid_confidence", """select doc_id, ord, coalesce(kind in ('int', 'float')
     and cast(case when kind in ('int', 'float') then txt end as double) between 0 and 1, false) as v from @scalars""")
 def _(t):
-    return _scalars(t, v=sc.is_valid_confidence(TXT, KIND))
+    return _scalars(t, v=sc.is_valid_confidence(txt(), kind()))
 
 
 @check("p06_is_low_confidence", "select doc_id, bom_ord, confidence_score < 0.7 as low from @bom")
@@ -77,17 +86,17 @@ CLEAN_SQL = "trim(regexp_replace(coalesce(txt, ''), '\\s+', ' ', 'g'))"
 
 @check("p08_clean_cell", f"select doc_id, ord, {CLEAN_SQL} as v from @scalars")
 def _(t):
-    return _scalars(t, v=sc.clean_cell(TXT))
+    return _scalars(t, v=sc.clean_cell(txt()))
 
 
 @check("p09_extract_item_no", "select doc_id, ord, nullif(regexp_extract(coalesce(txt, ''), '[0-9]+'), '') as v from @scalars")
 def _(t):
-    return _scalars(t, v=sc.extract_item_no(TXT))
+    return _scalars(t, v=sc.extract_item_no(txt()))
 
 
 @check("p10_extract_qty", "select doc_id, ord, try_cast(nullif(regexp_extract(coalesce(txt, ''), '[0-9]+'), '') as bigint) as v from @scalars")
 def _(t):
-    return _scalars(t, v=sc.extract_qty(TXT))
+    return _scalars(t, v=sc.extract_qty(txt()))
 
 
 @check("p11_get_cell", "select doc_id, case when i >= 0 then cells[i + 1] end as v from (select doc_id, cells, cast(doc_id % 7 as int) as i from @headers)")
@@ -110,7 +119,7 @@ def _(t):
 @check("p15_exact_component_id", """select doc_id, ord, 'cmp_' || case when regexp_matches(txt, '^[0-9]+$') and length(txt) < 3 then lpad(txt, 3, '0') else txt end as id
     from @scalars where txt is not null""")
 def _(t):
-    return _scalars(t, id=sc.exact_component_id(TXT)).filter("id is not null")
+    return _scalars(t, id=sc.exact_component_id(txt())).filter("id is not null")
 
 
 @check("p16_normalize_file_type", "select doc_id, regexp_replace(lower(trim('  ' || suffix)), '^\\.+', '') as v from (select doc_id, regexp_extract(path, '\\.[A-Za-z]+$') as suffix from @files)")
@@ -150,8 +159,20 @@ def _(t):
 
 # --- geometry --------------------------------------------------------------------
 
-W, H = F.col("width"), F.col("height")
-BOX = geo.box(*[F.col(e) for e in geo.EDGES])
+
+
+def w():
+    return F.col("width")
+
+
+def h():
+    return F.col("height")
+
+
+def box():
+    return geo.box(*[F.col(e) for e in geo.EDGES])
+
+
 NORM = "greatest(0.0::double, least(1000.0::double, {0} / {1} * 1000.0::double))"
 
 
@@ -163,13 +184,13 @@ NORM_BOX = ", ".join(f"{_norm(e, s)} as {e}" for e, s in zip(geo.EDGES, ("width"
 IS_NORM = " and ".join(f"{e} between 0 and 1000" for e in geo.EDGES)
 
 
-def _boxes(t, box, *extra):
-    return t.geometry.select("doc_id", "ord", box.alias("b"), *extra).select("doc_id", "ord", "b.*", *[c for c in ()])
+def _boxes(t, made):
+    return t.geometry.select("doc_id", "ord", made.alias("b")).select("doc_id", "ord", "b.*")
 
 
 @check("x01_pixel_to_norm", f"select doc_id, ord, {NORM_BOX} from @geometry")
 def _(t):
-    return _boxes(t, geo.pixel_to_norm(BOX, W, H))
+    return _boxes(t, geo.pixel_to_norm(box(), w(), h()))
 
 
 def _px(edge: str, size: str) -> str:
@@ -178,12 +199,12 @@ def _px(edge: str, size: str) -> str:
 
 @check("x02_norm_to_pixel", f"select doc_id, ord, {_px('xmin', 'width')}, {_px('ymin', 'height')}, {_px('xmax', 'width')}, {_px('ymax', 'height')} from @geometry")
 def _(t):
-    return _boxes(t, geo.norm_to_pixel(BOX, W, H))
+    return _boxes(t, geo.norm_to_pixel(box(), w(), h()))
 
 
 @check("x03_is_already_normalized", f"select doc_id, ord, ({IS_NORM}) as ok from @geometry")
 def _(t):
-    return t.geometry.select("doc_id", "ord", geo.is_already_normalized(BOX).alias("ok"))
+    return t.geometry.select("doc_id", "ord", geo.is_already_normalized(box()).alias("ok"))
 
 
 RESOLVED = f"""select doc_id, ord, {', '.join(f"case when ({IS_NORM}) then {e} else {_norm(e, s)} end as {e}" for e, s in zip(geo.EDGES, ("width", "height", "width", "height")))} from @geometry"""
@@ -191,11 +212,12 @@ RESOLVED = f"""select doc_id, ord, {', '.join(f"case when ({IS_NORM}) then {e} e
 
 @check("x04_resolve_bbox", f"select doc_id, ord, {', '.join(f'case when xmin < xmax and ymin < ymax then {e} end as {e}' for e in geo.EDGES)} from ({RESOLVED})")
 def _(t):
-    return t.geometry.select("doc_id", "ord", geo.resolve_bbox(BOX, W, H).alias("b")).select(
+    return t.geometry.select("doc_id", "ord", geo.resolve_bbox(box(), w(), h()).alias("b")).select(
         "doc_id", "ord", *[F.col(f"b.{e}").alias(e) for e in geo.EDGES])
 
 
-CROP = F.struct(F.col("rx0").alias("x"), F.col("ry0").alias("y"), (F.col("rx1") - F.col("rx0")).alias("width"), (F.col("ry1") - F.col("ry0")).alias("height"))
+def crop():
+    return F.struct(F.col("rx0").alias("x"), F.col("ry0").alias("y"), (F.col("rx1") - F.col("rx0")).alias("width"), (F.col("ry1") - F.col("ry0")).alias("height"))
 
 
 def _remap(e, o, s, p):
@@ -205,34 +227,35 @@ def _remap(e, o, s, p):
 @check("x05_remap_from_crop", f"""select doc_id, ord, {_remap('xmin', 'rx0', '(rx1 - rx0)', 'width')}, {_remap('ymin', 'ry0', '(ry1 - ry0)', 'height')},
     {_remap('xmax', 'rx0', '(rx1 - rx0)', 'width')}, {_remap('ymax', 'ry0', '(ry1 - ry0)', 'height')} from @geometry""", bench=True)
 def _(t):
-    return _boxes(t, geo.remap_from_crop(BOX, CROP, W, H))
+    return _boxes(t, geo.remap_from_crop(box(), crop(), w(), h()))
 
 
-REGION = geo.box(F.col("rx0"), F.col("ry0"), F.col("rx1"), F.col("ry1"))
+def region():
+    return geo.box(F.col("rx0"), F.col("ry0"), F.col("rx1"), F.col("ry1"))
 
 
 @check("x05b_remap_from_region", """select doc_id, ord, rx0 + xmin / 1000.0::double * (rx1 - rx0) as xmin, ry0 + ymin / 1000.0::double * (ry1 - ry0) as ymin,
     rx0 + xmax / 1000.0::double * (rx1 - rx0) as xmax, ry0 + ymax / 1000.0::double * (ry1 - ry0) as ymax from @geometry""")
 def _(t):
-    return _boxes(t, geo.remap_from_region(BOX, REGION))
+    return _boxes(t, geo.remap_from_region(box(), region()))
 
 
 @check("x06_crop_pixels", """select doc_id, ord, rx0 / 1000.0::double * width as x, ry0 / 1000.0::double * height as y,
     (rx1 - rx0) / 1000.0::double * width as w, (ry1 - ry0) / 1000.0::double * height as h from @geometry""")
 def _(t):
-    c = t.geometry.select("doc_id", "ord", geo.crop_pixels(REGION, W, H).alias("c"))
+    c = t.geometry.select("doc_id", "ord", geo.crop_pixels(region(), w(), h()).alias("c"))
     return c.select("doc_id", "ord", "c.x", "c.y", F.col("c.width").alias("w"), F.col("c.height").alias("h"))
 
 
 def _sheet_region():
-    box = geo.box(F.col("dx0"), F.col("dy0"), F.col("dx1"), F.col("dy1"))
-    return F.when(F.col("dx0").isNotNull(), box)
+    found = geo.box(F.col("dx0"), F.col("dy0"), F.col("dx1"), F.col("dy1"))
+    return F.when(F.col("dx0").isNotNull(), found)
 
 
 @check("x07_crop_origin", """select doc_id, page_id, coalesce(dx0 / 1000.0::double * width, 0.0::double) as x,
     coalesce(dy0 / 1000.0::double * height, 0.0::double) as y from @sheets""")
 def _(t):
-    return t.sheets.select("doc_id", "page_id", geo.crop_origin(_sheet_region(), W, H).alias("o")).select("doc_id", "page_id", "o.*")
+    return t.sheets.select("doc_id", "page_id", geo.crop_origin(_sheet_region(), w(), h()).alias("o")).select("doc_id", "page_id", "o.*")
 
 
 def _page(e, o, p):
@@ -243,7 +266,7 @@ def _page(e, o, p):
     {_page('xmax', 'rx0', 'width')}, {_page('ymax', 'ry0', 'height')} from @geometry""")
 def _(t):
     origin = F.struct(F.col("rx0").alias("x"), F.col("ry0").alias("y"))
-    return _boxes(t, geo.pixel_box_to_page(BOX, origin, W, H))
+    return _boxes(t, geo.pixel_box_to_page(box(), origin, w(), h()))
 
 
 @check("x09_fit_dimensions", """select doc_id, ord, case when s is null then width when width >= height then s
@@ -251,7 +274,7 @@ def _(t):
     case when s is null then height when width >= height then greatest(1, cast(round_even(height * (s / width::double), 0) as int)) else s end as h,
     s is not null as resized from (select *, case when greatest(width, height) > 5000 then 5000 when greatest(width, height) < 2000 then 2000 end as s from @geometry)""")
 def _(t):
-    f = t.geometry.select("doc_id", "ord", geo.fit_dimensions(W, H, 5000, 2000).alias("f"))
+    f = t.geometry.select("doc_id", "ord", geo.fit_dimensions(w(), h(), 5000, 2000).alias("f"))
     return f.select("doc_id", "ord", F.col("f.width").alias("w"), F.col("f.height").alias("h"), "f.resized")
 
 
@@ -259,7 +282,7 @@ def _(t):
     case when m > 4096 then greatest(1, cast(round_even(height * (4096::double / m), 0) as int)) else height end as h
     from (select *, greatest(width, height) as m from @geometry)""")
 def _(t):
-    f = t.geometry.select("doc_id", "ord", geo.cap_dimensions(W, H).alias("f"))
+    f = t.geometry.select("doc_id", "ord", geo.cap_dimensions(w(), h()).alias("f"))
     return f.select("doc_id", "ord", F.col("f.width").alias("w"), F.col("f.height").alias("h"))
 
 
@@ -276,7 +299,7 @@ def _(t):
 
 @check("x11_validate_region", f"select doc_id, ord, ({IS_NORM} and xmin < xmax and ymin < ymax) as ok from @geometry")
 def _(t):
-    return t.geometry.select("doc_id", "ord", geo.in_range(BOX).alias("ok"))
+    return t.geometry.select("doc_id", "ord", geo.in_range(box()).alias("ok"))
 
 
 @check("x12_padded_bbox", """select doc_id, contour_ord, cast(greatest(0, floor(cx - (radius + 10))) as int) as xmin, cast(greatest(0, floor(cy - (radius + 10))) as int) as ymin,
@@ -300,7 +323,7 @@ _WX, _WY = _window("xmin", "xmax", "width"), _window("ymin", "ymax", "height")
 
 @check("x13_verification_window", f"select doc_id, ord, {_WX[0]} as xmin, {_WY[0]} as ymin, {_WX[1]} as xmax, {_WY[1]} as ymax from @geometry")
 def _(t):
-    return _boxes(t, geo.verification_window(BOX, W, H))
+    return _boxes(t, geo.verification_window(box(), w(), h()))
 
 
 def iou_sql(a: str, b: str) -> str:
@@ -315,7 +338,7 @@ def iou_sql(a: str, b: str) -> str:
 @check("x14_bbox_iou", f"""select doc_id, ord, {iou_sql('a.', 'b.')} as iou from (
     select doc_id, ord, {{'xmin': xmin, 'ymin': ymin, 'xmax': xmax, 'ymax': ymax}} as a, {{'xmin': rx0, 'ymin': ry0, 'xmax': rx1, 'ymax': ry1}} as b from @geometry)""")
 def _(t):
-    return t.geometry.select("doc_id", "ord", geo.bbox_iou(BOX, REGION).alias("iou"))
+    return t.geometry.select("doc_id", "ord", geo.bbox_iou(box(), region()).alias("iou"))
 
 
 FULL = "xmin is not null and ymin is not null and xmax is not null and ymax is not null"
@@ -341,5 +364,5 @@ def _(t):
 
 @check("p20_overlay_percent", "select doc_id, ord, xmin / 10 as l, ymin / 10 as t, (xmax - xmin) / 10 as w, (ymax - ymin) / 10 as h from @geometry")
 def _(t):
-    return t.geometry.select("doc_id", "ord", geo.overlay_percent(BOX).alias("p")).select(
+    return t.geometry.select("doc_id", "ord", geo.overlay_percent(box()).alias("p")).select(
         "doc_id", "ord", F.col("p.left").alias("l"), F.col("p.top").alias("t"), F.col("p.width").alias("w"), F.col("p.height").alias("h"))
