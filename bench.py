@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -49,6 +50,7 @@ def main() -> None:
             if i > 0:
                 best = took if best is None else min(best, took)
         seconds[name] = round(best, 3)
+        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "total seconds of headline queries, best run after warm-up",
         "value": round(sum(seconds.values()), 3),

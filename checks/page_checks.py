@@ -217,10 +217,9 @@ def gapped(t):
     return tables.word_gaps(tables.text_rows(tables.real_words(w), skew.hot_groups(w, tables.IMAGE)))
 
 
-@check("w04_word_gaps", f"""select * from (select {IMAGE}, row_no, x as at, arg_min(coalesce(gap, -99999), (centre, word_ord)) as gap
-    from @word_gaps group by {IMAGE}, row_no, x) where gap <> -99999""")
+@check("w04_word_gaps", f"select {IMAGE}, row_no, x as at, word_ord, gap from @word_gaps where gap is not null")
 def _(t):
-    return gapped(t).filter("gap is not null").select("doc_id", "page_id", "region_id", "row_no", F.col("left").alias("at"), "gap")
+    return gapped(t).filter("gap is not null").select("doc_id", "page_id", "region_id", "row_no", F.col("left").alias("at"), "word_ord", "gap")
 
 
 @check("a12_infer_gap_threshold", f"select {IMAGE}, threshold from @thresholds")

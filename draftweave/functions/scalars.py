@@ -106,10 +106,11 @@ def with_fields(frame: DataFrame, source: str, names: Sequence[str], prefix: str
 def normalize_identifier(text: Column, kind: Column | str = "string") -> Column:
     """Canonical identifier, or null when the value is ambiguous (P-01)."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    run = ascii_digits(F.regexp_extract(text, DIGIT_RUN, 0))
-    from_text = F.when(
-        F.regexp_count(text, F.lit(DIGIT_RUN)) == 1,
-        F.regexp_replace(run, "^0+(?=[0-9])", ""),
+    # Plain numbers, the common case, need one test; a whole-text pattern finds
+    # the only digit run of anything else.
+    run = F.regexp_extract(text, r"(?U)^\D*(\d+)\D*$", 1)
+    from_text = F.when(text.rlike("^[1-9][0-9]*$"), text).otherwise(
+        F.when(run != "", F.regexp_replace(ascii_digits(run), "^0+(?=[0-9])", ""))
     )
     number = text.try_cast("double")
     from_float = F.when(
@@ -131,9 +132,15 @@ def key_order(key: Column) -> list[Column]:
     ]
 
 
+def zero_filled(n: Column, width: int) -> Column:
+    """Decimal text of a count, zeros in front up to a width and never cut."""
+    text = n.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
 def component_id(seq: Column) -> Column:
     """``cmp_001``, widening past 999 (P-14)."""
-    return F.format_string("cmp_%03d", seq.cast("bigint"))
+    return F.concat(F.lit("cmp_"), zero_filled(seq, 3))
 
 
 def exact_component_id(item_number: Column) -> Column:
@@ -148,7 +155,7 @@ def document_id(path: Column) -> Column:
 
 
 def page_id(number: Column) -> Column:
-    return F.format_string("page_%03d", number.cast("bigint"))
+    return F.concat(F.lit("page_"), zero_filled(number, 3))
 
 
 # --- numbers ------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from draftweave.functions import geometry as geo
+from draftweave.functions import scalars as sc
 from draftweave.operators import skew
 
 PAGE = ["doc_id", "page_id"]
@@ -96,7 +97,7 @@ def calibrate_circularity(sized: DataFrame) -> DataFrame:
 
 def crop_id(page: Column, n: Column) -> Column:
     """``<page>_c0001`` (W-09)."""
-    return F.format_string("%s_c%04d", page.cast("string"), n.cast("bigint"))
+    return F.concat(page.cast("string"), F.lit("_c"), sc.zero_filled(n, 4))
 
 
 def select_candidates(contours: DataFrame, pages: DataFrame | None = None) -> DataFrame:

@@ -87,30 +87,42 @@ def row_of_centre(words: DataFrame) -> DataFrame:
     return folded.select(*IMAGE, "centre", number.alias("row_no"))
 
 
+READING = ["left", "centre", "word_ord"]
+
+
 def text_rows(words: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """Words with their row, merged per distinct left edge of the row.
+    """Words with their row, ready for a window along the row.
 
-    Words with one left edge never start a cell between them: the gap to the
-    previous word is then negative. Their texts are joined in reading order;
-    ``right_last`` is the right edge the next word's gap is measured from.
+    Images in ``hot`` are merged per distinct left edge of a row: words with one
+    left edge never start a cell between them, as the gap to the previous word
+    is then negative. Their texts are joined in reading order, and
+    ``right_last`` is the edge the next gap is measured from.
     """
     placed = words.withColumn("centre", F.col("top") + F.col("height") / 2)
     rows = skew.lookup(placed, row_of_centre(words), [*IMAGE, "centre"], hot, "inner", IMAGE)
-    order = F.struct("centre", "word_ord")
     right = F.col("left") + F.col("width")
-    return rows.groupBy(*IMAGE, "row_no", "left").agg(
+    bottom = F.col("top") + F.col("height")
+    single = skew.cold_part(rows, hot, IMAGE).select(
+        *IMAGE, "row_no", *READING, F.array("text").alias("texts"), right.alias("right_last"),
+        "top", right.alias("right"), bottom.alias("bottom"),
+    )
+    if hot is None:
+        return single
+    order = F.struct("centre", "word_ord")
+    merged = skew.hot_part(rows, hot, IMAGE).groupBy(*IMAGE, "row_no", "left").agg(
+        F.min("centre").alias("centre"), F.min("word_ord").alias("word_ord"),
         F.transform(
             F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("text").alias("t")))), lambda x: x["t"]
         ).alias("texts"),
         F.max_by(right, order).alias("right_last"),
-        F.min("top").alias("top"), F.max(right).alias("right"),
-        F.max(F.col("top") + F.col("height")).alias("bottom"),
+        F.min("top").alias("top"), F.max(right).alias("right"), F.max(bottom).alias("bottom"),
     )
+    return single.unionByName(merged)
 
 
 def word_gaps(rows: DataFrame) -> DataFrame:
     """Distance from the previous word's right edge, null at a row's start (W-04)."""
-    line = W.partitionBy(*IMAGE, "row_no").orderBy("left")
+    line = W.partitionBy(*IMAGE, "row_no").orderBy(*READING)
     return rows.withColumn("gap", F.col("left") - F.lag("right_last").over(line))
 
 
@@ -142,11 +154,11 @@ def cells(words: DataFrame, hot: DataFrame | None | bool = True) -> DataFrame:
     limits = gap_threshold(gapped)
     joined = skew.lookup(gapped, limits, IMAGE, hot)
     starts = F.when(F.col("gap") > F.coalesce("threshold", F.lit(DEFAULT_GAP)), 1).otherwise(0)
-    line = W.partitionBy(*IMAGE, "row_no").orderBy("left").rowsBetween(W.unboundedPreceding, 0)
+    line = W.partitionBy(*IMAGE, "row_no").orderBy(*READING).rowsBetween(W.unboundedPreceding, 0)
     numbered = joined.withColumn("cell_no", F.sum(starts).over(line).cast("int"))
     return numbered.groupBy(*IMAGE, "row_no", "cell_no").agg(
         F.array_join(
-            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("left", "texts"))), lambda x: x["texts"])), " "
+            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*READING, "texts"))), lambda x: x["texts"])), " "
         ).alias("text"),
         F.min("left").alias("left"), F.min("top").alias("top"),
         F.max("right").alias("right"), F.max("bottom").alias("bottom"),
