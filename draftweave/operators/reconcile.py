@@ -168,11 +168,13 @@ def _pairs_of_hot_documents(b: DataFrame, c: DataFrame) -> DataFrame:
         .join(c.groupBy(*on).agg(F.count(F.lit(1)).alias("call_n")), on, "full_outer")
         .na.fill(0, ["bom_n", "call_n"])
     )
+    sizes = skew.durable(sizes.repartition(*on))
     limit = skew.hot_rows(b.sparkSession)
     hot = sizes.filter((F.col("bom_n") > limit) | (F.col("call_n") > limit)).select(*on)
     hot = None if hot.isEmpty() else hot
-    b = skew.ranked(skew.lookup(b, sizes, on, hot), on, [F.col("bom_ord")], "bom_rn", hot)
-    c = skew.ranked(skew.lookup(c, sizes, on, hot), on, [F.col("call_ord")], "call_rn", hot)
+    # Both sides are read several times below; the checkpoints keep one copy.
+    b = skew.durable(skew.ranked(skew.lookup(b, sizes, on, hot), on, [F.col("bom_ord")], "bom_rn", hot))
+    c = skew.durable(skew.ranked(skew.lookup(c, sizes, on, hot), on, [F.col("call_ord")], "call_rn", hot))
 
     several_b = b.filter("bom_n > 1").withColumnRenamed("bom_rn", "slot")
     several_c = c.filter("bom_n > 1").withColumnRenamed("call_rn", "slot")

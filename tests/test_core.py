@@ -91,8 +91,8 @@ def test_sample_workspace_with_every_group_split(spark, small_groups):
 
 
 def test_split_and_plain_paths_agree(spark):
-    items = [item(str(i % 5 if i % 11 else "x"), f"P{i % 3}", i % 7, 0.5 + (i % 50) / 100) for i in range(60)]
-    bubbles = [(str(i % 7 if i % 13 else "a-b"), 0.5 + (i % 40) / 100) for i in range(90)]
+    items = [item(str(i % 5 if i % 11 else "x"), f"P{i % 3}", i % 7, 0.5 + (i % 50) / 100) for i in range(24)]
+    bubbles = [(str(i % 7 if i % 13 else "a-b"), 0.5 + (i % 40) / 100) for i in range(36)]
     b = bom(spark, items, 1).unionByName(bom(spark, items[:2], 2))
     c = calls(spark, bubbles, 1).unionByName(calls(spark, bubbles[:3], 2))
 
