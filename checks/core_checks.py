@@ -187,7 +187,7 @@ def _(t):
 PRICE_SQL = "select doc_id, seq, unit_cost, total_cost, supplier, stock, note from @priced"
 
 
-@check("j05_price", PRICE_SQL, bench=True)
+@check("j05_price", PRICE_SQL)
 def _(t):
     p = F.col("procurement_data")
     return procure.price(components(t), t.catalog).select(
@@ -217,7 +217,7 @@ def _(t):
 
 @check("a02_procurement_summary", """select d.doc_id, 'INR' as currency, coalesce(cast(sum(cast(total_cost as decimal(28, 2))) as double), 0) as estimated_total_cost_usd,
     count(unit_cost) as items_with_price, count(p.doc_id) - count(unit_cost) as items_without_price
-    from (select o_orderkey as doc_id from @orders) d left join @priced p on d.doc_id = p.doc_id group by d.doc_id""", bench=True)
+    from (select o_orderkey as doc_id from @orders) d left join @priced p on d.doc_id = p.doc_id group by d.doc_id""")
 def _(t):
     docs = t.shared("orders").select(F.col("o_orderkey").alias("doc_id"))
     out = procure.procurement_summary(procure.price(components(t), t.catalog), docs)
@@ -243,7 +243,7 @@ SUMMARY_SQL = """select doc_id, count(*) filter (section in (0, 1, 3)) as total_
     count(*) filter (status = 'invalid') as invalid_items, 0.75 as confidence_threshold from @validated group by doc_id"""
 
 
-@check("a01_validation_summary", SUMMARY_SQL, bench=True)
+@check("a01_validation_summary", SUMMARY_SQL)
 def _(t):
     return validate.validation_summary(validate.validate(components(t)))
 
@@ -349,7 +349,7 @@ def parts(t):
     return workspace(t).parts
 
 
-@check("e04_parts_view", "select doc_id, component_id, shown as part_name, status as backend_status, badge as status, pct as confidence_pct, coalesce(bubble, item, '—') as label from @parts", bench=True)
+@check("e04_parts_view", "select doc_id, component_id, shown as part_name, status as backend_status, badge as status, pct as confidence_pct, coalesce(bubble, item, '—') as label from @parts")
 def _(t):
     return parts(t).select("doc_id", "component_id", "part_name", "backend_status", "status", "confidence_pct", "label")
 

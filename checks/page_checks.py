@@ -207,7 +207,7 @@ def _(t):
     return tables.real_words(words(t)).select("doc_id", "page_id", "region_id", "word_ord", "text")
 
 
-@check("w06_row_clustering", f"select {IMAGE}, centre, row_no from @row_numbers", bench=True)
+@check("w06_row_clustering", f"select {IMAGE}, centre, row_no from @row_numbers")
 def _(t):
     return tables.row_of_centre(tables.real_words(words(t)))
 
@@ -340,7 +340,7 @@ FRAGMENTS["vector_rows"] = f"""
 FIELDS = "item_no, description, qty, material, part_number"
 
 
-@check("f04_drop_blank_rows", f"select {IMAGE}, row_ord, {FIELDS} from @read_rows", bench=True)
+@check("f04_drop_blank_rows", f"select {IMAGE}, row_ord, {FIELDS} from @read_rows")
 def _(t):
     return tables.rows_from_words(words(t), t.digits)
 
@@ -374,7 +374,7 @@ def regions(t):
     return tables.table_regions(tables.wide_segments(t.segments, t.sheets))
 
 
-@check("w11_segment_grouping", f"select {PAGE}, row_count, xmin, ymin, xmax, ymax, region_rank from @regions", bench=True)
+@check("w11_segment_grouping", f"select {PAGE}, row_count, xmin, ymin, xmax, ymax, region_rank from @regions")
 def _(t):
     return regions(t)
 
@@ -391,7 +391,7 @@ FRAGMENTS["sources"] = f"""
 FRAGMENTS["best_source"] = f"select {PAGE}, min(source_rank) as source_rank from @sources group by all"
 
 
-@check("w12_source_fallback", f"select {PAGE}, source_rank, row_ord, {FIELDS} from @sources join @best_source using (doc_id, page_id, source_rank)", bench=True)
+@check("w12_source_fallback", f"select {PAGE}, source_rank, row_ord, {FIELDS} from @sources join @best_source using (doc_id, page_id, source_rank)")
 def _(t):
     return tables.extract_bom(words(t), regions(t), t.cell_tables, t.digits)
 

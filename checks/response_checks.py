@@ -169,7 +169,7 @@ def call_checked(t):
 
 
 @check("g03_validate_callouts", f"""select {KEY}, index, valid, number as bubble_number, case when valid then x0 end as xmin, case when valid then y1 end as ymax, conf as confidence_score,
-    case when valid then leader_status end as leader_line_status, case when valid and leader_status = 'clear' then ex end as end_x, {CALL_WARNINGS} as warnings from @call_final""", bench=True)
+    case when valid then leader_status end as leader_line_status, case when valid and leader_status = 'clear' then ex end as end_x, {CALL_WARNINGS} as warnings from @call_final""")
 def _(t):
     return _joined(call_checked(t)).select(
         "doc_id", "page_id", "tile", "index", "valid", "bubble_number", F.col("bubble_bbox.xmin").alias("xmin"), F.col("bubble_bbox.ymax").alias("ymax"),
@@ -277,7 +277,7 @@ def _(t):
     return responses.parse_classifications(t.crop_responses)
 
 
-@check("j07_attach_classification", ATTACHED, bench=True)
+@check("j07_attach_classification", ATTACHED)
 def _(t):
     found = cand.select_candidates(t.contours, t.sheets)
     out = cand.attach_classification(found, responses.parse_classifications(t.crop_responses), sheets(t))

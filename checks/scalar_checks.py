@@ -225,7 +225,7 @@ def _remap(e, o, s, p):
 
 
 @check("x05_remap_from_crop", f"""select doc_id, ord, {_remap('xmin', 'rx0', '(rx1 - rx0)', 'width')}, {_remap('ymin', 'ry0', '(ry1 - ry0)', 'height')},
-    {_remap('xmax', 'rx0', '(rx1 - rx0)', 'width')}, {_remap('ymax', 'ry0', '(ry1 - ry0)', 'height')} from @geometry""", bench=True)
+    {_remap('xmax', 'rx0', '(rx1 - rx0)', 'width')}, {_remap('ymax', 'ry0', '(ry1 - ry0)', 'height')} from @geometry""")
 def _(t):
     return _boxes(t, geo.remap_from_crop(box(), crop(), w(), h()))
 

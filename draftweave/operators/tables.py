@@ -80,8 +80,14 @@ def row_of_centre(words: DataFrame) -> DataFrame:
             F.concat(acc["out"], F.array(F.struct(x["centre"].alias("centre"), row.alias("row")))).alias("out"),
         )
 
+    # A run no taller than the tolerance is one row: the mean stays within it.
+    height = F.element_at("xs", -1)["centre"] - F.get("xs", F.lit(0))["centre"]
+    one_row = F.transform("xs", lambda x: F.struct(x["centre"].alias("centre"), F.lit(0).alias("row")))
     folded = listed.select(
-        *IMAGE, "run", F.inline(F.aggregate("xs", start, add, lambda acc: acc["out"]))
+        *IMAGE, "run",
+        F.inline(F.when(height <= ROW_TOLERANCE, one_row).otherwise(
+            F.aggregate("xs", start, add, lambda acc: acc["out"])
+        )),
     )
     number = F.dense_rank().over(W.partitionBy(*IMAGE).orderBy("run", "row"))
     return folded.select(*IMAGE, "centre", number.alias("row_no"))
@@ -106,6 +112,8 @@ def text_rows(words: DataFrame, hot: DataFrame | None = None) -> DataFrame:
         *IMAGE, "row_no", *READING, F.array("text").alias("texts"), right.alias("right_last"),
         "top", right.alias("right"), bottom.alias("bottom"),
     )
+    # One exchange by image serves every window, join and aggregation from here on.
+    single = single.repartition(*IMAGE)
     if hot is None:
         return single
     order = F.struct("centre", "word_ord")
