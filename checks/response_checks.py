@@ -95,7 +95,7 @@ def _joined(frame):
     return frame.withColumn("warnings", F.array_join("warnings", " / "))
 
 
-@check("g02_validate_bom_items", f"select {BOM_COLUMNS} from @bom_checked", bench=True)
+@check("g02_validate_bom_items", f"select {BOM_COLUMNS} from @bom_checked")
 def _(t):
     return _joined(bom_checked(t)).select("doc_id", "page_id", "tile", "index", "valid", "item_number", "quantity", "material_specification", "confidence_score", "warnings")
 
