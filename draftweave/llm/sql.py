@@ -29,3 +29,10 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(words.n_hit,
   sha256(coalesce(array_to_string(items.items, ','), '')) as items_sha256, coalesce(words.n_hit, 0) > 0 as contaminated
 from d left join words using (doc_id) left join items using (doc_id)
 """
+
+SQL["op9_exact_dedup"] = f"""
+with d as (select doc_id, {LOWERED.format('text')} as norm from documents),
+g as (select norm, max(doc_id) as keep_id, count(*) as group_size from d group by norm)
+select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, sha256(d.norm) as text_sha256
+from d join g using (norm)
+"""
