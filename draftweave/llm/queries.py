@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftweave.llm import decontaminate, naming
+from draftweave.llm import decontaminate, naming, near
 from draftweave.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,12 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+@query
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return near.components(table(spark, folder, "documents")).drop("row")
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the copy that stays of its text."""
