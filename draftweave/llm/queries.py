@@ -8,11 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftweave.llm import decontaminate, naming, near
+from draftweave.llm import decontaminate, naming, near, records
 from draftweave.llm.sql import SQL
+from draftweave.llm.storage import scratch
+
+#: A vocabulary file of the tokenizers library; its ids fit 16 bits.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +45,14 @@ def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near.components(table(spark, folder, "documents")).drop("row")
 
 
+@query
+def op8_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids written to record files and read back."""
+    out = scratch(spark)
+    records.write(table(spark, folder, "documents"), out, VOCABULARY, end=2)
+    return records.in_order(spark, out)
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the copy that stays of its text."""
