@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftweave.llm import decontaminate, naming, near, records
+from draftweave.llm import decontaminate, naming, near, packing, records
 from draftweave.llm.sql import SQL
 from draftweave.llm.storage import scratch
 
@@ -59,4 +59,10 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return naming.exact_groups(table(spark, folder, "documents"))
 
 
+@query
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 2048 ids."""
+    return packing.pack(table(spark, folder, "documents"), VOCABULARY, end=0)
+
+
 __all__ = ["QUERIES", "SQL"]
