@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftweave.llm import decontaminate, naming, near, packing, records
+from draftweave.llm import decontaminate, naming, near, packing, quality, records
 from draftweave.llm.sql import SQL
 from draftweave.llm.storage import scratch
 
@@ -45,6 +45,21 @@ def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near.components(table(spark, folder, "documents")).drop("row")
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, folder: str) -> quality.Model:
+    return quality.fit(docs, table(spark, folder, "labels"), ~quality.held_out(F.col("doc_id")))
+
+
+@query
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = quality.with_score(docs, quality_model(spark, docs, folder))
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op8_token_records(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids written to record files and read back."""
