@@ -15,6 +15,7 @@ scored whole.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -71,12 +72,11 @@ def sizes(text: bytes, by: list[zstandard.ZstdCompressor]) -> tuple[int, int, in
 
 
 def features(rows: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """The normalised difference, logarithms of the sizes a byte, and their products."""
+    """The normalised difference, and logarithms of the sizes a byte and of the length."""
     x = np.array(rows, float).reshape(-1, 4)
     a, b, c, n = x.T
     m = np.maximum(1, n)
-    base = [(b - a) / (a + b), np.log(a / m), np.log(b / m), np.log(c / m), np.log1p(n) / 5]
-    return np.stack(base + [p * q for i, p in enumerate(base) for q in base[i:]], axis=1)
+    return np.stack([(b - a) / (a + b), np.log(a / m), np.log(b / m), np.log(c / m), np.log1p(n)], axis=1)
 
 
 def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,7 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     known = top(marked.filter(first & (F.col("label") == 1)), dictionary_rows).unionByName(top(marked.filter(first & (F.col("label") == 0)), dictionary_rows))
     # Both samples have a fixed number of rows at most.
     blocks = source.join(F.broadcast(known), "doc_id").select("label", "text").mapInArrow(_drawn, "label int, block binary").collect()
-    by_class = [sorted(bytes(r.block) for r in blocks if r.label == y) for y in (0, 1)]
+    # A fixed order without neighbours alike, as the dictionary builder goes through its samples in turn.
+    by_class = [sorted((bytes(r.block) for r in blocks if r.label == y), key=lambda x: (zlib.crc32(x), x)) for y in (0, 1)]
     if min(map(len, by_class)) == 0:
         n = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
         return Model(b"", b"", (), (), (), (n[1] + 1) / (n[0] + 2))
