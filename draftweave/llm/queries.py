@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftweave.llm import decontaminate, naming, near, packing, quality, records
+from draftweave.llm import decontaminate, naming, near, packing, quality, records, secrets
 from draftweave.llm.sql import SQL
 from draftweave.llm.storage import scratch
 
@@ -60,6 +60,12 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.digest(secrets.spans(table(spark, folder, "documents")))
+
+
 @query
 def op8_token_records(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids written to record files and read back."""

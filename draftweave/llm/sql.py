@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from draftweave.llm.secrets import BASE, MORE
+
 SQL: dict[str, str] = {}
 
 #: A-Z lowered, everything else as it is.
@@ -36,3 +38,34 @@ g as (select norm, max(doc_id) as keep_id, count(*) as group_size from d group b
 select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, sha256(d.norm) as text_sha256
 from d join g using (norm)
 """
+
+_QUOTED = [
+    (n, r.kind, r.pattern.replace("'", "''"), r.group, r.least, r.pattern.replace("'", "''") if r.kind != "hex" else "[0-9a-f]{16}")
+    for n, r in enumerate(BASE + MORE)
+]
+_FOUND = " union all ".join(
+    f"""select doc_id, {n} as kind, '{kind}' as name, {least} as least, unnest(range(1, len(m) + 1)) as i, m, g, gap
+  from (select doc_id, regexp_extract_all(t, '{pattern}', 0) as m, regexp_extract_all(t, '{pattern}', {group}) as g,
+    string_split_regex(t, '{pattern}') as gap from d where regexp_matches(t, '{guard}'))"""
+    for n, kind, pattern, group, least, guard in _QUOTED
+)
+
+SQL["op6_secrets"] = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+found as ({_FOUND}),
+placed as (
+  select doc_id, kind, name, least, length(g[i]) as asked, length(m[i]) as size,
+    sum(length(gap[i]) + length(m[i])) over (partition by doc_id, kind order by i) as e
+  from found
+),
+good as (select doc_id, kind, name, e - size as s, e from placed where asked >= least),
+listed as (
+  select doc_id, count(*) filter (kind = 0) as a, count(*) filter (kind = 1) as b, count(*) filter (kind = 2) as c,
+    string_agg(name || ':' || cast(s as bigint) || ':' || cast(e as bigint), ',' order by s, kind) filter (kind < {len(BASE)}) as base,
+    string_agg(name || ':' || cast(s as bigint) || ':' || cast(e as bigint), ',' order by s, kind) as spans
+  from good group by doc_id
+)
+select d.doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(c, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join listed using (doc_id)
+"""
