@@ -12,13 +12,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftweave.llm import decontaminate, naming, near, packing, quality, records, secrets
+from draftweave.llm import decontaminate, naming, near, packing, quality, records, secrets, urls
 from draftweave.llm.sql import SQL
 from draftweave.llm.storage import scratch
 
 #: A vocabulary file of the tokenizers library; its ids fit 16 bits.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
+#: Host, path and action of the URL rules.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -66,6 +69,12 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.spans(table(spark, folder, "documents")))
 
 
+@query
+def op7_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page."""
+    return urls.judged(table(spark, folder, "pages"), spark.createDataFrame(RULES, "host string, path string, action string"))
+
+
 @query
 def op8_token_records(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids written to record files and read back."""
