@@ -1,27 +1,58 @@
-"""From documents to packed training sequences."""
+"""From documents to packed training sequences, in five stages.
+
+Every stage but the last returns the columns of ``documents``; each works on
+all rows that the one before kept. ``run`` applies them in turn and keeps the
+rows between two stages as Parquet in the cluster's shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from draftweave.llm import decontaminate
-from draftweave.llm.queries import table
+from draftweave.llm import decontaminate, naming, near, packing, quality
+from draftweave.llm.queries import VOCABULARY, quality_model, table
 from draftweave.llm.storage import stored
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.accepted(docs, quality_model(spark, docs, sf_dir))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, the one with the largest id."""
+    return naming.deduplicate(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return near.deduplicate(docs)
+
+
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("benchmark decontamination", benchmark_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents left, packed into sequences of 2048 ids."""
+    return packing.pack(docs, VOCABULARY, end=0)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("best-fit packing", packing_stage),
+]
 
-#: No SQL can express these stages; their tests compare them with brute force.
+#: No SQL can express these stages; a test compares them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
