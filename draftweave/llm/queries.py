@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftweave.llm import decontaminate, naming, near, packing, quality, records, secrets, urls
+from draftweave.llm import decontaminate, lm, naming, near, packing, quality, records, secrets, urls
 from draftweave.llm.sql import SQL
 from draftweave.llm.storage import scratch
 
@@ -48,6 +48,13 @@ def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near.components(table(spark, folder, "documents")).drop("row")
 
 
+@query
+def op3_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Language-model scores of every document."""
+    found = lm.scores(table(spark, folder, "documents"), lm.learning(F.col("doc_id")))
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def quality_model(spark: SparkSession, docs: DataFrame, folder: str) -> quality.Model:
     return quality.fit(docs, table(spark, folder, "labels"), ~quality.held_out(F.col("doc_id")))
 
