@@ -48,7 +48,7 @@ def shingle_sets(found: Words, size: int = SHINGLE) -> list[np.ndarray]:
     prints = found.fingerprints() if len(found.starts) else np.zeros(0, np.uint64)
     n = len(prints)
     total = np.zeros(n, np.uint64)
-    for k in range(size):
+    for k in range(min(size, n)):
         total[: n - k] += prints[k:] * _MULTIPLIERS[k]
     total = mixed(total)
     out = []
