@@ -36,6 +36,15 @@ def _fingerprint(text: Column) -> Column:
     return F.xxhash64(F.lit("row"), text)
 
 
+def _once(value: Column, columns) -> Column:
+    """Columns made from ``value``, which is computed once a row; to be selected alone or beside others."""
+    return F.inline(F.transform(F.array(value), lambda x: F.struct(*columns(x))))
+
+
+def _once_list(value: Column, made) -> Column:
+    return F.transform(F.array(value), made)[0]
+
+
 def _blocks(raw: Column, size: int) -> Column:
     last = F.greatest(F.lit(0), F.floor((F.octet_length(raw) - 1) / size)).cast("int")
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * size + 1, F.lit(size)))
@@ -46,9 +55,10 @@ def _numbered(distinct: DataFrame, *by: str) -> DataFrame:
     return distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
-def _named_blocks(raw: DataFrame, size: int) -> tuple[DataFrame, int]:
+def _named_blocks(docs: DataFrame, text: str, size: int) -> tuple[DataFrame, int]:
     """Digest and name of every distinct block, and the seed of the digest."""
-    blocks = raw.select(F.explode(_blocks(F.col("raw"), size)).alias("block")).distinct()
+    cut = _once(normalised(text).cast("binary"), lambda raw: [_blocks(raw, size).alias("blocks")])
+    blocks = docs.select(cut).select(F.explode("blocks").alias("block")).distinct()
     for seed in count():
         names = stored(_numbered(blocks, "block").select(*_digest(F.col("block"), seed), "name"))
         if names.groupBy("a", "b").count().filter("count > 1").isEmpty():
@@ -66,13 +76,13 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
     ``blocks`` and ``name`` together identify the normalised text; ``copies``
     counts the input rows of the key; ``text_sha256`` is carried along.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), normalised(text).alias("norm"))
-    names, seed = _named_blocks(base.select(F.col("norm").cast("binary").alias("raw")), block_bytes)
-    raw = F.col("norm").cast("binary")
-    cut = F.transform(_blocks(raw, block_bytes), lambda b: F.struct(*_digest(b, seed)))
-    placed = base.select(
-        "doc_id", _fingerprint(F.col("norm")).alias("row"), F.sha2(raw, 256).alias("text_sha256"), cut.alias("cut")
-    ).select("doc_id", "row", "text_sha256", F.size("cut").alias("blocks"), F.posexplode("cut").alias("pos", "at"))
+    names, seed = _named_blocks(docs, text, block_bytes)
+    told = _once(normalised(text), lambda norm: [
+        _fingerprint(norm).alias("row"), F.sha2(norm.cast("binary"), 256).alias("text_sha256"),
+        _once_list(norm.cast("binary"), lambda raw: F.transform(_blocks(raw, block_bytes), lambda b: F.struct(*_digest(b, seed)))).alias("cut"),
+    ])
+    placed = docs.select(F.col(doc_id).alias("doc_id"), told).select(
+        "doc_id", "row", "text_sha256", F.size("cut").alias("blocks"), F.posexplode("cut").alias("pos", "at"))
     first = F.when(F.col("pos") == 0, F.col("text_sha256"))
     level = stored(
         placed.select("doc_id", "row", "blocks", "pos", "at.a", "at.b", first.alias("text_sha256"))
