@@ -1,32 +1,33 @@
 """Token ids of whole texts with a public byte-pair tokenizer.
 
 The tokenizer lower-cases, drops white space and never joins pieces across it,
-so a text's ids are those of its words between ASCII blanks, one after the
-other. Each distinct word is encoded once and kept in a bounded cache; words of
-plain Latin letters are cut into pre-tokens first, which repeat more often
-than words with their punctuation. Any other word is encoded as it stands.
+so a text's ids are those of its pre-tokens, one after the other. Each distinct
+pre-token is encoded once and kept in a bounded cache. Texts of Latin letters
+are cut by the vocabulary's own pattern; of other texts, each word between
+ASCII blanks is encoded as it stands.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import SparkSession
 
 from draftweave.llm.words import shards, text_bytes
 
-#: Distinct words, and pre-tokens, that a worker keeps.
-CACHED = 500_000
+#: Distinct pre-tokens that a worker keeps.
+CACHED = 600_000
 
-#: The pattern the vocabulary's pre-tokenizer splits by (fixed value).
-PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The vocabulary's pre-tokenizer pattern, its Unicode classes spelt out for lowered Latin-1 (fixed values).
+_LETTERS, _NUMBERS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 
-#: Settings under which words may be encoded one by one (fixed values).
+#: Settings under which pre-tokens may be encoded one by one (fixed values).
 _BY_WORD = {
     "normalizer": ["NFC", "Replace", "Lowercase"],
     "pre_tokenizer": ["Split", "ByteLevel"],
@@ -39,6 +40,18 @@ def vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+class Places(dict):
+    """Numbers keys as they are first asked for."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
 class Encoder:
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -48,30 +61,29 @@ class Encoder:
         self.by_word = [x["type"] for x in told["normalizer"]["normalizers"]] == _BY_WORD["normalizer"] and [
             x["type"] for x in told["pre_tokenizer"]["pretokenizers"]] == _BY_WORD["pre_tokenizer"]
         self.added = [x["content"][:2] for x in told["added_tokens"]]
-        self.pieces: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.places: dict[bytes, int] = {}
+        self.places = Places()
         self.bounds, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode new words and append their ids to the cache."""
-        if len(self.pieces) > CACHED:
-            self.pieces = {}
-        parts: list[list[str]] = []
-        for raw in words:
-            word = raw.decode()
-            plain = max(word) < "ɐ" and not any(x in word for x in self.added)
-            parts.append(PRE_TOKENS.findall(word.lower()) if plain else [word])
-        new = [x for x in dict.fromkeys(chain.from_iterable(parts)) if x not in self.pieces]
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.pieces[x] = e.ids
-        get = self.pieces.__getitem__
-        ids = [list(chain.from_iterable(map(get, x))) for x in parts]
-        ends = np.cumsum([len(x) for x in ids]) + len(self.flat)
-        self.bounds = np.concatenate([self.bounds, ends])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+    def _cut(self, raw: bytes) -> list[str]:
+        text = raw.decode()
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            words = [x.decode() for x in raw.split()]
+            return words if len(words) < 2 else list(chain.from_iterable(self._cut(x.encode()) for x in words))
+        if any(x in text for x in self.added):
+            return [x.decode() for x in raw.split()]
+        return PRE_TOKENS.findall(text.lower())
+
+    def _learn(self) -> None:
+        """Encode the keys asked for since the last call."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(self.places.new, add_special_tokens=False)]
+        self.places.new.clear()
+        self.bounds = np.concatenate([self.bounds, np.cumsum([len(x) for x in found]) + len(self.flat)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32)])
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the bounds of each text."""
@@ -84,21 +96,20 @@ class Encoder:
             return np.fromiter(chain.from_iterable(ids), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
         if len(self.places) > CACHED:
             self._forget()
-        words = [raw[a:b].split() for a, b in zip(at, at[1:])]
-        every = list(chain.from_iterable(words))
-        places = self.places
-        new = [w for w in dict.fromkeys(every) if w not in places]
-        if new:
-            first = len(places)
-            places.update(zip(new, range(first, first + len(new))))
-            self._learn(new)
-        place = np.fromiter(map(places.__getitem__, every), np.int64, len(every))
+        counts, place = [], []
+        get = self.places.__getitem__
+        for a, b in zip(at, at[1:]):
+            cut = self._cut(raw[a:b])
+            counts.append(len(cut))
+            place.append(np.fromiter(map(get, cut), np.int32, len(cut)))
+        if self.places.new:
+            self._learn()
+        place = np.concatenate(place) if place else np.zeros(0, np.int32)
         sizes = (self.bounds[1:] - self.bounds[:-1])[place]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.bounds[place] - (ends - sizes), sizes) + np.arange(total)]
-        word_ends = np.concatenate([[0], ends])
-        return ids, word_ends[np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int64)]
+        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
 
 
 _encoders: dict[int, Encoder] = {}
