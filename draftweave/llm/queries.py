@@ -12,13 +12,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftweave.llm import decontaminate, lm, naming, near, packing, quality, records, secrets, urls
+from draftweave.llm import counts, decontaminate, lm, naming, near, packing, quality, records, secrets, urls
 from draftweave.llm.sql import SQL
 from draftweave.llm.storage import scratch
 
 #: A vocabulary file of the tokenizers library; its ids fit 16 bits.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
+#: A sentencepiece file whose pieces the unigram model weighs.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
 #: Host, path and action of the URL rules.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -70,6 +73,12 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Words and unigram tokens of every document."""
+    return counts.token_counts(table(spark, folder, "documents"), PIECES)
+
+
 @query
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document."""
