@@ -418,7 +418,7 @@ FRAGMENTS["balloons"] = """
     select l_orderkey as doc_id, {by_supplier} as ord, concat('c', cast(l_suppkey as STR), '-', cast(l_partkey as STR), '-', cast(l_linenumber as STR)) as crop_id,
            l_partkey % 3 <> 0 as is_balloon, case when l_suppkey % 9 = 0 then null else l_linenumber end as number from @lineitem"""
 FRAGMENTS["bom_keys"] = "select doc_id, key, count(*) as bom_count from @keyed_bom group by all"
-FRAGMENTS["balloon_keys"] = """select doc_id, cast(number as varchar) as key, count(*) as balloon_count, string_agg(crop_id, ',' order by ord) as crops
+FRAGMENTS["balloon_keys"] = """select doc_id, cast(number as varchar) as key, count(*) as balloon_count
     from @balloons where is_balloon and number is not null group by all"""
 
 
@@ -426,16 +426,12 @@ def balloons(t):
     return t.sql(FRAGMENTS["balloons"])
 
 
-def _joined(frame):
-    return frame.withColumn("crops", F.array_join("crop_ids", ",")).drop("crop_ids", "part")
-
-
 @check("j02_diff", """select coalesce(b.doc_id, c.doc_id) as doc_id, coalesce(b.key, c.key) as key,
     case when c.key is null then 'missing' when b.key is null then 'extra' else 'matched' end as kind,
-    coalesce(bom_count, 0) as bom_count, coalesce(balloon_count, 0) as balloon_count, crops
+    coalesce(bom_count, 0) as bom_count, coalesce(balloon_count, 0) as balloon_count
     from @bom_keys b full join @balloon_keys c on b.doc_id = c.doc_id and b.key = c.key""", bench=True)
 def _(t):
-    return _joined(diff.diff(t.bom, balloons(t)))
+    return diff.diff(t.bom, balloons(t))
 
 
 @check("u02_key_sets", """select kind, doc_id, key from (
@@ -445,12 +441,18 @@ def _(t):
 def _(t):
     kinds = {"matched": "both", "missing": "bom only", "extra": "drawing only"}
     named = F.create_map(*[F.lit(x) for p in kinds.items() for x in p])
-    return diff.diff(t.bom, balloons(t)).filter("part = 0").select(named[F.col("kind")].alias("kind"), "doc_id", "key")
+    return diff.diff(t.bom, balloons(t)).select(named[F.col("kind")].alias("kind"), "doc_id", "key")
+
+
+@check("a09_balloon_duplicates", "select doc_id, key, balloon_count as count from @balloon_keys where balloon_count > 1")
+def _(t):
+    return diff.balloon_duplicates(balloons(t))
 
 
-@check("a09_balloon_duplicates", "select doc_id, key, balloon_count as count, crops from @balloon_keys where balloon_count > 1")
+@check("a09b_balloon_crops", """select doc_id, cast(number as varchar) as key, row_number() over (partition by doc_id, number order by ord) as position, crop_id
+    from @balloons where is_balloon and number is not null""")
 def _(t):
-    return _joined(diff.balloon_duplicates(balloons(t)))
+    return diff.balloon_crops(balloons(t))
 
 
 @check("f03_balloons_only", "select doc_id, ord, crop_id, cast(number as varchar) as key from @balloons where is_balloon and number is not null")

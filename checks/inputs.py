@@ -10,6 +10,7 @@ never sorts or groups anything.
 from __future__ import annotations
 
 import re
+import tempfile
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,28 +67,28 @@ INPUTS = {
                case when l_suppkey % 7 = 0 then null else cast(l_partkey % 51 + 50 as double) / 100 end as confidence_score
         from @lineitem""",
     "callouts": """
-        select l_orderkey as doc_id, {by_supplier} as call_ord,
+        select l_orderkey as doc_id, concat('page_00', cast(l_linenumber % 2 + 1 as STR)) as page_id, {by_supplier} as call_ord,
                'string' as bubble_kind,
-               case l_suppkey % 13 when 0 then 'A/B' when 1 then concat('Bubble-', cast(l_linenumber as STR))
-                    when 2 then '2' else cast(l_linenumber as STR) end as bubble_number,
+               case when l_partkey % 5 = 0 then concat('9', cast(l_linenumber as STR)) else case l_suppkey % 13 when 0 then 'A/B' when 1 then concat('Bubble-', cast(l_linenumber as STR))
+                    when 2 then '2' else cast(l_linenumber as STR) end end as bubble_number,
                case l_linenumber % 3 when 0 then null else concat('zone ', l_linestatus) end as location_description,
                cast((l_partkey * 3) % 900 as double) as xmin, cast((l_suppkey * 11) % 900 as double) as ymin,
                cast((l_partkey * 3) % 900 + 60 as double) as xmax,
                case when l_partkey % 9 = 0 then null else cast((l_suppkey * 11) % 900 + 60 as double) end as ymax,
                case when l_suppkey % 7 = 0 and l_partkey % 3 = 0 then null
                     else cast((l_partkey * 7) % 51 + 50 as double) / 100 end as confidence_score
-        from @lineitem where l_partkey % 5 <> 0""",
+        from @lineitem""",
     "catalog": """
-        select concat('P-', cast(p_partkey as STR)) as part_number,
+        select concat(case when p_partkey % 4 = 0 then 'Q-' else 'P-' end, cast(p_partkey as STR)) as part_number,
                case when p_partkey % 17 = 0 then -1.0 when p_partkey % 19 = 0 then null
                     else cast(p_size as double) + 0.25 end as estimated_unit_cost_usd,
                p_brand as supplier_source,
                case when p_partkey % 5 = 0 then null else 'In Stock' end as stock_status
-        from @part where p_partkey % 4 <> 0""",
+        from @part""",
     "override": """
-        select concat('P-', cast(p_partkey as STR)) as part_number, cast(p_size as double) + 100.5 as estimated_unit_cost_usd,
+        select concat(case when p_partkey % 6 = 0 then 'P-' else 'R-' end, cast(p_partkey as STR)) as part_number, cast(p_size as double) + 100.5 as estimated_unit_cost_usd,
                'Override' as supplier_source, 'Made to Order' as stock_status
-        from @part where p_partkey % 6 = 0""",
+        from @part""",
     "boxes": """
         select {page_of_line}, {by_page_line} as call_ord,
                cast(l_linenumber as STR) as bubble_number, cast(50 + l_partkey % 51 as double) / 100 as confidence_score,
@@ -127,7 +128,7 @@ INPUTS = {
                case o_orderkey % 7 when 0 then 'blurred' end as error,
                case o_orderkey % 5 when 0 then '' when 1 then null else concat('DWG-', cast(o_custkey as STR)) end as drawing_number,
                case o_orderkey % 3 when 0 then '' else concat('R', cast(o_custkey % 9 as STR)) end as revision
-        from @orders where o_orderkey % 16 = 0""",
+        from (select min(o_orderkey) as o_orderkey, min(o_custkey) as o_custkey from @orders group by floor(o_orderkey / 16)) as one""",
     "words": """
         select {page_of_line}, region_id, word_ord, text, x, y, w, h from (
         select l_orderkey, case when l_orderkey % 32 < 16 then 'page' else '1' end as region_id,
@@ -176,7 +177,7 @@ INPUTS = {
                cast(case when o_custkey % 10 = 0 then 100 else 600 + o_custkey % 20 end as int) as w, 2 as h
         from @orders""",
     "cell_tables": """
-        select {page_of_order}, o_orderkey as table_ord,
+        select {page_of_order}, o_orderkey + 3000000000 as table_ord,
                case o_orderkey % 5
                     when 0 then LIST(LIST('Item No', 'Description', 'Qty', 'Material'),
                                      LIST(concat('Item 0', cast(o_custkey % 7 as STR)), 'Hex  bolt ', concat('x', cast(o_custkey % 30 as STR)), 'Steel'),
@@ -283,7 +284,7 @@ INPUTS = {
                case o_orderkey % 2 when 0 then 'clear' else 'missing' end as leader_line_status
         from @orders""",
     "verdict_responses": """
-        select {page_of_order}, o_orderkey as call_ord,
+        select {page_of_order}, case when o_orderkey % 10 = 7 then -o_orderkey else o_orderkey end as call_ord,
                case o_orderkey % 9 when 0 then 'oops' when 1 then '{"valid": false, "reason": "not a balloon"}' when 2 then '{"valid": false}'
                     when 3 then concat('{"valid": true, "bubble_number": "', cast(o_custkey % 12 + 1 as STR), '", "leader_visible": true, "endpoint_visible": true, "confidence_score": 0.93}')
                     when 4 then concat('{"valid": true, "bubble_number": "', cast(o_custkey % 12 as STR), '", "leader_visible": true, "endpoint_visible": false, "bbox_surrounds_bubble": true, "confidence_score": 0.97}')
@@ -291,7 +292,7 @@ INPUTS = {
                     when 6 then '{"valid": true, "bubble_number": "5", "leader_visible": true, "endpoint_visible": true, "bbox_surrounds_bubble": false, "confidence_score": 0.9}'
                     when 7 then '{"valid": true, "bubble_number": "5", "leader_visible": true, "confidence_score": 0.9}'
                     else '[1]' end as response_text
-        from @orders where o_orderkey % 10 <> 7""",
+        from @orders""",
 }
 
 _NAMES = re.compile(r"@([a-z_]+)")
@@ -367,5 +368,5 @@ class Inputs:
         if base is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            base = "/tmp/draftweave-checkpoints"
+            base = tempfile.mkdtemp(prefix="draftweave-")
         return f"{base}/checks-{uuid.uuid4().hex}"

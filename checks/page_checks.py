@@ -385,19 +385,21 @@ def _(t):
 
 
 FRAGMENTS["sources"] = f"""
-    select {PAGE}, table_ord as source_rank, row_ord, {FIELDS} from @vector_rows union all
-    select {PAGE}, case when region_id = 'page' then 2000000 else 1000000 + cast(region_id as int) end, row_ord, {FIELDS} from @read_rows r
-    where region_id = 'page' or exists (select 1 from @regions g where g.doc_id = r.doc_id and g.page_id = r.page_id and cast(g.region_rank as varchar) = r.region_id)"""
-FRAGMENTS["best_source"] = f"select {PAGE}, min(source_rank) as source_rank from @sources group by all"
+    select {PAGE}, 0 as source_kind, table_ord as source_ord, row_ord, {FIELDS} from @vector_rows union all
+    select {PAGE}, 2, 0, row_ord, {FIELDS} from @read_rows where region_id = 'page' union all
+    select {PAGE}, 1, cast(region_id as bigint), row_ord, {FIELDS} from @read_rows r
+    where region_id <> 'page' and exists (select 1 from @regions g where g.doc_id = r.doc_id and g.page_id = r.page_id and cast(g.region_rank as varchar) = r.region_id)"""
+FRAGMENTS["best_source"] = f"""
+    select *, min(source_ord) over (partition by {PAGE}, source_kind) as first_ord, min(source_kind) over (partition by {PAGE}) as first_kind from @sources"""
 
 
-@check("w12_source_fallback", f"select {PAGE}, source_rank, row_ord, {FIELDS} from @sources join @best_source using (doc_id, page_id, source_rank)")
+@check("w12_source_fallback", f"select {PAGE}, source_kind, source_ord, row_ord, {FIELDS} from @best_source where source_kind = first_kind and source_ord = first_ord")
 def _(t):
     return tables.extract_bom(words(t), regions(t), t.cell_tables, t.digits)
 
 
-@check("p21_bom_row_to_contract", f"""select {PAGE}, source_rank, row_ord, item_no as item_number, part_number, null::varchar as part_name, coalesce(description, '') as description,
-    qty as quantity, material as material_specification, null::double as confidence_score from @sources join @best_source using (doc_id, page_id, source_rank)""")
+@check("p21_bom_row_to_contract", f"""select {PAGE}, source_kind, source_ord, row_ord, item_no as item_number, part_number, null::varchar as part_name, coalesce(description, '') as description,
+    qty as quantity, material as material_specification, null::double as confidence_score from @best_source where source_kind = first_kind and source_ord = first_ord""")
 def _(t):
     return tables.to_contract(tables.extract_bom(words(t), regions(t), t.cell_tables, t.digits))
 

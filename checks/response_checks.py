@@ -213,13 +213,13 @@ def _(t):
     return b.unionByName(c)
 
 
-@check("a17_collect_warnings", f"""select doc_id, 0 as part, string_agg(page_id || ' (title block): ' || w, ' / ' order by page_id, tile, index) as warnings from (
+@check("a17_collect_warnings", f"""select doc_id, row_number() over (partition by doc_id order by page_id, tile, index) as position, page_id || ' (title block): ' || w as warning from (
     select doc_id, page_id, tile, index, case when reason is not null then 'Skipped invalid BOM row at index ' || index || ': ' || reason
       when conf < 0.7 then 'Low confidence extraction for BOM item ' || json_extract_string(r, '$.item_number') || ' (confidence=' || printf('%.2f', conf) || ')' end as w from @bom_checked)
-    where w is not null group by doc_id""")
+    where w is not null""")
 def _(t):
     rows = bom_checked(t).select("doc_id", "page_id", "tile", "index", F.lit("title block").alias("source"), F.explode("warnings").alias("warning"))
-    return _joined(diff.collect_warnings(rows, [F.col("page_id"), F.col("tile"), F.col("index")]))
+    return diff.collect_warnings(rows, [F.col("page_id"), F.col("tile"), F.col("index")])
 
 
 # --- tiles -----------------------------------------------------------------------------
@@ -250,7 +250,9 @@ FRAGMENTS["tile_kept"] = f"""
 @check("e05_tiled_callouts", f"select {PAGE}, bubble_number, call_ord, confidence_score, xmin, ymax from @tile_kept")
 def _(t):
     kept, _ = tile_callouts(t)
-    return kept.select("doc_id", "page_id", "bubble_number", "call_ord", "confidence_score", F.col("bubble_bbox.xmin").alias("xmin"), F.col("bubble_bbox.ymax").alias("ymax"))
+    at = F.col("call_ord")
+    number = ((at["row"] * 1000 + at["col"]) * 1_000_000_000 + at["index"]).alias("call_ord")
+    return kept.select("doc_id", "page_id", "bubble_number", number, "confidence_score", F.col("bubble_bbox.xmin").alias("xmin"), F.col("bubble_bbox.ymax").alias("ymax"))
 
 
 @check("e05b_tile_warnings", f"select {KEY}, 'Callout detection failed on ' || tile || ': ' || parse_error as warning from @tile_parsed where parse_error is not null")
@@ -416,7 +418,7 @@ def stored_extractions(t):
 @check("s01_read_extractions", EXTRACTED_BOM)
 def _(t):
     rows = extractions.bom_rows(stored_extractions(t))
-    return rows.select("doc_id", "page_id", (F.col("bom_ord") % F.lit(1_000_000_000_000)).alias("index"), "item_number", "item_kind", "part_number", "quantity", "confidence_score")
+    return rows.select("doc_id", "page_id", F.col("bom_ord.p0").alias("index"), "item_number", "item_kind", "part_number", "quantity", "confidence_score")
 
 
 @check("s01b_read_callouts", """select doc_id, json_extract_string(json, '$.callouts[0].bubble_number') as bubble_number, case cast(doc_id as bigint) % 3 when 0 then 10.0::double when 1 then 1.0::double end as xmin,

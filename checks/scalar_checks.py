@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.registry import check
+from checks.registry import FRAGMENTS, check
 from draftweave.functions import geometry as geo
 from draftweave.functions import scalars as sc
 
@@ -366,3 +366,18 @@ def _(t):
 def _(t):
     return t.geometry.select("doc_id", "ord", geo.overlay_percent(box()).alias("p")).select(
         "doc_id", "ord", F.col("p.left").alias("l"), F.col("p.top").alias("t"), F.col("p.width").alias("w"), F.col("p.height").alias("h"))
+
+
+# --- digits of other scripts ------------------------------------------------------------
+
+SCRIPTS = ["๐๑๒๓๔๕๖๗๘๙", "০১২৩৪৫৬৭৮৯", "٠١٢٣٤٥٦٧٨٩", "𝟎𝟏𝟐𝟑𝟒𝟓𝟔𝟕𝟖𝟗"]
+_WRITTEN = " ".join(f"when {i} then translate(cast(o_custkey as STR), '0123456789', '{digits}')" for i, digits in enumerate(SCRIPTS))
+FRAGMENTS["written_numbers"] = f"select o_orderkey as doc_id, o_custkey as n, case o_orderkey % {len(SCRIPTS)} {_WRITTEN} end as t from @orders"
+
+
+@check("p01b_digits_of_scripts", """select doc_id, cast(n as varchar) as key, cast(n as bigint) as whole, cast(n as double) as real, cast(n as bigint) as qty from @written_numbers""")
+def _(t):
+    said = t.sql(FRAGMENTS["written_numbers"])
+    return said.select(
+        "doc_id", sc.normalize_identifier(F.concat(F.lit("Item "), "t")).alias("key"), sc.safe_int(F.col("t")).alias("whole"),
+        sc.safe_float(F.col("t")).alias("real"), sc.extract_qty(F.concat(F.lit("x"), "t")).alias("qty"))

@@ -8,7 +8,10 @@ text "3.0" is ambiguous.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,13 +31,16 @@ def blank_to_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+@cache
+def decimal_digits() -> tuple[str, str]:
+    """Every decimal digit outside ASCII, and the ASCII digit of each."""
+    found = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.digit(c)) for c in found)
+
+
 def ascii_digits(c: Column) -> Column:
-    """Rewrite the decimal digits of other scripts most often met to ASCII."""
-    return F.translate(
-        c,
-        "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९０１２３４５６７８９",
-        "0123456789" * 4,
-    )
+    """Rewrite the decimal digits of other scripts to ASCII; plain text is left alone."""
+    return F.when(c.rlike(r"(?U)(?=[^\x00-\x7F])\d"), F.translate(c, *decimal_digits())).otherwise(c)
 
 
 # --- kinds of untyped scalars -------------------------------------------------
@@ -158,13 +164,26 @@ def page_id(number: Column) -> Column:
     return F.concat(F.lit("page_"), zero_filled(number, 3))
 
 
+def place(*parts: Column | str) -> Column:
+    """Ordinal over all pages of a document: page number, page, then the given parts.
+
+    Pages whose id ends in no number come first, by id.
+    """
+    number = F.regexp_extract("page_id", r"([0-9]+)$", 1).try_cast("decimal(38,0)")
+    named = {f"p{i}": F.col(p) if isinstance(p, str) else p for i, p in enumerate(parts)}
+    return F.struct(
+        F.coalesce(number, F.lit(-1).cast("decimal(38,0)")).alias("page_number"), F.col("page_id").alias("page_id"),
+        *[c.alias(n) for n, c in named.items()],
+    )
+
+
 # --- numbers ------------------------------------------------------------------
 
 
 def safe_int(text: Column, kind: Column | str = "string") -> Column:
     """Integer reading of an untyped scalar, or null (P-02)."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    stripped = strip(text)
+    stripped = ascii_digits(strip(text))
     number = text.try_cast("double")
     return (
         F.when(kind == "int", text.try_cast("bigint"))
@@ -176,7 +195,7 @@ def safe_int(text: Column, kind: Column | str = "string") -> Column:
 def safe_float(text: Column, kind: Column | str = "string") -> Column:
     """Float reading of an untyped scalar, or null (P-03)."""
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    stripped = strip(text)
+    stripped = ascii_digits(strip(text))
     return (
         F.when(kind.isin("int", "float"), text.try_cast("double"))
         .when((kind == "string") & stripped.rlike(FLOAT_TEXT), stripped.try_cast("double"))

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from draftweave.functions import scalars as sc
 from draftweave.operators import skew
 
-LIST_ROWS = 10_000
-
 
 def _balloons(balloons: DataFrame) -> DataFrame:
     """Valid balloons with their key (F-03)."""
@@ -21,19 +19,22 @@ def _balloons(balloons: DataFrame) -> DataFrame:
     return rows.filter("key is not null")
 
 
-def _crop_lists(rows: DataFrame, size: int) -> DataFrame:
-    """Crop ids per key in list order; keys above ``size`` continue in further parts."""
+def balloon_crops(balloons: DataFrame) -> DataFrame:
+    """Crops of each key in list order, one row each: ``doc_id, key, position, crop_id``.
+
+    A row a crop at every size: whoever wants a list collects it by key.
+    """
     by = ["doc_id", "key"]
-    hot = skew.hot_groups(rows, by, max(size, skew.hot_rows(rows.sparkSession)))
-    return skew.in_parts(rows, by, [F.col("ord")], F.col("crop_id"), "crop_ids", size, hot)
+    rows = _balloons(balloons)
+    hot = skew.hot_groups(rows, by)
+    return skew.ranked(rows, by, [F.col("ord")], "position", hot).select(*by, "position", "crop_id")
 
 
-def diff(bom: DataFrame, balloons: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
+def diff(bom: DataFrame, balloons: DataFrame) -> DataFrame:
     """Keys on both sides, only in the BOM, or only on the drawing (J-02, U-02).
 
-    Columns ``doc_id, key, kind, bom_count, balloon_count, part, crop_ids``.
-    Counts combine on the map side. Crop lists of at most ``list_rows`` ids are
-    part 0; longer ones go on in parts 1, 2, ….
+    Columns ``doc_id, key, kind, bom_count, balloon_count``; both counts combine
+    on the map side. :func:`balloon_crops` has the crops of each key.
     """
     kind = F.col("item_kind") if "item_kind" in bom.columns else F.lit("string")
     items = (
@@ -41,9 +42,7 @@ def diff(bom: DataFrame, balloons: DataFrame, list_rows: int = LIST_ROWS) -> Dat
         .filter("key is not null")
         .groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("bom_count"))
     )
-    rows = _balloons(balloons)
-    seen = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("balloon_count"))
-    lists = _crop_lists(rows, list_rows)
+    seen = _balloons(balloons).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("balloon_count"))
     kinds = (
         F.when(F.col("balloon_count").isNull(), "missing")
         .when(F.col("bom_count").isNull(), "extra")
@@ -53,17 +52,13 @@ def diff(bom: DataFrame, balloons: DataFrame, list_rows: int = LIST_ROWS) -> Dat
         items.join(seen, ["doc_id", "key"], "full_outer")
         .withColumn("kind", kinds)
         .na.fill(0, ["bom_count", "balloon_count"])
-        .join(lists, ["doc_id", "key"], "left")
-        .select("doc_id", "key", "kind", "bom_count", "balloon_count",
-                F.coalesce("part", F.lit(0)).alias("part"), "crop_ids")
+        .select("doc_id", "key", "kind", "bom_count", "balloon_count")
     )
 
 
-def balloon_duplicates(balloons: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
-    """Balloon numbers seen more than once (A-09)."""
-    rows = _balloons(balloons)
-    repeated = rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
-    return repeated.join(_crop_lists(rows, list_rows), ["doc_id", "key"])
+def balloon_duplicates(balloons: DataFrame) -> DataFrame:
+    """Balloon numbers seen more than once (A-09): ``doc_id, key, count``."""
+    return _balloons(balloons).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("count")).filter("count > 1")
 
 
 # --- exact join ----------------------------------------------------------------
@@ -112,16 +107,17 @@ def orphans(bom: DataFrame, callouts: DataFrame) -> DataFrame:
 # --- lists per document ----------------------------------------------------------
 
 
-def collect_warnings(warnings: DataFrame, order: list[Column], list_rows: int = LIST_ROWS) -> DataFrame:
-    """Ordered warnings per document, each with its page's prefix (A-17).
+def collect_warnings(warnings: DataFrame, order: list[Column]) -> DataFrame:
+    """Warnings of each document in order, each with its page's prefix (A-17).
 
     ``warnings`` has ``doc_id, page_id, warning`` and optionally ``source``
-    (such as "title block"), shown after the page. Lists longer than
-    ``list_rows`` go on in further parts.
+    (such as "title block"), shown after the page. One row a warning:
+    ``doc_id, position, warning``.
     """
     place = F.col("page_id")
     if "source" in warnings.columns:
         place = F.concat(place, F.coalesce(F.concat(F.lit(" ("), "source", F.lit(")")), F.lit("")))
     text = F.concat(place, F.lit(": "), "warning")
-    hot = skew.hot_groups(warnings, ["doc_id"], max(list_rows, skew.hot_rows(warnings.sparkSession)))
-    return skew.in_parts(warnings, ["doc_id"], order, text, "warnings", list_rows, hot)
+    hot = skew.hot_groups(warnings, ["doc_id"])
+    placed = skew.ranked(warnings, ["doc_id"], order, "position", hot)
+    return placed.select("doc_id", "position", text.alias("warning"))

@@ -325,7 +325,7 @@ def tiled_callouts(responses: DataFrame, tiles: DataFrame, iou: float = 0.5, thr
     checked = validate_callouts(list_items(parsed, "callouts"), threshold, "tile_w", "tile_h")
     # Reading order of tiles, then index: the order callouts entered the page list.
     numbered = checked.filter("valid").withColumn(
-        "call_ord", (F.col("row") * 1000 + F.col("col")) * F.lit(1_000_000_000).cast("bigint") + F.col("index")
+        "call_ord", F.struct(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("index").cast("bigint").alias("index"))
     )
     placed = dedupe.crop_to_page(numbered, dedupe.tile_crops(tiles), on)
     kept = dedupe.dedupe_callouts(

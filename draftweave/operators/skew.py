@@ -12,6 +12,7 @@ bounds every broadcast made here.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +35,7 @@ def durable(frame: DataFrame) -> DataFrame:
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = "/tmp/draftweave-checkpoints"
+            folder = tempfile.mkdtemp(prefix="draftweave-")
         context.setCheckpointDir(folder)
     return frame.checkpoint()
 
@@ -46,12 +47,21 @@ def hot_groups(frame: DataFrame, by: Sequence[str], limit: int | None = None) ->
     return None if hot.isEmpty() else hot
 
 
+def _named(frame: DataFrame, hot: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join on keys that may be null: a null key is a group like any other."""
+    keys = F.broadcast(hot.select(*[F.col(c).alias(f"_hot_{c}") for c in on]))
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_hot_{c}"))
+    return frame.join(keys, same, how)
+
+
 def cold_part(frame: DataFrame, hot: DataFrame | None, on: Sequence[str]) -> DataFrame:
-    return frame if hot is None else frame.join(F.broadcast(hot), list(on), "left_anti")
+    return frame if hot is None else _named(frame, hot, on, "left_anti")
 
 
 def hot_part(frame: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
-    return frame.join(F.broadcast(hot), list(on), "left_semi")
+    return _named(frame, hot, on, "left_semi")
 
 
 def ranked(
@@ -115,25 +125,3 @@ def lookup(
     cold = cold_part(frame, hot, hot_on).join(table, on, how)
     warm = hot_part(frame, hot, hot_on).join(F.broadcast(hot_part(table, hot, hot_on)), on, how)
     return cold.unionByName(warm)
-
-
-def in_parts(
-    frame: DataFrame,
-    by: Sequence[str],
-    order: Sequence[Column],
-    values: Column,
-    name: str,
-    size: int,
-    hot: DataFrame | None = None,
-) -> DataFrame:
-    """Ordered list per group, cut into numbered parts of at most ``size`` values.
-
-    Groups up to ``size`` rows come out whole as part 0.
-    """
-    numbered = ranked(frame, by, order, "_at", hot)
-    return (
-        numbered.withColumn("part", F.floor((F.col("_at") - 1) / size).cast("bigint"))
-        .groupBy(*by, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("_at", values.alias("_value")))).alias("_list"))
-        .select(*by, "part", F.transform("_list", lambda x: x["_value"]).alias(name))
-    )

@@ -348,15 +348,18 @@ def table_regions(wide: DataFrame) -> DataFrame:
 def first_source(candidates: DataFrame) -> DataFrame:
     """Rows of the first source of a page that has any (W-12).
 
-    ``source_rank`` orders the sources: vector tables, then ruled regions by
-    divider count, then the whole page.
+    Sources are ordered by ``source_kind`` (vector tables, then ruled regions,
+    then the whole page) and ``source_ord`` within a kind: the table's ordinal
+    or the region's rank.
     """
     # BOM rows, unlike words, are few per page: a plain window picks the source.
-    best = F.min("source_rank").over(W.partitionBy("doc_id", "page_id"))
-    return candidates.withColumn("_best", best).filter("source_rank = _best").drop("_best")
+    rank = F.struct("source_kind", "source_ord")
+    best = F.min(rank).over(W.partitionBy("doc_id", "page_id"))
+    return candidates.withColumns({"_rank": rank, "_best": best}).filter("_rank = _best").drop("_rank", "_best")
 
 
 WHOLE_PAGE = "page"
+VECTOR_TABLE, RULED_REGION, PAGE_IMAGE = 0, 1, 2
 
 
 def extract_bom(
@@ -380,13 +383,14 @@ def extract_bom(
         read = read.join(known, IMAGE, "left").filter(
             F.col("_known") | (F.col("region_id") == WHOLE_PAGE)
         )
-    rank = F.when(F.col("region_id") == WHOLE_PAGE, 2_000_000).otherwise(
-        1_000_000 + F.col("region_id").try_cast("int")
+    whole = F.col("region_id") == WHOLE_PAGE
+    sources = read.select(
+        *page, F.when(whole, PAGE_IMAGE).otherwise(RULED_REGION).alias("source_kind"),
+        F.when(whole, 0).otherwise(F.col("region_id").try_cast("bigint")).alias("source_ord"), "row_ord", *fields,
     )
-    sources = read.select(*page, rank.alias("source_rank"), "row_ord", *fields)
     if cell_tables is not None:
         vector = rows_from_cell_tables(cell_tables).select(
-            *page, F.col("table_ord").cast("int").alias("source_rank"), "row_ord", *fields
+            *page, F.lit(VECTOR_TABLE).alias("source_kind"), F.col("table_ord").cast("bigint").alias("source_ord"), "row_ord", *fields
         )
         sources = vector.unionByName(sources)
     return first_source(sources)
@@ -395,7 +399,7 @@ def extract_bom(
 def to_contract(rows: DataFrame) -> DataFrame:
     """Extracted rows under the shared names (P-21)."""
     return rows.select(
-        *[c for c in rows.columns if c in ("doc_id", "page_id", "source_rank", "row_ord")],
+        *[c for c in rows.columns if c in ("doc_id", "page_id", "source_kind", "source_ord", "row_ord")],
         F.col("item_no").alias("item_number"), "part_number",
         F.lit(None).cast("string").alias("part_name"),
         F.coalesce("description", F.lit("")).alias("description"),

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from draftweave.functions import scalars as sc
 from draftweave.operators import candidates as cand
 from draftweave.operators import diff, responses, tables
 from draftweave.plans.workspace import Workspace, build_workspace
@@ -47,12 +48,9 @@ def run_hybrid(
     """The default route over tables of measured page contents."""
     regions = tables.table_regions(tables.wide_segments(segments, pages))
     rows = tables.to_contract(tables.extract_bom(words, regions, cell_tables, digits))
-    page = F.coalesce(F.regexp_extract("page_id", r"(\d+)$", 1).try_cast("bigint"), F.lit(0))
-    bom = rows.withColumn("bom_ord", page * F.lit(1_000_000_000_000) + F.col("row_ord"))
+    bom = rows.withColumn("bom_ord", sc.place(F.col("row_ord").cast("bigint")))
     found = cand.select_candidates(contours, pages)
     judged = responses.parse_classifications(crop_responses)
     callouts = cand.attach_classification(found, judged, pages)
-    callouts = callouts.withColumn(
-        "call_ord", page * F.lit(1_000_000_000_000) + F.col("call_ord")
-    )
+    callouts = callouts.withColumn("call_ord", sc.place(F.col("call_ord").cast("bigint")))
     return Hybrid(bom, found, judged, callouts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from draftweave.functions import scalars as sc
@@ -32,10 +32,6 @@ class Extraction:
         return build_workspace(self.bom, self.callouts, catalog, threshold)
 
 
-def _page_number() -> Column:
-    return F.coalesce(F.regexp_extract("page_id", r"(\d+)$", 1).try_cast("bigint"), F.lit(0))
-
-
 def extractions_from_responses(
     raw: DataFrame,
     pages: DataFrame,
@@ -48,16 +44,16 @@ def extractions_from_responses(
     raw verification responses keyed by ``doc_id, page_id, call_ord``.
     """
     parsed = responses.parse_json_response(raw)
-    in_order = _page_number() * F.lit(1_000_000_000_000)
+    in_order = sc.place("tile", F.col("index").cast("bigint"))
     bom_sent = parsed.filter("stage = 'bom'")
     bom_checked = responses.validate_bom_items(responses.list_items(bom_sent, "bom_items"), threshold)
-    bom = bom_checked.filter("valid").withColumn("bom_ord", in_order + F.col("index"))
+    bom = bom_checked.filter("valid").withColumn("bom_ord", in_order)
     sizes = pages.select("doc_id", "page_id", "width", "height")
     call_sent = parsed.filter("stage = 'callouts'").join(sizes, ["doc_id", "page_id"], "left")
     call_checked = responses.validate_callouts(
         responses.list_items(call_sent, "callouts"), threshold, "width", "height"
     )
-    callouts = call_checked.filter("valid").withColumn("call_ord", in_order + F.col("index")).drop("width", "height")
+    callouts = call_checked.filter("valid").withColumn("call_ord", in_order).drop("width", "height")
     warnings = bom_checked.select("doc_id", "page_id", F.lit(0).alias("step"), "index", F.posexplode("warnings").alias("i", "warning")).unionByName(
         call_checked.select("doc_id", "page_id", F.lit(1).alias("step"), "index", F.posexplode("warnings").alias("i", "warning"))
     )
@@ -66,7 +62,7 @@ def extractions_from_responses(
         callouts = judged.filter("kept").drop("kept", "warning")
     callouts = dedupe.crop_to_page(callouts, dedupe.page_crops(pages), ["doc_id", "page_id"])
     described = bom_sent.select(
-        "doc_id", _page_number().alias("page_number"),
+        "doc_id", sc.place()["page_number"].alias("page_number"),
         sc.variant_text(sc.variant_field(F.col("parsed"), "drawing_number")).alias("drawing_number"),
         sc.variant_text(sc.variant_field(F.col("parsed"), "revision")).alias("revision"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftweave import schemas
@@ -19,12 +19,6 @@ def _page(documents: DataFrame) -> DataFrame:
     return documents.withColumn("page_id", F.coalesce("page_id", F.lit("page_001")))
 
 
-def _place(index: str) -> Column:
-    """Ordinal over all pages of a document: page number, then list index."""
-    page = F.regexp_extract("page_id", r"(\d+)$", 1).try_cast("bigint")
-    return F.coalesce(page, F.lit(0)) * F.lit(1_000_000_000_000) + F.col(index)
-
-
 def _scalars(rows: DataFrame, names: list[str]) -> DataFrame:
     """Text and kind of the VARIANT fields of ``r``; an absent field has kind null."""
     texts = {f"t_{n}": sc.variant_text(F.col(f"r.{n}")) for n in names}
@@ -36,7 +30,7 @@ def bom_rows(documents: DataFrame) -> DataFrame:
     """BOM rows of extraction documents, typed, with identifier kinds (S-01, U-04, P-02, P-03)."""
     rows = _page(documents).select("doc_id", "page_id", F.posexplode("bom_items").alias("i", "r"))
     return _scalars(rows, ["item_number", "quantity", "confidence_score"]).select(
-        "doc_id", "page_id", _place("i").alias("bom_ord"),
+        "doc_id", "page_id", sc.place("i").alias("bom_ord"),
         F.col("t_item_number").alias("item_number"), F.col("k_item_number").alias("item_kind"),
         "r.part_number", "r.part_name", "r.description",
         sc.safe_int(F.col("t_quantity"), F.col("k_quantity")).alias("quantity"),
@@ -56,7 +50,7 @@ def callout_rows(documents: DataFrame) -> DataFrame:
     rows = sc.with_fields(rows, "_picked", geo.EDGES, "b_")
     box = geo.normalize_bounding_box(*[sc.safe_float(F.col(f"b_{e}"), F.col(f"b_{e}_kind")) for e in geo.EDGES])
     return rows.select(
-        "doc_id", "page_id", _place("i").alias("call_ord"),
+        "doc_id", "page_id", sc.place("i").alias("call_ord"),
         F.col("t_bubble_number").alias("bubble_number"), F.col("k_bubble_number").alias("bubble_kind"),
         "r.location_description", box.alias("bubble_bbox"),
         sc.safe_float(F.col("t_confidence_score"), F.col("k_confidence_score")).alias("confidence_score"),
@@ -68,7 +62,7 @@ def warning_rows(documents: DataFrame) -> DataFrame:
     """Warnings of extraction documents in order."""
     return _page(documents).select(
         "doc_id", "page_id", F.posexplode("extraction_warnings").alias("i", "warning")
-    ).select("doc_id", "page_id", _place("i").alias("ord"), "warning")
+    ).select("doc_id", "page_id", sc.place("i").alias("ord"), "warning")
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:

@@ -30,7 +30,7 @@ def item(number, part=None, quantity=1, score=0.9, name="Part", material="Steel"
     ("3", "string", "3"), ("03", "string", "3"), ("Item 3", "string", "3"), ("BUBBLE 3", "string", "3"),
     ("Bubble-3", "string", "3"), ("3", "int", "3"), ("3.0", "float", "3"), ("-3", "int", "-3"), ("-3", "string", "3"),
     ("3-4", "string", None), ("N/A", "string", None), ("", "string", None), (None, "null", None),
-    ("true", "bool", None), ("3.5", "float", None), ("3.0", "string", None), ("000", "string", "0"), (" ٣ ", "string", "3"),
+    ("true", "bool", None), ("3.5", "float", None), ("3.0", "string", None), ("000", "string", "0"), (" ٣ ", "string", "3"), ("๓", "string", "3"), ("Item ০৩", "string", "3"), ("𝟟", "string", "7"),
 ])
 def test_normalize_identifier(spark, text, kind, expected):
     frame = spark.createDataFrame([(text, kind)], "t string, k string")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from draftweave.functions import geometry as geo
+from draftweave.functions import scalars as sc
 from draftweave.operators import candidates as cand
 from draftweave.operators import dedupe, diff, responses, skew, tables, verification
 from tests.conftest import rows
@@ -156,17 +157,54 @@ def test_ruled_region_in_rounds(spark, small_groups):
 def diff_rows(spark):
     bom = spark.createDataFrame([(1, "1"), (1, "2")], "doc_id long, item_number string")
     seen = spark.createDataFrame([(1, i, f"c{i}", True, n) for i, n in enumerate([1, 1, 1, 1, 1, 3])], "doc_id long, ord long, crop_id string, is_balloon boolean, number long")
-    out = diff.diff(bom, seen, list_rows=2)
-    return rows(out, "key", "kind", "balloon_count", "part", F.array_join("crop_ids", ","))
+    counts = rows(diff.diff(bom, seen), "key", "kind", "bom_count", "balloon_count")
+    return counts, rows(diff.balloon_duplicates(seen), "key", "count"), rows(diff.balloon_crops(seen), "key", "position", "crop_id")
 
 
-def test_diff_lists_continue_in_parts(spark):
-    expected = [("1", "matched", 5, 0, "c0,c1"), ("1", "matched", 5, 1, "c2,c3"), ("1", "matched", 5, 2, "c4"), ("2", "missing", 0, 0, None), ("3", "extra", 1, 0, "c5")]
-    assert diff_rows(spark) == expected
+DIFF = (
+    [("1", "matched", 1, 5), ("2", "missing", 1, 0), ("3", "extra", 0, 1)], [("1", 5)],
+    [("1", i + 1, f"c{i}") for i in range(5)] + [("3", 1, "c5")],
+)
+
+
+def test_diff_and_crops(spark):
+    assert diff_rows(spark) == DIFF
 
 
 def test_diff_of_a_large_key(spark, small_groups):
-    assert [r[3] for r in diff_rows(spark)] == [0, 1, 2, 0, 0]
+    assert diff_rows(spark) == DIFF
+
+
+def warned(spark):
+    said = spark.createDataFrame([(1, f"p{i % 2}", i, f"w{i}") for i in range(7)], "doc_id long, page_id string, ord long, warning string")
+    return diff.collect_warnings(said, [F.col("ord")])
+
+
+def test_warnings_in_order(spark):
+    assert rows(warned(spark), "position", "warning") == [(i + 1, f"p{i % 2}: w{i}") for i in range(7)]
+
+
+def test_warnings_of_a_large_document(spark, small_groups):
+    assert rows(warned(spark), "position", "warning") == [(i + 1, f"p{i % 2}: w{i}") for i in range(7)]
+
+
+def test_null_keys_are_a_large_group_too(spark):
+    frame = spark.createDataFrame([(None, i) for i in range(5)] + [(1, 9)], "doc_id long, v long")
+    hot = skew.hot_groups(frame, ["doc_id"], 3)
+    assert rows(skew.hot_part(frame, hot, ["doc_id"]), "v") == [(i,) for i in range(5)]
+    assert rows(skew.cold_part(frame, hot, ["doc_id"]), "v") == [(9,)]
+
+
+def test_source_order_looks_at_the_kind_first(spark):
+    given = [(1, "p", 0, 3_000_000_000, 0), (1, "p", 1, 1, 0), (1, "p", 2, 0, 0), (1, "q", 2, 0, 0), (1, "q", 1, 7, 1), (1, "q", 1, 2, 0)]
+    frame = spark.createDataFrame(given, "doc_id long, page_id string, source_kind int, source_ord long, row_ord long")
+    assert rows(tables.first_source(frame), "page_id", "source_kind", "source_ord") == [("p", 0, 3_000_000_000), ("q", 1, 2)]
+
+
+def test_ordinals_of_pages_without_a_number_and_of_two_requests(spark):
+    given = [("front", "a", 0), ("back", "a", 0), ("page_010", "a", 0), ("page_002", "b", 1), ("page_002", "b", 0), ("page_002", "a", 5)]
+    frame = spark.createDataFrame(given, "page_id string, tile string, i long").withColumn("ord", sc.place("tile", "i"))
+    assert [tuple(r)[:3] for r in frame.orderBy("ord").collect()] == [given[1], given[0], given[5], given[4], given[3], given[2]]
 
 
 def test_classification_text(spark):
