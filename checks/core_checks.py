@@ -255,12 +255,20 @@ def _(t):
 
 # --- documents and exports ------------------------------------------------------------
 
-DOC_SQL = """select doc_id, 0 as part, count(*) as total_components, count(*) filter (status = 'invalid') as invalid_items,
+FRAGMENTS["nested"] = """select doc_id, count(*) as total_components, count(*) filter (status = 'invalid') as invalid_items,
     string_agg(item, ',' order by seq) as items, string_agg(status, ',' order by seq) as statuses,
     coalesce(cast(sum(cast(total_cost as decimal(28, 2))) as double), 0) as total_cost,
     coalesce((select string_agg(key, ',' order by cast(key as hugeint)) from (select k.key from @keyed_bom k where k.doc_id = v.doc_id group by all having count(*) > 1)), '') as duplicate_items,
     coalesce(string_agg(raw_bubble, ',' order by seq) filter (section = 4), '') as ambiguous_callouts
     from @validated v group by doc_id"""
+DOC_SQL = """select o_orderkey as doc_id, 0 as part, coalesce(total_components, 0) as total_components, coalesce(invalid_items, 0) as invalid_items, items,
+    coalesce(statuses, '') as statuses, coalesce(total_cost, 0) as total_cost, coalesce(duplicate_items, '') as duplicate_items,
+    coalesce(ambiguous_callouts, '') as ambiguous_callouts, case when n.doc_id is null then 'partial' else 'ok' end as pipeline_status, o_custkey % 5 as pages_processed
+    from @orders left join @nested n on n.doc_id = o_orderkey"""
+
+
+def _runs(t):
+    return t.shared("orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 5).alias("pages_processed"))
 
 
 def _document_columns(docs):
@@ -270,12 +278,13 @@ def _document_columns(docs):
         F.array_join(F.transform("validation.issues", lambda r: r["status"]), ",").alias("statuses"),
         F.col("procurement_summary.estimated_total_cost_usd").alias("total_cost"),
         F.array_join("metadata.duplicate_item_numbers", ",").alias("duplicate_items"),
-        F.array_join("metadata.ambiguous_callout_identifiers", ",").alias("ambiguous_callouts"))
+        F.array_join("metadata.ambiguous_callout_identifiers", ",").alias("ambiguous_callouts"),
+        "metadata.pipeline_status", "metadata.pages_processed")
 
 
 @check("k01_write_workspace", DOC_SQL, bench=True)
 def _(t):
-    return _document_columns(workspace(t).documents)
+    return _document_columns(workspace(t).documents_of(_runs(t)))
 
 
 @check("s02_read_workspace", "select cast(doc_id as varchar) as doc_id, " + COMPONENT_ID + " as component_id, item as item_number, conf as confidence_score, case when boxed then xmin end as xmin, total_cost from @validated")
@@ -401,11 +410,12 @@ def _(t):
 
 @check("j12_locate", """select 'item' as way, doc_id, component_id, null::bigint as click from @parts where item = '3'
     union all select 'click', p.doc_id, component_id, o_custkey from @parts p join @orders on p.doc_id = o_orderkey
-    where boxed and o_custkey % 900 between xmin and xmax and o_orderkey % 900 between ymin and ymax""")
+    join @callouts k on k.doc_id = p.doc_id and k.call_ord = p.call_ord
+    where boxed and o_custkey % 900 between p.xmin and p.xmax and o_orderkey % 900 between p.ymin and p.ymax and k.page_id = 'page_00' || (o_custkey % 2 + 1)""")
 def _(t):
     c = components(t)
     clicks = t.shared("orders").select(
-        F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("click"),
+        F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("page_00"), F.col("o_custkey") % 2 + 1).alias("page_id"), F.col("o_custkey").alias("click"),
         (F.col("o_custkey") % 900).cast("double").alias("x"), (F.col("o_orderkey") % 900).cast("double").alias("y"))
     by_item = views.locate(c, "3").select(F.lit("item").alias("way"), "doc_id", "component_id", F.lit(None).cast("bigint").alias("click"))
     by_click = views.parts_at(c, clicks).select(F.lit("click").alias("way"), "doc_id", "component_id", "click")

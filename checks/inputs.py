@@ -67,7 +67,7 @@ INPUTS = {
                case when l_suppkey % 7 = 0 then null else cast(l_partkey % 51 + 50 as double) / 100 end as confidence_score
         from @lineitem""",
     "callouts": """
-        select l_orderkey as doc_id, concat('page_00', cast(l_linenumber % 2 + 1 as STR)) as page_id, {by_supplier} as call_ord,
+        select l_orderkey as doc_id, concat('page_00', cast(l_linenumber % 2 + 1 as STR)) as page_id, {by_supplier} * 2 + case l_linestatus when 'O' then 1 else 0 end as call_ord,
                'string' as bubble_kind,
                case when l_partkey % 5 = 0 then concat('9', cast(l_linenumber as STR)) else case l_suppkey % 13 when 0 then 'A/B' when 1 then concat('Bubble-', cast(l_linenumber as STR))
                     when 2 then '2' else cast(l_linenumber as STR) end end as bubble_number,

@@ -121,7 +121,8 @@ def select_candidates(contours: DataFrame, pages: DataFrame | None = None) -> Da
     if pages is None:
         return out
     sizes = pages.select(*PAGE, "width", "height")
-    return skew.lookup(out, sizes, PAGE, hot, "inner").withColumn(
+    # Boxes of a page without a size are not cut at its edges.
+    return skew.lookup(out, sizes, PAGE, hot, "left").withColumn(
         "bbox",
         geo.padded_bbox(F.col("cx"), F.col("cy"), F.col("radius"), F.col("width"), F.col("height")),
     ).drop("width", "height")
@@ -132,13 +133,14 @@ def attach_classification(candidates: DataFrame, results: DataFrame, pages: Data
 
     Results without a candidate are dropped. ``crop_id`` is unique within a
     document, so the join cannot be skewed; page geometry is one row per page.
+    On a page without a size a balloon keeps its number and has no box.
     """
     on = ["doc_id", "crop_id"]
     hits = candidates.select(*PAGE, "crop_id", "contour_ord", "bbox").join(
         results.filter("is_balloon and number is not null").drop("page_id"), on
     )
     hot = skew.hot_groups(candidates, PAGE)
-    placed = skew.lookup(hits, pages.select(*PAGE, "width", "height", "drawing_region"), PAGE, hot, "inner")
+    placed = skew.lookup(hits, pages.select(*PAGE, "width", "height", "drawing_region"), PAGE, hot, "left")
     w, h = F.col("width"), F.col("height")
     box = geo.pixel_box_to_page(F.col("bbox"), geo.crop_origin(F.col("drawing_region"), w, h), w, h)
     return placed.select(

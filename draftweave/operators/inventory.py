@@ -33,7 +33,7 @@ def file_checks(files: DataFrame) -> DataFrame:
 
     other_image = F.when(kind == "png", starts("jpg")).otherwise(starts("png"))
     wrong = F.when(kind == "png", F.lit("File extension is .png but content is not a PNG.")).otherwise(
-        F.concat(F.lit("File extension is ."), ext.substr(2, 9), F.lit(" but content is not a JPEG."))
+        F.concat(F.lit("File extension is ."), F.regexp_replace(ext, r"^\.", ""), F.lit(" but content is not a JPEG."))
     )
     matches = F.when(kind == "pdf", starts("pdf")).when(kind == "png", starts("png")).otherwise(starts("jpg"))
     error = (
@@ -87,14 +87,31 @@ def document_status(documents: DataFrame, pages: DataFrame) -> DataFrame:
 
 def page_errors(pages: DataFrame) -> DataFrame:
     """Failed pages as error rows, other pages unaffected (A-19)."""
+    named = F.col("page_id").cast("string") if "page_id" in pages.columns else F.lit(None).cast("string")
     return pages.filter(F.col("error").isNotNull()).select(
         "doc_id", "page_number",
         F.coalesce("error_code", F.lit("IMAGE_PROCESSING_ERROR")).alias("code"),
-        F.concat(sc.page_id(F.col("page_number")), F.lit(": "), "error").alias("message"),
+        F.concat(F.coalesce(sc.page_id(F.col("page_number")), named), F.lit(": "), "error").alias("message"),
         F.lit("page").alias("field"),
     )
 
 
+def unsized_pages(pages: DataFrame, *contents: DataFrame) -> DataFrame:
+    """Pages with contents but without a size, as rows for :func:`page_errors`.
+
+    ``contents`` are tables with ``doc_id, page_id``: words, contours, segments.
+    """
+    named = [c.select("doc_id", "page_id").distinct() for c in contents]
+    seen = named[0]
+    for other in named[1:]:
+        seen = seen.unionByName(other)
+    sized = pages.filter(F.col("width").isNotNull() & F.col("height").isNotNull()).select("doc_id", "page_id")
+    return seen.distinct().join(sized, ["doc_id", "page_id"], "left_anti").select(
+        "doc_id", F.regexp_extract("page_id", r"([0-9]+)$", 1).try_cast("bigint").alias("page_number"), "page_id",
+        F.lit("PAGE_SIZE_MISSING").alias("error_code"), F.lit("page size is missing").alias("error"),
+    )
+
+
 def first_metadata(pages: DataFrame) -> DataFrame:
     """First non-empty drawing number and revision in page order (A-15)."""
     def first(name: str) -> Column:

@@ -25,7 +25,7 @@ BOM_DEFAULTS = {
     "revision": "string", "confidence_score": "double",
 }
 CALLOUT_DEFAULTS = {
-    "bubble_kind": "string", "location_description": "string",
+    "page_id": "string", "bubble_kind": "string", "location_description": "string",
     "bubble_bbox": "struct<xmin:double,ymin:double,xmax:double,ymax:double>",
     "bounding_box": "struct<xmin:double,ymin:double,xmax:double,ymax:double>",
     "confidence_score": "double",
@@ -93,6 +93,7 @@ def callout_rows(callouts: DataFrame) -> DataFrame:
             F.col("bubble_kind").alias("kind"),
             F.coalesce("location_description", F.lit("")).alias("location"),
             geo.normalize_bounding_box(*geo.edges(picked)).alias("box"),
+            F.col("page_id").cast("string").alias("page"),
             real_number(c, "confidence_score").alias("confidence"),
         ).alias("callout"),
     )
@@ -259,6 +260,7 @@ def reconcile(bom: DataFrame, callouts: DataFrame, hot: DataFrame | None | bool
         F.coalesce("bom.revision", F.lit("")).alias("revision"),
         F.coalesce("callout.location", F.lit("")).alias("location_description"),
         F.col("callout.box").alias("bounding_box"),
+        F.col("callout.page").alias("page_id"),
         sc.combine_confidence(F.col("bom.confidence"), F.col("callout.confidence")).alias("confidence_score"),
         link_status(F.col("section")).alias("link_status"),
         (F.col("bom_n") > 1).alias("duplicate_item_number"),

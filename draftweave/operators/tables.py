@@ -288,11 +288,15 @@ def rows_from_cell_tables(cell_tables: DataFrame) -> DataFrame:
 
 
 def wide_segments(segments: DataFrame, pages: DataFrame) -> DataFrame:
-    """Horizontal rules at least 8 % of the page wide (F-10)."""
+    """Horizontal rules at least 8 % of the page wide (F-10).
+
+    Of a page without a size no rule is wide; ``inventory.unsized_pages`` names
+    such pages.
+    """
     hot = skew.hot_groups(segments, ["doc_id", "page_id"])
     sized = skew.lookup(
         segments, pages.select("doc_id", "page_id", F.col("width").alias("page_width"), F.col("height").alias("page_height")),
-        ["doc_id", "page_id"], hot, "inner",
+        ["doc_id", "page_id"], hot, "left",
     )
     return sized.filter(F.col("w") >= F.col("page_width") * MIN_WIDTH_SHARE)
 

@@ -75,15 +75,33 @@ def overlay(parts: DataFrame) -> DataFrame:
 def locate(components: DataFrame, item_number: str | Column) -> DataFrame:
     """Boxes of an item, in every document (J-12)."""
     return components.filter(F.col("item_number") == item_number).select(
-        "doc_id", "component_id", "bounding_box"
+        "doc_id", "page_id", "component_id", "bounding_box"
     )
 
 
+#: Steps of the grid that points and boxes of a page meet on, over the page's 0-1000 scale.
+GRID = 10
+
+
+def _step(c: Column) -> Column:
+    """Grid step of a coordinate; those off the page count to its edge."""
+    return F.greatest(F.lit(0), F.least(F.lit(GRID - 1), F.floor(c * GRID / 1000).cast("int")))
+
+
 def parts_at(components: DataFrame, clicks: DataFrame) -> DataFrame:
-    """Parts whose box holds a clicked point (J-12); equi join on the document."""
-    return clicks.join(
-        components.filter(F.col("bounding_box").isNotNull()).select(
-            "doc_id", "component_id", "item_number", "bounding_box"
-        ),
-        "doc_id",
-    ).filter(geo.contains_point(F.col("bounding_box"), F.col("x"), F.col("y"))).drop("bounding_box")
+    """Parts whose box holds a clicked point of its page (J-12).
+
+    A point and a box meet by an equi join on document, page and grid step, so
+    a crowded page spreads over its steps; a box covers at most ``GRID`` times
+    ``GRID`` of them. Clicks without ``page_id`` mean every page.
+    """
+    b = F.col("bounding_box")
+    boxes = components.filter(b.isNotNull()).select(
+        F.col("doc_id").alias("_doc"), F.col("page_id").alias("_page"), "component_id", "item_number", "bounding_box",
+        F.explode(F.sequence(_step(b["xmin"]), _step(b["xmax"]))).alias("_col"),
+    ).withColumn("_row", F.explode(F.sequence(_step(b["ymin"]), _step(b["ymax"]))))
+    on = (F.col("doc_id") == F.col("_doc")) & (_step(F.col("x")) == F.col("_col")) & (_step(F.col("y")) == F.col("_row"))
+    if "page_id" in clicks.columns:
+        on = on & F.col("page_id").eqNullSafe(F.col("_page"))
+    hits = clicks.join(boxes, on).filter(geo.contains_point(b, F.col("x"), F.col("y")))
+    return hits.select(*clicks.columns, "component_id", "item_number")

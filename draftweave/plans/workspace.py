@@ -38,7 +38,11 @@ class Workspace:
 
     @property
     def documents(self) -> DataFrame:
-        return documents.workspace_documents(self.components, self.threshold, self.hot)
+        return self.documents_of(None)
+
+    def documents_of(self, runs: DataFrame | None) -> DataFrame:
+        """Nested documents of all ``runs``, those without components included."""
+        return documents.workspace_documents(self.components, self.threshold, self.hot, runs=runs)
 
     def stored(self, path: str) -> Workspace:
         """Write the components once and go on from the stored table.

@@ -21,7 +21,7 @@ def _struct(fields: str) -> str:
 EXTRACTION = (
     "doc_id string, page_id string, drawing_number string, revision string, "
     f"bom_items array<{_struct(BOM_ITEM)}>, callouts array<{_struct(CALLOUT)}>, "
-    "extraction_warnings array<string>, extraction_source string"
+    "extraction_warnings array<string>, extraction_source string, _corrupt_record string"
 )
 
 ISSUE = "struct<type:string,severity:string,message:string>"
@@ -44,8 +44,12 @@ SUMMARY = (
 WORKSPACE = (
     f"doc_id string, part bigint, components array<{COMPONENT}>, "
     f"validation struct<summary:{SUMMARY},issues:array<struct<component_id:string,issues:array<{ISSUE}>,status:string>>>, "
-    "procurement_summary struct<currency:string,estimated_total_cost_usd:double,items_with_price:bigint,items_without_price:bigint>, "
-    "metadata struct<schema_version:string,total_components:bigint,confidence_threshold:double,"
-    "duplicate_item_numbers:array<string>,duplicate_bubble_numbers:array<string>>"
+    "procurement_summary struct<currency:string,estimated_total_cost_usd:double,items_with_price:bigint,items_without_price:bigint,"
+    "estimated:boolean,mock_data:boolean,note:string>, "
+    "metadata struct<schema_version:string,generated_at:timestamp,generated_by:string,total_components:bigint,confidence_threshold:double,"
+    "duplicate_item_numbers:array<string>,duplicate_bubble_numbers:array<string>,"
+    "ambiguous_bom_identifiers:array<string>,ambiguous_callout_identifiers:array<string>,"
+    "pipeline_status:string,pipeline_errors:array<struct<stage:string,message:string>>,original_filename:string,pages_processed:bigint,"
+    "drawing_number:string,revision:string,extraction_source:string,using_mock_vision_extraction:boolean,extraction_warnings:array<string>>"
 )
 RESPONSE = "doc_id string, page_id string, stage string, tile string, crop_id string, response_text string"

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from draftweave import schemas
 from draftweave.functions import scalars as sc
 from draftweave.operators import procure, skew, validate
 
@@ -26,6 +27,15 @@ COMPONENT_FIELDS = [
 ]
 
 
+# What the run of a document adds to its metadata, and the error of an empty one.
+RUN_FIELDS = {
+    "original_filename": "string", "pages_processed": "bigint", "drawing_number": "string", "revision": "string",
+    "extraction_source": "string", "using_mock_vision_extraction": "boolean", "extraction_warnings": "array<string>",
+}
+ERRORS = "array<struct<stage:string,message:string>>"
+EMPTY_STAGE, EMPTY_MESSAGE = "vision_extraction", "No BOM items or callouts were extracted"
+
+
 def _ordered(condition: Column | None, value: Column, order: list[Column] | None = None) -> Column:
     """Values of the rows that meet a condition, in component order."""
     keys = order or [F.col("seq")]
@@ -39,9 +49,15 @@ def workspace_documents(
     threshold: float = validate.REVIEW_THRESHOLD,
     hot: DataFrame | None = None,
     part_rows: int = PART_ROWS,
+    runs: DataFrame | None = None,
 ) -> DataFrame:
     """Priced and validated components to nested rows ``(doc_id, part, …)`` (K-01).
 
+    ``runs`` names the documents that were processed, a row each, with any of
+    ``RUN_FIELDS`` and ``pipeline_errors``. Every one of them has a workspace
+    then: one without components comes out empty and says so in its errors.
+    Good, empty and failed documents share one schema.
+
     One exchange by document serves the numbering upstream and this
     aggregation. Document totals are summed over parts with a window, or with a
     join for documents named in ``hot``.
@@ -89,28 +105,57 @@ def workspace_documents(
         # One row per hot document: the broadcast is bounded like ``hot`` itself.
         big = nested(large).drop(*figures).join(F.broadcast(totals), "doc_id")
         parts = parts.unionByName(big)
-    summary = F.struct(
-        *[F.col(n) for n in validate.summary_counts()],
-        F.lit(float(threshold)).alias("confidence_threshold"),
-    )
-    return parts.select(
-        "doc_id", "part", "components",
-        F.struct(summary.alias("summary"), F.col("records").alias("issues")).alias("validation"),
+    if runs is None:
+        return _nested_rows(parts, threshold)
+    told = _filled_runs(runs).withColumn("_run", F.lit(True))
+    rows = parts.join(told, "doc_id", "full_outer").withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))
+    none = F.coalesce(F.size("components") == 0, F.lit(True))
+    empty = F.array(F.struct(F.lit(EMPTY_STAGE).alias("stage"), F.lit(EMPTY_MESSAGE).alias("message")))
+    errors = F.concat(F.coalesce("pipeline_errors", F.array().cast(ERRORS)), F.when(none, empty).otherwise(F.array().cast(ERRORS)))
+    return _nested_rows(rows.withColumn("pipeline_errors", errors), threshold)
+
+
+def _filled_runs(runs: DataFrame) -> DataFrame:
+    fields = {**RUN_FIELDS, "pipeline_errors": ERRORS}
+    return runs.select("doc_id", *[
+        (F.col(n) if n in runs.columns else F.lit(None)).cast(kind).alias(n) for n, kind in fields.items()])
+
+
+def _nested_rows(rows: DataFrame, threshold: float | None, status: Column | None = None) -> DataFrame:
+    """The workspace schema from flat columns; what is missing comes out empty or zero."""
+
+    def at(name: str, kind: str, otherwise: Column | None = None) -> Column:
+        found = (F.col(name) if name in rows.columns else F.lit(None)).cast(kind)
+        return (found if otherwise is None else F.coalesce(found, otherwise.cast(kind))).alias(name)
+
+    def listed(name: str, kind: str) -> Column:
+        return at(name, f"array<{kind}>", F.array().cast(f"array<{kind}>"))
+
+    zero, failed = F.lit(0), threshold is None
+    limit = F.lit(threshold).cast("double").alias("confidence_threshold")
+    summary = F.struct(*[at(n, "bigint", zero) for n in validate.summary_counts()], limit)
+    if status is None and "pipeline_errors" in rows.columns:
+        status = F.when(F.size("pipeline_errors") > 0, "partial").otherwise("ok")
+    issue = f"struct<component_id:string,issues:array<{schemas.ISSUE}>,status:string>"
+    flag = F.lit(None if failed else True).cast("boolean")
+    return rows.select(
+        "doc_id", at("part", "bigint", zero), listed("components", schemas.COMPONENT),
+        F.struct(summary.alias("summary"), listed("records", issue).alias("issues")).alias("validation"),
         F.struct(
-            F.lit(procure.CURRENCY).alias("currency"),
-            F.col("_cents").cast("double").alias("estimated_total_cost_usd"),
-            "items_with_price", "items_without_price",
-            F.lit(True).alias("estimated"), F.lit(True).alias("mock_data"),
-            F.lit(procure.ESTIMATE_NOTE).alias("note"),
+            F.lit("USD" if failed else procure.CURRENCY).alias("currency"),
+            at("_cents", "double", F.lit(0.0)).alias("estimated_total_cost_usd"),
+            at("items_with_price", "bigint", zero), at("items_without_price", "bigint", zero),
+            flag.alias("estimated"), flag.alias("mock_data"),
+            F.lit(None if failed else procure.ESTIMATE_NOTE).cast("string").alias("note"),
         ).alias("procurement_summary"),
         F.struct(
-            F.lit(SCHEMA_VERSION).alias("schema_version"),
-            F.current_timestamp().alias("generated_at"),
-            F.lit(GENERATED_BY).alias("generated_by"),
-            "total_components",
-            F.lit(float(threshold)).alias("confidence_threshold"),
-            "duplicate_item_numbers", "duplicate_bubble_numbers",
-            "ambiguous_bom_identifiers", "ambiguous_callout_identifiers",
+            F.lit(SCHEMA_VERSION).alias("schema_version"), F.current_timestamp().alias("generated_at"),
+            F.lit(GENERATED_BY).alias("generated_by"), at("total_components", "bigint", zero), limit,
+            *[listed(n, "string") for n in (
+                "duplicate_item_numbers", "duplicate_bubble_numbers", "ambiguous_bom_identifiers", "ambiguous_callout_identifiers")],
+            (F.lit(None) if status is None else status).cast("string").alias("pipeline_status"),
+            at("pipeline_errors", ERRORS),
+            *[at(n, kind) for n, kind in RUN_FIELDS.items()],
         ).alias("metadata"),
     )
 
@@ -118,30 +163,14 @@ def workspace_documents(
 def failed_workspaces(failures: DataFrame) -> DataFrame:
     """Empty, correctly shaped documents for failed inputs (K-06).
 
-    ``failures`` has ``doc_id, stage, message`` and optionally
-    ``original_filename``. The currency of a failed document is USD.
+    ``failures`` has ``doc_id, stage, message`` and optionally any of
+    ``RUN_FIELDS``. The currency of a failed document is USD. The schema is
+    that of :func:`workspace_documents`, so both go into one table.
     """
-    zero = F.lit(0).cast("bigint")
-    summary = F.struct(
-        *[zero.alias(n) for n in validate.summary_counts()],
-        F.lit(None).cast("double").alias("confidence_threshold"),
-    )
-    name = F.col("original_filename") if "original_filename" in failures.columns else F.lit(None).cast("string")
-    return failures.select(
-        "doc_id",
-        F.struct(summary.alias("summary"), F.array().cast("array<string>").alias("issues")).alias("validation"),
-        F.struct(
-            F.lit("USD").alias("currency"), F.lit(0.0).alias("estimated_total_cost_usd"),
-            zero.alias("items_with_price"), zero.alias("items_without_price"),
-        ).alias("procurement_summary"),
-        F.struct(
-            F.lit("failed").alias("pipeline_status"),
-            F.array(F.struct("stage", "message")).alias("pipeline_errors"),
-            F.lit(None).cast("string").alias("extraction_source"),
-            F.lit(False).alias("using_mock_vision_extraction"),
-            name.alias("original_filename"),
-        ).alias("metadata"),
-    )
+    noted = failures.withColumn("pipeline_errors", F.array(F.struct("stage", "message")))
+    rows = _filled_runs(noted).withColumn(
+        "using_mock_vision_extraction", F.coalesce("using_mock_vision_extraction", F.lit(False)))
+    return _nested_rows(rows, None, F.lit("failed"))
 
 
 def missing_results(documents: DataFrame, results: DataFrame, stage: str, message: str) -> DataFrame:

@@ -11,12 +11,31 @@ from draftweave.functions import scalars as sc
 
 
 def read_extractions(spark: SparkSession, path: str) -> DataFrame:
-    """Extraction documents, one JSON record per page (S-01)."""
-    return spark.read.schema(schemas.EXTRACTION).json(path)
+    """Extraction documents, one JSON record per page (S-01).
+
+    A record that can't be parsed keeps its text in ``_corrupt_record``;
+    :func:`broken_records` turns such rows into failures.
+    """
+    return with_file(spark.read.schema(schemas.EXTRACTION).json(path))
+
+
+def with_file(documents: DataFrame) -> DataFrame:
+    return documents.withColumn("file", F.col("_metadata.file_path"))
+
+
+def broken_records(documents: DataFrame) -> DataFrame:
+    """Records without a readable document: ``doc_id`` (the file's name and the record's hash), ``stage, message, original_filename``."""
+    broken = documents.filter(F.col("_corrupt_record").isNotNull() | F.col("doc_id").isNull())
+    text = F.coalesce("_corrupt_record", F.lit(""))
+    return broken.select(
+        F.concat(F.regexp_extract("file", "([^/]*)$", 1), F.lit("#"), F.hex(F.xxhash64(text))).alias("doc_id"),
+        F.lit("extraction").alias("stage"), F.lit("Malformed extraction record").alias("message"),
+        F.col("file").alias("original_filename"),
+    )
 
 
 def _page(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("page_id", F.coalesce("page_id", F.lit("page_001")))
+    return documents.filter("doc_id is not null").withColumn("page_id", F.coalesce("page_id", F.lit("page_001")))
 
 
 def _scalars(rows: DataFrame, names: list[str]) -> DataFrame:

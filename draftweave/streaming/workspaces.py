@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from draftweave import schemas
+from draftweave.functions import scalars as sc
 from draftweave.plans.workspace import build_workspace
+from draftweave.sinks import documents
 from draftweave.sources import extractions
 
 
@@ -21,25 +25,62 @@ def stream_workspaces(
     available_now: bool = False,
     files_per_batch: int = 1000,
 ) -> StreamingQuery:
-    """Each new extraction record becomes workspace rows (R-01).
+    """Workspaces of all documents that new records touch (R-01).
 
-    A record is a whole document, so no state crosses batches. Every batch
-    replaces its own ``batch_id`` folder, which makes a replayed batch harmless.
+    A record is one page. A batch lands its records first, a folder a batch;
+    then every document it touches is built anew from the newest record of each
+    of its pages, whenever they came. Broken records become failed workspaces.
+    :func:`current_workspaces` reads the newest workspace of each document. A
+    replayed batch replaces its own folders and changes nothing.
     """
-    arriving = (
-        spark.readStream.schema(schemas.EXTRACTION)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .json(in_dir)
+    arriving = extractions.with_file(
+        spark.readStream.schema(schemas.EXTRACTION).option("maxFilesPerTrigger", files_per_batch).json(in_dir)
     )
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        ws = build_workspace(
-            extractions.bom_rows(batch), extractions.callout_rows(batch), catalog, threshold
-        )
+        session = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{out_dir}/landed/batch_id={batch_id}")
+        landed = session.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(f"{out_dir}/landed")
+        # A replay must not see batches that came after it the first time.
+        landed = landed.filter(F.col("batch_id") <= batch_id)
+        mine = landed.filter(F.col("batch_id") == batch_id)
+        touched = mine.select("doc_id").filter("doc_id is not null").distinct()
+        rows = newest_pages(landed.join(touched, "doc_id", "left_semi"))
+        ws = build_workspace(extractions.bom_rows(rows), extractions.callout_rows(rows), catalog, threshold)
         stored = ws.stored(f"{out_dir}/components/batch_id={batch_id}")
-        stored.documents.withColumn("metadata", F.col("metadata").dropFields("generated_at")).write.mode(
+        runs = rows.groupBy("doc_id").agg(
+            F.count(F.lit(1)).alias("pages_processed"),
+            *[F.min_by(F.when(F.col(n) != "", F.col(n)), F.when(F.col(n) != "", sc.place())).alias(n) for n in ("drawing_number", "revision")],
+            F.first("extraction_source", ignorenulls=True).alias("extraction_source"),
+        )
+        good = stored.documents_of(runs)
+        failed = documents.failed_workspaces(extractions.broken_records(mine))
+        good.unionByName(failed).withColumn("metadata", F.col("metadata").dropFields("generated_at")).write.mode(
             "overwrite"
         ).json(f"{out_dir}/workspaces/batch_id={batch_id}")
 
     writer = arriving.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def newest_pages(records: DataFrame) -> DataFrame:
+    """The newest record of each page; of one batch, the last file by name."""
+    page = F.coalesce("page_id", F.lit("page_001"))
+    order = W.partitionBy("doc_id", page).orderBy(F.desc("batch_id"), F.desc("file"), F.desc(F.xxhash64("drawing_number", "revision")))
+    return records.withColumns({"_n": F.row_number().over(order), "page_id": page}).filter("_n = 1").drop("_n")
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """Rows of the newest batch of each document; one pre-aggregated row a document and batch decides."""
+    last = rows.groupBy("doc_id").agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(last, ["doc_id", "batch_id"], "left_semi").drop("batch_id")
+
+
+def current_workspaces(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The newest workspace of each document of the stream."""
+    return _newest(spark.read.schema(f"{schemas.WORKSPACE}, batch_id bigint").json(f"{out_dir}/workspaces"))
+
+
+def current_components(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The components of the newest workspace of each document."""
+    return _newest(spark.read.parquet(f"{out_dir}/components"))

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from draftweave import build_workspace, reconcile
 from draftweave.functions import scalars as sc
+from draftweave.operators import inventory, views
 from draftweave.sinks import documents, exports
 from draftweave.sources import workspaces
+from draftweave.streaming.workspaces import current_components, current_workspaces, stream_workspaces
 from tests.conftest import rows
 
 BOM = ("doc_id long, bom_ord long, item_number string, part_number string, part_name string, "
@@ -141,3 +143,53 @@ def test_exports(spark, tmp_path):
     assert rows(sheet.filter("`Item Number` = '1'"), "Quantity") == [("6",)]
     issues = exports.issues_export(ws.components)
     assert issues.filter("Message = 'No issues.'").count() == 5
+
+
+def test_good_empty_and_failed_documents_share_a_schema(spark, tmp_path):
+    ws = build_workspace(bom(spark, [item("1"), item("1"), item("Item 3-4")]), calls(spark, [("1", 0.9), ("A/B", 0.5)]))
+    runs = spark.createDataFrame([(1, "a.pdf", 2), (5, "b.pdf", 1)], "doc_id long, original_filename string, pages_processed long")
+    failed = spark.createDataFrame([(9, "processing", "no pages")], "doc_id long, stage string, message string")
+    both = ws.documents_of(runs).unionByName(documents.failed_workspaces(failed))
+    documents.write_workspace(both.withColumn("doc_id", F.col("doc_id").cast("string")), str(tmp_path / "w"))
+    got = {r["doc_id"]: r for r in workspaces.read_workspace(spark, str(tmp_path / "w")).collect()}
+    assert [got[d]["metadata"]["pipeline_status"] for d in ("1", "5", "9")] == ["ok", "partial", "failed"]
+    assert [len(got[d]["components"]) for d in ("1", "5", "9")] == [4, 0, 0]
+    assert got["5"]["metadata"]["pipeline_errors"][0]["message"] == "No BOM items or callouts were extracted"
+    assert (got["1"]["metadata"]["original_filename"], got["1"]["metadata"]["pages_processed"]) == ("a.pdf", 2)
+    assert got["1"]["metadata"]["ambiguous_bom_identifiers"] == ["Item 3-4"] and got["1"]["metadata"]["ambiguous_callout_identifiers"] == ["A/B"]
+    assert got["1"]["procurement_summary"]["mock_data"] and got["9"]["procurement_summary"]["currency"] == "USD"
+    assert got["1"]["metadata"]["generated_at"] is not None
+
+
+def test_points_meet_boxes_of_their_page(spark):
+    box = lambda *xs: tuple(map(float, xs))
+    given = [(1, "p1", "a", "1", box(0, 0, 450, 120)), (1, "p2", "b", "2", box(0, 0, 450, 120)), (1, None, "c", "3", box(-50, 0, 1200, 1000)), (1, "p1", "d", "4", None)]
+    parts = spark.createDataFrame(given, "doc_id long, page_id string, component_id string, item_number string, bounding_box struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+    clicks = spark.createDataFrame([(1, "p1", 0, 450.0, 120.0), (1, "p2", 1, 10.0, 130.0), (1, None, 2, 1100.0, 5.0), (2, "p1", 3, 1.0, 1.0)], "doc_id long, page_id string, click int, x double, y double")
+    assert rows(views.parts_at(parts, clicks), "click", "component_id") == [(0, "a"), (2, "c")]
+    assert rows(views.parts_at(parts, clicks.drop("page_id")), "click", "component_id") == [(0, "a"), (0, "b"), (0, "c"), (1, "c"), (2, "c")]
+
+
+def test_broken_records_and_late_pages_of_a_stream(spark, tmp_path):
+    arriving, out = tmp_path / "in", str(tmp_path / "out")
+    arriving.mkdir()
+    page = '{"doc_id":"d","page_id":"%s","bom_items":[%s],"callouts":[%s]}'
+    item_, bubble = '{"item_number":"3"}', '{"bubble_number":3,"bubble_bbox":{"xmin":1,"ymin":2,"xmax":3,"ymax":4}}'
+    steps = [page % ("page_001", item_, "") + "\n{broken", page % ("page_002", "", bubble), page % ("page_002", "", "")]
+    seen = []
+    for n, text in enumerate(steps):
+        (arriving / f"{n}.json").write_text(text)
+        stream_workspaces(spark, str(arriving), out, str(tmp_path / "at"), available_now=True).awaitTermination()
+        seen.append(rows(current_components(spark, out), "doc_id", "link_status"))
+    assert seen == [[("d", "bom_only")], [("d", "matched")], [("d", "bom_only")]]
+    now = {r["doc_id"]: r["metadata"] for r in current_workspaces(spark, out).collect()}
+    assert now["d"]["pages_processed"] == 2 and len(now) == 2
+    broken = next(m for d, m in now.items() if d != "d")
+    assert broken["pipeline_status"] == "failed" and broken["pipeline_errors"][0]["message"] == "Malformed extraction record"
+
+
+def test_pages_without_a_size_are_reported(spark):
+    seen = spark.createDataFrame([(1, "page_002"), (1, "front"), (1, "page_001")], "doc_id long, page_id string")
+    pages = spark.createDataFrame([(1, "page_001", 10, 10), (1, "page_002", None, 10)], "doc_id long, page_id string, width int, height int")
+    found = inventory.page_errors(inventory.unsized_pages(pages, seen, seen))
+    assert rows(found, "code", "message") == [("PAGE_SIZE_MISSING", "front: page size is missing"), ("PAGE_SIZE_MISSING", "page_002: page size is missing")]
