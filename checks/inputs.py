@@ -21,7 +21,7 @@ SHARED = [
 ]
 
 BY_LINE = "(l_linenumber * 1000000000000000000 + l_partkey * 100000000 + l_suppkey)"
-BY_PAGE_LINE = "(((l_orderkey % 64) * 10 + l_linenumber) * 10000000000000000 + l_partkey * 10000000 + l_suppkey)"
+BY_PAGE_LINE = "(((l_orderkey % 64) * 10 + l_linenumber) * 10000000000000000 + l_partkey * 1000000000 + l_suppkey * 100 + cast(l_quantity as bigint))"
 BY_SUPPLIER = "(l_suppkey * 10000000000000 + l_linenumber * 1000000000000 + l_partkey)"
 PAGE_OF_LINE = """cast(floor(l_orderkey / 64) as bigint) as doc_id,
        concat('page_00', cast(cast(floor(l_orderkey / 16) as bigint) % 4 + 1 as STR)) as page_id"""

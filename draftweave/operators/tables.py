@@ -64,6 +64,16 @@ def row_of_centre(words: DataFrame) -> DataFrame:
         "run", F.sum("_break").over(page.rowsBetween(W.unboundedPreceding, 0))
     )
     listed = runs.groupBy(*IMAGE, "run").agg(F.array_sort(F.collect_list(F.struct("centre", "n"))).alias("xs"))
+    # A run no taller than the tolerance is one row: the mean stays within it.
+    height = F.element_at("xs", -1)["centre"] - F.get("xs", F.lit(0))["centre"]
+    one_row = F.transform("xs", lambda x: F.struct(x["centre"].alias("centre"), F.lit(0).alias("row")))
+    folded = listed.select(*IMAGE, "run", F.inline(F.when(height <= ROW_TOLERANCE, one_row).otherwise(_folded_rows())))
+    number = F.dense_rank().over(W.partitionBy(*IMAGE).orderBy("run", "row"))
+    return folded.select(*IMAGE, "centre", number.alias("row_no"))
+
+
+def _folded_rows() -> Column:
+    """Row of each centre of a run ``xs``, from 0, by the running mean."""
     start = F.struct(
         F.lit(0.0).alias("total"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("row"),
         F.filter(F.transform("xs", lambda x: F.struct(x["centre"].alias("centre"), F.lit(0).alias("row"))), lambda x: F.lit(False)).alias("out"),
@@ -80,22 +90,46 @@ def row_of_centre(words: DataFrame) -> DataFrame:
             F.concat(acc["out"], F.array(F.struct(x["centre"].alias("centre"), row.alias("row")))).alias("out"),
         )
 
-    # A run no taller than the tolerance is one row: the mean stays within it.
-    height = F.element_at("xs", -1)["centre"] - F.get("xs", F.lit(0))["centre"]
-    one_row = F.transform("xs", lambda x: F.struct(x["centre"].alias("centre"), F.lit(0).alias("row")))
-    folded = listed.select(
-        *IMAGE, "run",
-        F.inline(F.when(height <= ROW_TOLERANCE, one_row).otherwise(
-            F.aggregate("xs", start, add, lambda acc: acc["out"])
-        )),
-    )
-    number = F.dense_rank().over(W.partitionBy(*IMAGE).orderBy("run", "row"))
-    return folded.select(*IMAGE, "centre", number.alias("row_no"))
+    return F.aggregate("xs", start, add, lambda acc: acc["out"])
 
 
 READING = ["left", "centre", "word_ord"]
 
 
+def placed_words(words: DataFrame) -> DataFrame:
+    """Words with the row they stand in, on one exchange by image (W-06).
+
+    The same rows as :func:`row_of_centre`, without a join on the centre. A
+    word within the tolerance of the first centre of its run is in the run's
+    first row; only runs taller than that are folded, and an image's tall runs
+    come back to its words as one map from centre to row.
+    """
+    image = W.partitionBy(*IMAGE).orderBy("centre")
+    upto = image.rowsBetween(W.unboundedPreceding, 0)
+    # Every window, join and aggregation from here on keeps this exchange.
+    words = words.withColumn("centre", F.col("top") + F.col("height") / 2).repartition(*IMAGE)
+    step = F.col("centre") - F.lag("centre").over(image)
+    starts = words.withColumn("_start", F.coalesce(step > ROW_TOLERANCE, F.lit(True)))
+    runs = starts.withColumns({
+        "_run": F.sum(F.col("_start").cast("int")).over(upto),
+        "_from": F.last(F.when(F.col("_start"), F.col("centre")), ignorenulls=True).over(upto),
+    })
+    counted = runs.groupBy(*IMAGE, "_run", "centre").agg(F.count(F.lit(1)).alias("n"), F.min("_from").alias("_from"))
+    tall = counted.groupBy(*IMAGE, "_run").agg(
+        F.array_sort(F.collect_list(F.struct("centre", "n"))).alias("xs"), (F.max("centre") - F.min("_from")).alias("height")
+    ).filter(F.col("height") > ROW_TOLERANCE)
+    maps = tall.groupBy(*IMAGE).agg(F.map_from_entries(F.flatten(F.collect_list(_folded_rows()))).alias("_rows"))
+    rows = runs.join(maps, IMAGE, "left").withColumn(
+        "_row", F.when(F.col("centre") - F.col("_from") <= ROW_TOLERANCE, 0).otherwise(F.col("_rows")[F.col("centre")])
+    )
+    new = F.struct("_run", "_row") != F.lag(F.struct("_run", "_row")).over(image)
+    return (
+        rows.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int"))
+        .withColumn("row_no", F.sum("_new").over(upto).cast("int"))
+        .drop("_start", "_run", "_from", "_rows", "_row", "_new")
+    )
+
+
 def text_rows(words: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Words with their row, ready for a window along the row.
 
@@ -104,20 +138,18 @@ def text_rows(words: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     is then negative. Their texts are joined in reading order, and
     ``right_last`` is the edge the next gap is measured from.
     """
-    placed = words.withColumn("centre", F.col("top") + F.col("height") / 2)
-    rows = skew.lookup(placed, row_of_centre(words), [*IMAGE, "centre"], hot, "inner", IMAGE)
     right = F.col("left") + F.col("width")
     bottom = F.col("top") + F.col("height")
-    single = skew.cold_part(rows, hot, IMAGE).select(
+    single = placed_words(skew.cold_part(words, hot, IMAGE)).select(
         *IMAGE, "row_no", *READING, F.array("text").alias("texts"), right.alias("right_last"),
         "top", right.alias("right"), bottom.alias("bottom"),
     )
-    # One exchange by image serves every window, join and aggregation from here on.
-    single = single.repartition(*IMAGE)
     if hot is None:
         return single
+    large = skew.hot_part(words, hot, IMAGE).withColumn("centre", F.col("top") + F.col("height") / 2)
+    rows = skew.lookup(large, row_of_centre(large), [*IMAGE, "centre"], hot, "inner", IMAGE)
     order = F.struct("centre", "word_ord")
-    merged = skew.hot_part(rows, hot, IMAGE).groupBy(*IMAGE, "row_no", "left").agg(
+    merged = rows.groupBy(*IMAGE, "row_no", "left").agg(
         F.min("centre").alias("centre"), F.min("word_ord").alias("word_ord"),
         F.transform(
             F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("text").alias("t")))), lambda x: x["t"]
@@ -154,13 +186,30 @@ def gap_threshold(gapped: DataFrame) -> DataFrame:
     return best.select(*IMAGE, F.when(usable, F.col("b.middle")).otherwise(DEFAULT_GAP).alias("threshold"))
 
 
+def with_threshold(gapped: DataFrame) -> DataFrame:
+    """The threshold of :func:`gap_threshold` on every row of its image, by windows instead of a join."""
+    wide = F.col("gap") > 0
+    nxt = F.lead("gap").over(W.partitionBy(*IMAGE, "_wide").orderBy("gap"))
+    ratio = nxt / F.greatest(F.col("gap").cast("double"), F.lit(1.0))
+    step = F.when(F.col("_wide"), F.struct(
+        F.coalesce("_ratio", F.lit(0.0)).alias("r"), (-F.col("gap")).alias("g"), F.col("_ratio").alias("ratio"), "_middle"))
+    image = W.partitionBy(*IMAGE)
+    found = (
+        gapped.withColumn("_wide", F.coalesce(wide, F.lit(False)))
+        .withColumns({"_ratio": ratio, "_middle": (F.col("gap") + nxt) / 2.0})
+        .withColumns({"_best": F.max(step).over(image), "_n": F.count_if("_wide").over(image)})
+    )
+    usable = (F.col("_n") >= GAP_SAMPLE) & F.coalesce(F.col("_best.ratio") >= GAP_RATIO, F.lit(False))
+    limit = F.when(usable, F.col("_best._middle")).otherwise(DEFAULT_GAP)
+    return found.withColumn("threshold", limit).drop("_wide", "_ratio", "_middle", "_best", "_n")
+
+
 def cells(words: DataFrame, hot: DataFrame | None | bool = True) -> DataFrame:
     """Cells of every row with text and box (W-05, A-16, X-18)."""
     if hot is True:
         hot = skew.hot_groups(words, IMAGE)
     gapped = word_gaps(text_rows(real_words(words), hot))
-    limits = gap_threshold(gapped)
-    joined = skew.lookup(gapped, limits, IMAGE, hot)
+    joined = with_threshold(gapped) if hot is None else skew.lookup(gapped, gap_threshold(gapped), IMAGE, hot)
     starts = F.when(F.col("gap") > F.coalesce("threshold", F.lit(DEFAULT_GAP)), 1).otherwise(0)
     line = W.partitionBy(*IMAGE, "row_no").orderBy(*READING).rowsBetween(W.unboundedPreceding, 0)
     numbered = joined.withColumn("cell_no", F.sum(starts).over(line).cast("int"))
