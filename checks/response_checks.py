@@ -9,6 +9,7 @@ from draftweave.functions import scalars as sc
 from draftweave.operators import candidates as cand
 from draftweave.operators import dedupe, diff, inventory, responses, tables, verification
 from draftweave.sources import extractions
+from draftweave.sources.files import document_inventory
 from draftweave.streaming.workspaces import current_components, stream_workspaces
 
 KEY = "doc_id, page_id, tile"
@@ -356,6 +357,35 @@ def _(t):
     return inventory.file_checks(files(t)).select("path", "length", "file_type", "document_id")
 
 
+def _written(folder):
+    """Task that writes each row's content under its name."""
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            store, place = fs.FileSystem.from_uri(folder)
+            store.create_dir(place, recursive=True)
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_output_stream(f"{place}/{name}") as out:
+                    out.write(content)
+            yield batch.slice(0, 0)
+    return run
+
+
+@check("s03b_read_files", """select f.doc_id, case when f.length = 0 then 0 else length(f.header_hex) // 2 + strlen(html) end as length,
+    case when f.length = 0 then '' else substr(f.header_hex || hex(encode(substr(html, 1, 8))), 1, 16) end as header, c.error is null as valid
+    from @files f join @pages on page_id = f.doc_id join @checked_files c on c.doc_id = f.doc_id where f.length is not null""")
+def _(t):
+    named = t.files.filter("length is not null").join(t.shared("pages"), F.col("doc_id") == F.col("page_id"))
+    content = F.when(F.col("length") == 0, F.lit(b"")).otherwise(F.concat(F.unhex("header_hex"), F.col("html").cast("binary")))
+    folder = f"file:{t.scratch}/drawings" if t.scratch.startswith("/") else f"{t.scratch}/drawings"
+    named.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), content.alias("content")).mapInArrow(
+        _written(folder), "name string, content binary").write.format("noop").mode("overwrite").save()
+    found = document_inventory(t.spark, folder)
+    number = F.regexp_extract("path", r"/([0-9]+)[^/]*$", 1).cast("bigint")
+    return found.select(number.alias("doc_id"), "length", F.hex("header").alias("header"), "valid")
+
+
 @check("f12_allowed_upload", f"""select doc_id, path, ext in ('.pdf', '.png', '.jpg', '.jpeg') as allowed, case when ext not in ('.pdf', '.png', '.jpg', '.jpeg')
     then 'Unsupported file type ''' || coalesce(nullif(ext, ''), '(none)') || '''. Allowed: .jpeg, .jpg, .pdf, .png' end as detail from (select *, {_EXT} as ext from @files)""")
 def _(t):

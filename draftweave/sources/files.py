@@ -2,19 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fnmatch import fnmatch
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from draftweave.operators import inventory
 
+HEADER_BYTES = 8
+SCHEMA = "path string, length long, header binary"
+
+
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First bytes of each listed file; the rest of it is never read."""
+    for batch in batches:
+        found = []
+        for path in batch.column(batch.schema.get_field_index("path")).to_pylist():
+            store, name = fs.FileSystem.from_uri(path)
+            with store.open_input_file(name) as source:
+                found.append(source.read(HEADER_BYTES))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "header"])
+
+
+def _empty_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """Files of no bytes, which Spark's readers pass over; listed as a reader lists its files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    found, entries = [], top.getFileSystem(conf).listFiles(top, True)
+    while entries.hasNext():
+        entry = entries.next()
+        if entry.getLen() == 0 and fnmatch(entry.getPath().getName(), pattern) and not entry.getPath().getName().startswith(("_", ".")):
+            found.append((entry.getPath().toString(), 0, b""))
+    return spark.createDataFrame(found, SCHEMA)
+
 
 def read_drawing_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, size and first bytes of every file under ``path`` (S-03)."""
-    files = (
+    """Path, size and first bytes of every file under ``path`` (S-03).
+
+    The listing carries no contents; each file is opened for its first bytes
+    alone, so its size doesn't matter. The file system has to be one that Arrow
+    opens.
+    """
+    filled = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern).load(path)
+        .option("pathGlobFilter", pattern).load(path).select("path", "length")
     )
-    return files.select("path", "length", F.substring("content", 1, 8).alias("header"))
+    return filled.mapInArrow(_headers, SCHEMA).unionByName(_empty_files(spark, path, pattern))
 
 
 def document_inventory(spark: SparkSession, path: str) -> DataFrame:
