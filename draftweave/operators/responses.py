@@ -321,7 +321,10 @@ def tiled_callouts(responses: DataFrame, tiles: DataFrame, iou: float = 0.5, thr
     geometry = tiles.select(
         *on, "row", "col", (F.col("x1") - F.col("x0")).alias("tile_w"), (F.col("y1") - F.col("y0")).alias("tile_h"),
     )
-    parsed = parse_json_response(responses).join(geometry, on)
+    parsed = parse_json_response(responses).join(geometry.withColumn("_known", F.lit(True)), on, "left")
+    unknown = parsed.filter("_known is null").select(
+        *on, F.concat(F.lit("Response for unknown tile "), F.coalesce("tile", F.lit("(none)")), F.lit(" was not used")).alias("warning"))
+    parsed = parsed.filter("_known").drop("_known")
     checked = validate_callouts(list_items(parsed, "callouts"), threshold, "tile_w", "tile_h")
     # Reading order of tiles, then index: the order callouts entered the page list.
     numbered = checked.filter("valid").withColumn(
@@ -343,7 +346,7 @@ def tiled_callouts(responses: DataFrame, tiles: DataFrame, iou: float = 0.5, thr
     rows = checked.select(*on, F.explode("warnings").alias("w")).select(
         *on, F.concat("tile", F.lit(": "), "w").alias("warning")
     )
-    return kept, failed.unionByName(not_lists).unionByName(rows)
+    return kept, unknown.unionByName(failed).unionByName(not_lists).unionByName(rows)
 
 
 # --- classification ------------------------------------------------------------------

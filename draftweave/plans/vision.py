@@ -32,6 +32,16 @@ class Extraction:
         return build_workspace(self.bom, self.callouts, catalog, threshold)
 
 
+def _step_warnings(step: int, sent: DataFrame, checked: DataFrame, field: str, label: str, failure: str) -> DataFrame:
+    """Responses that can't be read, fields that are no list, and rows that were skipped or changed."""
+    at = ["doc_id", "page_id", F.lit(step).alias("step"), "tile"]
+    whole = [F.lit(-1).alias("index"), F.lit(0).alias("i")]
+    unread = sent.filter("parse_error is not null").select(*at, *whole, F.concat(F.lit(failure), "parse_error").alias("warning"))
+    no_list = responses.reject_non_list(sent, field, label).select(*at, *whole, "warning")
+    rows = checked.select(*at, "index", F.posexplode("warnings").alias("i", "warning"))
+    return unread.unionByName(no_list).unionByName(rows)
+
+
 def extractions_from_responses(
     raw: DataFrame,
     pages: DataFrame,
@@ -41,7 +51,10 @@ def extractions_from_responses(
     """BOM and callout rows of every page (stages ``bom`` and ``callouts``).
 
     Callouts found on a drawing region are moved to the page. ``verdicts`` are
-    raw verification responses keyed by ``doc_id, page_id, call_ord``.
+    raw verification responses, each for the callout at ``index`` of the
+    response ``doc_id, page_id, tile``. ``warnings`` has a row for everything
+    that was skipped, changed or could not be read, placed by ``step`` (0 BOM,
+    1 callouts, 2 verification), ``tile``, ``index`` and ``i``.
     """
     parsed = responses.parse_json_response(raw)
     in_order = sc.place("tile", F.col("index").cast("bigint"))
@@ -54,12 +67,15 @@ def extractions_from_responses(
         responses.list_items(call_sent, "callouts"), threshold, "width", "height"
     )
     callouts = call_checked.filter("valid").withColumn("call_ord", in_order).drop("width", "height")
-    warnings = bom_checked.select("doc_id", "page_id", F.lit(0).alias("step"), "index", F.posexplode("warnings").alias("i", "warning")).unionByName(
-        call_checked.select("doc_id", "page_id", F.lit(1).alias("step"), "index", F.posexplode("warnings").alias("i", "warning"))
+    warnings = _step_warnings(0, bom_sent, bom_checked, "bom_items", "BOM", "BOM extraction failed: ").unionByName(
+        _step_warnings(1, call_sent, call_checked, "callouts", "Callout", "Callout detection failed: ")
     )
     if verdicts is not None:
-        judged = verification.apply_verification(callouts, verification.parse_verifications(verdicts))
+        said = verdicts.withColumn("call_ord", in_order).drop("tile", "index")
+        judged = verification.apply_verification(callouts, verification.parse_verifications(said))
         callouts = judged.filter("kept").drop("kept", "warning")
+        warnings = warnings.unionByName(judged.filter("warning is not null").select(
+            "doc_id", "page_id", F.lit(2).alias("step"), "tile", "index", F.lit(0).alias("i"), "warning"))
     callouts = dedupe.crop_to_page(callouts, dedupe.page_crops(pages), ["doc_id", "page_id"])
     described = bom_sent.select(
         "doc_id", sc.place()["page_number"].alias("page_number"),
