@@ -27,7 +27,7 @@ from draftweave.llm.tokens import Places
 from draftweave.llm.words import shards, text_bytes
 
 #: Distinct pre-tokens that a worker keeps.
-CACHED = 600_000
+CACHED = 300_000
 
 MARK = "▁"
 

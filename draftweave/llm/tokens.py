@@ -20,8 +20,9 @@ from pyspark.sql import SparkSession
 
 from draftweave.llm.words import shards, text_bytes
 
-#: Distinct pre-tokens that a worker keeps.
-CACHED = 600_000
+#: Distinct pre-tokens that a worker keeps, and those it encodes at a time.
+SLICE = 10_000
+CACHED = 300_000
 
 #: The vocabulary's pre-tokenizer pattern, its Unicode classes spelt out for lowered Latin-1 (fixed values).
 _LETTERS, _NUMBERS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
@@ -80,8 +81,10 @@ class Encoder:
 
     def _learn(self) -> None:
         """Encode the keys asked for since the last call."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(self.places.new, add_special_tokens=False)]
-        self.places.new.clear()
+        new, found = self.places.new, []
+        for at in range(0, len(new), SLICE):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + SLICE], add_special_tokens=False)]
+        new.clear()
         self.bounds = np.concatenate([self.bounds, np.cumsum([len(x) for x in found]) + len(self.flat)])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32)])
 

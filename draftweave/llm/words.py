@@ -66,7 +66,7 @@ class Words:
 
     def fingerprints(self) -> np.ndarray:
         n = len(self.low)
-        up, down = _powers(1 << max(22, int(n).bit_length()))
+        up, down = _powers(1 << max(21, int(n).bit_length()))
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_BYTES[self.low] * up[:n], out=sums[1:])
         return mixed((sums[self.ends] - sums[self.starts]) * down[self.starts])
@@ -85,7 +85,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def shards(batches: Iterator[pa.RecordBatch], text: str, most: int = (4 << 20) - 1) -> Iterator[pa.RecordBatch]:
+def shards(batches: Iterator[pa.RecordBatch], text: str, most: int = (2 << 20) - 1) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold at most ``most`` bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
@@ -96,3 +96,5 @@ def shards(batches: Iterator[pa.RecordBatch], text: str, most: int = (4 << 20) -
             end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+    # A worker lives on for other tasks; what Arrow holds in reserve it gives back.
+    pa.default_memory_pool().release_unused()
