@@ -340,7 +340,7 @@ FRAGMENTS["vector_rows"] = f"""
 FIELDS = "item_no, description, qty, material, part_number"
 
 
-@check("f04_drop_blank_rows", f"select {IMAGE}, row_ord, {FIELDS} from @read_rows")
+@check("f04_drop_blank_rows", f"select {IMAGE}, row_ord, {FIELDS} from @read_rows", bench=True)
 def _(t):
     return tables.rows_from_words(words(t), t.digits)
 
@@ -393,7 +393,7 @@ FRAGMENTS["best_source"] = f"""
     select *, min(source_ord) over (partition by {PAGE}, source_kind) as first_ord, min(source_kind) over (partition by {PAGE}) as first_kind from @sources"""
 
 
-@check("w12_source_fallback", f"select {PAGE}, source_kind, source_ord, row_ord, {FIELDS} from @best_source where source_kind = first_kind and source_ord = first_ord")
+@check("w12_source_fallback", f"select {PAGE}, source_kind, source_ord, row_ord, {FIELDS} from @best_source where source_kind = first_kind and source_ord = first_ord", bench=True)
 def _(t):
     return tables.extract_bom(words(t), regions(t), t.cell_tables, t.digits)
 

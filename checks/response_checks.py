@@ -96,7 +96,7 @@ def _joined(frame):
     return frame.withColumn("warnings", F.array_join("warnings", " / "))
 
 
-@check("g02_validate_bom_items", f"select {BOM_COLUMNS} from @bom_checked")
+@check("g02_validate_bom_items", f"select {BOM_COLUMNS} from @bom_checked", bench=True)
 def _(t):
     return _joined(bom_checked(t)).select("doc_id", "page_id", "tile", "index", "valid", "item_number", "quantity", "material_specification", "confidence_score", "warnings")
 
@@ -170,7 +170,7 @@ def call_checked(t):
 
 
 @check("g03_validate_callouts", f"""select {KEY}, index, valid, number as bubble_number, case when valid then x0 end as xmin, case when valid then y1 end as ymax, conf as confidence_score,
-    case when valid then leader_status end as leader_line_status, case when valid and leader_status = 'clear' then ex end as end_x, {CALL_WARNINGS} as warnings from @call_final""")
+    case when valid then leader_status end as leader_line_status, case when valid and leader_status = 'clear' then ex end as end_x, {CALL_WARNINGS} as warnings from @call_final""", bench=True)
 def _(t):
     return _joined(call_checked(t)).select(
         "doc_id", "page_id", "tile", "index", "valid", "bubble_number", F.col("bubble_bbox.xmin").alias("xmin"), F.col("bubble_bbox.ymax").alias("ymax"),
@@ -248,7 +248,7 @@ FRAGMENTS["tile_kept"] = f"""
       where a.doc_id = b.doc_id and a.page_id = b.page_id and a.bubble_number = b.bubble_number and b.rk < a.rk and ({iou_sql('b.', 'a.')}) >= 0.5)"""
 
 
-@check("e05_tiled_callouts", f"select {PAGE}, bubble_number, call_ord, confidence_score, xmin, ymax from @tile_kept")
+@check("e05_tiled_callouts", f"select {PAGE}, bubble_number, call_ord, confidence_score, xmin, ymax from @tile_kept", bench=True)
 def _(t):
     kept, _ = tile_callouts(t)
     at = F.col("call_ord")
