@@ -46,6 +46,15 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+def fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of byte spans."""
+    n = len(data)
+    up, down = _powers(1 << max(20, int(n).bit_length()))
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[data] * up[:n], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts])
+
+
 class Words:
     """Words of a batch: byte spans, the number of words of each text, fingerprints."""
 
@@ -65,11 +74,7 @@ class Words:
         self.counts = np.diff(self.first_word)
 
     def fingerprints(self) -> np.ndarray:
-        n = len(self.low)
-        up, down = _powers(1 << max(21, int(n).bit_length()))
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTES[self.low] * up[:n], out=sums[1:])
-        return mixed((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        return fingerprints(self.low, self.starts, self.ends)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
