@@ -257,6 +257,14 @@ def _(t):
 
 
 @check("e05b_tile_warnings", f"select {KEY}, 'Callout detection failed on ' || tile || ': ' || parse_error as warning from @tile_parsed where parse_error is not null")
+def _(t):
+    return tile_callouts(t)[1].filter("tile is not null")
+
+
+@check("e05c_all_tile_warnings", f"""select {KEY}, 'Callout detection failed on ' || tile || ': ' || parse_error as warning from @tile_parsed where parse_error is not null
+    union all select a.doc_id, a.page_id, null::varchar, 'Deduplicated overlapping callout bubble ''' || a.bubble_number || ''': kept confidence=' || printf('%.2f', b.confidence_score)
+      || ', dropped confidence=' || printf('%.2f', a.confidence_score) || ' (IoU>=0.5)'
+    from @tile_ranked a join @tile_kept b on a.doc_id = b.doc_id and a.page_id = b.page_id and a.bubble_number = b.bubble_number and b.rk < a.rk and ({iou_sql('b.', 'a.')}) >= 0.5""")
 def _(t):
     return tile_callouts(t)[1]
 

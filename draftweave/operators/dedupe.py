@@ -157,27 +157,17 @@ def _decided(callouts: DataFrame, iou: float) -> DataFrame:
     return decided.unionByName(empty)
 
 
-def dedupe_callouts(callouts: DataFrame, iou: float = 0.5) -> DataFrame:
-    """Callouts kept when same-numbered boxes overlap strongly (W-10).
-
-    Adds ``reading_order``, the position by top edge, left edge and number
-    within the page (O-02).
-    """
-    kept = _decided(callouts, iou).filter(F.col("keeper").isNull()).select("id.*")
+def _kept(decided: DataFrame, callouts: DataFrame) -> DataFrame:
+    kept = decided.filter(F.col("keeper").isNull()).select("id.*")
     box = F.col("bubble_bbox")
     hot = skew.hot_groups(callouts, ["doc_id", "page_id"])
     order = [box["ymin"], box["xmin"], F.col("bubble_number"), -F.col("confidence_score"), F.col("call_ord")]
     return skew.ranked(kept, ["doc_id", "page_id"], order, "reading_order", hot)
 
 
-def overlap_pairs(callouts: DataFrame, iou: float = 0.5) -> DataFrame:
-    """Each dropped callout with the kept one it repeats (J-09).
-
-    One row per dropped callout, never the square of a pile of copies.
-    """
-    pairs = _decided(callouts, iou).filter(F.col("keeper").isNotNull())
+def _pairs(decided: DataFrame, iou: float) -> DataFrame:
     kept, gone = F.col("keeper.id"), F.col("id")
-    return pairs.select(
+    return decided.filter(F.col("keeper").isNotNull()).select(
         *GROUP,
         kept["call_ord"].alias("kept_ord"), gone["call_ord"].alias("dropped_ord"),
         geo.bbox_iou(F.col("keeper.shape"), F.col("shape")).alias("iou"),
@@ -188,3 +178,26 @@ def overlap_pairs(callouts: DataFrame, iou: float = 0.5) -> DataFrame:
             F.lit(f" (IoU>={iou})"),
         ).alias("warning"),
     )
+
+
+def dedupe_callouts(callouts: DataFrame, iou: float = 0.5) -> DataFrame:
+    """Callouts kept when same-numbered boxes overlap strongly (W-10).
+
+    Adds ``reading_order``, the position by top edge, left edge and number
+    within the page (O-02).
+    """
+    return _kept(_decided(callouts, iou), callouts)
+
+
+def overlap_pairs(callouts: DataFrame, iou: float = 0.5) -> DataFrame:
+    """Each dropped callout with the kept one it repeats (J-09).
+
+    One row per dropped callout, never the square of a pile of copies.
+    """
+    return _pairs(_decided(callouts, iou), iou)
+
+
+def kept_and_pairs(callouts: DataFrame, iou: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """:func:`dedupe_callouts` and :func:`overlap_pairs` of one decision."""
+    decided = _decided(callouts, iou)
+    return _kept(decided, callouts), _pairs(decided, iou)

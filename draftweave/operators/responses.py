@@ -315,7 +315,8 @@ def tiled_callouts(responses: DataFrame, tiles: DataFrame, iou: float = 0.5, thr
     """Callouts of tiled pages on the page scale, and tile-prefixed warnings (E-05).
 
     Each tile is parsed and checked against its own size, moved to the page and
-    deduplicated across tiles. A failed tile only warns.
+    deduplicated across tiles. A failed tile only warns. Each callout dropped as
+    a repeat warns for its page, with a null ``tile``.
     """
     on = ["doc_id", "page_id", "tile"]
     geometry = tiles.select(
@@ -331,7 +332,7 @@ def tiled_callouts(responses: DataFrame, tiles: DataFrame, iou: float = 0.5, thr
         "call_ord", F.struct(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("index").cast("bigint").alias("index"))
     )
     placed = dedupe.crop_to_page(numbered, dedupe.tile_crops(tiles), on)
-    kept = dedupe.dedupe_callouts(
+    kept, pairs = dedupe.kept_and_pairs(
         placed.select(
             "doc_id", "page_id", "call_ord", "bubble_number", "location_description",
             "bubble_bbox", "confidence_score", "leader_endpoint", "leader_line_status",
@@ -346,7 +347,8 @@ def tiled_callouts(responses: DataFrame, tiles: DataFrame, iou: float = 0.5, thr
     rows = checked.select(*on, F.explode("warnings").alias("w")).select(
         *on, F.concat("tile", F.lit(": "), "w").alias("warning")
     )
-    return kept, unknown.unionByName(failed).unionByName(not_lists).unionByName(rows)
+    repeats = pairs.select("doc_id", "page_id", F.lit(None).cast("string").alias("tile"), "warning")
+    return kept, unknown.unionByName(failed).unionByName(not_lists).unionByName(rows).unionByName(repeats)
 
 
 # --- classification ------------------------------------------------------------------

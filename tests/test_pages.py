@@ -236,3 +236,18 @@ def test_verdicts(spark):
 def test_missing_coordinates_stay_missing(spark):
     frame = spark.createDataFrame([(None,)], "x double")
     assert frame.select(geo.clamp(F.col("x"))).first()[0] is None
+
+
+def test_tiled_callouts_warn_of_repeats(spark):
+    page = spark.createDataFrame([(1, "p", 1000, 1000)], "doc_id long, page_id string, width int, height int")
+    found = '{"callouts":[{"bubble_number":"3","bubble_bbox":{"xmin":%d,"ymin":400,"xmax":%d,"ymax":450},"confidence_score":%s}]}'
+    sent = [(1, "p", "tile[r0c0]", found % (900, 950, "0.90")), (1, "p", "tile[r0c1]", found % (10, 60, "0.95")), (1, "p", "tile[r1c0]", "sorry"),
+            (1, "p", "tile[r7c7]", found % (10, 60, "0.95"))]
+    responded = spark.createDataFrame(sent, "doc_id long, page_id string, tile string, response_text string")
+    kept, warnings = responses.tiled_callouts(responded, dedupe.tiles(page))
+    assert rows(kept, "bubble_number", "confidence_score") == [("3", 0.95)]
+    assert rows(warnings, "tile", "warning") == [
+        ("tile[r1c0]", "Callout detection failed on tile[r1c0]: Malformed JSON in vision model response"),
+        ("tile[r7c7]", "Response for unknown tile tile[r7c7] was not used"),
+        (None, "Deduplicated overlapping callout bubble '3': kept confidence=0.95, dropped confidence=0.90 (IoU>=0.5)"),
+    ]
