@@ -254,14 +254,15 @@ INPUTS = {
                  case when o_orderkey % 2 = 0 then ',{"bubble_bbox":{"xmin":1,"ymin":2,"xmax":3,"ymax":4},"confidence_score":0.99}' else '' end,
                  ']}') end as response_text
         from @orders""",
+    # four orders a tile; those after the first of a tile repeat across neighbouring tiles
     "tile_responses": """
         select {page_of_order}, concat('tile[r', cast(cast(floor((o_orderkey % 4) / 2) as int) as STR), 'c', cast(o_orderkey % 2 as STR), ']') as tile,
                case when o_orderkey % 31 = 0 then 'sorry' else
-               concat('{"callouts":[{"bubble_number":"', cast(o_custkey % 2 + 1 as STR), '","bubble_bbox":{"xmin":',
-                 cast(case o_orderkey % 2 when 0 then 900 else 50 end as STR), ',"ymin":400,"xmax":', cast(case o_orderkey % 2 when 0 then 950 else 100 end as STR),
-                 ',"ymax":450},"confidence_score":0.', cast(86 + o_custkey % 13 as STR), '},{"bubble_number":"9","bubble_bbox":{"xmin":100,"ymin":100,"xmax":200,"ymax":200},"confidence_score":0.9}]}')
+               concat('{"callouts":[{"bubble_number":"', cast(o_custkey % 2 + 1 + (o_orderkey % 16 - o_orderkey % 4) * 10 as STR), '","bubble_bbox":{"xmin":',
+                 cast(case when o_orderkey % 2 = 0 then 900 when o_orderkey % 16 < 4 then 50 else 13 end as STR), ',"ymin":400,"xmax":', cast(case when o_orderkey % 2 = 0 then 950 when o_orderkey % 16 < 4 then 100 else 63 end as STR),
+                 ',"ymax":450},"confidence_score":0.', cast(86 + o_custkey % 13 as STR), '},{"bubble_number":"', cast(9 + (o_orderkey % 16 - o_orderkey % 4) * 10 as STR), '","bubble_bbox":{"xmin":100,"ymin":100,"xmax":200,"ymax":200},"confidence_score":0.9}]}')
                end as response_text
-        from @orders where o_orderkey % 16 < 4""",
+        from @orders""",
     "crop_responses": """
         select {page_of_order},
                concat('page_00', cast(cast(floor(o_orderkey / 16) as bigint) % 4 + 1 as STR), '_c00',

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from checks.inputs import Inputs
 from draftweave.functions import geometry as geo
 from draftweave.functions import scalars as sc
 from draftweave.operators import candidates as cand
@@ -251,3 +252,8 @@ def test_tiled_callouts_warn_of_repeats(spark):
         ("tile[r7c7]", "Response for unknown tile tile[r7c7] was not used"),
         (None, "Deduplicated overlapping callout bubble '3': kept confidence=0.95, dropped confidence=0.90 (IoU>=0.5)"),
     ]
+
+
+def test_every_order_gives_a_tile_response(spark):
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    assert t.tile_responses.count() == t.shared("orders").count()
