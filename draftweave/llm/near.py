@@ -7,11 +7,12 @@ offer. Texts with bins still empty play further rounds, and in the last
 every coordinate is filled. Two sketches agree in a coordinate with a chance of
 their sets' similarity, with the concentration of independent hashing.
 
-``ROWS`` coordinates make a band. Texts that share a band are compared by
-their sketches first; whoever agrees in fewer than ``AGREE`` coordinates is no
-candidate. At the limit of 0.85 a link escapes all bands with a chance of
-2e-8, and the sketch comparison with about 1e-8. Candidates make clusters,
-and inside each cluster links are confirmed on the full shingle sets.
+A few coordinates make a band. Texts that share a band are compared by
+their sketches first; whoever agrees in too few coordinates is no candidate.
+Both counts follow from the limit (``cuts``): at 0.85 bands are of 4, and a
+link escapes all of them with a chance of 2e-8, and the sketch comparison with
+about 1.6e-8. Candidates make clusters, and inside each cluster links are
+confirmed on the full shingle sets.
 
 Texts with equal sets are one node from the start, so copies cost nothing.
 Large buckets and clusters are cut into tiles of bounded size; a task walks a
@@ -21,6 +22,7 @@ reports a spanning forest, never all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,9 @@ from draftweave.llm.storage import stored
 from draftweave.llm.words import UNSPACED, Words, mixed, shards, text_bytes
 
 SHINGLE = 5
-BINS, ROWS, AGREE = 96, 4, 60
-#: A link: 100 * intersection >= PERCENT * union.
+#: ``MISS`` bounds the chance that a link at the limit escapes the bands, and likewise the sketches.
+BINS, ROWS, MISS = 96, 4, 2.1e-8
+#: A link: 100 * intersection >= percent * union; this is the percentage unless another is given.
 PERCENT = 85
 
 #: Members of a bucket, and shingles of a cluster, in half a tile.
@@ -43,6 +46,21 @@ TILE_MEMBERS, TILE_SHINGLES = 2048, 1 << 20
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 2**62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def cuts(percent: int) -> tuple[int, int]:
+    """Coordinates of a band, and of a sketch that have to agree, for links of ``percent`` and more."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent must be above 0 and at most 100, got {percent}")
+    p = percent / 100
+    rows = next((r for r in range(ROWS, 1, -1) if (1 - p**r) ** (BINS // r) <= MISS), 1)
+    missed, agree = 0.0, 0
+    while agree < BINS:
+        missed += math.comb(BINS, agree) * p**agree * (1 - p) ** (BINS - agree)
+        if missed > MISS:
+            break
+        agree += 1
+    return rows, agree
+
+
 def shingle_sets(found: Words, size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct fingerprints of the shingles of each text."""
     prints = found.fingerprints() if len(found.starts) else np.zeros(0, np.uint64)
@@ -100,19 +118,19 @@ def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], band: int) -> Iterator[pa.RecordBatch]:
     for part in shards(batches, "text"):
         found = Words(*text_bytes(part.column(2)), UNSPACED)
         sets = shingle_sets(found)
         size = np.array([len(x) for x in sets], np.int64)
         table = sketches(sets)
-        keys = band_keys(table)[size > 0]
+        keys = band_keys(table, band)[size > 0]
         a = np.array([mixed(x).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
         b = np.array([mixed(x ^ _MULTIPLIERS[7]).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
         coarse = (mixed(table) & np.uint64(255)).astype(np.uint8)
         yield pa.RecordBatch.from_arrays(
             [part.column(0), part.column(1), pa.array(size), pa.array(a), pa.array(b),
-             _lists(keys.ravel(), np.where(size > 0, BINS // ROWS, 0), pa.int64()),
+             _lists(keys.ravel(), np.where(size > 0, BINS // band, 0), pa.int64()),
              pa.array([x.tobytes() for x in coarse], pa.binary())],
             names=["doc_id", "row", "n_shingles", "a", "b", "bands", "sketch"],
         )
@@ -162,18 +180,18 @@ def walked(size: int, linked) -> tuple[np.ndarray, np.ndarray]:
     return np.array(froms, np.int64), np.array(tos, np.int64)
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_links(batches: Iterator[pa.RecordBatch], agree: int) -> Iterator[pa.RecordBatch]:
     for piece, starts in _runs(batches, ["key", "low", "high"]):
         ids = piece.column(piece.schema.get_field_index("id")).to_numpy()
         raw = piece.column(piece.schema.get_field_index("sketch"))
         table = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(ids), -1)
         sizes = np.diff(starts)
         two = starts[:-1][sizes == 2]
-        good = (table[two] == table[two + 1]).sum(axis=1) >= AGREE
+        good = (table[two] == table[two + 1]).sum(axis=1) >= agree
         found = [(ids[two[good]], ids[two[good] + 1])]
         for s, n in zip(starts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist()):
             mine = table[s : s + n]
-            x, y = walked(n, lambda u, others, mine=mine: (mine[others] == mine[u]).sum(axis=1) >= AGREE)
+            x, y = walked(n, lambda u, others, mine=mine: (mine[others] == mine[u]).sum(axis=1) >= agree)
             found.append((ids[s + x], ids[s + y]))
         yield _edges(found)
 
@@ -210,7 +228,7 @@ def confirmed(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarra
     return live[x], live[y]
 
 
-def _cluster_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cluster_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for piece, starts in _runs(batches, ["cluster", "low", "high"]):
         ids = piece.column(piece.schema.get_field_index("id")).to_numpy()
         text = piece.column(piece.schema.get_field_index("text"))
@@ -221,7 +239,7 @@ def _cluster_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             sets = []
             for part in shards(iter([pa.RecordBatch.from_arrays([text.slice(s, e - s)], names=["text"])]), "text"):
                 sets += shingle_sets(Words(*text_bytes(part.column(0)), UNSPACED))
-            x, y = confirmed(sets)
+            x, y = confirmed(sets, percent)
             found.append((ids[s + x], ids[s + y]))
         yield _edges(found)
 
@@ -241,12 +259,12 @@ def _tiled(frame: DataFrame, key: str, halves) -> DataFrame:
     )
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Near-duplicate group of every row: ``doc_id, row, n_shingles, component_id, kept``.
 
     Words are split at blanks and 0x09-0x0D after lowering A-Z. A text's set
     holds its distinct shingles of five words, or its whole sequence where it
-    has fewer; texts link when ``100 * intersection >= 85 * union``.
+    has fewer; texts link when ``100 * intersection >= percent * union``.
     ``component_id`` is the smallest ``doc_id`` reachable over links, and
     ``kept`` marks the rows that carry it. ``row`` is a fingerprint of the
     text that tells apart rows of equal ``doc_id``.
@@ -256,10 +274,11 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     one component. Null ids rank last: ``component_id`` is null only where all
     ids of a component are, and such rows are kept. Empty tables give no rows.
     """
+    band, agree = cuts(percent)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"), F.col(text).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = stored(base.mapInArrow(
-        _sketched, f"doc_id {kind}, row long, n_shingles long, a long, b long, bands array<long>, sketch binary"))
+        lambda batches: _sketched(batches, band), f"doc_id {kind}, row long, n_shingles long, a long, b long, bands array<long>, sketch binary"))
     whole = ["a", "b", "n_shingles"]
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
     nodes = stored(
@@ -278,7 +297,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     tiles = _tiled(members.join(nodes.select("id", "sketch"), "id"), "key", halves).select("key", "low", "high", "id", "sketch")
     candidates = (
         tiles.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
-        .mapInArrow(_bucket_links, "a long, b long")
+        .mapInArrow(lambda batches: _bucket_links(batches, agree), "a long, b long")
     )
     clusters = connected_components(candidates).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     placed = stored(nodes.select("id", "place", "n_shingles").join(clusters, "id"))
@@ -291,7 +310,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     tiles = _tiled(texts, "cluster", halves).select("cluster", "low", "high", "id", "text")
     links = (
         tiles.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "id")
-        .mapInArrow(_cluster_links, "a long, b long")
+        .mapInArrow(lambda batches: _cluster_links(batches, percent), "a long, b long")
     )
     joined = connected_components(links).select(F.col("node").alias("id"), "component")
     member = nodes.select(*whole, "id", "place").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -303,9 +322,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are kept, columns unchanged; cases as in ``components``."""
-    stay = components(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).distinct()
+    stay = components(docs, doc_id, text, percent).filter("kept").select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).distinct()
     names = docs.columns
     moved = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, body = F.col(f"c{names.index(doc_id)}"), F.col(f"c{names.index(text)}")

@@ -48,7 +48,7 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate component of every document."""
-    return near.components(table(spark, folder, "documents")).drop("row")
+    return near.components(table(spark, folder, "documents"), percent=85).drop("row")
 
 
 @query

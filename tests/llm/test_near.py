@@ -114,3 +114,13 @@ def test_connected_components_of_long_paths(spark):
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {n: min(nodes[i // 100 * 100 : i // 100 * 100 + 100]) for i, n in enumerate(nodes)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_limit_is_a_parameter(spark):
+    base = words(204, 5, 10**6)
+    # 200 shingles, and 20 of each other: 180 of 220 shared, 0.818.
+    texts = [" ".join(base), " ".join([*base[20:], *words(20, 6, 10**6)])]
+    docs = frame(spark, texts)
+    assert [r.doc_id for r in near.deduplicate(docs, percent=80).collect()] == [0]
+    assert near.deduplicate(docs, percent=85).count() == near.deduplicate(docs).count() == 2
+    assert near.cuts(85) == (4, 60) and near.cuts(80) == (3, 53)
