@@ -112,7 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
 
     The sample is the same for the same labels: rows go by a hash of their id.
     Several labels of one id count as their largest; null and other labels
-    than 0 and 1 are passed over.
+    than 0 and 1 are passed over. Of a sampled id's rows in ``docs``, one is
+    drawn, by a hash of its text.
     """
     marked = (
         labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -126,8 +127,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     known = top(marked.filter(first & (F.col("label") == 1)), dictionary_rows).unionByName(top(marked.filter(first & (F.col("label") == 0)), dictionary_rows))
+    place = F.struct(F.col("text").isNull(), F.xxhash64("text"), "text")
+
+    def one_each(sample: DataFrame) -> DataFrame:
+        """A row for each sampled id, however often ``docs`` repeats it."""
+        held = source.join(F.broadcast(sample), "doc_id")
+        return held.groupBy("doc_id").agg(F.min_by(F.struct("label", "text"), place).alias("row")).select("row.label", "row.text")
+
     # Both samples have a fixed number of rows at most.
-    blocks = source.join(F.broadcast(known), "doc_id").select("label", "text").mapInArrow(_drawn, "label int, block binary").collect()
+    blocks = one_each(known).mapInArrow(_drawn, "label int, block binary").collect()
     # A fixed order without neighbours alike, as the dictionary builder goes through its samples in turn.
     by_class = [sorted((bytes(r.block) for r in blocks if r.label == y), key=lambda x: (zlib.crc32(x), x)) for y in (0, 1)]
     if min(map(len, by_class)) == 0:
@@ -142,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
             found = _sizes(part.column(1), by)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["label", "sizes"])
 
-    rows = source.join(F.broadcast(rest), "doc_id").select("label", "text").mapInArrow(measured, "label int, sizes array<long>").collect()
+    rows = one_each(rest).mapInArrow(measured, "label int, sizes array<long>").collect()
     rows.sort(key=lambda r: (r.label, r.sizes))
     if not rows:
         n = len(by_class[1]) / (len(by_class[0]) + len(by_class[1]))

@@ -61,3 +61,11 @@ def test_repeated_labels_are_one_row(spark):
     once = quality.fit(docs, label_table(spark, labels), F.lit(True))
     twice = quality.fit(docs, label_table(spark, labels + labels, [*range(150), *range(150)]), F.lit(True))
     assert once == twice
+
+
+def test_repeated_rows_of_an_id_are_drawn_once(spark):
+    texts, labels = corpus(120, 4)
+    marks = label_table(spark, labels)
+    plain = quality.fit(frame(spark, texts), marks, F.lit(True))
+    often = [i for i in range(120) for _ in range(30 if i < 8 else 1)]
+    assert quality.fit(frame(spark, [texts[i] for i in often], often), marks, F.lit(True)) == plain
