@@ -3,9 +3,9 @@
 The tokenizer lower-cases, drops white space and never joins pieces across it,
 so a text's ids are those of its pre-tokens, one after the other. Each distinct
 pre-token is encoded once and kept in a bounded cache. Plain texts are cut all
-at once as arrays, and their pre-tokens go by a 64-bit fingerprint; texts of
-other Latin letters are cut by the vocabulary's own pattern; of any other text,
-each word between ASCII blanks is encoded as it stands.
+at once as arrays; texts of other Latin letters are cut by the vocabulary's own
+pattern; of any other text, each word between ASCII blanks is encoded as it
+stands.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-from draftweave.llm.words import LOWER, fingerprints, shards, text_bytes
+from draftweave.llm.words import LOWER, distinct, shards, text_bytes
 
 #: Distinct pre-tokens that a worker keeps, and those it encodes at a time.
 SLICE, JOINED, SLICE_BYTES = 10_000, 100, (1 << 20) - 1
@@ -104,7 +104,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.places: dict[int | str, int] = {}
+        self.places: dict[bytes | str, int] = {}
         self.bounds, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _cut(self, raw: bytes) -> list[str]:
@@ -157,10 +157,11 @@ class Encoder:
         if len(self.places) > CACHED:
             self._forget()
         plain, low, starts, ends = plain_pieces(data, offsets)
-        names, first, which = np.unique(fingerprints(low, starts, ends), return_index=True, return_inverse=True) if len(starts) else (np.zeros(0, np.uint64),) * 3
-        keys = names.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.places]
-        self._learn([keys[i] for i in new], [low[starts[f] : ends[f]].tobytes().decode() for f in first[new].tolist()] if new else [], True)
+        first, which = distinct(low, starts, ends)
+        raw = low.tobytes()
+        keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        new = [k for k in keys if k not in self.places]
+        self._learn(new, [k.decode() for k in new], True)
         counts = np.diff(np.searchsorted(starts, offsets))
         other = {int(t): self._cut(data[at[t] : at[t + 1]].tobytes()) for t in np.flatnonzero(~plain)}
         new = [x for x in dict.fromkeys(chain.from_iterable(other.values())) if x not in self.places]

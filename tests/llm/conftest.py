@@ -21,7 +21,11 @@ def words(n, seed, vocabulary=400):
 
 @pytest.fixture(scope="session")
 def mixed_texts():
-    """Nulls, empty and blank texts, ties, copies, near copies, one long text and odd characters."""
+    """Nulls, empty and blank texts, ties, copies, near copies, long texts and words, and odd characters.
+
+    The last two words differ, but agree in every polynomial hash modulo a power of two.
+    """
+    alike = "".join("ab"[i.bit_count() % 2] for i in range(1024))
     base = words(120, 1)
     near = [*base[:60], "changed", *base[61:]]
     far = [*base[:30], *words(90, 2)]
@@ -29,4 +33,5 @@ def mixed_texts():
         None, "", "  \t\n ", " ".join(base), " ".join(base), " ".join(base).upper(), " ".join(near), " ".join(far),
         "one two", "One  Two", "one two three four five", "É è ß İ ſ K 中文 😀", " ".join(words(9000, 3)), "a" * 5000,
         " ".join(["same"] * 300), " ".join(["same"] * 200), "\x00\x1f\x7f", None, "",
+        alike, alike.translate(str.maketrans("ab", "ba")),
     ]
