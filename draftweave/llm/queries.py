@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftweave.llm import counts, decontaminate, lm, naming, near, packing, quality, records, secrets, urls
+from draftweave.llm import bpe, counts, decontaminate, lm, naming, near, packing, quality, records, secrets, urls
 from draftweave.llm.sql import SQL
 from draftweave.llm.storage import scratch
 
@@ -111,4 +111,13 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), VOCABULARY, end=0)
 
 
+@query
+def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    encoded = bpe.decode(bpe.encode(table(spark, folder, "documents"), VOCABULARY), VOCABULARY)
+    return encoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 __all__ = ["QUERIES", "SQL"]
