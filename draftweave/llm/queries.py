@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftweave.llm import bpe, counts, decontaminate, lm, naming, near, packing, quality, records, secrets, urls
+from draftweave.llm import align, bpe, counts, decontaminate, lm, naming, near, packing, quality, records, secrets, urls
 from draftweave.llm.sql import SQL
 from draftweave.llm.storage import scratch
 
@@ -22,6 +22,9 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: A sentencepiece file whose pieces the unigram model weighs.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
+#: A vocabulary file of byte-level merges for the tokenizers library.
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
+
 #: Host, path and action of the URL rules.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -111,6 +114,12 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), VOCABULARY, end=0)
 
 
+@query
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """How two tokenizers cut every document."""
+    return align.alignments(table(spark, folder, "documents"), BYTE_LEVEL, PIECES)
+
+
 @query
 def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
