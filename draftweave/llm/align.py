@@ -3,7 +3,10 @@
 Rows are brought together by their full text, so copies count as one text with
 a multiplicity. A task tokenises slices of distinct texts both ways and aligns
 them by byte offsets: between two neighbouring token ends (of either side)
-stands exactly one pair of tokens that overlap, a link. A slice of texts is
+stands exactly one pair of tokens that overlap, a link. No token of either side
+runs from a character into a blank behind it, so texts are cut before such
+blanks, and a worker aligns each distinct stretch once and keeps it in a
+bounded cache. A slice of texts is
 written as one row: each text's measures, the distinct id pairs of the slice
 with the multiplicities of the texts that hold them, and for each text the
 places of its pairs in that list.
@@ -18,8 +21,10 @@ are fewer than a thousand such texts.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -29,10 +34,17 @@ from pyspark.sql import functions as F
 
 from draftweave.llm.bpe import byte_letters
 from draftweave.llm.storage import stored
-from draftweave.llm.words import shards, spread, text_bytes
+from draftweave.llm.words import distinct, shards, spread, text_bytes
 
 #: Bytes of distinct text in a slice; a longer text is a slice by itself.
-SLICE_BYTES = (2 << 20) - 1
+SLICE_BYTES = (1 << 20) - 1
+
+#: Stretches that a worker keeps, those it aligns at a time, and those that it joins to one text.
+CACHED, STRETCHES, JOINED = 400_000, 40_000, 100
+
+#: First bytes of characters that are surely no white space.
+_OPENING = np.ones(256, bool)
+_OPENING[:0x21] = _OPENING[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 #: A text is frequent if more than one row in this many holds it.
 FREQUENT = 1000
@@ -66,8 +78,66 @@ class Side(NamedTuple):
 
 def _side(found: list[list[int]]) -> Side:
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-    ids = np.fromiter((i for x in found for i in x), np.int64, int(bounds[-1]))
-    return Side(ids, bounds)
+    return Side(np.fromiter(chain.from_iterable(found), np.int64, int(bounds[-1])), bounds)
+
+
+class Stretches(NamedTuple):
+    """Stretches of text by their bytes: tokens and groups, and flat lists of links and of spelt groups with bounds.
+
+    A stretch that the tokens of both sides don't spell out has no groups.
+    """
+
+    place: dict[bytes, int]
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    link_bounds: np.ndarray
+    links: np.ndarray
+    spelt_bounds: np.ndarray
+    spelt: np.ndarray
+
+    def more(self, keys: list[str], found: Aligned, pair: Pair) -> Stretches:
+        codes = found.a.ids[np.searchsorted(found.end_a, found.every)] * pair.pieces + found.b.ids[np.searchsorted(found.end_b, found.every)]
+        body, ends = spelt(pair, found)
+        self.place.update(zip((k.encode() for k in keys), range(len(self.place), len(self.place) + len(keys))))
+        join = np.concatenate
+        return Stretches(
+            self.place, join([self.n_a, np.diff(found.a.bounds)]), join([self.n_b, np.diff(found.b.bounds)]),
+            join([self.n_groups, np.diff(found.groups)]),
+            join([self.link_bounds, found.links[1:] + len(self.links)]), join([self.links, codes]),
+            join([self.spelt_bounds, ends[1:] + len(self.spelt)]), join([self.spelt, body]),
+        )
+
+
+def stretched(pair: Pair, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the stretches of all texts in ``pair.known``, and the bounds of each text.
+
+    Stretches begin at the text's start or behind a single blank that no other
+    white space follows, which both sides take into the token behind it.
+    """
+    data, offsets = text_bytes(column)
+    cut = np.zeros(len(data) + 1, bool)
+    if pair.by_stretch and len(data) > 2:
+        blank = data == 0x20
+        cut[1:-2] = blank[1:-1] & ~blank[:-2] & _OPENING[data[2:]]
+    # Blanks at either end of a text are no cuts.
+    full = offsets[1:] > offsets[:-1]
+    cut[offsets[:-1][full]] = False
+    cut[offsets[1:][full] - 1] = False
+    inner = np.flatnonzero(cut)
+    starts = np.sort(np.concatenate([offsets[:-1][full], inner + 1]))
+    ends = np.sort(np.concatenate([offsets[1:][full], inner]))
+    first, which = distinct(data, starts, ends)
+    raw = data.tobytes()
+    keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+    if len(pair.known.place) > CACHED:
+        pair.forget()
+    new = [k for k in keys if k not in pair.known.place]
+    for at in range(0, len(new), STRETCHES):
+        some = new[at : at + STRETCHES]
+        pair.learn([k.decode() for k in some])
+    place = np.fromiter(map(pair.known.place.__getitem__, keys), np.int64, len(keys))
+    return place[which], np.searchsorted(starts, offsets)
 
 
 class Pair:
@@ -76,6 +146,7 @@ class Pair:
     def __init__(self, spec: str, model: bytes):
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.a = Tokenizer.from_str(spec)
         # The strings of special tokens are plain text here.
@@ -91,6 +162,24 @@ class Pair:
         most = max(len(self.a_bytes.bounds), len(self.b_bytes.bounds)) - 1
         self.digits = Table.of([str(i).encode() + b"," for i in range(most)])
         self.pieces = self.b.get_piece_size()
+        self.by_stretch = isinstance(self.a.pre_tokenizer, ByteLevel) and self.a.normalizer is None and not any(
+            re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.pieces))
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Stretches({}, *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(1, np.int64), np.zeros(0, np.int64),
+                               np.zeros(1, np.int64), np.zeros(0, np.uint8))
+
+    def learn(self, stretches: list[str]) -> None:
+        """Align stretches not met before, many at a time between blanks; the odd ones singly."""
+        fine = [bool(_OPENING[k[:1].encode()[0]]) and k[-1] not in " ▁" for k in stretches]
+        odd, plain = [k for k, f in zip(stretches, fine) if not f], [k for k, f in zip(stretches, fine) if f]
+        many = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        found = aligned(self, [" ".join(x) for x in many])
+        good = [k for x, w in zip(many, found.whole) if w for k in x]
+        self.known = self.known.more(good, found.cut(np.cumsum([len(k.encode()) + 1 for k in good], dtype=np.int64)), self)
+        odd += [k for x, w in zip(many, found.whole) if not w for k in x]
+        self.known = self.known.more(odd, aligned(self, odd), self)
 
     def encoded(self, texts: list[str]) -> tuple[Side, Side]:
         a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
@@ -119,18 +208,32 @@ def _kept(side: Side, keep: np.ndarray) -> Side:
 class Aligned(NamedTuple):
     """A batch of texts: tokens of both sides, groups and links.
 
-    ``link_a`` and ``link_b`` are token places; ``links`` and ``groups`` hold
-    the bounds of each text; ``group_a`` and ``group_b`` number each token's group.
+    ``end_a`` and ``end_b`` are the byte ends of tokens, ``every`` those of
+    links and ``common`` those of groups; ``links`` and ``groups`` hold the
+    bounds of each text, ``whole`` says which texts have tokens.
     """
 
     a: Side
     b: Side
-    link_a: np.ndarray
-    link_b: np.ndarray
+    end_a: np.ndarray
+    end_b: np.ndarray
+    every: np.ndarray
+    common: np.ndarray
     links: np.ndarray
     groups: np.ndarray
-    group_a: np.ndarray
-    group_b: np.ndarray
+    whole: np.ndarray
+
+    def cut(self, ends: np.ndarray) -> Aligned:
+        """The same tokens as texts that end at these bytes, where groups end as well."""
+        ends = np.concatenate([[0], ends])
+
+        def bounds(found: np.ndarray) -> np.ndarray:
+            return np.searchsorted(found, ends, "right")
+
+        return self._replace(
+            a=Side(self.a.ids, bounds(self.end_a)), b=Side(self.b.ids, bounds(self.end_b)),
+            links=bounds(self.every), groups=bounds(self.common), whole=np.ones(len(ends) - 1, bool),
+        )
 
 
 def aligned(pair: Pair, texts: list[str]) -> Aligned:
@@ -140,24 +243,21 @@ def aligned(pair: Pair, texts: list[str]) -> Aligned:
     keep = _whole(a, pair.a_bytes, want, ends) & _whole(b, pair.b_bytes, want, ends) & (np.diff(ends) > 1)
     a, b = _kept(a, keep), _kept(b, keep)
     end_a, end_b = np.cumsum(pair.a_bytes.sizes(a.ids)), np.cumsum(pair.b_bytes.sizes(b.ids))
-    every = np.union1d(end_a, end_b)
-    link_a, link_b = np.searchsorted(end_a, every), np.searchsorted(end_b, every)
-    common = np.intersect1d(end_a, end_b, assume_unique=True)
+    every, common = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b, assume_unique=True)
     text_ends = np.concatenate([[0], end_a])[a.bounds]
     return Aligned(
-        a, b, link_a, link_b, np.searchsorted(every, text_ends, "right"), np.searchsorted(common, text_ends, "right"),
-        np.searchsorted(common, end_a), np.searchsorted(common, end_b),
-    )
+        a, b, end_a, end_b, every, common, np.searchsorted(every, text_ends, "right"), np.searchsorted(common, text_ends, "right"), keep)
 
 
 def spelt(pair: Pair, found: Aligned) -> tuple[np.ndarray, np.ndarray]:
     """``a1,a2|b1;a3|b2,b3`` of each text, as bytes with bounds."""
     n = len(found.a.ids) + len(found.b.ids)
-    of_a, of_b = np.bincount(found.group_a), np.bincount(found.group_b)
+    group_a, group_b = np.searchsorted(found.common, found.end_a), np.searchsorted(found.common, found.end_b)
+    of_a, of_b = np.bincount(group_a), np.bincount(group_b)
     before_b = np.concatenate([[0], np.cumsum(of_b)])
     through_a = np.cumsum(of_a)
-    at_a = np.arange(len(found.a.ids)) + before_b[found.group_a]
-    at_b = np.arange(len(found.b.ids)) + (through_a[found.group_b] if len(through_a) else 0)
+    at_a = np.arange(len(found.a.ids)) + before_b[group_a]
+    at_b = np.arange(len(found.b.ids)) + (through_a[group_b] if len(through_a) else 0)
     ids = np.zeros(n, np.int64)
     ids[at_a], ids[at_b] = found.a.ids, found.b.ids
     sizes = pair.digits.sizes(ids)
@@ -200,32 +300,39 @@ def _slices(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in shards(batches, "text", SLICE_BYTES):
             pair = _pair(shared)
-            texts = part.column(0).to_pylist()
-            weight = part.column(1).to_numpy()
-            found = aligned(pair, texts)
-            n_links = np.diff(found.links)
-            code = found.a.ids[found.link_a] * pair.pieces + found.b.ids[found.link_b]
+            column, weight = part.column(0), part.column(1).to_numpy()
+            place, edges = stretched(pair, column)
+            known, n = pair.known, part.num_rows
+            # A text has tokens only if all its stretches are spelt out.
+            owner = np.repeat(np.arange(n), np.diff(edges))
+            bad = np.zeros(n, bool)
+            bad[owner[known.n_groups[place] == 0]] = True
+            place, owner = place[~bad[owner]], owner[~bad[owner]]
+            edges = np.searchsorted(owner, np.arange(n + 1))
+            sums = [np.bincount(owner, x[place], n).astype(np.int64) for x in (known.n_a, known.n_b, known.n_groups)]
+            size = known.link_bounds[place + 1] - known.link_bounds[place]
+            code = spread(known.links, known.link_bounds[place], size)
+            owner, n_links = np.repeat(owner, size), np.bincount(owner, size, n).astype(np.int64)
+            spelt_at, spelt_size = known.spelt_bounds[place], known.spelt_bounds[place + 1] - known.spelt_bounds[place]
+            body = spread(known.spelt, spelt_at, spelt_size).tobytes()
+            ends = np.concatenate([[0], np.cumsum(spelt_size)])[edges].tolist()
             pairs, place = np.unique(code, return_inverse=True)
             # Distinct pairs of each text, with the times they are linked there.
-            owner = np.repeat(np.arange(len(texts)), n_links)
             each, times = np.unique(owner * max(1, len(pairs)) + place, return_counts=True)
             owner, place = np.divmod(each, max(1, len(pairs)))
             total = np.zeros(len(pairs), np.int64)
             np.add.at(total, place, weight[owner])
-            edges = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+            edges = np.searchsorted(owner, np.arange(n + 1)).tolist()
             place, times = place.astype("<u4"), times.astype("<u4")
-            body, ends = spelt(pair, found)
-            body, ends = body.tobytes(), ends.tolist()
             shas = [hashlib.sha256(body[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(ends, ends[1:])]
             rows = _texts(
-                pa.array([hashlib.sha256(t.encode()).digest() for t in texts], pa.binary()),
-                [np.diff(found.a.bounds), np.diff(found.b.bounds), np.diff(found.groups), n_links], shas,
+                pa.array([hashlib.sha256(t.encode()).digest() for t in column.to_pylist()], pa.binary()), [*sums, n_links], shas,
                 [place[x:y].tobytes() for x, y in zip(edges, edges[1:])], [times[x:y].tobytes() for x, y in zip(edges, edges[1:])],
             )
             one = np.array([0, len(pairs)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([uuid.uuid4().hex]), _lists(pairs // pair.pieces, one, pa.int32()), _lists(pairs % pair.pieces, one, pa.int32()),
-                 _lists(total, one, pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), rows)],
+                 _lists(total, one, pa.int64()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), rows)],
                 names=["slice", "a", "b", "weight", "texts"],
             )
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -96,6 +97,23 @@ def picked(found):
     return sorted((tuple(r) for r in found.select(*COLUMNS).collect()), key=str)
 
 
+def test_white_space_around_blanks(brute):
+    with open(BYTE_LEVEL, encoding="utf-8") as f, open(PIECES, "rb") as g:
+        pair = align.Pair(f.read(), g.read())
+    parts = ["a", "b.", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "▁", "é", "中", "'s"]
+    dice = random.Random(3)
+    texts = ["".join(dice.choices(parts, k=dice.randrange(1, 8))) for _ in range(6000)]
+    place, edges = align.stretched(pair, pa.array(texts))
+    known = pair.known
+    for i, t in enumerate(texts):
+        mine = place[edges[i] : edges[i + 1]]
+        whole = bool((known.n_groups[mine] > 0).all())
+        a, b = brute.tokens(t)
+        assert (int(known.n_a[mine].sum()), int(known.n_b[mine].sum())) == (len(a), len(b)) if whole else not a, repr(t)
+        body = b"".join(known.spelt[known.spelt_bounds[p] : known.spelt_bounds[p + 1]].tobytes() for p in mine)
+        assert not whole or body[:-1].decode() == brute.groups(t)[0]
+
+
 @pytest.mark.parametrize("size", [align.SLICE_BYTES, 60])
 def test_alignments_equal_brute_force(spark, brute, mixed_texts, monkeypatch, size):
     monkeypatch.setattr(align, "SLICE_BYTES", size)
