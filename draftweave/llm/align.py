@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from draftweave.llm.bpe import byte_letters
+from draftweave.llm.frequent import met
 from draftweave.llm.storage import stored
 from draftweave.llm.words import distinct, shards, spread, text_bytes
 
@@ -46,9 +47,6 @@ CACHED, STRETCHES, JOINED = 400_000, 40_000, 100
 _OPENING = np.ones(256, bool)
 _OPENING[:0x21] = _OPENING[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
 
-#: A text is frequent if more than one row in this many holds it.
-FREQUENT = 1000
-
 MEASURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -399,14 +397,4 @@ def alignments(docs: DataFrame, byte_level: str, pieces: str, doc_id: str = "doc
     measures = stored(with_counts.mapInArrow(_measured, f"key binary, {', '.join(f'{m} long' for m in MEASURES)}, groups_sha256 string"))
     full = rows.filter("text <> ''").select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key"))
     empty = rows.filter("text = ''").select("doc_id", *[F.lit(0).cast("long").alias(m) for m in MEASURES], F.lit("").alias("groups_sha256"))
-    return _joined(full, measures).unionByName(empty)
-
-
-def _joined(keyed: DataFrame, measures: DataFrame) -> DataFrame:
-    """Measures of the text of every row; frequent texts come by broadcast."""
-    keyed = stored(keyed)
-    rows = keyed.count()
-    often = keyed.groupBy("key").count().filter(F.col("count") * FREQUENT > rows).select("key")
-    often = stored(measures.join(F.broadcast(often), "key"))
-    rare = keyed.join(F.broadcast(often.select("key")), "key", "left_anti").join(measures, "key")
-    return rare.unionByName(keyed.join(F.broadcast(often), "key")).drop("key")
+    return met(stored(full), measures, "key").drop("key").unionByName(empty)

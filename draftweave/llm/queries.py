@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftweave.llm import align, bpe, counts, decontaminate, lm, naming, near, packing, quality, records, secrets, urls
+from draftweave.llm import align, bpe, counts, decontaminate, lm, naming, near, packing, prefixes, quality, records, secrets, urls
 from draftweave.llm.sql import SQL
 from draftweave.llm.storage import scratch
 
@@ -120,6 +120,12 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return align.alignments(table(spark, folder, "documents"), BYTE_LEVEL, PIECES)
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations."""
+    return prefixes.trie(table(spark, folder, "conversations"))
+
+
 @query
 def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""

@@ -126,7 +126,7 @@ def test_alignments_equal_brute_force(spark, brute, mixed_texts, monkeypatch, si
 
 @pytest.mark.parametrize("frequent", [1, 3, 10**6])
 def test_frequent_texts_are_broadcast(spark, brute, monkeypatch, frequent):
-    monkeypatch.setattr(align, "FREQUENT", frequent)
+    monkeypatch.setattr("draftweave.llm.frequent.FREQUENT", frequent)
     texts = ["a b"] * 12 + ["b c", "c d", "", None] + ["a  b"] * 3
     docs = list(enumerate(texts))
     assert picked(align.alignments(frame(spark, texts), BYTE_LEVEL, PIECES)) == sorted(brute.rows(docs), key=str)
