@@ -69,3 +69,41 @@ select d.doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesc
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join listed using (doc_id)
 """
+
+#: CRC-32 of a string of ASCII characters: eight shifts a byte, with the reversed polynomial.
+_SHIFTED = "list_reduce(list_prepend({}, range(8)), lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)"
+_CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''), lambda s: ascii(s)::bigint)), "
+    "lambda a, b: xor(a >> 8, " + _SHIFTED.format("xor(a & 255, b)") + ")), 4294967295)"
+)
+
+SQL["op12_prefix_trie"] = f"""
+with r as (select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+u as (select c, turn, role, length(text) as size, substr(sha256(length(role) || ':' || role || text), 1, 32) as unit from r),
+t as (select *, row_number() over (partition by c order by turn nulls first, role, unit) as p from u),
+n as (select c, count(*) as turns, {_CRC32.format('cast(c as varchar)')} % 6 as h from t group by c),
+v as (select n.c, n.c - n.c % 100 as first, h, least(h, coalesce(m.turns, 0)) as taken from n left join (select c as f, turns from n) m on f = n.c - n.c % 100),
+b as (
+  select v.c, p - h + taken as p, unit, size from t join v on t.c = v.c and p > h
+  union all select v.c, p, unit, size from v join t on t.c = v.first and p <= h
+),
+path as (
+  select c, p, size, string_agg(unit, '') over (partition by c order by p) as name from b
+  union all select c, 0, 0, '' from n
+),
+l as (select c, max(p) as last from path group by c),
+node as (
+  select name, any_value(path.p) as depth, min(c) as conv_id, count(*) as n_convs, any_value(size) as size, max(last > p) as inner_,
+    sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (last = p), '')) as ends_sha256
+  from path join l using (c) group by name
+),
+sub as (
+  select path.name, sum(case when inner_ then 0 else 1 end) as n_leaves, sum((n_convs - 1) * node.size) as saved_tokens
+  from node join path on path.c = node.conv_id and path.p <= node.depth group by path.name
+),
+child as (select left(name, length(name) - 32) as name, count(*) as n_children from node where depth > 0 group by 1)
+select node.conv_id, cast(depth as bigint) as depth, up.conv_id as parent_conv_id, n_convs, coalesce(n_children, 0) as n_children,
+  cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, ends_sha256
+from node join sub using (name) left join child using (name)
+  left join (select name as above, conv_id from node) up on depth > 0 and above = left(node.name, length(node.name) - 32)
+"""
