@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from draftweave.functions import geometry as geo
 from draftweave.functions import scalars as sc
-from draftweave.operators import dedupe
+from draftweave.operators import dedupe, skew
 
 # Fixed values.
 CALLOUT_MIN_CONFIDENCE = 0.85
@@ -56,12 +56,16 @@ def _with_list(parsed: DataFrame, name: str) -> DataFrame:
     return field.withColumn("_field_kind", sc.variant_kind(F.col("_field")))
 
 
-def list_items(parsed: DataFrame, name: str) -> DataFrame:
-    """Items of a named list with their index as ``index, raw``."""
+def list_items(parsed: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """Items of a named list with their index as ``index, raw``.
+
+    With ``outer`` a response without items keeps one row, both null, and each
+    row carries the kind of the field as ``_field_kind``.
+    """
     items = F.when(F.col("_field_kind") == "array", F.try_variant_get("_field", "$", "array<variant>"))
     return _with_list(parsed, name).select(
-        *[c for c in parsed.columns if c not in ("parsed", "response_text")],
-        F.posexplode(items).alias("index", "raw"),
+        *[c for c in parsed.columns if c not in ("parsed", "response_text")], *(["_field_kind"] if outer else []),
+        (F.posexplode_outer if outer else F.posexplode)(items).alias("index", "raw"),
     )
 
 
@@ -316,19 +320,23 @@ def tiled_callouts(responses: DataFrame, tiles: DataFrame, iou: float = 0.5, thr
 
     Each tile is parsed and checked against its own size, moved to the page and
     deduplicated across tiles. A failed tile only warns. Each callout dropped as
-    a repeat warns for its page, with a null ``tile``.
+    a repeat warns for its page, with a null ``tile``. Responses are parsed
+    once: the checked rows, and a row for each response without any, are
+    written to the shared folder, and everything after reads them there.
     """
     on = ["doc_id", "page_id", "tile"]
     geometry = tiles.select(
         *on, "row", "col", (F.col("x1") - F.col("x0")).alias("tile_w"), (F.col("y1") - F.col("y0")).alias("tile_h"),
     )
-    parsed = parse_json_response(responses).join(geometry.withColumn("_known", F.lit(True)), on, "left")
-    unknown = parsed.filter("_known is null").select(
+    sent = responses.join(geometry.withColumn("_known", F.lit(True)), on, "left")
+    items = list_items(parse_json_response(sent), "callouts", outer=True)
+    checked = skew.written(validate_callouts(items, threshold, "tile_w", "tile_h"))
+    unknown = checked.filter("_known is null and coalesce(index, 0) = 0").select(
         *on, F.concat(F.lit("Response for unknown tile "), F.coalesce("tile", F.lit("(none)")), F.lit(" was not used")).alias("warning"))
-    parsed = parsed.filter("_known").drop("_known")
-    checked = validate_callouts(list_items(parsed, "callouts"), threshold, "tile_w", "tile_h")
+    known = checked.filter("_known")
+    bare, rows = known.filter("index is null"), known.filter("index is not null")
     # Reading order of tiles, then index: the order callouts entered the page list.
-    numbered = checked.filter("valid").withColumn(
+    numbered = rows.filter("valid").withColumn(
         "call_ord", F.struct(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("index").cast("bigint").alias("index"))
     )
     placed = dedupe.crop_to_page(numbered, dedupe.tile_crops(tiles), on)
@@ -339,12 +347,12 @@ def tiled_callouts(responses: DataFrame, tiles: DataFrame, iou: float = 0.5, thr
         ),
         iou,
     )
-    failed = parsed.filter("parse_error is not null").select(
+    failed = bare.filter("parse_error is not null").select(
         *on, F.concat(F.lit("Callout detection failed on "), "tile", F.lit(": "), "parse_error").alias("warning")
     )
-    not_lists = _with_list(parsed, "callouts").filter(F.col("_field_kind") != "array").select(*on, F.concat(
+    not_lists = bare.filter("_field_kind <> 'array'").select(*on, F.concat(
         F.lit("Callout response on "), "tile", F.lit(" 'callouts' was not a list; treated as empty")).alias("warning"))
-    rows = checked.select(*on, F.explode("warnings").alias("w")).select(
+    rows = rows.select(*on, F.explode("warnings").alias("w")).select(
         *on, F.concat("tile", F.lit(": "), "w").alias("warning")
     )
     repeats = pairs.select("doc_id", "page_id", F.lit(None).cast("string").alias("tile"), "warning")

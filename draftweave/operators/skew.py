@@ -13,6 +13,7 @@ bounds every broadcast made here.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,19 +28,32 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.draftweave.hotRows", str(HOT_ROWS)))
 
 
-def durable(frame: DataFrame) -> DataFrame:
-    """Cut lineage in the checkpoint folder shared by the cluster."""
-    context = frame.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster shares; a local session without one gets its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="draftweave-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(frame: DataFrame) -> DataFrame:
+    """Cut lineage in the checkpoint folder shared by the cluster."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """Write ``frame`` once as a table in the shared folder and go on from it, columns pruned by each reader."""
+    path = f"{shared_folder(frame.sparkSession)}/rows-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def hot_groups(frame: DataFrame, by: Sequence[str], limit: int | None = None) -> DataFrame | None:
     """Keys of the groups holding more than ``limit`` rows; None when there are none."""
     limit = hot_rows(frame.sparkSession) if limit is None else limit
