@@ -196,7 +196,13 @@ class SuffixArray:
         _, to_left = self._compared(self.order[left], row, table, known[row])
         _, to_right = self._compared(self.order[right], row, table, known[row])
         longest = np.maximum(to_left, to_right)
-        return row, first, last, longest, self.order[np.where(to_left >= to_right, left, right)]
+        # The first of all places that match so far, whatever follows there.
+        first_of = self._bisect(first, last, row, table, longest, False)
+        behind = self._bisect(first_of, last, row, table, longest, True)
+        if not len(row):
+            return row, first, last, longest, row
+        where = np.minimum.reduceat(np.append(self.order, len(self.seq)), np.stack([first_of, behind], axis=1).ravel())[::2]
+        return row, first, last, longest, where
 
 
 def _ragged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
