@@ -8,6 +8,8 @@ gathers a page's words.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -297,9 +299,12 @@ def bom_fields(cells_col: Column, mapping: Column, digits: Column | None = None)
     return F.when(filled & item.isNotNull(), record)
 
 
-def rows_from_words(words: DataFrame, digits: DataFrame | None = None) -> DataFrame:
+def rows_from_words(
+    words: DataFrame, digits: DataFrame | None = None, hot: DataFrame | None | bool = True
+) -> DataFrame:
     """BOM rows of every image read by OCR (W-04..W-08, A-12, J-11)."""
-    hot = skew.hot_groups(words, IMAGE)
+    if hot is True:
+        hot = skew.hot_groups(words, IMAGE)
     found = cells(words, hot)
     if digits is not None:
         found = digit_override(found, digits)
@@ -311,10 +316,16 @@ def rows_from_words(words: DataFrame, digits: DataFrame | None = None) -> DataFr
         F.transform("xs", lambda x: x["text"]).alias("cells"),
         F.transform("xs", lambda x: x["digits"]).alias("digits"),
     )
-    # Rows per image are bounded by its height, unlike its words.
-    total = F.count(F.lit(1)).over(W.partitionBy(*IMAGE))
-    rows = rows.withColumn("rows", total).filter("rows >= 2").drop("rows")
-    body = rows.join(header_of(rows, IMAGE), IMAGE).filter(F.col("row_no") > F.col("header_no"))
+    # Rows per image are bounded by its height, unlike its words: windows find
+    # the header, and the cells are not computed a second time for a join.
+    image = W.partitionBy(*IMAGE)
+    head = F.when(F.col("row_no") <= HEADER_ROWS, map_columns(F.col("cells")))
+    rows = rows.withColumn("rows", F.count(F.lit(1)).over(image)).filter("rows >= 2").withColumn("_map", head)
+    at = F.when(F.col("_map").isNotNull(), F.col("row_no"))
+    body = rows.withColumns({
+        "header_no": F.coalesce(F.min(at).over(image), F.lit(0)),
+        "mapping": F.coalesce(F.min_by("_map", at).over(image), positional_mapping()),
+    }).filter(F.col("row_no") > F.col("header_no"))
     out = body.select(*IMAGE, "row_no", bom_fields(F.col("cells"), F.col("mapping"), F.col("digits")).alias("r"))
     return out.filter("r is not null").select(*IMAGE, F.col("row_no").alias("row_ord"), "r.*")
 
@@ -415,6 +426,17 @@ WHOLE_PAGE = "page"
 VECTOR_TABLE, RULED_REGION, PAGE_IMAGE = 0, 1, 2
 
 
+def unserved(contents: DataFrame, served: DataFrame) -> DataFrame:
+    """Contents of the pages of which ``served`` holds no row; null keys are pages like any other.
+
+    The join carries no hint: Spark broadcasts the served pages only while
+    their measured size allows it, and else shuffles by page.
+    """
+    pages = served.select(F.col("doc_id").alias("_doc"), F.col("page_id").alias("_page")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("page_id").eqNullSafe(F.col("_page"))
+    return contents.join(pages, same, "left_anti")
+
+
 def extract_bom(
     words: DataFrame,
     regions: DataFrame | None = None,
@@ -425,28 +447,40 @@ def extract_bom(
 
     ``words.region_id`` names the ruled region a word was read in (its
     ``region_rank`` as text) or ``page`` for the whole page.
+
+    The sources run one after the other, each over the pages that the earlier
+    ones left without rows, so words of served pages are never clustered. The
+    rows of vector tables and of ruled regions, few beside the words, are
+    written to the shared folder while the plan is built; the whole pages are
+    read when the result is.
     """
     page = ["doc_id", "page_id"]
     fields = ["item_no", "description", "qty", "material", "part_number"]
-    read = rows_from_words(words, digits)
-    if regions is not None:
-        known = regions.select(
-            *page, F.col("region_rank").cast("string").alias("region_id"), F.lit(True).alias("_known")
-        )
-        read = read.join(known, IMAGE, "left").filter(
-            F.col("_known") | (F.col("region_id") == WHOLE_PAGE)
-        )
-    whole = F.col("region_id") == WHOLE_PAGE
-    sources = read.select(
-        *page, F.when(whole, PAGE_IMAGE).otherwise(RULED_REGION).alias("source_kind"),
-        F.when(whole, 0).otherwise(F.col("region_id").try_cast("bigint")).alias("source_ord"), "row_ord", *fields,
-    )
+    hot = skew.hot_groups(words, IMAGE)
+
+    def source(rows: DataFrame, kind: int, ordinal: Column) -> DataFrame:
+        return first_source(rows.select(
+            *page, F.lit(kind).alias("source_kind"), ordinal.cast("bigint").alias("source_ord"), "row_ord", *fields
+        ))
+
+    def read(part: DataFrame, kind: int, ordinal: Column, whole: Column) -> DataFrame:
+        near = None if digits is None else digits.filter(whole)
+        return source(rows_from_words(part, near, hot), kind, ordinal)
+
+    whole = F.coalesce(F.col("region_id") == WHOLE_PAGE, F.lit(False))
+    found = []
     if cell_tables is not None:
-        vector = rows_from_cell_tables(cell_tables).select(
-            *page, F.lit(VECTOR_TABLE).alias("source_kind"), F.col("table_ord").cast("bigint").alias("source_ord"), "row_ord", *fields
-        )
-        sources = vector.unionByName(sources)
-    return first_source(sources)
+        found.append(skew.written(source(rows_from_cell_tables(cell_tables), VECTOR_TABLE, F.col("table_ord"))))
+        words = unserved(words, found[-1])
+    inside = words.filter(~whole)
+    if regions is not None:
+        known = regions.select(*page, F.col("region_rank").cast("string").alias("region_id"))
+        inside = inside.join(known, IMAGE, "left_semi")
+    rank = F.col("region_id").try_cast("bigint")
+    found.append(skew.written(read(inside, RULED_REGION, rank, ~whole)))
+    rest = unserved(words.filter(whole), found[-1])
+    found.append(read(rest, PAGE_IMAGE, F.lit(0), whole))
+    return reduce(DataFrame.unionByName, found)
 
 
 def to_contract(rows: DataFrame) -> DataFrame:

@@ -202,6 +202,81 @@ def test_source_order_looks_at_the_kind_first(spark):
     assert rows(tables.first_source(frame), "page_id", "source_kind", "source_ord") == [("p", 0, 3_000_000_000), ("q", 1, 2)]
 
 
+def sources(spark):
+    """Vector tables serve page v, a ruled region page r, the whole page w; page n has only its words."""
+    text = lambda page, region: [(1, page, region, i, t, x, y, w, 10) for i, (t, x, y, w) in enumerate(TABLE)]
+    schema = "doc_id long, page_id string, region_id string, word_ord long, text string, left int, top int, width int, height int"
+    places = [("v", "page"), ("v", "1"), ("r", "page"), ("r", "1"), ("r", "2"), ("w", "page"), ("w", "9"), ("n", "page"), ("w", None)]
+    found = spark.createDataFrame([row for at in places for row in text(*at)], schema)
+    ruled = spark.createDataFrame([(1, p, r) for p, r in [("v", 1), ("r", 1), ("r", 2), ("w", 1)]], "doc_id long, page_id string, region_rank int")
+    vector = spark.createDataFrame([
+        (1, "v", 5, [["Item", "Qty"], ["4", "2"]]), (1, "v", 6, [["Item", "Qty"], ["5", "2"]]), (1, "r", 7, [["Item", "Qty"]]),
+    ], "doc_id long, page_id string, table_ord long, cells array<array<string>>")
+    return found, ruled, vector
+
+
+SERVED = [("n", 2, 0, "07"), ("n", 2, 0, "8"), ("r", 1, 1, "07"), ("r", 1, 1, "8"), ("v", 0, 5, "4"), ("w", 2, 0, "07"), ("w", 2, 0, "8")]
+
+
+def served_rows(spark):
+    return rows(tables.extract_bom(*sources(spark)), "page_id", "source_kind", "source_ord", "item_no")
+
+
+def test_each_page_stops_at_its_first_source(spark):
+    assert served_rows(spark) == SERVED
+
+
+def test_each_large_page_stops_at_its_first_source(spark, small_groups):
+    assert served_rows(spark) == SERVED
+
+
+def test_served_pages_may_be_too_many_for_a_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert served_rows(spark) == SERVED
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_page_without_a_name_has_sources_too(spark):
+    nameless = words(spark, TABLE).withColumn("page_id", F.lit(None).cast("string"))
+    served = spark.createDataFrame([(1, "p")], "doc_id long, page_id string")
+    assert rows(tables.extract_bom(nameless), "page_id", "source_kind", "item_no") == [(None, 2, "07"), (None, 2, "8")]
+    assert tables.unserved(nameless, served).count() == len(TABLE)
+    assert tables.unserved(nameless, nameless).count() == 0
+
+
+def test_sources_without_regions_or_tables(spark):
+    found, _, vector = sources(spark)
+    pick = ("page_id", "source_kind", "source_ord")
+    assert set(rows(tables.extract_bom(found, None, vector), *pick)) == {("n", 2, 0), ("r", 1, 1), ("v", 0, 5), ("w", 1, None)}
+    assert set(rows(tables.extract_bom(found.limit(0)), *pick)) == set()
+
+
+def shuffled_rows(frame):
+    """Rows that the exchanges of a collected frame by image wrote, by the plan's own metrics."""
+    def nodes(plan):
+        yield plan
+        name = plan.getClass().getSimpleName()
+        inner = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else []
+        children = plan.children()
+        for child in inner + [children.apply(i) for i in range(children.size())]:
+            yield from nodes(child)
+    return [
+        n.metrics().apply("shuffleRecordsWritten").value() for n in nodes(frame._jdf.queryExecution().executedPlan())
+        if n.getClass().getSimpleName() == "ShuffleExchangeExec" and n.shuffleOrigin().toString() == "REPARTITION_BY_COL"
+    ]
+
+
+def test_words_of_served_pages_are_not_clustered(spark):
+    found, ruled, vector = sources(spark)
+    last = tables.extract_bom(found, ruled, vector)
+    last.collect()
+    spoken = sum(any(c.isalnum() for c in t) for t, *_ in TABLE)
+    # Of five whole pages of words only those of pages w and n are left.
+    assert set(shuffled_rows(last)) == {2 * spoken}
+
+
 def test_ordinals_of_pages_without_a_number_and_of_two_requests(spark):
     given = [("front", "a", 0), ("back", "a", 0), ("page_010", "a", 0), ("page_002", "b", 1), ("page_002", "b", 0), ("page_002", "a", 5)]
     frame = spark.createDataFrame(given, "page_id string, tile string, i long").withColumn("ord", sc.place("tile", "i"))
