@@ -1,18 +1,20 @@
 """Benchmark decontamination with suffix arrays.
 
 Every slice of the documents (a shard) gets a suffix array over its words.
-Each suffix of each benchmark text is searched there by bisection, which gives
-its longest verbatim match and, as one interval of the array, all places that
-share a whole window of words with it. Shards are independent, so nothing is
-shuffled; a passage that many documents share costs no more than any other.
-
-Benchmark texts reach the executors in blocks of ``BLOCK_BYTES`` text bytes at
-most, streamed through the driver one block at a time. A larger benchmark
-takes one more pass over the documents for each further block.
+Each distinct window of the benchmark is searched there by bisection, which
+gives, as one interval of the array, all places that share it; each test suffix
+is then searched inside its window's interval for its longest verbatim match.
+Shards are independent, so nothing is shuffled; a passage that many documents
+or many benchmark texts share costs no more than any other.
+
+Windows are named in tasks, in blocks of about ``BLOCK_BYTES`` text bytes, and
+each block is broadcast as flat arrays of some 40 bytes a word. A larger
+benchmark takes one more pass over the documents for each further block.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,64 +26,68 @@ from pyspark.sql import types as T
 
 from draftweave.llm.words import ALPHANUMERIC, Words, shards, text_bytes
 
-#: Text bytes of the benchmark in one broadcast.
-BLOCK_BYTES = 16 << 20
+#: Text bytes of the benchmark in one broadcast, on average.
+BLOCK_BYTES = 8 << 20
+
+#: Occurrences compared byte for byte at a time, and item ids listed in one batch.
+COMPARED, LISTED = 1 << 17, 1 << 19
 
 _SPANS, _ITEMS, _WORDS = "_llm_spans", "_llm_items", "_llm_words"
 
 
 @dataclass
 class Patterns:
-    """Benchmark windows of one block, equal ones merged.
-
-    ``words`` holds a row of fingerprints for each distinct test suffix, zero
-    padded; ``length`` its words; ``need`` the words of its window. ``owners``
-    lists the items of suffix ``i`` at ``owner_start[i]:owner_start[i + 1]``.
+    """Words of one block of the benchmark, and its windows, equal ones merged.
+
+    Word ``i`` has the fingerprint ``prints[i]`` and the bytes
+    ``low[byte_start[i]:byte_end[i]]``; its text ends before word ``end[i]`` and
+    is of item ``item_of[i]``. Window ``j`` is ``need[j]`` words from word
+    ``head[j]`` and occurs in the items ``owners[owner_start[j]:owner_start[j + 1]]``.
+    ``window_of[i]`` is the window that the test suffix at word ``i`` begins
+    with, -1 where too few words follow. ``item_ids`` are sorted.
     """
 
-    words: np.ndarray
-    length: np.ndarray
+    prints: np.ndarray
+    byte_start: np.ndarray
+    byte_end: np.ndarray
+    low: np.ndarray
+    end: np.ndarray
+    item_of: np.ndarray
+    window_of: np.ndarray
+    head: np.ndarray
     need: np.ndarray
     owner_start: np.ndarray
     owners: np.ndarray
-    item_ids: list[str]
-    low: np.ndarray
-    byte_start: np.ndarray
-    byte_end: np.ndarray
+    item_ids: pa.Array
 
 
 def patterns_of(ids: list[str], texts: list[str], window: int) -> Patterns:
     data, offsets = text_bytes(pa.array(texts, pa.large_string()))
     found = Words(data, offsets, ALPHANUMERIC)
-    prints = found.fingerprints() if len(data) else np.zeros(0, np.uint64)
-    starts, lengths, needs, items = [], [], [], []
-    for item, (first, count) in enumerate(zip(found.first_word, found.counts)):
-        need = min(window, int(count))
-        for at in range(int(count) - need + 1 if count else 0):
-            starts.append(first + at)
-            lengths.append(count - at)
-            needs.append(need)
-            items.append(item)
-    starts, lengths = np.array(starts, np.int64), np.array(lengths, np.int64)
-    needs, items = np.array(needs, np.int64), np.array(items, np.int64)
-    by_text: dict[tuple[int, bytes], list[int]] = {}
-    for i in range(len(starts)):
-        by_text.setdefault((int(needs[i]), prints[starts[i] : starts[i] + lengths[i]].tobytes()), []).append(i)
-    groups = list(by_text.values())
-    heads = np.array([g[0] for g in groups], np.int64)
-    owners = [sorted({int(items[i]) for i in g}) for g in groups]
-    width = int(lengths.max(initial=1))
-    at = starts[heads][:, None] + np.arange(width)[None, :]
-    real = np.arange(width)[None, :] < lengths[heads][:, None]
-    at = np.where(real, at, 0)
-    none = np.zeros(max(1, len(prints)), np.uint64)
-    table = np.where(real, prints[at] if len(prints) else none[at], np.uint64(0))
+    n = len(found.starts)
+    prints = found.fingerprints() if n else np.zeros(0, np.uint64)
+    text_of = np.repeat(np.arange(len(texts)), found.counts)
+    end = found.first_word[1:][text_of]
+    need = np.minimum(window, found.counts)[text_of]
+    suffix = np.flatnonzero(end - np.arange(n) >= need)
+    # A window's name is that of its first words paired with the next word, so equal names mean equal words.
+    word = np.unique(prints, return_inverse=True)[1].astype(np.int64) + 1
+    name = need[suffix].astype(np.int64)
+    for k in range(int(need.max(initial=0))):
+        follows = np.where(k < need[suffix], word[np.minimum(suffix + k, n - 1)], 0)
+        name = np.unique((name << 32) | follows, return_inverse=True)[1].astype(np.int64)
+    head = suffix[np.unique(name, return_index=True)[1]]
+    window_of = np.full(n, -1, np.int32)
+    window_of[suffix] = name
+    item_ids = sorted(set(ids))
+    number = {item: i for i, item in enumerate(item_ids)}
+    item_of = np.array([number[i] for i in ids], np.int64)[text_of]
+    pairs = np.unique(name * max(1, len(item_ids)) + item_of[suffix])
     return Patterns(
-        table, lengths[heads], needs[heads],
-        np.concatenate([[0], np.cumsum([len(x) for x in owners])]).astype(np.int64),
-        np.array([y for x in owners for y in x], np.int64), ids, found.low,
-        np.where(real, found.starts[at] if len(prints) else 0, 0),
-        np.where(real, found.ends[at] if len(prints) else 0, 0),
+        prints, found.starts.astype(np.int32), found.ends.astype(np.int32), found.low, end.astype(np.int32),
+        item_of.astype(np.int32), window_of, head.astype(np.int32), need[head].astype(np.int32),
+        np.searchsorted(pairs, np.arange(len(head) + 1) * max(1, len(item_ids))),
+        (pairs % max(1, len(item_ids))).astype(np.int32), pa.array(item_ids, pa.string()),
     )
 
 
@@ -136,20 +142,20 @@ class SuffixArray:
             rank[self.order[tied]] = heads[tied] + 1
             sorted_to *= 2
 
-    def numbered(self, table: np.ndarray) -> np.ndarray:
+    def numbered(self, prints: np.ndarray) -> np.ndarray:
         """Word numbers of fingerprints; 0 for words the shard doesn't have."""
         if not len(self.names):
-            return np.zeros(table.shape, np.int64)
-        at = np.minimum(np.searchsorted(self.names, table), len(self.names) - 1)
-        return np.where(self.names[at] == table, at + 1, 0)
+            return np.zeros(prints.shape, np.int64)
+        at = np.minimum(np.searchsorted(self.names, prints), len(self.names) - 1)
+        return np.where(self.names[at] == prints, at + 1, 0)
 
-    def _compared(self, place: np.ndarray, row: np.ndarray, table: np.ndarray, length: np.ndarray):
-        """Sign of suffix against pattern over ``length`` words, and their common words."""
+    def _compared(self, place: np.ndarray, start: np.ndarray, words: np.ndarray, length: np.ndarray):
+        """Sign of the suffix at ``place`` against ``length`` words from ``start``, and the words in common."""
         sign, common = np.zeros(len(place), np.int64), length.copy()
         live, k = np.flatnonzero(length > 0), 0
         while len(live):
             # A text's end is 0, below every word, so no comparison runs past it.
-            step = self.seq[np.minimum(place[live] + k, len(self.seq) - 1)] - table[row[live], k]
+            step = self.seq[np.minimum(place[live] + k, len(self.seq) - 1)] - words[start[live] + k]
             other = step != 0
             sign[live[other]] = np.sign(step[other])
             common[live[other]] = k
@@ -158,51 +164,58 @@ class SuffixArray:
             live = live[length[live] > k]
         return sign, common
 
-    def _bisect(self, lo, hi, row, table, length, after: bool) -> np.ndarray:
-        """First place in ``lo:hi`` whose suffix is not below (``after``: is above) the pattern."""
+    def _bisect(self, lo, hi, start, words, length, after: bool) -> np.ndarray:
+        """First place in ``lo:hi`` whose suffix is not below (``after``: is above) the words."""
         lo, hi = lo.copy(), hi.copy()
         while len(open_ := np.flatnonzero(lo < hi)):
             mid = (lo[open_] + hi[open_]) // 2
-            sign, _ = self._compared(self.order[mid], row[open_], table, length[open_])
+            sign, _ = self._compared(self.order[mid], start[open_], words, length[open_])
             below = sign <= 0 if after else sign < 0
             lo[open_[below]] = mid[below] + 1
             hi[open_[~below]] = mid[~below]
         return lo
 
-    def search(self, p: Patterns) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of ``p`` whose window occurs: row, interval of the array, longest match and its place."""
-        table = self.numbered(p.words)
-        width = table.shape[1]
-        unknown = (table == 0) & (np.arange(width)[None, :] < p.length[:, None])
-        known = np.where(unknown.any(axis=1), unknown.argmax(axis=1), p.length)
-        row = np.flatnonzero((known >= p.need) & (p.need > 0))
-        head = np.zeros(len(row), np.int64)
-        tail = np.zeros(len(row), np.int64)
+    def windows(self, p: Patterns, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of ``p`` that occur, and their intervals of the array; ``words`` are numbered."""
+        strange = np.append(0, np.cumsum(words == 0))
+        row = np.flatnonzero(strange[p.head + p.need] == strange[p.head])
+        start, need = p.head[row].astype(np.int64), p.need[row].astype(np.int64)
+        low = np.zeros(len(row), np.int64)
+        high = np.zeros(len(row), np.int64)
         for k in range(self.packed):
-            word = table[row, k] if k < width else np.zeros(len(row), np.int64)
-            free = k >= p.need[row]
-            head = (head << self.bits) | np.where(free, 0, word)
-            tail = (tail << self.bits) | np.where(free, (1 << self.bits) - 1, word)
-        lo = np.searchsorted(self.keys, head, "left")
-        hi = np.searchsorted(self.keys, tail, "right")
-        some = lo < hi
-        row, lo, hi = row[some], lo[some], hi[some]
-        first = self._bisect(lo, hi, row, table, p.need[row], False)
-        last = self._bisect(first, hi, row, table, p.need[row], True)
+            word, free = words[np.minimum(start + k, len(words) - 1)], k >= need
+            low = (low << self.bits) | np.where(free, 0, word)
+            high = (high << self.bits) | np.where(free, (1 << self.bits) - 1, word)
+        lo, hi = np.searchsorted(self.keys, low, "left"), np.searchsorted(self.keys, high, "right")
+        first = self._bisect(lo, hi, start, words, need, False)
+        last = self._bisect(first, hi, start, words, need, True)
         some = first < last
-        row, first, last = row[some], first[some], last[some]
-        at = self._bisect(first, last, row, table, known[row], False)
-        left, right = np.maximum(at - 1, first), np.minimum(at, last - 1)
-        _, to_left = self._compared(self.order[left], row, table, known[row])
-        _, to_right = self._compared(self.order[right], row, table, known[row])
+        return row[some], first[some], last[some]
+
+    def longest(self, p: Patterns, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Test suffixes whose window occurs, their longest match and its first place."""
+        row, first, last = self.windows(p, words)
+        found = np.full(len(p.need) + 1, -1, np.int64)
+        found[row] = np.arange(len(row))
+        at = found[p.window_of]
+        suffix = np.flatnonzero(at >= 0)
+        first, last = first[at[suffix]], last[at[suffix]]
+        if not len(suffix):
+            return suffix, suffix, suffix
+        strange = np.where(words == 0, np.arange(len(words)), len(words))
+        strange = np.minimum.accumulate(strange[::-1])[::-1]
+        known = np.minimum(strange, p.end)[suffix] - suffix
+        near = self._bisect(first, last, suffix, words, known, False)
+        left, right = np.maximum(near - 1, first), np.minimum(near, last - 1)
+        _, to_left = self._compared(self.order[left], suffix, words, known)
+        _, to_right = self._compared(self.order[right], suffix, words, known)
         longest = np.maximum(to_left, to_right)
-        # The first of all places that match so far, whatever follows there.
-        first_of = self._bisect(first, last, row, table, longest, False)
-        behind = self._bisect(first_of, last, row, table, longest, True)
-        if not len(row):
-            return row, first, last, longest, row
-        where = np.minimum.reduceat(np.append(self.order, len(self.seq)), np.stack([first_of, behind], axis=1).ravel())[::2]
-        return row, first, last, longest, where
+        # The first of all places that match so far, whatever follows there; suffixes with one interval share it.
+        first_of = self._bisect(first, last, suffix, words, longest, False)
+        behind = self._bisect(first_of, last, suffix, words, longest, True)
+        spans, which = np.unique((first_of << 32) | behind, return_inverse=True)
+        edges = np.stack([spans >> 32, spans & 0xFFFFFFFF], axis=1).ravel()
+        return suffix, longest, np.minimum.reduceat(np.append(self.order, len(self.seq)), edges)[::2][which]
 
 
 def _ragged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,41 +225,47 @@ def _ragged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner], owner
 
 
-def _verbatim(found: Words, word: np.ndarray, row: np.ndarray, p: Patterns) -> np.ndarray:
-    """Whether the windows at these words equal their patterns byte for byte."""
-    k, owner = _ragged(np.zeros(len(row), np.int64), p.need[row])
-    a, a_end = found.starts[word[owner] + k], found.ends[word[owner] + k]
-    b, b_end = p.byte_start[row[owner], k], p.byte_end[row[owner], k]
-    good = a_end - a == b_end - b
-    live, step = np.flatnonzero(good), 0
-    while len(live):
-        same = found.low[a[live] + step] == p.low[b[live] + step]
-        good[live[~same]] = False
-        step += 1
-        live = live[same]
-        live = live[a_end[live] - a[live] > step]
-    return np.bincount(owner[~good], minlength=len(row)) == 0
-
-
-def _shard_hits(found: Words, p: Patterns):
-    """Covered word spans and items of each text, and the longest match of each test suffix."""
-    texts = len(found.counts)
-    spans: list[list[int]] = [[] for _ in range(texts)]
-    items: list[list[int]] = [[] for _ in range(texts)]
-    if not len(found.starts) or not len(p.length):
-        return spans, items, []
-    array = SuffixArray(found.fingerprints(), found.counts, int(p.length.max()))
-    row, first, last, longest, where = array.search(p)
-    text_at = lambda place: np.searchsorted(found.first_word[:-1] + np.arange(texts), place, "right") - 1
+def _verbatim(found: Words, word: np.ndarray, window: np.ndarray, p: Patterns) -> np.ndarray:
+    """Whether the words from ``word`` on equal their windows byte for byte."""
+    good = np.ones(len(word), bool)
+    for at in range(0, len(word), COMPARED):
+        one, size = window[at : at + COMPARED], p.need[window[at : at + COMPARED]].astype(np.int64)
+        k, owner = _ragged(np.zeros(len(one), np.int64), size)
+        a, b = word[at : at + COMPARED][owner] + k, p.head[one][owner] + k
+        a, a_end, b, b_end = found.starts[a], found.ends[a], p.byte_start[b], p.byte_end[b]
+        same = a_end - a == b_end - b
+        live, step = np.flatnonzero(same), 0
+        while len(live):
+            equal = found.low[a[live] + step] == p.low[b[live] + step]
+            same[live[~equal]] = False
+            step += 1
+            live = live[equal]
+            live = live[a_end[live] - a[live] > step]
+        good[at : at + COMPARED] = np.bincount(owner[~same], minlength=len(one)) == 0
+    return good
+
+
+def _text_at(found: Words, place: np.ndarray) -> np.ndarray:
+    """The text that a place of the suffix array lies in."""
+    return np.searchsorted(found.first_word[:-1] + np.arange(len(found.counts)), place, "right") - 1
+
+
+def _shard_hits(found: Words, p: Patterns) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+    """Covered word spans of each text, and the distinct pairs of text and occurring window."""
+    spans: list[list[int]] = [[] for _ in found.counts]
+    if not len(found.starts) or not len(p.need):
+        return spans, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    array = SuffixArray(found.fingerprints(), found.counts, int(p.need.max()))
+    row, first, last = array.windows(p, array.numbered(p.prints))
     at, owner = _ragged(first, last)
     place = array.order[at]
-    text = text_at(place)
-    word, hit_row = place - text, row[owner]
-    exact = _verbatim(found, word, hit_row, p)
-    text, word, hit_row = text[exact], word[exact], hit_row[exact]
+    text, window = _text_at(found, place), row[owner]
+    word = place - text
+    exact = _verbatim(found, word, window, p)
+    text, word, window = text[exact], word[exact], window[exact]
     edge = np.zeros(len(found.starts) + 1, np.int64)
     np.add.at(edge, word, 1)
-    np.add.at(edge, word + p.need[hit_row], -1)
+    np.add.at(edge, word + p.need[window], -1)
     hit = np.cumsum(edge[:-1]) > 0
     prev = np.append(False, hit[:-1])
     prev[found.first_word[:-1][found.counts > 0]] = False
@@ -257,28 +276,44 @@ def _shard_hits(found: Words, p: Patterns):
     for s, e in zip(starts.tolist(), ends.tolist()):
         t = int(array.text_of_word[s])
         spans[t] += [s - int(found.first_word[t]), e - int(found.first_word[t])]
-    pairs = np.unique((text << 32) | hit_row)
-    pick, pair = _ragged(p.owner_start[pairs & 0xFFFFFFFF], p.owner_start[(pairs & 0xFFFFFFFF) + 1])
-    for t, i in np.unique(np.stack([(pairs >> 32)[pair], p.owners[pick]], axis=1), axis=0).tolist():
-        items[t].append(i)
-    best_text = text_at(where)
-    return spans, items, list(zip(row.tolist(), longest.tolist(), best_text.tolist(), (where - best_text - found.first_word[best_text]).tolist()))
-
-
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[tuple[list[str], list[str]]]:
-    """Benchmark rows with a text, in blocks of bounded size; the id null is written ``null``."""
+    pairs = np.unique((text << 32) | window)
+    return spans, pairs >> 32, pairs & 0xFFFFFFFF
+
+
+def _item_lists(p: Patterns, text: np.ndarray, window: np.ndarray, texts: int) -> Iterator[tuple[int, int, pa.Array]]:
+    """Slices of the texts with the ids of their items, ``LISTED`` windows' items or one text at a time."""
+    items = max(1, len(p.item_ids))
+    sizes = p.owner_start[window + 1] - p.owner_start[window]
+    upto = np.append(0, np.cumsum(np.bincount(text, sizes, texts))).astype(np.int64)
+    start = 0
+    while start < texts:
+        end = max(start + 1, int(np.searchsorted(upto, upto[start] + LISTED, "right")) - 1)
+        low, high = np.searchsorted(text, [start, end])
+        pick, pair = _ragged(p.owner_start[window[low:high]], p.owner_start[window[low:high] + 1])
+        keys = np.unique((text[low:high][pair] - start) * items + p.owners[pick])
+        offsets = np.append(0, np.cumsum(np.bincount(keys // items, minlength=end - start)))
+        yield start, end, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), p.item_ids.take(pa.array(keys % items)))
+        start = end
+
+
+def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int) -> Iterator[Patterns]:
+    """Benchmark rows with a text, in blocks built by tasks; the id null is written ``null``."""
     rows = benchmark.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text")
-    ).filter(F.col("text").isNotNull() & (F.col("text") != ""))
-    ids, texts, size = [], [], 0
-    for item, body in rows.toLocalIterator():
-        if texts and size + len(body) > BLOCK_BYTES:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(item)
-        texts.append(body)
-        size += len(body)
-    yield ids, texts
+    ).filter(F.col("text").isNotNull() & (F.col("text") != "")).distinct()
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+    if size is None:
+        yield patterns_of([], [], window)
+        return
+    blocks = -(-size // BLOCK_BYTES)
+
+    def built(block: pa.Table) -> pa.Table:
+        p = patterns_of(block.column("item").to_pylist(), block.column("text").to_pylist(), window)
+        return pa.table({"patterns": pa.array([pickle.dumps(p, 5)], pa.binary())})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+    for (patterns,) in dealt.groupBy("block").applyInArrow(built, "patterns binary").toLocalIterator():
+        yield pickle.loads(patterns)
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, text: str, item_id: str, item_text: str) -> DataFrame:
@@ -294,36 +329,42 @@ def _with_hits(docs: DataFrame, benchmark: DataFrame, window: int, text: str, it
     names = docs.columns
     moved = docs.toDF(*[f"c{i}" for i in range(len(names))])
     body = f"c{names.index(text)}"
-    for number, (ids, texts) in enumerate(_blocks(benchmark, item_id, item_text)):
-        shared = spark.sparkContext.broadcast(patterns_of(ids, texts, window))
+    for number, patterns in enumerate(_blocks(benchmark, item_id, item_text, window)):
+        shared = spark.sparkContext.broadcast(patterns)
 
         def searched(batches, shared=shared, later=number > 0):
             p = shared.value
             for part in shards(batches, body):
                 data, offsets = text_bytes(part.column(part.schema.get_field_index(body)))
                 found = Words(data, offsets, ALPHANUMERIC)
-                spans, items, _ = _shard_hits(found, p)
-                named = [[p.item_ids[i] for i in x] for x in items]
-                if later:
-                    spans = [_merged(a + b) for a, b in zip(part.column(_SPANS).to_pylist(), spans)]
-                    named = [sorted({*a, *b}) for a, b in zip(part.column(_ITEMS).to_pylist(), named)]
-                    part = part.select([c for c in part.schema.names if c not in (_SPANS, _ITEMS, _WORDS)])
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(spans, pa.list_(pa.int64())),
-                     pa.array([sorted(set(x)) for x in named], pa.list_(pa.string())), pa.array(found.counts, pa.int64())],
-                    names=[*part.schema.names, _SPANS, _ITEMS, _WORDS],
-                )
+                spans, text_no, window_no = _shard_hits(found, p)
+                for start, end, items in _item_lists(p, text_no, window_no, part.num_rows):
+                    yield _extended(part.slice(start, end - start), spans[start:end], items, found.counts[start:end], later)
 
         fields = [f for f in moved.schema.fields if f.name not in (_SPANS, _ITEMS, _WORDS)]
         moved = moved.mapInArrow(searched, T.StructType(fields + mine))
     return moved
 
 
+def _extended(part: pa.RecordBatch, spans: list[list[int]], items: pa.Array, counts: np.ndarray, later: bool) -> pa.RecordBatch:
+    """Rows with what was found in them, joined to what earlier blocks found."""
+    if later:
+        spans = [_merged(a + b) for a, b in zip(part.column(_SPANS).to_pylist(), spans)]
+        items = pa.array(
+            [sorted({*a, *b}) for a, b in zip(part.column(_ITEMS).to_pylist(), items.to_pylist())], pa.list_(pa.string())
+        )
+        part = part.select([c for c in part.schema.names if c not in (_SPANS, _ITEMS, _WORDS)])
+    return pa.RecordBatch.from_arrays(
+        [*part.columns, pa.array(spans, pa.list_(pa.int64())), items, pa.array(counts, pa.int64())],
+        names=[*part.schema.names, _SPANS, _ITEMS, _WORDS],
+    )
+
+
 def _merged(flat: list[int]) -> list[int]:
     """Union of spans given as start, end, start, end."""
     out: list[int] = []
     for start, end in sorted(zip(flat[::2], flat[1::2])):
-        if out and start < out[-1]:
+        if out and start <= out[-1]:
             out[-1] = max(out[-1], end)
         else:
             out += [start, end]
@@ -347,7 +388,9 @@ def matches(
     A null or empty text has no words and no hits; a null ``doc_id`` stays a
     row; repeated rows and ids give a row each. Benchmark rows without text
     are passed over, a null item id is listed as ``null``, several rows of one
-    id count as one item. Empty tables give no rows, or rows without hits.
+    id count as one item. Empty tables give no rows, or rows without hits. A
+    text of any length, on either side, is searched whole; a document beyond
+    2 MB is a shard of its own.
     """
     found = _with_hits(docs.select(doc_id, text), benchmark, window, text, item_id, item_text)
     flat = F.col(_SPANS)
@@ -390,25 +433,31 @@ def longest_matches(
     One row for each item and suffix text: ``item_id`` (as text), ``length`` of
     the suffix in words, ``match`` (words in common) and its place
     ``(doc_id, word)``, the smallest of equally long ones found by the shards.
+    Null and empty texts on either side give no rows, nor does an empty table;
+    repeated rows count once; texts of any length are searched whole. Matches
+    rest on word fingerprints, without the comparison of bytes that ``matches``
+    makes.
     """
     spark = docs.sparkSession
     schema = f"item_id string, length long, match long, doc_id {docs.schema[doc_id].dataType.simpleString()}, word long"
     out = None
-    for ids, texts in _blocks(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast(patterns_of(ids, texts, window))
+    for patterns in _blocks(benchmark, item_id, item_text, window):
+        shared = spark.sparkContext.broadcast(patterns)
 
         def best(batches, shared=shared):
             p = shared.value
+            deepest = int((p.end - np.arange(len(p.end))).max(initial=1))
             for part in shards(batches, "c1"):
-                data, offsets = text_bytes(part.column(1))
-                _, _, longest = _shard_hits(Words(data, offsets, ALPHANUMERIC), p)
-                keys = part.column(0).to_pylist()
-                rows = [
-                    (p.item_ids[i], int(p.length[r]), n, keys[t], w)
-                    for r, n, t, w in longest for i in p.owners[p.owner_start[r] : p.owner_start[r + 1]]
-                ]
+                found = Words(*text_bytes(part.column(1)), ALPHANUMERIC)
+                if not len(found.starts) or not len(p.need):
+                    continue
+                array = SuffixArray(found.fingerprints(), found.counts, deepest)
+                suffix, longest, place = array.longest(p, array.numbered(p.prints))
+                at = _text_at(found, place)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(x), kind) for x, kind in zip(zip(*rows) if rows else [[]] * 5, (pa.string(), pa.int64(), pa.int64(), part.schema.types[0], pa.int64()))],
+                    [p.item_ids.take(pa.array(p.item_of[suffix])), pa.array(p.end[suffix] - suffix, pa.int64()),
+                     pa.array(longest, pa.int64()), part.column(0).take(pa.array(at)),
+                     pa.array(place - at - found.first_word[at], pa.int64())],
                     names=["item_id", "length", "match", "doc_id", "word"],
                 )
 

@@ -1,6 +1,8 @@
 import hashlib
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from draftweave.llm import decontaminate
@@ -76,3 +78,48 @@ def test_empty_tables_and_null_ids(spark, items):
     assert sorted((r.doc_id, r.n_hit) for r in none.collect()) == [(None, 0), (None, 0)]
     both = decontaminate.matches(frame(spark, ["one two", "one two"], [4, 4]), benchmark(spark, items))
     assert [r.n_hit for r in both.collect()] == [2, 2]
+
+
+def test_items_that_share_an_opening(spark):
+    opening = words(12, 5)
+    items = [(i, " ".join([*opening, *words(8, 100 + i, 5000)])) for i in range(300)]
+    texts = [" ".join([*words(5, i), *opening, *words(5, 900 + i)]) for i in range(40)] + [items[7][1]]
+    got = decontaminate.matches(frame(spark, texts), benchmark(spark, items)).orderBy("doc_id").collect()
+    keys = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert [tuple(r[k] for k in keys) for r in got] == brute(texts, items)
+    best = {(r.item_id, r.length): r["match"] for r in decontaminate.longest_matches(frame(spark, texts), benchmark(spark, items)).collect()}
+    assert best["7", 20] == 20 and best["8", 20] == 12 and len({i for i, _ in best}) == 300
+
+
+def test_listing_in_slices_and_comparing_in_parts(spark, mixed_texts, items, monkeypatch):
+    whole = decontaminate.matches(frame(spark, mixed_texts), benchmark(spark, items)).orderBy("doc_id").collect()
+    p = decontaminate.patterns_of([str(i) for i, t in items if t], [t for _, t in items if t], 10)
+    data, offsets = decontaminate.text_bytes(pa.array(mixed_texts, pa.string()))
+    found = decontaminate.Words(data, offsets, decontaminate.ALPHANUMERIC)
+    monkeypatch.setattr(decontaminate, "COMPARED", 7)
+    monkeypatch.setattr(decontaminate, "LISTED", 1)
+    spans, text, window = decontaminate._shard_hits(found, p)
+    slices = list(decontaminate._item_lists(p, text, window, len(mixed_texts)))
+    assert len(slices) > 3 and [s for s, _, _ in slices[1:]] == [e for _, e, _ in slices[:-1]]
+    assert sum(e - s for s, e, _ in slices) == len(mixed_texts)
+    listed = [{"null" if x == "None" else x for x in one} for _, _, part in slices for one in part.to_pylist()]
+    assert listed == [set(r.item_ids) for r in whole]
+    assert [sum(b - a for a, b in zip(s[::2], s[1::2])) for s in spans] == [r.n_hit for r in whole]
+
+
+@pytest.mark.parametrize("count, size", [(20_000, 20), (1, 20_000)])
+def test_memory_of_many_openings_and_of_a_long_item(count, size):
+    """Flat arrays: many items with one opening, and one very long item, stay far below a worker's memory."""
+    opening = words(12, 5)
+    texts = [" ".join([*opening, *words(size - 12, i, 5000)]) for i in range(count)]
+    docs = [" ".join([*opening, f"only{i} here"]) for i in range(1000)]
+    tracemalloc.start()
+    p = decontaminate.patterns_of([str(i) for i in range(count)], texts, 10)
+    data, offsets = decontaminate.text_bytes(pa.array(docs, pa.string()))
+    found = decontaminate.Words(data, offsets, decontaminate.ALPHANUMERIC)
+    spans, text, window = decontaminate._shard_hits(found, p)
+    hits = sum(len(part.values) for _, _, part in decontaminate._item_lists(p, text, window, len(docs)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hits == count * len(docs) and all(s == [0, 12] for s in spans)
+    assert peak < 400 << 20
