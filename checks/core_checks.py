@@ -335,6 +335,24 @@ def _(t):
     return out
 
 
+@check("k05b_bundle_rows", """
+    select 'bom' as sheet, cast(doc_id as varchar) as doc_id, cast(seq as varchar) as seq, concat_ws('|', coalesce(item, '~'), coalesce(nullif(name, ''), '~'), coalesce(cast(quantity as varchar), '~'), coalesce(nullif(supplier, ''), '~')) as row from @validated union all
+    select 'procurement_estimate', cast(doc_id as varchar), cast(seq as varchar), concat_ws('|', coalesce(item, '~'), coalesce(nullif(name, ''), '~'), coalesce(cast(quantity as varchar), '~'), coalesce(nullif(supplier, ''), '~')) from @validated union all
+    select 'validation_issues', cast(v.doc_id as varchar), cast(v.seq as varchar), concat_ws('|', coalesce(v.item, '~'), coalesce(i.type, '~'), coalesce(i.message, 'No issues.'), v.status)
+    from @validated v left join @issue_rows i on v.doc_id = i.doc_id and v.seq = i.seq""")
+def _(t):
+    stored = workspace(t).stored(f"{t.scratch}/components")
+    exports.export_bundle(stored.components, f"{t.scratch}/bundle", "csv")
+    sheets = exports.read_bundle(t.spark, f"{t.scratch}/bundle")
+    fields = {"bom": ["Item Number", "Part Name", "Quantity", "Supplier"], "procurement_estimate": ["Item Number", "Part Name", "Quantity", "Supplier"],
+              "validation_issues": ["Item Number", "Issue Type", "Message", "Status"]}
+    out = None
+    for name, sheet in sheets.items():
+        one = sheet.select(F.lit(name).alias("sheet"), "doc_id", "seq", F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("~")) for c in fields[name]]).alias("row"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @check("k06_failed_workspace", """select o_orderkey as doc_id, 'failed' as pipeline_status, 'extraction' as stage, 'Document processing produced no pages' as message,
     0 as linked_items, 'USD' as currency from @orders where o_orderkey not in (select l_orderkey from @lineitem)""")
 def _(t):

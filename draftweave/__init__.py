@@ -12,13 +12,13 @@ from draftweave.operators.verification import apply_verification
 from draftweave.plans.hybrid import run_hybrid
 from draftweave.plans.vision import extractions_from_responses
 from draftweave.plans.workspace import Workspace, build_workspace
-from draftweave.sinks.exports import export_bundle
+from draftweave.sinks.exports import export_bundle, read_bundle
 from draftweave.sources.files import document_inventory
 from draftweave.streaming.workspaces import stream_workspaces
 
 __all__ = [
     "Workspace", "apply_verification", "build_workspace", "dedupe_callouts", "diff",
     "document_inventory", "export_bundle", "extract_bom", "extractions_from_responses",
-    "parse_classifications", "price", "reconcile", "run_hybrid", "select_candidates",
+    "parse_classifications", "price", "read_bundle", "reconcile", "run_hybrid", "select_candidates",
     "stream_workspaces", "validate",
 ]

@@ -145,6 +145,40 @@ def test_exports(spark, tmp_path):
     assert issues.filter("Message = 'No issues.'").count() == 5
 
 
+def test_bundle_is_whole_or_refused(spark, tmp_path):
+    ws = build_workspace(bom(spark, SAMPLE_BOM), calls(spark, SAMPLE_CALLS))
+    odd = ws.components.withColumn("description", F.concat(F.lit('a "quoted", line\nand \\" more '), F.coalesce("description", F.lit(""))))
+    for fmt in ("csv", "parquet"):
+        folder = str(tmp_path / fmt)
+        with pytest.raises(exports.IncompleteBundle, match="no manifest"):
+            exports.read_bundle(spark, folder)
+        exports.export_bundle(odd, folder, fmt)
+        sheets = exports.read_bundle(spark, folder)
+        assert {n: s.count() for n, s in sheets.items()} == {n: f(odd).count() for n, f in exports.SHEETS.items()}
+        assert rows(sheets["bom"], "Description") == rows(odd, "description")
+        part = next(p for p in sorted((tmp_path / fmt / "bom").iterdir()) if p.name.startswith("part-"))
+        part.unlink()
+        with pytest.raises(exports.IncompleteBundle, match="bom"):
+            exports.read_bundle(spark, folder)
+
+
+def test_an_export_that_stops_leaves_nothing_readable(spark, tmp_path, monkeypatch):
+    ws = build_workspace(bom(spark, SAMPLE_BOM), calls(spark, SAMPLE_CALLS))
+    exports.export_bundle(ws.components, str(tmp_path))
+
+    def killed(rows):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setitem(exports.SHEETS, "procurement_estimate", killed)
+    with pytest.raises(RuntimeError):
+        exports.export_bundle(ws.components, str(tmp_path))
+    with pytest.raises(exports.IncompleteBundle, match="did not finish"):
+        exports.read_bundle(spark, str(tmp_path))
+    monkeypatch.undo()
+    exports.export_bundle(ws.components.limit(0), str(tmp_path))
+    assert [s.count() for s in exports.read_bundle(spark, str(tmp_path)).values()] == [0, 0, 0]
+
+
 def test_good_empty_and_failed_documents_share_a_schema(spark, tmp_path):
     ws = build_workspace(bom(spark, [item("1"), item("1"), item("Item 3-4")]), calls(spark, [("1", 0.9), ("A/B", 0.5)]))
     runs = spark.createDataFrame([(1, "a.pdf", 2), (5, "b.pdf", 1)], "doc_id long, original_filename string, pages_processed long")
