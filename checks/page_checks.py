@@ -6,7 +6,7 @@ from checks.registry import FRAGMENTS, check
 from checks.scalar_checks import iou_sql
 from draftweave.functions import geometry as geo
 from draftweave.operators import candidates as cand
-from draftweave.operators import dedupe, nearest, skew, tables
+from draftweave.operators import dedupe, nearest, selection, skew, tables
 
 PAGE = "doc_id, page_id"
 
@@ -139,6 +139,11 @@ def _(t):
     return cand.calibrate_radius(cand.loose_candidates(t.contours), hot_contours(t))
 
 
+@check("a10b_counted_medians", "select page_id, count(*) as n, median(area) as median from @loose group by page_id")
+def _(t):
+    return selection.medians(cand.loose_candidates(t.contours), ["page_id"], "area", limit=1000)
+
+
 def sized(t):
     loose, hot = cand.loose_candidates(t.contours), hot_contours(t)
     joined = skew.lookup(loose, cand.calibrate_radius(loose, hot), cand.PAGE, hot, "inner")

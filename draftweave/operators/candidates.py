@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from draftweave.functions import geometry as geo
 from draftweave.functions import scalars as sc
-from draftweave.operators import skew
+from draftweave.operators import selection, skew
 
 PAGE = ["doc_id", "page_id"]
 
@@ -44,23 +44,15 @@ def radius_range(n: Column, median: Column) -> Column:
 def page_medians(rows: DataFrame, value: str, hot: DataFrame | None = None) -> DataFrame:
     """Count and exact median per page.
 
-    A hot page is ranked over many tasks and its middle rows averaged; the
-    built-in median would hold all its distinct values in one.
+    The values of a hot page are counted by range over many tasks; the built-in
+    median would hold all its distinct values in one.
     """
     plain = skew.cold_part(rows, hot, PAGE).groupBy(*PAGE).agg(
         F.count(F.lit(1)).alias("n"), F.median(value).alias("median")
     )
     if hot is None:
         return plain
-    large = skew.hot_part(rows, hot, PAGE).select(*PAGE, value, "contour_ord")
-    sizes = large.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"))
-    at = skew.ranked_by_range(large, PAGE, [F.col(value), F.col("contour_ord")], "at")
-    middle = at.join(F.broadcast(sizes), PAGE).filter(
-        F.col("at").isin(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
-    )
-    return plain.unionByName(
-        middle.groupBy(*PAGE).agg(F.first("n").alias("n"), F.avg(value).alias("median"))
-    )
+    return plain.unionByName(selection.medians(skew.hot_part(rows, hot, PAGE), PAGE, value))
 
 
 def calibrate_radius(loose: DataFrame, hot: DataFrame | None = None) -> DataFrame:

@@ -79,29 +79,41 @@ def locate(components: DataFrame, item_number: str | Column) -> DataFrame:
     )
 
 
-#: Steps of the grid that points and boxes of a page meet on, over the page's 0-1000 scale.
-GRID = 10
+#: Size classes of boxes on a page's 0-1000 scale: class c holds boxes of at most 2^c a side.
+CLASSES = 11
 
 
-def _step(c: Column) -> Column:
-    """Grid step of a coordinate; those off the page count to its edge."""
-    return F.greatest(F.lit(0), F.least(F.lit(GRID - 1), F.floor(c * GRID / 1000).cast("int")))
+def _on_page(c: Column) -> Column:
+    """A coordinate moved to the page's edge if it lies beyond; order is kept."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1000.0), c.cast("double")))
+
+
+def _step(c: Column, size: Column) -> Column:
+    """Step of a coordinate on the grid of a size class."""
+    return F.floor(_on_page(c) / F.pow(F.lit(2.0), size)).cast("int")
 
 
 def parts_at(components: DataFrame, clicks: DataFrame) -> DataFrame:
     """Parts whose box holds a clicked point of its page (J-12).
 
-    A point and a box meet by an equi join on document, page and grid step, so
-    a crowded page spreads over its steps; a box covers at most ``GRID`` times
-    ``GRID`` of them. Clicks without ``page_id`` mean every page.
+    A point and a box meet by an equi join on document, page, size class and
+    grid step. The grid of a class is as fine as its boxes are long, so a box
+    lies on four steps at most and a crowd of small boxes spreads over as many
+    steps as it has places; a point looks up one step of each class. Clicks
+    without ``page_id`` mean every page; a box with swapped edges holds no point.
     """
     b = F.col("bounding_box")
-    boxes = components.filter(b.isNotNull()).select(
+    side = F.greatest(_on_page(b["xmax"]) - _on_page(b["xmin"]), _on_page(b["ymax"]) - _on_page(b["ymin"]), F.lit(1.0))
+    size = F.ceil(F.log2(side)).cast("int")
+    boxes = components.filter((b["xmin"] <= b["xmax"]) & (b["ymin"] <= b["ymax"])).select(
         F.col("doc_id").alias("_doc"), F.col("page_id").alias("_page"), "component_id", "item_number", "bounding_box",
-        F.explode(F.sequence(_step(b["xmin"]), _step(b["xmax"]))).alias("_col"),
-    ).withColumn("_row", F.explode(F.sequence(_step(b["ymin"]), _step(b["ymax"]))))
-    on = (F.col("doc_id") == F.col("_doc")) & (_step(F.col("x")) == F.col("_col")) & (_step(F.col("y")) == F.col("_row"))
+        size.alias("_size"),
+        F.explode(F.sequence(_step(b["xmin"], size), _step(b["xmax"], size))).alias("_col"),
+    ).withColumn("_row", F.explode(F.sequence(_step(b["ymin"], F.col("_size")), _step(b["ymax"], F.col("_size")))))
+    points = clicks.withColumn("_class", F.explode(F.sequence(F.lit(0), F.lit(CLASSES - 1))))
+    on = (F.col("doc_id") == F.col("_doc")) & (F.col("_class") == F.col("_size"))
+    on = on & (_step(F.col("x"), F.col("_class")) == F.col("_col")) & (_step(F.col("y"), F.col("_class")) == F.col("_row"))
     if "page_id" in clicks.columns:
         on = on & F.col("page_id").eqNullSafe(F.col("_page"))
-    hits = clicks.join(boxes, on).filter(geo.contains_point(b, F.col("x"), F.col("y")))
+    hits = points.join(boxes, on).filter(geo.contains_point(b, F.col("x"), F.col("y")))
     return hits.select(*clicks.columns, "component_id", "item_number")
