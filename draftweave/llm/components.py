@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node that ``edges(a, b)`` names.
 
     The component is the smallest node of it. Edges with a null end, loops and
-    repeated edges add nothing; a node with loops alone has no row.
+    repeated edges add nothing; a node with loops alone has no row. An empty
+    table gives an empty one.
     """
     edges = stored(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

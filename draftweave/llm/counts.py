@@ -122,7 +122,8 @@ def token_counts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     ``model`` is the path of a sentencepiece file. Words are split at blanks
     and 0x09-0x0D. Null and empty texts have no words and no tokens; null ids
     and repeated rows give a row each; an empty table gives none; other
-    columns are not looked at.
+    columns are not looked at. Texts of any length are counted whole; a
+    worker's memory grows with the longest text.
     """
     with open(model, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())

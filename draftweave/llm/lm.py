@@ -173,7 +173,8 @@ def scores(
 
     Null and empty texts are one end token. Repeated rows count and are scored
     each. Without training rows all counts are 0. An empty table gives no
-    rows; other columns are not looked at.
+    rows; other columns are not looked at. Texts of any length are scored
+    whole; a worker's memory grows with the longest text.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

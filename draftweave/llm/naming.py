@@ -127,7 +127,9 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bl
     The row with the largest ``doc_id`` stays; of rows that share text and
     ``doc_id``, exactly one. A null ``doc_id`` ranks below all others, and a
     group of such rows alone has a null ``keep_id``. An empty table gives no
-    rows; other columns of ``docs`` are not looked at.
+    rows; other columns of ``docs`` are not looked at. Very long texts are
+    named block by block, over many tasks. Names are the same for equal blocks
+    within one run; they ascend within a slice and not over the whole table.
     """
     each = _groups(docs, doc_id, text, block_bytes).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)

@@ -273,6 +273,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
     themselves. Rows of one ``doc_id`` share the kept mark when they are in
     one component. Null ids rank last: ``component_id`` is null only where all
     ids of a component are, and such rows are kept. Empty tables give no rows.
+    Texts of any length are compared by their full sets; a worker's memory
+    grows with the longest text. Other columns are not looked at.
     """
     band, agree = cuts(percent)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"), F.col(text).alias("text"))
@@ -323,7 +325,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that are kept, columns unchanged; cases as in ``components``."""
+    """The rows of ``docs`` that are kept, columns unchanged; cases as in ``components``.
+
+    Rows without shingles all stay; of repeated rows that are kept, all stay.
+    """
     stay = components(docs, doc_id, text, percent).filter("kept").select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).distinct()
     names = docs.columns
     moved = docs.toDF(*[f"c{i}" for i in range(len(names))])

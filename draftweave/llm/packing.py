@@ -190,7 +190,8 @@ def pack(
     from 0). Only texts of more than ``limit`` ids, the end id included, are
     cut. Null and empty texts are one piece of the end id. Null ids and
     repeated rows are packed like any others; an empty table gives no rows;
-    other columns are not looked at.
+    other columns are not looked at. A very long text fills sequences of its
+    own but for its last piece.
     """
     every = stored(pieces(docs, vocabulary, end, limit, doc_id, text))
     loose = every.filter(F.col("length") < limit)

@@ -113,7 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     The sample is the same for the same labels: rows go by a hash of their id.
     Several labels of one id count as their largest; null and other labels
     than 0 and 1 are passed over. Of a sampled id's rows in ``docs``, one is
-    drawn, by a hash of its text.
+    drawn, by a hash of its text. Null texts are learnt from as empty ones, and
+    of a long text the blocks that ``BLOCKS_OF_ROW`` states.
     """
     marked = (
         labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -178,7 +179,8 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", score: str = "
 
     Null texts are scored as empty ones; an empty text has a score like any
     other. Repeated rows get equal scores, an empty table gives no rows, and
-    other columns stay as they are.
+    other columns stay as they are. Texts of any length are scored over all
+    their blocks; a worker's memory grows with the longest text.
     """
     if model.constant is not None:
         return docs.withColumn(score, F.lit(float(model.constant)))
@@ -200,7 +202,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", score: str = "
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, columns unchanged."""
+    """The rows of ``docs`` that score ``threshold`` or more, columns unchanged; cases as in ``with_score``."""
     names = docs.columns
     plain = docs.toDF(*[f"d{i}" for i in range(len(names))])
     kept = with_score(plain, model, f"d{names.index(text)}", "_quality").filter(F.col("_quality") >= threshold)

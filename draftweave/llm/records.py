@@ -76,7 +76,8 @@ def write(
     Rows are written in ascending ``doc_id``, null ids first, rows of one id
     by a fingerprint of their text; repeated rows give a record each. Null and
     empty texts give a record of the end id alone. An empty table gives an
-    empty index. Other columns are not looked at.
+    empty index. Other columns are not looked at. A text of any length is one
+    record; a worker's memory grows with the longest one.
     """
     spark = docs.sparkSession
     shared = tokens.vocabulary(spark, vocabulary)

@@ -181,7 +181,8 @@ def spans(
     ones that do not overlap, and those too short for the rule are left out.
     Spans are sorted by start, then rule. Null and empty texts have none.
     Repeated rows and null ids give a row each; an empty table gives none;
-    other columns are not looked at.
+    other columns are not looked at. Texts of any length are searched whole,
+    each as one value.
     """
     rules = tuple(Rule(r.kind, _shape(r.pattern, r.least), r.group, r.least) for r in rules)
     queries = {n: trigram_query(r.pattern) for n, r in enumerate(rules)}

@@ -107,6 +107,7 @@ def judged(
     otherwise. A null URL, or one without ``://``, has an empty host and path,
     no alias and, unless a rule fits, the verdict ``allow``. Null html names
     nothing. Repeated rows and ids give a row each; an empty table gives none.
+    Other columns are not looked at. A URL or page of any length is read whole.
     """
     own = F.col(url)
     base = pages.select(
