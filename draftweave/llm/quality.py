@@ -93,28 +93,35 @@ def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-4)
     return mean, spread, w
 
 
-def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Evenly spread blocks of each sampled text."""
-    for part in shards(batches, "text"):
-        data, offsets = text_bytes(part.column(1))
-        labels, blocks = [], []
-        for y, a, b in zip(part.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-            starts = range(a, b, BLOCK_BYTES)
-            for s in starts[:: math.ceil(len(starts) / BLOCKS_OF_ROW) or 1]:
-                labels.append(y)
-                blocks.append(data[s : min(b, s + BLOCK_BYTES)].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(blocks, pa.binary())], names=["label", "block"])
+def _drawn(most: int | None):
+    """Evenly spread blocks of each sampled text, ``most`` of them or all."""
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in shards(batches, "text"):
+            data, offsets = text_bytes(part.column(1))
+            labels, blocks = [], []
+            for y, a, b in zip(part.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                starts = range(a, b, BLOCK_BYTES)
+                for s in starts[:: math.ceil(len(starts) / (most or max(1, len(starts)))) or 1]:
+                    labels.append(y)
+                    blocks.append(data[s : min(b, s + BLOCK_BYTES)].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(blocks, pa.binary())], names=["label", "block"])
+
+    return drawn
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
-        dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
+        dictionary_rows: int = DICTIONARY_ROWS, calibration_rows: int = CALIBRATION_ROWS,
+        blocks_of_row: int | None = BLOCKS_OF_ROW) -> Model:
     """Learn from the labelled rows for which ``learn``, a condition on ``doc_id``, holds.
 
     The sample is the same for the same labels: rows go by a hash of their id.
     Several labels of one id count as their largest; null and other labels
     than 0 and 1 are passed over. Of a sampled id's rows in ``docs``, one is
     drawn, by a hash of its text. Null texts are learnt from as empty ones, and
-    of a long text the blocks that ``BLOCKS_OF_ROW`` states.
+    of a long text ``blocks_of_row`` evenly spread blocks. With
+    ``blocks_of_row=None`` the dictionaries are built from whole sampled texts,
+    which then pass the driver whole.
     """
     marked = (
         labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -136,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
         return held.groupBy("doc_id").agg(F.min_by(F.struct("label", "text"), place).alias("row")).select("row.label", "row.text")
 
     # Both samples have a fixed number of rows at most.
-    blocks = one_each(known).mapInArrow(_drawn, "label int, block binary").collect()
+    blocks = one_each(known).mapInArrow(_drawn(blocks_of_row), "label int, block binary").collect()
     # A fixed order without neighbours alike, as the dictionary builder goes through its samples in turn.
     by_class = [sorted((bytes(r.block) for r in blocks if r.label == y), key=lambda x: (zlib.crc32(x), x)) for y in (0, 1)]
     if min(map(len, by_class)) == 0:

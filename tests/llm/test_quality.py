@@ -1,5 +1,8 @@
+import math
 import random
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import functions as F
 
 from draftweave.llm import quality
@@ -69,3 +72,34 @@ def test_repeated_rows_of_an_id_are_drawn_once(spark):
     plain = quality.fit(frame(spark, texts), marks, F.lit(True))
     often = [i for i in range(120) for _ in range(30 if i < 8 else 1)]
     assert quality.fit(frame(spark, [texts[i] for i in often], often), marks, F.lit(True)) == plain
+
+
+def by_hand(text, model):
+    """Compress block by block with each dictionary, one text at a time, and apply the curve."""
+    raw = (text or "").encode()
+
+    def size(data, dictionary=None):
+        extra = {} if dictionary is None else {"dict_data": zstandard.ZstdCompressionDict(dictionary), "write_dict_id": False}
+        return len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, **extra).compress(data))
+
+    blocks = [raw[i : i + 512] for i in range(0, len(raw), 512)] or [b""]
+    good, bad = (sum(size(b, d) for b in blocks) for d in (model.good, model.bad))
+    n = max(1, len(raw))
+    x = [(bad - good) / (good + bad), math.log(good / n), math.log(bad / n), math.log(size(raw) / n), math.log(1 + len(raw))]
+    z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.spread))
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_scores_equal_brute_force(spark, mixed_texts):
+    texts, labels = corpus(300, 6)
+    every = [*texts, *mixed_texts, " ".join(words(40_000, 9))]
+    model = quality.fit(frame(spark, every), label_table(spark, labels), ~quality.held_out(F.col("doc_id")))
+    got = {r.doc_id: r.score for r in quality.with_score(frame(spark, every), model).select("doc_id", "score").collect()}
+    assert max(abs(got[i] - by_hand(t, model)) for i, t in enumerate(every)) < 1e-6
+
+
+def test_blocks_of_a_sampled_row():
+    batch = pa.RecordBatch.from_pydict({"label": pa.array([1, 0], pa.int32()), "text": ["a" * 10_000, None]})
+    few = [b for part in quality._drawn(8)([batch]) for b in part.column(1).to_pylist()]
+    whole = [b for part in quality._drawn(None)([batch]) for b in part.column(1).to_pylist()]
+    assert len(few) <= 8 and b"".join(whole) == b"a" * 10_000
