@@ -295,6 +295,14 @@ def _(t):
                        F.col("procurement_data.estimated_total_cost_usd").alias("total_cost"))
 
 
+@check("s02b_incomplete_workspaces", """select cast(doc_id as varchar) as doc_id, count(*) as expected, count(*) - least(2, count(*) - 2) as found
+    from @validated where doc_id % 5 < 2 group by doc_id having count(*) > 2""")
+def _(t):
+    nested = documents.workspace_documents(workspace(t).components, part_rows=2)
+    documents.write_workspace(nested.filter("not (part = 1 and doc_id % 5 < 2)"), f"{t.scratch}/workspaces")
+    return workspaces.incomplete_documents(workspaces.read_workspace(t.spark, f"{t.scratch}/workspaces"))
+
+
 def _plain(sheet):
     """Sheet columns under names both engines spell alike."""
     return sheet.toDF(*[c.lower().replace(" (₹)", "").replace(" ", "_") for c in sheet.columns])

@@ -135,6 +135,22 @@ def test_stored_documents_read_back(spark, tmp_path):
     assert workspaces.record_rows(read).filter("status = 'invalid'").count() == 1
 
 
+def test_documents_with_a_part_lost_are_refused(spark, tmp_path):
+    ws = build_workspace(bom(spark, SAMPLE_BOM), calls(spark, SAMPLE_CALLS))
+    whole = documents.workspace_documents(ws.components, part_rows=4)
+    failed = documents.failed_workspaces(spark.createDataFrame([(9, "extraction", "no pages")], "doc_id long, stage string, message string"))
+    lost = whole.filter("part <> 1").unionByName(failed)
+    twice = whole.filter("part = 0").withColumn("doc_id", F.lit(7).cast("long"))
+    for name, rows_ in {"whole": whole, "lost": lost, "twice": whole.unionByName(twice).unionByName(twice)}.items():
+        documents.write_workspace(rows_.withColumn("doc_id", F.col("doc_id").cast("string")), str(tmp_path / name))
+    read = {n: workspaces.read_workspace(spark, str(tmp_path / n)) for n in ("whole", "lost", "twice")}
+    assert workspaces.incomplete_documents(read["whole"]).count() == 0
+    assert workspaces.whole_documents(read["whole"]).count() == 4
+    assert rows(workspaces.incomplete_documents(read["lost"])) == [("1", 13, 9)]
+    assert rows(workspaces.whole_documents(read["lost"]), "doc_id") == [("9",)]
+    assert rows(workspaces.incomplete_documents(read["twice"])) == [("7", 13, 8)]
+
+
 def test_exports(spark, tmp_path):
     ws = build_workspace(bom(spark, SAMPLE_BOM), calls(spark, SAMPLE_CALLS))
     exports.export_bundle(ws.components, str(tmp_path))
