@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from draftweave.functions import geometry as geo
 from draftweave.functions import scalars as sc
+from draftweave.operators import skew
 
 
 def attach_validation(components: DataFrame, records: DataFrame) -> DataFrame:
@@ -79,8 +80,7 @@ def locate(components: DataFrame, item_number: str | Column) -> DataFrame:
     )
 
 
-#: Size classes of boxes on a page's 0-1000 scale: class c holds boxes of at most 2^c a side.
-CLASSES = 11
+# Boxes on a page's 0-1000 scale fall into eleven size classes: class c holds boxes of at most 2^c a side.
 
 
 def _on_page(c: Column) -> Column:
@@ -99,21 +99,29 @@ def parts_at(components: DataFrame, clicks: DataFrame) -> DataFrame:
     A point and a box meet by an equi join on document, page, size class and
     grid step. The grid of a class is as fine as its boxes are long, so a box
     lies on four steps at most and a crowd of small boxes spreads over as many
-    steps as it has places; a point looks up one step of each class. Clicks
-    without ``page_id`` mean every page; a box with swapped edges holds no point.
+    steps as it has places; a point looks up one step of each class that its
+    document has boxes of. Clicks without ``page_id`` mean every page; a box with
+    swapped edges holds no point.
+
+    The boxes are written to the shared folder while the plan is built: their
+    classes and the lookup both read them there. Both joins are dealt by key,
+    never broadcast: Spark's size of the points is that of the clicks, before
+    they are repeated by class.
     """
     b = F.col("bounding_box")
     side = F.greatest(_on_page(b["xmax"]) - _on_page(b["xmin"]), _on_page(b["ymax"]) - _on_page(b["ymin"]), F.lit(1.0))
     size = F.ceil(F.log2(side)).cast("int")
-    boxes = components.filter((b["xmin"] <= b["xmax"]) & (b["ymin"] <= b["ymax"])).select(
-        F.col("doc_id").alias("_doc"), F.col("page_id").alias("_page"), "component_id", "item_number", "bounding_box",
-        size.alias("_size"),
-        F.explode(F.sequence(_step(b["xmin"], size), _step(b["xmax"], size))).alias("_col"),
-    ).withColumn("_row", F.explode(F.sequence(_step(b["ymin"], F.col("_size")), _step(b["ymax"], F.col("_size")))))
-    points = clicks.withColumn("_class", F.explode(F.sequence(F.lit(0), F.lit(CLASSES - 1))))
+    placed = skew.written(components.filter((b["xmin"] <= b["xmax"]) & (b["ymin"] <= b["ymax"])).select(
+        F.col("doc_id").alias("_doc"), F.col("page_id").alias("_page"), "component_id", "item_number", "bounding_box", size.alias("_size")))
+    size = F.col("_size")
+    boxes = placed.withColumn("_col", F.explode(F.sequence(_step(b["xmin"], size), _step(b["xmax"], size)))).withColumn(
+        "_row", F.explode(F.sequence(_step(b["ymin"], size), _step(b["ymax"], size))))
+    classes = placed.groupBy(F.col("_doc").alias("_with")).agg(F.collect_set("_size").alias("_classes"))
+    points = clicks.join(classes.hint("merge"), F.col("doc_id") == F.col("_with")).select(
+        *clicks.columns, F.explode("_classes").alias("_class"))
     on = (F.col("doc_id") == F.col("_doc")) & (F.col("_class") == F.col("_size"))
     on = on & (_step(F.col("x"), F.col("_class")) == F.col("_col")) & (_step(F.col("y"), F.col("_class")) == F.col("_row"))
     if "page_id" in clicks.columns:
         on = on & F.col("page_id").eqNullSafe(F.col("_page"))
-    hits = points.join(boxes, on).filter(geo.contains_point(b, F.col("x"), F.col("y")))
+    hits = points.hint("merge").join(boxes, on).filter(geo.contains_point(b, F.col("x"), F.col("y")))
     return hits.select(*clicks.columns, "component_id", "item_number")

@@ -220,6 +220,17 @@ def test_points_meet_boxes_of_their_page(spark):
     assert rows(views.parts_at(parts, clicks.drop("page_id")), "click", "component_id") == [(0, "a"), (0, "b"), (0, "c"), (1, "c"), (2, "c")]
 
 
+def test_points_are_never_broadcast(spark):
+    parts = spark.range(40).selectExpr(
+        "id as doc_id", "'p1' as page_id", "concat('c', id) as component_id", "'1' as item_number",
+        "named_struct('xmin', 0D, 'ymin', 0D, 'xmax', 60D, 'ymax', 60D) as bounding_box")
+    clicks = spark.range(40).selectExpr("id as doc_id", "'p1' as page_id", "id as click", "60D as x", "id * 2D as y")
+    found = views.parts_at(parts, clicks)
+    # One look up a click and class of its document, by shuffles of both sides.
+    assert rows(found, "click") == [(i,) for i in sorted(range(31), key=str)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_broken_records_and_late_pages_of_a_stream(spark, tmp_path):
     arriving, out = tmp_path / "in", str(tmp_path / "out")
     arriving.mkdir()
