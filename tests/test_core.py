@@ -135,6 +135,17 @@ def test_stored_documents_read_back(spark, tmp_path):
     assert workspaces.record_rows(read).filter("status = 'invalid'").count() == 1
 
 
+def test_stored_documents_are_compressed(spark, tmp_path):
+    ws = build_workspace(bom(spark, SAMPLE_BOM), calls(spark, SAMPLE_CALLS))
+    sizes = {}
+    for kind in ("gzip", "none"):
+        folder = tmp_path / kind
+        documents.write_workspace(ws.documents, str(folder), **({} if kind == "gzip" else {"compression": kind}))
+        assert workspaces.component_rows(workspaces.read_workspace(spark, str(folder))).count() == 13
+        sizes[kind] = sum(f.stat().st_size for f in folder.iterdir() if f.name.startswith("part-"))
+    assert 4 * sizes["gzip"] < sizes["none"]
+
+
 def test_documents_with_a_part_lost_are_refused(spark, tmp_path):
     ws = build_workspace(bom(spark, SAMPLE_BOM), calls(spark, SAMPLE_CALLS))
     whole = documents.workspace_documents(ws.components, part_rows=4)
