@@ -56,6 +56,15 @@ STEPS = [
 ]
 
 
+def test_workspaces_of_a_stream_are_compressed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text(page("a", 1, "1"))
+    run(spark, tmp_path)
+    parts = [f.name for f in (tmp_path / "out" / "workspaces").rglob("part-*")]
+    assert parts and all(name.endswith(".json.gz") for name in parts)
+    assert current_workspaces(spark, str(tmp_path / "out")).count() == 1
+
+
 def outcome(spark, base):
     out = str(base / "out")
     parts = rows(current_components(spark, out), "doc_id", "item_number")
