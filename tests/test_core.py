@@ -1,5 +1,7 @@
 """Linking, pricing, validation and documents on literal rows."""
 
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +191,20 @@ def test_bundle_is_whole_or_refused(spark, tmp_path):
             exports.read_bundle(spark, folder)
 
 
+def test_a_bundle_is_held_against_its_manifest_without_parsing(spark, tmp_path, monkeypatch):
+    ws = build_workspace(bom(spark, SAMPLE_BOM), calls(spark, SAMPLE_CALLS))
+    monkeypatch.setattr(exports, "FILE_ROWS", 3)
+    exports.export_bundle(ws.components, str(tmp_path))
+    parts = [p for p in (tmp_path / "bom").iterdir() if p.name.startswith("part-")]
+    assert len(parts) >= 5 and all(p.name.endswith(".csv.gz") for p in parts)
+    assert exports.read_bundle(spark, str(tmp_path))["bom"].count() == 13
+    text = gzip.decompress(parts[0].read_bytes())
+    parts[0].write_bytes(gzip.compress(text.replace(b"P", b"Q") + b"x"))
+    (tmp_path / "bom" / f".{parts[0].name}.crc").unlink()
+    with pytest.raises(exports.IncompleteBundle, match="bom"):
+        exports.read_bundle(spark, str(tmp_path))
+
+
 def test_an_export_that_stops_leaves_nothing_readable(spark, tmp_path, monkeypatch):
     ws = build_workspace(bom(spark, SAMPLE_BOM), calls(spark, SAMPLE_CALLS))
     exports.export_bundle(ws.components, str(tmp_path))
