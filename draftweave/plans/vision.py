@@ -32,14 +32,19 @@ class Extraction:
         return build_workspace(self.bom, self.callouts, catalog, threshold)
 
 
-def _step_warnings(step: int, sent: DataFrame, checked: DataFrame, field: str, label: str, failure: str) -> DataFrame:
-    """Responses that can't be read, fields that are no list, and rows that were skipped or changed."""
-    at = ["doc_id", "page_id", F.lit(step).alias("step"), "tile"]
-    whole = [F.lit(-1).alias("index"), F.lit(0).alias("i")]
-    unread = sent.filter("parse_error is not null").select(*at, *whole, F.concat(F.lit(failure), "parse_error").alias("warning"))
-    no_list = responses.reject_non_list(sent, field, label).select(*at, *whole, "warning")
-    rows = checked.select(*at, "index", F.posexplode("warnings").alias("i", "warning"))
-    return unread.unionByName(no_list).unionByName(rows)
+def _step_warnings(step: int, checked: DataFrame, field: str, label: str, failure: str) -> DataFrame:
+    """Responses that can't be read, fields that are no list, and rows that were skipped or changed.
+
+    A response without items is the row of ``checked`` with a null ``index``,
+    so each response is parsed once for all three.
+    """
+    whole = F.when(F.col("parse_error").isNotNull(), F.array(F.concat(F.lit(failure), "parse_error"))).when(
+        F.col("_field_kind") != "array", F.array(F.lit(f"{label} response '{field}' was not a list; treated as empty")))
+    said = F.when(F.col("index").isNull(), whole).otherwise(F.col("warnings"))
+    return checked.select(
+        "doc_id", "page_id", F.lit(step).alias("step"), "tile", F.coalesce("index", F.lit(-1)).alias("index"),
+        F.posexplode(said).alias("i", "warning"),
+    )
 
 
 def extractions_from_responses(
@@ -59,16 +64,17 @@ def extractions_from_responses(
     parsed = responses.parse_json_response(raw)
     in_order = sc.place("tile", F.col("index").cast("bigint"))
     bom_sent = parsed.filter("stage = 'bom'")
-    bom_checked = responses.validate_bom_items(responses.list_items(bom_sent, "bom_items"), threshold)
-    bom = bom_checked.filter("valid").withColumn("bom_ord", in_order)
+    bom_checked = responses.validate_bom_items(responses.list_items(bom_sent, "bom_items", outer=True), threshold)
+    bom = bom_checked.filter("valid and index is not null").drop("_field_kind").withColumn("bom_ord", in_order)
     sizes = pages.select("doc_id", "page_id", "width", "height")
     call_sent = parsed.filter("stage = 'callouts'").join(sizes, ["doc_id", "page_id"], "left")
     call_checked = responses.validate_callouts(
-        responses.list_items(call_sent, "callouts"), threshold, "width", "height"
+        responses.list_items(call_sent, "callouts", outer=True), threshold, "width", "height"
     )
-    callouts = call_checked.filter("valid").withColumn("call_ord", in_order).drop("width", "height")
-    warnings = _step_warnings(0, bom_sent, bom_checked, "bom_items", "BOM", "BOM extraction failed: ").unionByName(
-        _step_warnings(1, call_sent, call_checked, "callouts", "Callout", "Callout detection failed: ")
+    callouts = call_checked.filter("valid and index is not null").withColumn("call_ord", in_order).drop(
+        "width", "height", "_field_kind")
+    warnings = _step_warnings(0, bom_checked, "bom_items", "BOM", "BOM extraction failed: ").unionByName(
+        _step_warnings(1, call_checked, "callouts", "Callout", "Callout detection failed: ")
     )
     if verdicts is not None:
         said = verdicts.withColumn("call_ord", in_order).drop("tile", "index")
