@@ -217,19 +217,14 @@ def _(t):
     return tables.row_of_centre(tables.real_words(words(t)))
 
 
-def gapped(t):
-    w = words(t)
-    return tables.word_gaps(tables.text_rows(tables.real_words(w), skew.hot_groups(w, tables.IMAGE)))
-
-
 @check("w04_word_gaps", f"select {IMAGE}, row_no, x as at, word_ord, gap from @word_gaps where gap is not null")
 def _(t):
-    return gapped(t).filter("gap is not null").select("doc_id", "page_id", "region_id", "row_no", F.col("left").alias("at"), "word_ord", "gap")
+    return tables.gaps(words(t)).select("doc_id", "page_id", "region_id", "row_no", F.col("left").alias("at"), "word_ord", "gap")
 
 
 @check("a12_infer_gap_threshold", f"select {IMAGE}, threshold from @thresholds")
 def _(t):
-    return tables.gap_threshold(gapped(t))
+    return tables.gap_thresholds(words(t))
 
 
 CELL_SQL = f"select {IMAGE}, row_no, cell_no, text, l, t, r, b from @cells"
@@ -248,7 +243,7 @@ def _(t):
 
 @check("w05_cell_segmentation", f"select {IMAGE}, row_no, count(*) as cells from @cells group by all")
 def _(t):
-    return tables.cells(words(t)).groupBy("doc_id", "page_id", "region_id", "row_no").agg(F.count(F.lit(1)).alias("cells"))
+    return tables.row_cells(words(t)).withColumn("cells", F.size("cells").cast("bigint"))
 
 
 @check("x18_cell_span", f"select {IMAGE}, row_no, cell_no, r - l as w, b - t as h from @cells")
@@ -303,10 +298,7 @@ FRAGMENTS["header_rows"] = f"""
 
 
 def rows_of(t):
-    w = words(t)
-    listed = tables.cells(w).groupBy(*tables.IMAGE, "row_no").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("cell_no", "text"))), lambda x: x["text"]).alias("cells"))
-    return listed
+    return tables.row_cells(words(t))
 
 
 @check("w07_header_search", f"select {IMAGE}, header_no, m.item_no - 1 as item_at from @header_rows")

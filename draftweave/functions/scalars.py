@@ -22,9 +22,16 @@ DIGIT_RUN = r"(?U)\d+"
 HEADER_SPACE = r"(?U)\s+"
 
 
+# Every character that Unicode counts as whitespace.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
     """Remove all surrounding whitespace, not only spaces."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -269,7 +276,10 @@ def get_cell(cells: Column, index: Column) -> Column:
 
 
 def has_alphanumeric(c: Column) -> Column:
-    return strip(c).rlike(r"[\p{L}\p{N}]")
+    # Most words begin with a plain letter or digit and need no pattern.
+    first = F.substring(c, 1, 1)
+    plain = first.between("0", "9") | first.between("A", "Z") | first.between("a", "z")
+    return plain | c.rlike(r"[\p{L}\p{N}]")
 
 
 # --- files and views ----------------------------------------------------------

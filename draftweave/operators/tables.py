@@ -1,9 +1,10 @@
 """Rebuilding BOM rows from word boxes, ruled lines and cell tables.
 
-Word and cell positions are whole pixels, so a page has a bounded number of
-distinct heights and left edges. Every order-dependent step works on those
-distinct positions after an aggregation that combines on the map side; no step
-gathers a page's words.
+Words are dealt by image and laid out in tasks (``lines``). Images too large for
+that take windows instead: positions are whole pixels, so an image has a bounded
+number of distinct heights and left edges, and every order-dependent step works
+on those after an aggregation that combines on the map side; no step gathers the
+words of such an image.
 """
 
 from __future__ import annotations
@@ -15,16 +16,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from draftweave.functions import scalars as sc
-from draftweave.operators import nearest, skew
+from draftweave.operators import lines, nearest, skew
+from draftweave.operators.lines import DEFAULT_GAP, GAP_RATIO, GAP_SAMPLE, IMAGE, ROW_TOLERANCE
 
-IMAGE = ["doc_id", "page_id", "region_id"]
 TABLE = ["doc_id", "page_id", "table_ord"]
 
 # Fixed values.
-ROW_TOLERANCE = 10
-DEFAULT_GAP = 25.0
-GAP_SAMPLE = 3
-GAP_RATIO = 1.3
 HEADER_ROWS = 3
 MIN_DIVIDERS = 3
 MIN_WIDTH_SHARE, MIN_HEIGHT_SHARE = 0.08, 0.02
@@ -98,60 +95,32 @@ def _folded_rows() -> Column:
 READING = ["left", "centre", "word_ord"]
 
 
-def placed_words(words: DataFrame) -> DataFrame:
-    """Words with the row they stand in, on one exchange by image (W-06).
+def large_images(words: DataFrame) -> DataFrame | None:
+    """Images with more words than a task lays out at once; None when there are none."""
+    return skew.hot_groups(words, IMAGE, min(skew.hot_rows(words.sparkSession), lines.IMAGE_WORDS))
 
-    The same rows as :func:`row_of_centre`, without a join on the centre. A
-    word within the tolerance of the first centre of its run is in the run's
-    first row; only runs taller than that are folded, and an image's tall runs
-    come back to its words as one map from centre to row.
-    """
-    image = W.partitionBy(*IMAGE).orderBy("centre")
-    upto = image.rowsBetween(W.unboundedPreceding, 0)
-    # Every window, join and aggregation from here on keeps this exchange.
-    words = words.withColumn("centre", F.col("top") + F.col("height") / 2).repartition(*IMAGE)
-    step = F.col("centre") - F.lag("centre").over(image)
-    starts = words.withColumn("_start", F.coalesce(step > ROW_TOLERANCE, F.lit(True)))
-    runs = starts.withColumns({
-        "_run": F.sum(F.col("_start").cast("int")).over(upto),
-        "_from": F.last(F.when(F.col("_start"), F.col("centre")), ignorenulls=True).over(upto),
-    })
-    counted = runs.groupBy(*IMAGE, "_run", "centre").agg(F.count(F.lit(1)).alias("n"), F.min("_from").alias("_from"))
-    tall = counted.groupBy(*IMAGE, "_run").agg(
-        F.array_sort(F.collect_list(F.struct("centre", "n"))).alias("xs"), (F.max("centre") - F.min("_from")).alias("height")
-    ).filter(F.col("height") > ROW_TOLERANCE)
-    maps = tall.groupBy(*IMAGE).agg(F.map_from_entries(F.flatten(F.collect_list(_folded_rows()))).alias("_rows"))
-    rows = runs.join(maps, IMAGE, "left").withColumn(
-        "_row", F.when(F.col("centre") - F.col("_from") <= ROW_TOLERANCE, 0).otherwise(F.col("_rows")[F.col("centre")])
-    )
-    new = F.struct("_run", "_row") != F.lag(F.struct("_run", "_row")).over(image)
-    return (
-        rows.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int"))
-        .withColumn("row_no", F.sum("_new").over(upto).cast("int"))
-        .drop("_start", "_run", "_from", "_rows", "_row", "_new")
-    )
 
+def _met(frame: DataFrame, table: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join by keys that may be null, without a hint: there may be many images just above the limit."""
+    named = table.select(*[F.col(c).alias(f"_{c}") for c in on], *[c for c in table.columns if c not in on])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on])
+    return frame.join(named, same, how).drop(*[f"_{c}" for c in on])
 
-def text_rows(words: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """Words with their row, ready for a window along the row.
 
-    Images in ``hot`` are merged per distinct left edge of a row: words with one
-    left edge never start a cell between them, as the gap to the previous word
-    is then negative. Their texts are joined in reading order, and
-    ``right_last`` is the edge the next gap is measured from.
+def text_rows(large: DataFrame) -> DataFrame:
+    """Words of large images with their row, ready for a window along the row.
+
+    They are merged per distinct left edge of a row: words with one left edge
+    never start a cell between them, as the gap to the previous word is then
+    negative. Their texts are joined in reading order, and ``right_last`` is
+    the edge the next gap is measured from.
     """
     right = F.col("left") + F.col("width")
     bottom = F.col("top") + F.col("height")
-    single = placed_words(skew.cold_part(words, hot, IMAGE)).select(
-        *IMAGE, "row_no", *READING, F.array("text").alias("texts"), right.alias("right_last"),
-        "top", right.alias("right"), bottom.alias("bottom"),
-    )
-    if hot is None:
-        return single
-    large = skew.hot_part(words, hot, IMAGE).withColumn("centre", F.col("top") + F.col("height") / 2)
-    rows = skew.lookup(large, row_of_centre(large), [*IMAGE, "centre"], hot, "inner", IMAGE)
+    large = large.withColumn("centre", F.col("top") + F.col("height") / 2)
+    rows = _met(large, row_of_centre(large), [*IMAGE, "centre"], "inner")
     order = F.struct("centre", "word_ord")
-    merged = rows.groupBy(*IMAGE, "row_no", "left").agg(
+    return rows.groupBy(*IMAGE, "row_no", "left").agg(
         F.min("centre").alias("centre"), F.min("word_ord").alias("word_ord"),
         F.transform(
             F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("text").alias("t")))), lambda x: x["t"]
@@ -159,7 +128,6 @@ def text_rows(words: DataFrame, hot: DataFrame | None = None) -> DataFrame:
         F.max_by(right, order).alias("right_last"),
         F.min("top").alias("top"), F.max(right).alias("right"), F.max(bottom).alias("bottom"),
     )
-    return single.unionByName(merged)
 
 
 def word_gaps(rows: DataFrame) -> DataFrame:
@@ -188,30 +156,18 @@ def gap_threshold(gapped: DataFrame) -> DataFrame:
     return best.select(*IMAGE, F.when(usable, F.col("b.middle")).otherwise(DEFAULT_GAP).alias("threshold"))
 
 
-def with_threshold(gapped: DataFrame) -> DataFrame:
-    """The threshold of :func:`gap_threshold` on every row of its image, by windows instead of a join."""
-    wide = F.col("gap") > 0
-    nxt = F.lead("gap").over(W.partitionBy(*IMAGE, "_wide").orderBy("gap"))
-    ratio = nxt / F.greatest(F.col("gap").cast("double"), F.lit(1.0))
-    step = F.when(F.col("_wide"), F.struct(
-        F.coalesce("_ratio", F.lit(0.0)).alias("r"), (-F.col("gap")).alias("g"), F.col("_ratio").alias("ratio"), "_middle"))
-    image = W.partitionBy(*IMAGE)
-    found = (
-        gapped.withColumn("_wide", F.coalesce(wide, F.lit(False)))
-        .withColumns({"_ratio": ratio, "_middle": (F.col("gap") + nxt) / 2.0})
-        .withColumns({"_best": F.max(step).over(image), "_n": F.count_if("_wide").over(image)})
-    )
-    usable = (F.col("_n") >= GAP_SAMPLE) & F.coalesce(F.col("_best.ratio") >= GAP_RATIO, F.lit(False))
-    limit = F.when(usable, F.col("_best._middle")).otherwise(DEFAULT_GAP)
-    return found.withColumn("threshold", limit).drop("_wide", "_ratio", "_middle", "_best", "_n")
+def _laid_out(words: DataFrame, hot: DataFrame | None | bool, boxed: bool) -> tuple[DataFrame, DataFrame | None]:
+    """``lines`` of ordinary images, and cells of large ones."""
+    if hot is True:
+        hot = large_images(words)
+    words = real_words(words)
+    laid = lines.lines(skew.cold_part(words, hot, IMAGE), boxed)
+    return laid, None if hot is None else _large_cells(skew.hot_part(words, hot, IMAGE))
 
 
-def cells(words: DataFrame, hot: DataFrame | None | bool = True) -> DataFrame:
-    """Cells of every row with text and box (W-05, A-16, X-18)."""
-    if hot is True:
-        hot = skew.hot_groups(words, IMAGE)
-    gapped = word_gaps(text_rows(real_words(words), hot))
-    joined = with_threshold(gapped) if hot is None else skew.lookup(gapped, gap_threshold(gapped), IMAGE, hot)
+def _large_cells(large: DataFrame) -> DataFrame:
+    gapped = word_gaps(text_rows(large))
+    joined = _met(gapped, gap_threshold(gapped), IMAGE, "left")
     starts = F.when(F.col("gap") > F.coalesce("threshold", F.lit(DEFAULT_GAP)), 1).otherwise(0)
     line = W.partitionBy(*IMAGE, "row_no").orderBy(*READING).rowsBetween(W.unboundedPreceding, 0)
     numbered = joined.withColumn("cell_no", F.sum(starts).over(line).cast("int"))
@@ -224,6 +180,49 @@ def cells(words: DataFrame, hot: DataFrame | None | bool = True) -> DataFrame:
     )
 
 
+def cells(words: DataFrame, hot: DataFrame | None | bool = True) -> DataFrame:
+    """Cells of every row with text and box (W-05, A-16, X-18)."""
+    laid, large = _laid_out(words, hot, True)
+    found = laid.select(*IMAGE, F.inline("lines")).select(*IMAGE, "row_no", F.inline("cells"))
+    return found if large is None else found.unionByName(large)
+
+
+def _large_rows(large: DataFrame) -> DataFrame:
+    listed = F.array_sort(F.collect_list(F.struct("cell_no", "text")))
+    return large.groupBy(*IMAGE, "row_no").agg(listed.alias("cells"))
+
+
+def row_cells(words: DataFrame, hot: DataFrame | None | bool = True) -> DataFrame:
+    """Texts of the cells of every row, in order, as ``cells``."""
+    laid, large = _laid_out(words, hot, False)
+    rows = laid.select(*IMAGE, F.inline("lines"))
+    rows = rows if large is None else rows.unionByName(_large_rows(large))
+    return rows.withColumn("cells", F.col("cells.text"))
+
+
+def gaps(words: DataFrame, hot: DataFrame | None | bool = True) -> DataFrame:
+    """``row_no, left, word_ord, gap`` of words that have a gap before them (W-04)."""
+    if hot is True:
+        hot = large_images(words)
+    words = real_words(words)
+    found = lines.gaps(skew.cold_part(words, hot, IMAGE))
+    if hot is None:
+        return found
+    large = word_gaps(text_rows(skew.hot_part(words, hot, IMAGE))).filter("gap is not null")
+    return found.unionByName(large.select(*found.columns))
+
+
+def gap_thresholds(words: DataFrame, hot: DataFrame | None | bool = True) -> DataFrame:
+    """Gap that separates cells, of every image that has gaps (A-12)."""
+    if hot is True:
+        hot = large_images(words)
+    words = real_words(words)
+    found = lines.thresholds(skew.cold_part(words, hot, IMAGE))
+    if hot is None:
+        return found
+    return found.unionByName(gap_threshold(word_gaps(text_rows(skew.hot_part(words, hot, IMAGE)))))
+
+
 def digit_override(cell_table: DataFrame, digits: DataFrame) -> DataFrame:
     """Digits-only reading beside each cell's text (J-11).
 
@@ -299,34 +298,64 @@ def bom_fields(cells_col: Column, mapping: Column, digits: Column | None = None)
     return F.when(filled & item.isNotNull(), record)
 
 
-def rows_from_words(
-    words: DataFrame, digits: DataFrame | None = None, hot: DataFrame | None | bool = True
-) -> DataFrame:
-    """BOM rows of every image read by OCR (W-04..W-08, A-12, J-11)."""
-    if hot is True:
-        hot = skew.hot_groups(words, IMAGE)
-    found = cells(words, hot)
-    if digits is not None:
-        found = digit_override(found, digits)
-    else:
-        found = found.withColumn("digits", F.lit(None).cast("string"))
-    ordered = F.array_sort(F.collect_list(F.struct("cell_no", "text", "digits")))
-    rows = found.groupBy(*IMAGE, "row_no").agg(ordered.alias("xs")).select(
-        *IMAGE, "row_no",
-        F.transform("xs", lambda x: x["text"]).alias("cells"),
-        F.transform("xs", lambda x: x["digits"]).alias("digits"),
+def _headed(laid: DataFrame) -> DataFrame:
+    """Rows below the header of images with two rows or more, with the header's mapping."""
+    row = lambda i: F.get("lines", F.lit(i))
+    tried = F.array(*[
+        F.struct(row(i)["row_no"].alias("row_no"), map_columns(row(i)["cells"]["text"]).alias("mapping")) for i in range(HEADER_ROWS)
+    ])
+    head = F.get(F.filter(tried, lambda h: h["mapping"].isNotNull()), F.lit(0))
+    known = laid.filter(F.size("lines") >= 2).withColumn("_head", head)
+    rows = known.select(
+        *IMAGE, F.coalesce("_head.row_no", F.lit(0)).alias("header_no"),
+        F.coalesce("_head.mapping", positional_mapping()).alias("mapping"), F.inline("lines"),
     )
-    # Rows per image are bounded by its height, unlike its words: windows find
-    # the header, and the cells are not computed a second time for a join.
+    return rows.filter(F.col("row_no") > F.col("header_no")).drop("header_no")
+
+
+def _large_headed(large: DataFrame) -> DataFrame:
+    """:func:`_headed` of images of any size, by windows."""
     image = W.partitionBy(*IMAGE)
-    head = F.when(F.col("row_no") <= HEADER_ROWS, map_columns(F.col("cells")))
-    rows = rows.withColumn("rows", F.count(F.lit(1)).over(image)).filter("rows >= 2").withColumn("_map", head)
+    head = F.when(F.col("row_no") <= HEADER_ROWS, map_columns(F.col("cells.text")))
+    rows = _large_rows(large).withColumn("rows", F.count(F.lit(1)).over(image)).filter("rows >= 2").withColumn("_map", head)
     at = F.when(F.col("_map").isNotNull(), F.col("row_no"))
     body = rows.withColumns({
         "header_no": F.coalesce(F.min(at).over(image), F.lit(0)),
         "mapping": F.coalesce(F.min_by("_map", at).over(image), positional_mapping()),
-    }).filter(F.col("row_no") > F.col("header_no"))
-    out = body.select(*IMAGE, "row_no", bom_fields(F.col("cells"), F.col("mapping"), F.col("digits")).alias("r"))
+    })
+    return body.filter(F.col("row_no") > F.col("header_no")).select(*IMAGE, "mapping", "row_no", "cells")
+
+
+def _with_digits(rows: DataFrame, digits: DataFrame) -> DataFrame:
+    """:func:`digit_override` on rows of cells: each cell meets the readings of its row."""
+    on = [*IMAGE, "row_no"]
+    reading = sc.blank_to_null(F.regexp_replace("digits", r"(?U)\D", ""))
+    read = digits.groupBy(*on).agg(F.collect_list(F.struct("cell_no", reading.alias("digits"))).alias("_read"))
+
+    def met(c: Column) -> Column:
+        near = F.filter("_read", lambda d: d["cell_no"] == c["cell_no"])
+        cell = lambda text: F.struct(c["cell_no"].alias("cell_no"), c["text"].alias("text"), text.cast("string").alias("digits"))
+        return F.when(F.size(near) > 0, F.transform(near, lambda d: cell(d["digits"]))).otherwise(F.array(cell(F.lit(None))))
+
+    every = F.transform("cells", lambda c: F.struct(
+        c["cell_no"].alias("cell_no"), c["text"].alias("text"), F.lit(None).cast("string").alias("digits")))
+    return rows.join(read, on, "left").withColumn("cells", F.when(F.col("_read").isNull(), every).otherwise(
+        F.array_sort(F.flatten(F.transform("cells", met))))).drop("_read")
+
+
+def rows_from_words(
+    words: DataFrame, digits: DataFrame | None = None, hot: DataFrame | None | bool = True
+) -> DataFrame:
+    """BOM rows of every image read by OCR (W-04..W-08, A-12, J-11)."""
+    laid, large = _laid_out(words, hot, False)
+    rows = _headed(laid)
+    if large is not None:
+        rows = rows.unionByName(_large_headed(large))
+    read = None
+    if digits is not None:
+        rows = _with_digits(rows, digits)
+        read = F.col("cells.digits")
+    out = rows.select(*IMAGE, "row_no", bom_fields(F.col("cells.text"), F.col("mapping"), read).alias("r"))
     return out.filter("r is not null").select(*IMAGE, F.col("row_no").alias("row_ord"), "r.*")
 
 
@@ -456,7 +485,7 @@ def extract_bom(
     """
     page = ["doc_id", "page_id"]
     fields = ["item_no", "description", "qty", "material", "part_number"]
-    hot = skew.hot_groups(words, IMAGE)
+    hot = large_images(words)
 
     def source(rows: DataFrame, kind: int, ordinal: Column) -> DataFrame:
         return first_source(rows.select(

@@ -1,12 +1,16 @@
 """Tiles, overlaps, candidates, tables and verdicts on literal rows."""
 
+import random
+
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from checks.inputs import Inputs
 from draftweave.functions import geometry as geo
 from draftweave.functions import scalars as sc
 from draftweave.operators import candidates as cand
-from draftweave.operators import dedupe, diff, responses, skew, tables, verification
+from draftweave.operators import dedupe, diff, lines, responses, skew, tables, verification
 from tests.conftest import rows
 
 BOX = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
@@ -332,3 +336,67 @@ def test_tiled_callouts_warn_of_repeats(spark):
 def test_every_order_gives_a_tile_response(spark):
     t = Inputs(spark, "/root/testdata/sf0.001")
     assert t.tile_responses.count() == t.shared("orders").count()
+
+
+def crowd(seed, n, height, ordinal):
+    """Words of many images, some with null keys, crowded enough that rows touch."""
+    draw = random.Random(seed)
+    images = [(1, "p", "page"), (1, "p", "1"), (2, None, "page"), (2, None, None), (3, "q", "page")]
+    return [
+        (*draw.choice(images), ordinal(i), f" w{i}　" if i % 7 else "--", draw.randrange(0, 400), draw.randrange(0, height), draw.randrange(0, 30), draw.randrange(0, 9))
+        for i in range(n)
+    ]
+
+
+WORD = "doc_id long, page_id string, region_id string, word_ord {}, text string, left int, top int, width int, height int"
+
+
+@pytest.mark.parametrize("height", [40, 400, 4000])
+def test_tasks_lay_out_words_as_windows_do(spark, height):
+    frame = spark.createDataFrame(crowd(height, 600, height, lambda i: i * 37 % 600), WORD.format("long")).repartition(5).cache()
+    every = frame.select(*tables.IMAGE).distinct()
+    assert rows(tables.cells(frame)) == rows(tables.cells(frame, every).select(*tables.cells(frame).columns))
+    assert rows(tables.gap_thresholds(frame)) == rows(tables.gap_thresholds(frame, every))
+    got, want = tables.rows_from_words(frame), tables.rows_from_words(frame, None, every)
+    assert rows(got) == rows(want.select(*got.columns))
+
+
+def test_ordinals_of_several_parts_keep_their_order(spark):
+    data = crowd(5, 300, 60, lambda i: (i % 3, str(i)))
+    frame = spark.createDataFrame(data, WORD.format("struct<a:int,b:string>")).repartition(3)
+    plain = {o: n for n, o in enumerate(sorted(r[3] for r in data))}
+    again = spark.createDataFrame([(*r[:3], plain[r[3]], *r[4:]) for r in data], WORD.format("long"))
+    assert rows(tables.cells(frame)) == rows(tables.cells(again))
+
+
+def test_words_meet_one_exchange_and_no_window(spark):
+    frame = spark.createDataFrame(crowd(1, 50, 60, lambda i: i), WORD.format("long"))
+    plan = tables.cells(frame, None)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_images_of_one_hash_and_over_many_batches():
+    data = sorted(crowd(9, 400, 90, lambda i: i), key=lambda r: r[3])
+    names = [f.split()[0] for f in WORD.split(", ")]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r)) | {
+        "_image": 7, "_ord": r[3], "right": r[5] + r[7], "bottom": r[6] + r[8], "centre": r[6] + r[8] / 2,
+    } for r in data])
+    pieces = [batch.slice(i, 3) for i in range(0, 400, 3)]
+    one, = lines._whole_images(iter(pieces))
+    mixed, found = lines._read(one)
+    alone = []
+    for key in {r[:3] for r in data}:
+        keep = pa.array([r[:3] == key for r in data])
+        part, lay = lines._read(batch.filter(keep))
+        alone.append((len(lay.images), len(lay.lines), len(lay.cells)))
+    assert len(found.images) == 5 and one.num_rows == 400
+    assert [len(found.images), len(found.lines), len(found.cells)] == [sum(x) for x in zip(*alone)]
+
+
+def test_strip_removes_what_a_pattern_for_whitespace_does(spark):
+    chars = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    frame = spark.createDataFrame([(f"{c}a{c}b{c}{c}",) for c in chars], "t string")
+    wrong = frame.filter(sc.strip(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))
+    assert wrong.count() == 0
+    kind = spark.createDataFrame([(f"{a}{c}",) for c in chars for a in ("", "-")], "t string")
+    assert kind.filter(sc.has_alphanumeric(F.col("t")) != F.col("t").rlike(r"[\p{L}\p{N}]")).count() == 0
