@@ -44,7 +44,7 @@ MAPPING = "map<string,int>"
 
 def real_words(words: DataFrame) -> DataFrame:
     """Words with at least one letter or digit, trimmed (F-05)."""
-    return words.filter(sc.has_alphanumeric(F.col("text"))).withColumn("text", sc.strip(F.col("text")))
+    return words.filter(sc.has_alphanumeric(F.col("text"))).withColumn("text", sc.trimmed(F.col("text")))
 
 
 def row_of_centre(words: DataFrame) -> DataFrame:
