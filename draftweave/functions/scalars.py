@@ -265,14 +265,19 @@ def clean_cell(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), HEADER_SPACE, " "))
 
 
+def digit_run(c: Column) -> Column:
+    """First digit run of a cell, empty without one."""
+    return F.regexp_extract(clean_cell(c), DIGIT_RUN, 0)
+
+
 def extract_item_no(c: Column) -> Column:
     """First digit run as text, zeros kept (P-09)."""
-    return blank_to_null(F.regexp_extract(clean_cell(c), DIGIT_RUN, 0))
+    return blank_to_null(digit_run(c))
 
 
 def extract_qty(c: Column) -> Column:
     """First digit run as an integer (P-10)."""
-    return ascii_digits(F.regexp_extract(clean_cell(c), DIGIT_RUN, 0)).try_cast("bigint")
+    return ascii_digits(digit_run(c)).try_cast("bigint")
 
 
 def get_cell(cells: Column, index: Column) -> Column:

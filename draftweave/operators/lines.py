@@ -174,21 +174,36 @@ def _values(numbers: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.array(numbers, from_pandas=True).cast(kind)
 
 
-def _read(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, Layout]:
-    """The batch with the words of each image together, and their layout."""
+def _together(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The batch with the rows of each image together, and the first row of each."""
     keys = [_codes(batch, name) for name in IMAGE]
     changes = _changes(keys)
     if len(changes) != len(_changes([batch.column("_image").to_numpy(zero_copy_only=False)])):
         # Images of one hash lie mixed.
         together = np.lexsort(keys)
         batch, changes = batch.take(pa.array(together)), _changes([k[together] for k in keys])
+    return batch, np.append(0, changes).astype(np.int64)
+
+
+def _wanted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Words of the images with a mark, a row without text (see ``lines``)."""
+    batch, starts = _together(batch)
+    mark = batch.column("text").is_null().to_numpy(zero_copy_only=False)
+    marked = np.logical_or.reduceat(mark, starts)
+    kept = np.repeat(marked, np.diff(np.append(starts, len(mark)))) & ~mark
+    return batch.filter(pa.array(kept))
+
+
+def _read(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, Layout]:
+    """The batch with the words of each image together, and their layout."""
+    batch, starts = _together(batch)
     ordinal = None
     if "_ord" in batch.schema.names:
         least = np.iinfo(np.int64).min
         ordinal = pc.fill_null(batch.column("_ord"), least).to_numpy(zero_copy_only=False)
     # Without a height a word stands alone, before all others.
     return batch, layout(
-        np.append(0, changes).astype(np.int64), _numbers(batch.column("centre"), -np.inf),
+        starts, _numbers(batch.column("centre"), -np.inf),
         _numbers(batch.column("left")), _numbers(batch.column("right")), ordinal,
     )
 
@@ -243,7 +258,9 @@ def _limits(batch: pa.RecordBatch, schema: pa.Schema) -> list[pa.Array]:
 # --- frames ----------------------------------------------------------------------
 
 
-def _mapped(words: DataFrame, columns: list[str], out: list[T.StructField], work: Callable) -> DataFrame:
+def _mapped(
+    words: DataFrame, columns: list[str], out: list[T.StructField], work: Callable, marks: DataFrame | None = None
+) -> DataFrame:
     whole = isinstance(words.schema["word_ord"].dataType, T.IntegralType)
     rows = words.select(
         *IMAGE, F.xxhash64(*IMAGE).alias("_image"), "left", (F.col("left") + F.col("width")).alias("right"),
@@ -251,28 +268,41 @@ def _mapped(words: DataFrame, columns: list[str], out: list[T.StructField], work
         *[edge.alias(n) for n, edge in (("top", F.col("top")), ("bottom", F.col("top") + F.col("height"))) if n in columns],
         *[n for n in ("text", "word_ord") if n in columns],
         F.col("word_ord").cast("bigint").alias("_ord") if whole else F.col("word_ord").alias("_ord"),
-    ).repartition("_image")
+    )
+    if marks is not None:
+        rows = rows.unionByName(marks.select(*IMAGE, F.xxhash64(*IMAGE).alias("_image")), allowMissingColumns=True)
+    rows = rows.repartition("_image")
     # One number sorts fastest; an ordinal of several parts is ordered by Spark as well.
     dealt = rows.sortWithinPartitions("_image") if whole else rows.sortWithinPartitions("_image", "left", "centre", "_ord").drop("_ord")
     schema = T.StructType([T.StructField(n, words.schema[n].dataType) for n in IMAGE] + out)
     arrow = to_arrow_schema(schema)
+    marked = marks is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_images(batches):
+            if marked:
+                batch = _wanted(batch)
+                if not batch.num_rows:
+                    continue
             yield pa.RecordBatch.from_arrays(work(batch, arrow), schema=arrow)
 
     return dealt.mapInArrow(run, schema)
 
 
-def lines(words: DataFrame, boxed: bool = True) -> DataFrame:
-    """``lines`` of every image: ``row_no`` and ``cells`` with number, text and, if ``boxed``, box."""
+def lines(words: DataFrame, boxed: bool = True, marks: DataFrame | None = None) -> DataFrame:
+    """``lines`` of every image: ``row_no`` and ``cells`` with number, text and, if ``boxed``, box.
+
+    ``marks`` names the images wanted, in the types of the words' keys; null
+    means all. Marks travel with the words, so that choosing images takes no
+    join, which would deal and sort the words once more; words must have a text.
+    """
     edges = EDGES if boxed else []
     kind = {n: words.schema[n].dataType for n in ("left", "top")}
     kind |= {n: words.select((F.col(a) + F.col(b)).alias("e")).schema["e"].dataType for n, a, b in (("right", "left", "width"), ("bottom", "top", "height"))}
     cell = T.StructType([T.StructField("cell_no", T.IntegerType()), T.StructField("text", T.StringType()),
                          *[T.StructField(n, kind[n]) for n in edges]])
     line = T.StructType([T.StructField("row_no", T.IntegerType()), T.StructField("cells", T.ArrayType(cell))])
-    return _mapped(words, ["text", *edges], [T.StructField("lines", T.ArrayType(line))], _lines)
+    return _mapped(words, ["text", *edges], [T.StructField("lines", T.ArrayType(line))], _lines, marks)
 
 
 def gaps(words: DataFrame) -> DataFrame:

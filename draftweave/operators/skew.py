@@ -55,8 +55,17 @@ def written(frame: DataFrame) -> DataFrame:
 
 
 def hot_groups(frame: DataFrame, by: Sequence[str], limit: int | None = None) -> DataFrame | None:
-    """Keys of the groups holding more than ``limit`` rows; None when there are none."""
+    """Keys of the groups holding more than ``limit`` rows; None when there are none.
+
+    The first key alone is counted first: it is one short column, and where none
+    of its groups is large, none within them is.
+    """
     limit = hot_rows(frame.sparkSession) if limit is None else limit
+    if len(by) > 1:
+        wide = hot_groups(frame, by[:1], limit)
+        if wide is None:
+            return None
+        frame = hot_part(frame, wide, by[:1])
     hot = frame.groupBy(*by).count().filter(F.col("count") > limit).select(*by)
     return None if hot.isEmpty() else hot
 

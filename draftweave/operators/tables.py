@@ -156,13 +156,20 @@ def gap_threshold(gapped: DataFrame) -> DataFrame:
     return best.select(*IMAGE, F.when(usable, F.col("b.middle")).otherwise(DEFAULT_GAP).alias("threshold"))
 
 
-def _laid_out(words: DataFrame, hot: DataFrame | None | bool, boxed: bool) -> tuple[DataFrame, DataFrame | None]:
-    """``lines`` of ordinary images, and cells of large ones."""
+def _laid_out(
+    words: DataFrame, hot: DataFrame | None | bool, boxed: bool, wanted: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """``lines`` of ordinary images, and cells of large ones; only of ``wanted`` images if given."""
     if hot is True:
         hot = large_images(words)
     words = real_words(words)
-    laid = lines.lines(skew.cold_part(words, hot, IMAGE), boxed)
-    return laid, None if hot is None else _large_cells(skew.hot_part(words, hot, IMAGE))
+    if wanted is not None:
+        wanted = wanted.select(*[F.col(n).cast(words.schema[n].dataType).alias(n) for n in IMAGE])
+    laid = lines.lines(skew.cold_part(words, hot, IMAGE), boxed, wanted)
+    if hot is None:
+        return laid, None
+    large = skew.hot_part(words, hot, IMAGE)
+    return laid, _large_cells(large if wanted is None else large.join(wanted, IMAGE, "left_semi"))
 
 
 def _large_cells(large: DataFrame) -> DataFrame:
@@ -238,25 +245,21 @@ def digit_override(cell_table: DataFrame, digits: DataFrame) -> DataFrame:
 
 def map_columns(header: Column) -> Column:
     """Field to column index by keyword, left to right; null without a hit (W-08)."""
-    fields = F.array(*[
-        F.struct(F.lit(name).alias("name"), F.array(*[F.lit(k) for k in words]).alias("words"))
-        for name, words in HEADER_KEYWORDS.items()
-    ])
     numbered = F.transform(header, lambda cell, i: F.struct(
         F.lower(sc.strip(F.coalesce(cell, F.lit("")))).alias("text"), i.alias("i")
     ))
 
     def place(acc: Column, cell: Column) -> Column:
-        free = F.filter(fields, lambda f: ~F.map_contains_key(acc, f["name"]) & F.exists(
-            f["words"], lambda w: F.contains(cell["text"], w)
-        ))
-        hit = F.get(free, F.lit(0))["name"]
-        return F.when(hit.isNull() | (cell["text"] == ""), acc).otherwise(
-            F.map_concat(acc, F.create_map(hit, cell["i"]))
-        )
+        hit = F
+        for name, words in HEADER_KEYWORDS.items():
+            said = reduce(Column.__or__, [F.contains(cell["text"], F.lit(w)) for w in words])
+            hit = hit.when(said & ~F.map_contains_key(acc, F.lit(name)), F.lit(name))
+        # Through a list of one, as a lambda works out a column anew wherever it is named.
+        entry = F.filter(F.array(F.struct(hit.alias("key"), cell["i"].alias("value"))), lambda e: e["key"].isNotNull())
+        return F.when(cell["text"] == "", acc).otherwise(F.map_concat(acc, F.map_from_entries(entry)))
 
-    mapped = F.aggregate(numbered, F.create_map().cast(MAPPING), place)
-    return F.when(F.size(mapped) > 0, mapped)
+    mapped = F.aggregate(numbered, F.create_map().cast(MAPPING), place, lambda acc: F.when(F.size(acc) > 0, acc))
+    return mapped
 
 
 def positional_mapping() -> Column:
@@ -275,8 +278,8 @@ def header_of(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def bom_fields(cells_col: Column, mapping: Column, digits: Column | None = None) -> Column:
-    """Extracted BOM row of a list of cells, null when it has no item number (F-04, P-08..P-11)."""
+def bom_fields(rows: DataFrame, cells_col: Column, mapping: Column, kept: list[str], digits: Column | None = None) -> DataFrame:
+    """BOM rows of lists of cells, those with an item number (F-04, P-08..P-11)."""
 
     def cell(name: str, numeric: bool = False) -> Column:
         at = F.try_element_at(mapping, F.lit(name))
@@ -286,16 +289,21 @@ def bom_fields(cells_col: Column, mapping: Column, digits: Column | None = None)
             text = F.when(F.coalesce(text, F.lit("")) != "", F.coalesce(read, text)).otherwise(text)
         return text
 
-    item = sc.extract_item_no(cell("item_no", True))
+    # A generator works out each cell once; a blank row gives none.
     record = F.struct(
-        item.alias("item_no"),
+        sc.digit_run(cell("item_no", True)).alias("_item"),
         sc.clean_cell(cell("description")).alias("description"),
-        sc.extract_qty(cell("qty", True)).alias("qty"),
-        sc.blank_to_null(sc.clean_cell(cell("material"))).alias("material"),
-        sc.blank_to_null(sc.clean_cell(cell("part_number"))).alias("part_number"),
+        sc.digit_run(cell("qty", True)).alias("_qty"),
+        sc.clean_cell(cell("material")).alias("_material"),
+        sc.clean_cell(cell("part_number")).alias("_part"),
     )
     filled = F.exists(cells_col, lambda c: sc.clean_cell(c) != "")
-    return F.when(filled & item.isNotNull(), record)
+    found = rows.select(*kept, F.inline(F.when(filled, F.array(record)))).filter("_item <> ''")
+    return found.select(
+        *kept, F.col("_item").alias("item_no"), "description",
+        sc.ascii_digits(F.col("_qty")).try_cast("bigint").alias("qty"),
+        sc.blank_to_null(F.col("_material")).alias("material"), sc.blank_to_null(F.col("_part")).alias("part_number"),
+    )
 
 
 def _headed(laid: DataFrame) -> DataFrame:
@@ -327,7 +335,10 @@ def _large_headed(large: DataFrame) -> DataFrame:
 
 
 def _with_digits(rows: DataFrame, digits: DataFrame) -> DataFrame:
-    """:func:`digit_override` on rows of cells: each cell meets the readings of its row."""
+    """:func:`digit_override` on rows of cells: each cell meets the readings of its row, in ``read``.
+
+    Rows without a reading keep their cells as they are, and ``read`` is null.
+    """
     on = [*IMAGE, "row_no"]
     reading = sc.blank_to_null(F.regexp_replace("digits", r"(?U)\D", ""))
     read = digits.groupBy(*on).agg(F.collect_list(F.struct("cell_no", reading.alias("digits"))).alias("_read"))
@@ -337,40 +348,39 @@ def _with_digits(rows: DataFrame, digits: DataFrame) -> DataFrame:
         cell = lambda text: F.struct(c["cell_no"].alias("cell_no"), c["text"].alias("text"), text.cast("string").alias("digits"))
         return F.when(F.size(near) > 0, F.transform(near, lambda d: cell(d["digits"]))).otherwise(F.array(cell(F.lit(None))))
 
-    every = F.transform("cells", lambda c: F.struct(
-        c["cell_no"].alias("cell_no"), c["text"].alias("text"), F.lit(None).cast("string").alias("digits")))
-    return rows.join(read, on, "left").withColumn("cells", F.when(F.col("_read").isNull(), every).otherwise(
-        F.array_sort(F.flatten(F.transform("cells", met))))).drop("_read")
+    both = F.when(F.col("_read").isNotNull(), F.array_sort(F.flatten(F.transform("cells", met))))
+    joined = sc.computed(rows.join(read, on, "left"), {"_met": both}).drop("_read")
+    return joined.withColumns({"texts": F.coalesce("_met.text", "cells.text"), "read": F.col("_met.digits")}).drop("_met", "cells")
 
 
 def rows_from_words(
     words: DataFrame, digits: DataFrame | None = None, hot: DataFrame | None | bool = True
 ) -> DataFrame:
     """BOM rows of every image read by OCR (W-04..W-08, A-12, J-11)."""
-    laid, large = _laid_out(words, hot, False)
+    return _rows_of(*_laid_out(words, hot, False), digits)
+
+
+def _rows_of(laid: DataFrame, large: DataFrame | None, digits: DataFrame | None) -> DataFrame:
     rows = _headed(laid)
     if large is not None:
         rows = rows.unionByName(_large_headed(large))
-    read = None
+    text, read = F.col("cells.text"), None
     if digits is not None:
-        rows = _with_digits(rows, digits)
-        read = F.col("cells.digits")
-    out = rows.select(*IMAGE, "row_no", bom_fields(F.col("cells.text"), F.col("mapping"), read).alias("r"))
-    return out.filter("r is not null").select(*IMAGE, F.col("row_no").alias("row_ord"), "r.*")
+        rows, text, read = _with_digits(rows, digits), F.col("texts"), F.col("read")
+    return bom_fields(rows.withColumnRenamed("row_no", "row_ord"), text, F.col("mapping"), [*IMAGE, "row_ord"], read)
 
 
 def rows_from_cell_tables(cell_tables: DataFrame) -> DataFrame:
     """BOM rows of vector tables; short or unmapped tables give none (E-03)."""
     header = F.transform(F.get("cells", F.lit(0)), sc.clean_cell)
-    mapped = cell_tables.filter(F.size("cells") >= 2).withColumn("mapping", map_columns(header)).filter(
+    mapped = sc.computed(cell_tables.filter(F.size("cells") >= 2), {"mapping": map_columns(header)}).filter(
         "mapping is not null"
     )
     body = mapped.select(
         *TABLE, "mapping",
         F.posexplode(F.slice("cells", F.lit(2), F.size("cells") - 1)).alias("row_ord", "row"),
     )
-    out = body.select(*TABLE, "row_ord", bom_fields(F.col("row"), F.col("mapping")).alias("r"))
-    return out.filter("r is not null").select(*TABLE, "row_ord", "r.*")
+    return bom_fields(body, F.col("row"), F.col("mapping"), [*TABLE, "row_ord"])
 
 
 # --- ruled regions -----------------------------------------------------------------
@@ -486,29 +496,32 @@ def extract_bom(
     page = ["doc_id", "page_id"]
     fields = ["item_no", "description", "qty", "material", "part_number"]
     hot = large_images(words)
+    whole = F.coalesce(F.col("region_id") == WHOLE_PAGE, F.lit(False))
+    found = []
 
     def source(rows: DataFrame, kind: int, ordinal: Column) -> DataFrame:
         return first_source(rows.select(
             *page, F.lit(kind).alias("source_kind"), ordinal.cast("bigint").alias("source_ord"), "row_ord", *fields
         ))
 
-    def read(part: DataFrame, kind: int, ordinal: Column, whole: Column) -> DataFrame:
-        near = None if digits is None else digits.filter(whole)
-        return source(rows_from_words(part, near, hot), kind, ordinal)
+    def left(contents: DataFrame) -> DataFrame:
+        if not found:
+            return contents
+        return unserved(contents, reduce(DataFrame.unionAll, [rows.select(*page) for rows in found]))
+
+    def read(laid: tuple[DataFrame, DataFrame | None], kind: int, ordinal: Column, part: Column) -> DataFrame:
+        return source(_rows_of(*laid, None if digits is None else digits.filter(part)), kind, ordinal)
 
-    whole = F.coalesce(F.col("region_id") == WHOLE_PAGE, F.lit(False))
-    found = []
     if cell_tables is not None:
         found.append(skew.written(source(rows_from_cell_tables(cell_tables), VECTOR_TABLE, F.col("table_ord"))))
-        words = unserved(words, found[-1])
     inside = words.filter(~whole)
-    if regions is not None:
+    if regions is None:
+        laid = _laid_out(left(inside), hot, False)
+    else:
         known = regions.select(*page, F.col("region_rank").cast("string").alias("region_id"))
-        inside = inside.join(known, IMAGE, "left_semi")
-    rank = F.col("region_id").try_cast("bigint")
-    found.append(skew.written(read(inside, RULED_REGION, rank, ~whole)))
-    rest = unserved(words.filter(whole), found[-1])
-    found.append(read(rest, PAGE_IMAGE, F.lit(0), whole))
+        laid = _laid_out(inside, hot, False, left(known.filter("doc_id is not null and page_id is not null")))
+    found.append(skew.written(read(laid, RULED_REGION, F.col("region_id").try_cast("bigint"), ~whole)))
+    found.append(read(_laid_out(left(words.filter(whole)), hot, False), PAGE_IMAGE, F.lit(0), whole))
     return reduce(DataFrame.unionByName, found)
 
 

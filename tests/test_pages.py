@@ -400,3 +400,44 @@ def test_trimmed_removes_what_a_pattern_for_whitespace_does(spark):
     assert wrong.count() == 0
     kind = spark.createDataFrame([(f"{a}{c}",) for c in chars for a in ("", "-")], "t string")
     assert kind.filter(sc.has_alphanumeric(F.col("t")) != F.col("t").rlike(r"[\p{L}\p{N}]")).count() == 0
+
+
+def test_regions_are_chosen_without_a_join_of_words(spark, monkeypatch):
+    """Ruled regions come with the words: the optimizer's plan of their lines joins only marks."""
+    plans, whole = [], lines.lines
+
+    def seen(words, boxed=True, marks=None):
+        found = whole(words, boxed, marks)
+        plans.append((words._jdf.queryExecution().optimizedPlan().toString(), marks is not None))
+        return found
+
+    monkeypatch.setattr(lines, "lines", seen)
+    found, ruled, vector = sources(spark)
+    assert rows(tables.extract_bom(found, ruled, vector), "page_id", "source_kind", "source_ord", "item_no") == SERVED
+    assert [("Join" in text, marked) for text, marked in plans] == [(False, True), (True, False)]
+
+
+def test_marks_choose_images_of_one_hash_too(spark):
+    keys = [(1, "p", "1"), (1, "p", None), (2, "p", "1"), (None, "p", "1")]
+    frame = three_words(spark, keys)
+    marks = spark.createDataFrame([keys[0], keys[1], (9, "q", "1")], "doc_id long, page_id string, region_id string")
+    got = lines.lines(frame, False, marks)
+    assert rows(got, "doc_id", "page_id", "region_id") == rows(marks.filter("doc_id = 1"))
+    # All rows under one hash, marks in between.
+    mixed = pa.RecordBatch.from_pydict({
+        "doc_id": pa.array([1, 2, 1, 3, 2, 3]), "page_id": ["p"] * 6, "region_id": ["1"] * 6, "_image": pa.array([7] * 6),
+        "text": ["a", "b", None, None, "c", "d"], "left": [0, 0, None, None, 5, 0], "right": [1, 1, None, None, 6, 1],
+        "centre": [1.0, 1.0, None, None, 1.0, 1.0], "_ord": pa.array([1, 1, None, None, 2, 1]),
+    })
+    assert lines._wanted(mixed).column("text").to_pylist() == ["a", "d"]
+
+
+def three_words(spark, keys):
+    data = [(*k, i, "a1", 10 * i, 5, 8, 8) for k in keys for i in range(3)]
+    return spark.createDataFrame(data, "doc_id long, page_id string, region_id string, word_ord long, text string, left int, top int, width int, height int")
+
+
+def test_large_groups_are_looked_for_by_their_first_key(spark, small_groups):
+    frame = spark.createDataFrame([(1, "a")] * 4 + [(1, "b")] * 2 + [(2, "a")] * 3 + [(None, None)] * 5 + [(3, c) for c in "abcd"], "doc_id long, page_id string")
+    assert rows(skew.hot_groups(frame, ["doc_id", "page_id"])) == [(1, "a"), (None, None)]
+    assert skew.hot_groups(frame.filter("doc_id in (2, 3)"), ["doc_id", "page_id"]) is None
