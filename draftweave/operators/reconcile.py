@@ -105,45 +105,41 @@ def hot_documents(bom: DataFrame, callouts: DataFrame) -> DataFrame | None:
     return skew.hot_groups(both, ["doc_id"])
 
 
-SIDES = ["doc_id", "key", "bom_ord", "bom", "bom_n", "bom_rn", "call_ord", "callout", "call_n", "call_rn"]
-
-
 def _pairs(b: DataFrame, c: DataFrame) -> DataFrame:
-    """Rows of ordinary documents, linked in one full outer join.
+    """Rows of ordinary documents, both sides linked after one exchange by document.
 
     A single BOM row meets every callout of its key; several are paired by
-    position; a null key meets nothing. The windows share the exchange of their
-    join side. One exchange by document follows; the key sizes seen by
-    leftovers, and the numbering downstream, both reuse it.
+    position; a null key meets nothing. A callout takes the BOM row it meets by
+    a window, and a BOM row that some callout took is dropped. Windows by key
+    and the numbering downstream all lie within the exchange by document.
     """
+    rows = b.unionByName(c, allowMissingColumns=True).repartition("doc_id")
     key = W.partitionBy("doc_id", "key")
-    b = b.withColumns({
-        "bom_n": F.count(F.lit(1)).over(key),
-        "bom_rn": F.row_number().over(key.orderBy("bom_ord")).cast("bigint"),
-    })
-    c = c.withColumns({
-        "call_n": F.count(F.lit(1)).over(key),
-        "call_rn": F.row_number().over(key.orderBy("call_ord")).cast("bigint"),
+    is_bom = F.col("bom").isNotNull()
+    placed = rows.withColumn("_bom", is_bom).withColumns({
+        "bom_n": F.count("bom").over(key),
+        "call_n": F.count("callout").over(key),
+        "_slot": F.row_number().over(W.partitionBy("doc_id", "key", "_bom").orderBy("bom_ord", "call_ord")).cast("bigint"),
     })
-    joined = b.alias("b").join(
-        c.alias("c"),
-        (F.col("b.doc_id") == F.col("c.doc_id"))
-        & (F.col("b.key") == F.col("c.key"))
-        & ((F.col("b.bom_n") == 1) | (F.col("b.bom_rn") == F.col("c.call_rn"))),
-        "full_outer",
-    )
-    rows = joined.select(
-        F.coalesce("b.doc_id", "c.doc_id").alias("doc_id"),
-        F.coalesce("b.key", "c.key").alias("key"),
-        *SIDES[2:],
-    ).repartition("doc_id")
     keyed = F.col("key").isNotNull()
-    return rows.withColumns({
-        side: F.when(keyed, F.coalesce(F.max(side).over(key), F.lit(0))).otherwise(0)
-        for side in ("bom_n", "call_n")
-    }).withColumns({
-        side: F.when(keyed, F.col(side)) for side in ("bom_rn", "call_rn")
-    })
+    meets = keyed & F.col("doc_id").isNotNull()
+    # A single BOM row stands at the slot of every callout.
+    single = F.col("bom_n") == 1
+    slot = placed.withColumn("_at", F.when(single, 1).otherwise(F.col("_slot")))
+    side = F.first(F.when(is_bom, F.struct("bom_ord", "bom", "_slot")), ignorenulls=True)
+    met = slot.withColumn("_met", F.when(meets, side.over(W.partitionBy("doc_id", "key", "_at"))))
+    taken = F.col("_bom") & meets & F.when(single, F.col("call_n") > 0).otherwise(F.col("_slot") <= F.col("call_n"))
+    own = F.when(F.col("_bom"), F.struct("bom_ord", "bom", "_slot")).otherwise(F.col("_met"))
+    left = met.filter(~taken).withColumn("_own", own)
+    return left.select(
+        "doc_id", "key",
+        F.col("_own.bom_ord").alias("bom_ord"), F.col("_own.bom").alias("bom"),
+        F.when(keyed, F.col("bom_n")).otherwise(0).alias("bom_n"),
+        F.when(keyed, F.col("_own._slot")).alias("bom_rn"),
+        "call_ord", "callout",
+        F.when(keyed, F.col("call_n")).otherwise(0).alias("call_n"),
+        F.when(keyed & ~F.col("_bom"), F.col("_slot")).alias("call_rn"),
+    )
 
 
 def _with_ambiguous(linked: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:

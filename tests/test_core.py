@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from draftweave import build_workspace, reconcile
 from draftweave.functions import scalars as sc
 from draftweave.operators import inventory, views
+from draftweave.operators import reconcile as linking
 from draftweave.sinks import documents, exports
 from draftweave.sources import workspaces
 from draftweave.streaming.workspaces import current_components, current_workspaces, stream_workspaces
@@ -281,3 +282,23 @@ def test_pages_without_a_size_are_reported(spark):
     pages = spark.createDataFrame([(1, "page_001", 10, 10), (1, "page_002", None, 10)], "doc_id long, page_id string, width int, height int")
     found = inventory.page_errors(inventory.unsized_pages(pages, seen, seen))
     assert rows(found, "code", "message") == [("PAGE_SIZE_MISSING", "front: page size is missing"), ("PAGE_SIZE_MISSING", "page_002: page size is missing")]
+
+
+def test_both_sides_are_linked_after_one_exchange(spark):
+    bom = spark.createDataFrame(
+        [(1, 1, "1"), (1, 2, "2"), (1, 3, "2"), (1, 4, "2"), (1, 5, "x"), (2, 1, "7"), (2, 2, "7"), (None, 1, "1"), (3, 1, "4")],
+        "doc_id long, bom_ord long, item_number string")
+    calls = spark.createDataFrame(
+        [(1, 1, "1"), (1, 2, "1"), (1, 3, "2"), (1, 4, "2"), (1, 5, "y"), (2, 1, "7"), (2, 2, "7"), (2, 3, "7"), (None, 1, "1"), (4, 1, "4")],
+        "doc_id long, call_ord long, bubble_number string")
+    linked = linking.links(bom, calls)
+    assert rows(linked, "doc_id", "key", "bom_ord", "call_ord", "bom_n", "call_n", "bom_rn", "call_rn", "section") == sorted([
+        (1, "1", 1, 1, 1, 2, 1, 1, 0), (1, "1", 1, 2, 1, 2, 1, 2, 0),
+        (1, "2", 2, 3, 3, 2, 1, 1, 0), (1, "2", 3, 4, 3, 2, 2, 2, 0), (1, "2", 4, None, 3, 2, 3, None, 1),
+        (1, None, 5, None, 0, 0, None, None, 3), (1, None, None, 5, 0, 0, None, None, 4),
+        (2, "7", 1, 1, 2, 3, 1, 1, 0), (2, "7", 2, 2, 2, 3, 2, 2, 0), (2, "7", None, 3, 2, 3, None, 3, 2),
+        (None, "1", 1, None, 1, 1, 1, None, 1), (None, "1", None, 1, 1, 1, None, 1, 2),
+        (3, "4", 1, None, 1, 0, 1, None, 1), (4, "4", None, 1, 0, 1, None, 1, 2),
+    ], key=lambda r: tuple((x is None, str(x)) for x in r))
+    plan = linking.reconcile(bom, calls, None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
