@@ -428,7 +428,8 @@ def _(t):
 
 @check("j08_attach_validation", "select doc_id, component_id, case when seq % 3 = 0 then 'linked' else status end as status, case when seq % 3 = 0 then 0 else issue_count end as n from @parts")
 def _(t):
-    ws = workspace(t)
+    # Components and records are read from one table, so the inputs are linked once.
+    ws = workspace(t).stored(f"{t.scratch}/components")
     records = ws.issues.filter("seq % 3 <> 0").select("doc_id", "component_id", F.col("seq").alias("record_ord"), "status", "issues")
     bare = ws.components.drop("status", "issues")
     return views.attach_validation(bare, records).select("doc_id", "component_id", "status", F.size("issues").alias("n"))
