@@ -58,10 +58,15 @@ def checked(rows: DataFrame, kind: str) -> DataFrame:
     return _with_reasons(rows, kind)
 
 
+def _reasons(kind: str) -> dict[str, Column]:
+    contract = CONTRACTS[kind]
+    return {n: _reason(n, sort, F.col(n), contract.least.get(n)) for n, sort in contract.columns.items()}
+
+
 def _with_reasons(rows: DataFrame, kind: str, *extra: str) -> DataFrame:
     contract = CONTRACTS[kind]
     _refuse_misfits(rows, kind)
-    reasons = {n: _reason(n, sort, F.col(n), contract.least.get(n)) for n, sort in contract.columns.items()}
+    reasons = _reasons(kind)
     values = [F.when(reasons[n].isNull(), _typed(sort, F.col(n))).alias(n) for n, sort in contract.columns.items()]
     return rows.select(*values, F.array_compact(F.array(*reasons.values())).alias(REASONS), *extra)
 
@@ -111,15 +116,22 @@ def _reason(name: str, sort: str, raw: Column, least: int | None) -> Column:
 
 
 def accepted(rows: DataFrame, kind: str) -> DataFrame:
-    """Rows that keep the contract, typed."""
-    return checked(rows, kind).filter(F.size(REASONS) == 0).drop(REASONS)
+    """Rows that keep the contract, typed.
+
+    Faults are looked for in the filter only: a row that passes has none to look for again.
+    """
+    _refuse_misfits(rows, kind)
+    whole = rows.filter(F.coalesce(*_reasons(kind).values()).isNull())
+    return whole.select(*[_typed(sort, F.col(n)).alias(n) for n, sort in CONTRACTS[kind].columns.items()])
 
 
 def rejected(rows: DataFrame, kind: str) -> DataFrame:
     """Rows that break the contract: typed columns, ``reasons`` and the whole stored row as JSON in ``record``."""
-    kept = rows.withColumn("_record", F.to_json(F.struct(*[F.col(f"`{n}`") for n in rows.columns])))
+    _refuse_misfits(rows, kind)
+    faulty = rows.filter(F.coalesce(*_reasons(kind).values()).isNotNull())
+    kept = faulty.withColumn("_record", F.to_json(F.struct(*[F.col(f"`{n}`") for n in rows.columns])))
     names = list(CONTRACTS[kind].columns)
-    return _with_reasons(kept, kind, "_record").filter(F.size(REASONS) > 0).select(*names, REASONS, F.col("_record").alias("record"))
+    return _with_reasons(kept, kind, "_record").select(*names, REASONS, F.col("_record").alias("record"))
 
 
 def read_measures(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:

@@ -50,3 +50,12 @@ def test_filters_reach_the_scan(spark, tmp_path):
     good, _ = measures.read_measures(spark, str(tmp_path / "words"), "words")
     plan = good.select("text")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "note" not in plan
+
+
+def test_faults_are_looked_for_once_in_each_reading(spark):
+    frame = spark.sql("select 1L as doc_id, 'p' as page_id, 5L as seg_ord, '3.0' as x, 1 as y, 2 as w, 3 as h union all select 1L, 'p', 6L, 'no', 1, null, 3")
+    good, bad = measures.accepted(frame, "segments"), measures.rejected(frame, "segments")
+    assert rows(good) == [(1, "p", 5, 3, 1, 2, 3)]
+    assert rows(bad.select("seg_ord", "reasons")) == [(6, ["x is not a number", "w is missing"])]
+    projected = [line for line in good._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Project" in line]
+    assert not any("is missing" in line for line in projected)
