@@ -75,13 +75,18 @@ def in_range(b: Column) -> Column:
     return is_already_normalized(b) & (b["xmin"] < b["xmax"]) & (b["ymin"] < b["ymax"])
 
 
-def resolve_bbox(b: Column, width: Column, height: Column) -> Column:
-    """Pixels converted only when off the scale; null when still bad (X-04)."""
+def scaled_bbox(b: Column, width: Column, height: Column) -> Column:
+    """Pixels converted only when off the scale."""
     sized = (width > 0) & (height > 0)
-    moved = F.when(
+    return F.when(
         ~is_already_normalized(b) & F.coalesce(sized, F.lit(False)),
         pixel_to_norm(b, width, height, check=False),
     ).otherwise(b)
+
+
+def resolve_bbox(b: Column, width: Column, height: Column) -> Column:
+    """Pixels converted only when off the scale; null when still bad (X-04)."""
+    moved = scaled_bbox(b, width, height)
     return F.when(in_range(moved), moved)
 
 

@@ -25,35 +25,44 @@ PYTHON_NAMES = {
 REQUEST = ["doc_id", "page_id", "stage", "tile"]
 
 
+def _without_fences(stripped: Column) -> Column:
+    body = F.regexp_replace(stripped, r"^```[^\r\n]*(\r\n|\n|\r|$)", "")
+    body = F.regexp_replace(body, r"(^|\r\n|\n|\r)[^\S\r\n]*```[^\r\n]*$", "")
+    return F.when(stripped.startswith("```"), sc.strip(body)).otherwise(stripped)
+
+
 def strip_fences(text: Column) -> Column:
     """Text without a surrounding Markdown code fence."""
-    body = F.regexp_replace(sc.strip(text), r"^```[^\r\n]*(\r\n|\n|\r|$)", "")
-    body = F.regexp_replace(body, r"(^|\r\n|\n|\r)[^\S\r\n]*```[^\r\n]*$", "")
-    return sc.strip(F.when(sc.strip(text).startswith("```"), body).otherwise(text))
+    return _without_fences(sc.strip(text))
 
 
 def parse_json_response(responses: DataFrame) -> DataFrame:
     """Add ``parsed`` (a VARIANT object or null) and ``parse_error`` (G-01)."""
-    text = F.col("response_text")
-    rows = responses.withColumn("_value", F.try_parse_json(strip_fences(text)))
-    rows = rows.withColumn("_kind", sc.variant_kind(F.col("_value")))
+    text = F.col("_stripped")
+    rows = sc.computed(responses, {"_stripped": sc.strip(F.col("response_text"))})
+    rows = sc.computed(rows, {"_value": F.try_parse_json(_without_fences(text)), "_blank": F.coalesce(text, F.lit("")) == ""})
+    rows = sc.computed(rows, {"_object": sc.is_object(F.col("_value"))})
     names = F.create_map(*[F.lit(x) for pair in PYTHON_NAMES.items() for x in pair])
     error = (
-        F.when(F.coalesce(sc.strip(text), F.lit("")) == "", "Empty response from vision model")
+        F.when(F.col("_object"), F.lit(None).cast("string"))
+        .when(F.col("_blank"), "Empty response from vision model")
         .when(F.col("_value").isNull(), "Malformed JSON in vision model response")
-        .when(F.col("_kind") != "object", F.concat(
-            F.lit("Expected a JSON object from vision model, got "), F.try_element_at(names, F.col("_kind"))
+        .otherwise(F.concat(
+            F.lit("Expected a JSON object from vision model, got "),
+            F.try_element_at(names, sc.variant_kind(F.col("_value"))),
         ))
     )
-    return rows.withColumns({
+    return sc.computed(rows, {
         "parse_error": error,
-        "parsed": F.when(F.col("_kind") == "object", F.col("_value")),
-    }).drop("_value", "_kind")
+        "parsed": F.when(F.col("_object"), F.col("_value")),
+    }).drop("_value", "_blank", "_object", "_stripped")
 
 
 def _with_list(parsed: DataFrame, name: str) -> DataFrame:
-    field = parsed.withColumn("_field", sc.variant_field(F.col("parsed"), name))
-    return field.withColumn("_field_kind", sc.variant_kind(F.col("_field")))
+    """Add ``_items``, the items of a named field if it is a list, and the field's kind as ``_field_kind``."""
+    listed = sc.computed(parsed, {"_items": F.try_variant_get("parsed", f"$.{name}", "array<variant>")})
+    other = sc.variant_kind(sc.variant_field(F.col("parsed"), name))
+    return listed.withColumn("_field_kind", F.when(F.col("_items").isNotNull(), "array").otherwise(other))
 
 
 def list_items(parsed: DataFrame, name: str, outer: bool = False) -> DataFrame:
@@ -62,10 +71,9 @@ def list_items(parsed: DataFrame, name: str, outer: bool = False) -> DataFrame:
     With ``outer`` a response without items keeps one row, both null, and each
     row carries the kind of the field as ``_field_kind``.
     """
-    items = F.when(F.col("_field_kind") == "array", F.try_variant_get("_field", "$", "array<variant>"))
     return _with_list(parsed, name).select(
         *[c for c in parsed.columns if c not in ("parsed", "response_text")], *(["_field_kind"] if outer else []),
-        (F.posexplode_outer if outer else F.posexplode)(items).alias("index", "raw"),
+        (F.posexplode_outer if outer else F.posexplode)("_items").alias("index", "raw"),
     )
 
 
@@ -107,7 +115,7 @@ def validate_bom_items(items: DataFrame, threshold: float = LOW_CONFIDENCE) -> D
     """
     plain = ["item_number", "part_number", "description", "revision"]
     raw = ["material_specification", "material", "quantity", "confidence_score"]
-    rows = items.withColumn("_shape", sc.variant_kind(F.col("raw")))
+    rows = sc.computed(items, {"_object": sc.is_object(F.col("raw"))})
     rows = sc.with_fields(sc.with_fields(rows, "raw", plain), "raw", raw, "raw_")
     text = {**{n: F.col(n) for n in plain}, **{n: F.col(f"raw_{n}") for n in raw}}
     kind = {**{n: F.col(f"{n}_kind") for n in plain}, **{n: F.col(f"raw_{n}_kind") for n in raw}}
@@ -120,7 +128,7 @@ def validate_bom_items(items: DataFrame, threshold: float = LOW_CONFIDENCE) -> D
     })
     quantity = F.col("quantity")
     reason = (
-        F.when(F.col("_shape") != "object", "BOM row is not an object")
+        F.when(F.col("raw").isNotNull() & ~F.col("_object"), "BOM row is not an object")
         .when(kind["item_number"].isNull(), "item_number is missing")
         .when(kind["item_number"] != "string", "item_number is not text")
         .when(~_optional_text_ok(kind["part_number"]), "part_number is not text")
@@ -184,48 +192,51 @@ def validate_callouts(
     saw; boxes off the 0-1000 scale are read as pixels of it.
     """
     size = [F.lit(None).cast("double") if c is None else F.col(c).cast("double") for c in (width, height)]
-    names = ["bubble_number", "location_description", "confidence_score", "leader_line_status",
-             "bubble_bbox", "bounding_box", "leader_endpoint"]
-    rows = items.withColumns({
-        "_shape": sc.variant_kind(F.col("raw")),
-        **{f"f_{n}_v": sc.variant_field(F.col("raw"), n) for n in ("bubble_bbox", "bounding_box", "leader_endpoint")},
-    })
-    rows = sc.with_fields(rows, "raw", names, "f_")
+    plain = ["bubble_number", "location_description", "confidence_score", "leader_line_status"]
+    nested = ["bubble_bbox", "bounding_box", "leader_endpoint"]
+    rows = sc.computed(items, {"_object": sc.is_object(F.col("raw"))})
+    rows = sc.with_fields(rows, "raw", plain, "f_")
+    rows = sc.computed(rows, {"_nested": F.try_variant_get("raw", "$", f"struct<{','.join(f'{n}:variant' for n in nested)}>")})
+    rows = sc.computed(rows, {
+        "f_leader_endpoint_v": F.col("_nested.leader_endpoint"),
+        "_pointed": sc.is_object(F.col("_nested.leader_endpoint")),
+        "_boxed": F.when(sc.is_object(F.col("_nested.bubble_bbox")), F.col("_nested.bubble_bbox")).when(
+            sc.is_object(F.col("_nested.bounding_box")), F.col("_nested.bounding_box")),
+    }).drop("_nested")
     status, status_kind = F.col("f_leader_line_status"), F.col("f_leader_line_status_kind")
-    rows = rows.withColumns({
+    rows = sc.computed(rows, {
         "confidence_score": sc.clamp_confidence(F.col("f_confidence_score"), F.col("f_confidence_score_kind")),
         "_status_raw": F.when(_present(status_kind), sc.scalar_repr(status, status_kind)),
-        "_boxed": F.when(F.col("f_bubble_bbox_kind") == "object", F.col("f_bubble_bbox_v")).when(
-            F.col("f_bounding_box_kind") == "object", F.col("f_bounding_box_v")),
     })
     rows = sc.with_fields(rows, "_boxed", geo.EDGES, "b_")
     rows = sc.with_fields(rows, "f_leader_endpoint_v", ["x", "y"], "e_")
-    box = geo.box(*[_number(f"b_{e}") for e in geo.EDGES])
     rows = sc.computed(rows, {
-        "_label": F.when(F.col("_shape") == "object", _repr(F.col("f_bubble_number"), F.coalesce("f_bubble_number_kind", F.lit("null")))).otherwise("?"),
-        "_box": F.when(F.col("_boxed").isNotNull(), box),
-        "_x": _number("e_x"), "_y": _number("e_y"),
+        "_label": F.when(F.col("_object"), _repr(F.col("f_bubble_number"), F.coalesce("f_bubble_number_kind", F.lit("null")))).otherwise("?"),
     })
+    edges = {**{f"b_{e}": _number(f"b_{e}") for e in geo.EDGES}, "_x": _number("e_x"), "_y": _number("e_y")}
+    for name, value in edges.items():
+        rows = sc.computed(rows, {name: value})
+    rows = sc.computed(rows, {"_box": F.when(F.col("_boxed").isNotNull(), geo.box(*[F.col(f"b_{e}") for e in geo.EDGES]))})
     numbers = F.lit(True)
     for e in geo.EDGES:
         numbers = numbers & F.col("_box")[e].isNotNull()
     on_page = F.col("_x").between(0.0, geo.SCALE) & F.col("_y").between(0.0, geo.SCALE)
     sized = F.coalesce((size[0] > 0) & (size[1] > 0), F.lit(False))
-    rows = rows.withColumns({
+    rows = sc.computed(rows, {
         "_x": F.when(~on_page & sized, geo.normalize_coordinate(F.col("_x"), size[0])).otherwise(F.col("_x")),
         "_y": F.when(~on_page & sized, geo.normalize_coordinate(F.col("_y"), size[1])).otherwise(F.col("_y")),
+        "_numbers": F.coalesce(numbers, F.lit(False)),
     })
     x, y = F.col("_x"), F.col("_y")
     point = F.struct(x.alias("x"), y.alias("y"))
-    has_end = F.coalesce(F.col("f_leader_endpoint_kind") != "null", F.lit(False))
-    end_ok = F.coalesce(
-        (F.col("f_leader_endpoint_kind") == "object") & x.between(0.0, geo.SCALE) & y.between(0.0, geo.SCALE), F.lit(False)
-    )
-    lowered = F.lower(sc.strip(F.col("_status_raw")))
+    has_end = F.col("f_leader_endpoint_v").isNotNull() & ~F.is_variant_null("f_leader_endpoint_v")
+    end_ok = F.coalesce(F.col("_pointed") & x.between(0.0, geo.SCALE) & y.between(0.0, geo.SCALE), F.lit(False))
+    given = F.col("_status_raw")
+    lowered = F.when(given.isin("clear", "unclear", "missing"), given).otherwise(F.lower(sc.strip(given)))
     empty_status = F.col("_status_raw").isNull() | (F.col("_status_raw") == "")
-    rows = rows.withColumn("_numbers", F.coalesce(numbers, F.lit(False)))
+    rows = sc.computed(rows, {"_moved": F.when(F.col("_numbers"), geo.scaled_bbox(F.col("_box"), *size))})
     rows = sc.computed(rows, {
-        "bubble_bbox": F.when(F.col("_numbers"), geo.resolve_bbox(F.col("_box"), *size)),
+        "bubble_bbox": F.when(geo.in_range(F.col("_moved")), F.col("_moved")),
         "_leader_given": F.col("f_leader_line_status_kind").isNotNull() | F.col("f_leader_endpoint_v").isNotNull(),
         "_status": F.when(empty_status, "missing").otherwise(lowered),
         "_bad_end": has_end & ~end_ok,
@@ -247,15 +258,15 @@ def validate_callouts(
         .when(F.col("f_bubble_number_kind").isNull(), "'bubble_number'")
         .when(~_optional_text_ok(F.col("f_location_description_kind")), "location_description is not text")
     )
-    rows = rows.withColumn("_invalid", invalid)
+    rows = sc.computed(rows, {"_invalid": invalid})
     box_problem = (
         F.when(F.col("_boxed").isNull(), "malformed bubble_bbox: missing or not an object")
         .when(~F.col("_numbers"), "box edge missing or not a number")
         .when(F.col("bubble_bbox").isNull(), "box out of range or out of order")
     )
-    rows = rows.withColumn("_box_problem", box_problem)
+    rows = sc.computed(rows, {"_box_problem": box_problem})
     gate = (
-        F.when(F.col("_shape") != "object", F.concat(
+        F.when(F.col("raw").isNotNull() & ~F.col("_object"), F.concat(
             F.lit("Skipped invalid callout at index "), at, F.lit(": callout row is not an object")))
         .when(low_score, F.concat(
             F.lit("Skipped callout at index "), where, F.lit("confidence "),
@@ -412,9 +423,7 @@ def extraction_diagnostics(parsed: DataFrame, checked: DataFrame, name: str) ->
     ``name`` is the list the stage fills, ``bom_items`` or ``callouts``.
     """
     by = ["doc_id", "page_id", "stage"]
-    size = F.when(
-        F.col("_field_kind") == "array", F.size(F.try_variant_get("_field", "$", "array<variant>"))
-    ).otherwise(0)
+    size = F.when(F.col("_field_kind") == "array", F.size("_items")).otherwise(0)
     sent = _with_list(parsed, name).groupBy(*by).agg(
         F.count(F.lit(1)).alias("responses"),
         F.sum(F.length(F.coalesce("response_text", F.lit("")))).alias("raw_length"),
