@@ -490,7 +490,7 @@ def _(t):
     items = F.regexp_replace("json", '"callouts":.*,"extraction_warnings"', '"callouts":[],"extraction_warnings"')
     bubbles = F.regexp_replace(F.regexp_replace("json", '"bom_items":.*,"callouts"', '"bom_items":[],"callouts"'), '"page_id":"page_00', '"page_id":"page_01')
     for pages in (items, bubbles, F.lit("{broken")):
-        t.extractions.select(pages.alias("json")).distinct().coalesce(1).write.mode("append").text(f"{t.scratch}/arriving")
+        t.extractions.select(pages.alias("json")).distinct().repartition(1).write.mode("append").text(f"{t.scratch}/arriving")
     stream_workspaces(
         t.spark, f"{t.scratch}/arriving", f"{t.scratch}/out", f"{t.scratch}/progress", available_now=True, files_per_batch=1).awaitTermination()
     rows = current_components(t.spark, f"{t.scratch}/out")

@@ -47,10 +47,13 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def written(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` once as a table in the shared folder and go on from it, columns pruned by each reader."""
-    path = f"{shared_folder(frame.sparkSession)}/rows-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+def written(frame: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``frame`` once as a table in the shared folder and go on from it, columns pruned by each reader.
+
+    A ``path`` is replaced if it is there, and the caller removes it.
+    """
+    path = path or f"{shared_folder(frame.sparkSession)}/rows-{uuid.uuid4().hex}"
+    frame.write.mode("overwrite").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

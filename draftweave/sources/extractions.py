@@ -63,11 +63,12 @@ def callout_rows(documents: DataFrame) -> DataFrame:
     rows = _page(documents).select("doc_id", "page_id", F.posexplode("callouts").alias("i", "r"))
     main, legacy = F.col("r.bubble_bbox"), F.col("r.bounding_box")
     empty = F.coalesce(F.schema_of_variant(main).isin("VOID", "OBJECT<>"), F.lit(True))
-    rows = _scalars(rows, ["bubble_number", "confidence_score"]).withColumn(
-        "_picked", F.when(empty, legacy).otherwise(main)
-    )
+    # One generator a step: each is a method of its own, and small enough for the JVM to compile.
+    rows = sc.computed(_scalars(rows, ["bubble_number", "confidence_score"]), {"_picked": F.when(empty, legacy).otherwise(main)})
     rows = sc.with_fields(rows, "_picked", geo.EDGES, "b_")
-    box = geo.normalize_bounding_box(*[sc.safe_float(F.col(f"b_{e}"), F.col(f"b_{e}_kind")) for e in geo.EDGES])
+    for e in geo.EDGES:
+        rows = sc.computed(rows, {f"b_{e}": sc.safe_float(F.col(f"b_{e}"), F.col(f"b_{e}_kind"))})
+    box = geo.normalize_bounding_box(*[F.col(f"b_{e}") for e in geo.EDGES])
     return rows.select(
         "doc_id", "page_id", sc.place("i").alias("call_ord"),
         F.col("t_bubble_number").alias("bubble_number"), F.col("k_bubble_number").alias("bubble_kind"),

@@ -83,7 +83,8 @@ class KeyedTable:
     def _write(self, rows: DataFrame, into: Generation, landing: int) -> None:
         bucket = bucket_of(F.col(self.key), into.bits)
         placed = rows.select(*self.schema.fieldNames(), F.col("batch_id").cast("long"), bucket.alias("bucket"))
-        writer = placed.repartition("bucket").write.mode("overwrite").format(self.form).partitionBy("bucket")
+        # A rebalance deals rows by bucket as an exchange does, and splits what is too large for one task.
+        writer = placed.hint("rebalance", F.col("bucket")).write.mode("overwrite").format(self.form).partitionBy("bucket")
         (writer.option("compression", "gzip") if self.form == "json" else writer).save(f"{into.folder}/landing={landing}")
 
     def _read(self, kept: Generation) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from draftweave import schemas
 from draftweave.functions import scalars as sc
+from draftweave.operators import skew
 from draftweave.plans.workspace import Workspace, build_workspace
 from draftweave.sinks import documents
 from draftweave.sources import extractions
@@ -74,8 +75,10 @@ def stream_workspaces(
             made.compact(batch_id - 1, lambda rows: newest(rows, ["doc_id"]))
         mine = landed.append(batch, batch_id)
         touched = mine.select("doc_id").filter("doc_id is not null").distinct()
-        # A replay must not see batches that came after it the first time.
-        rows = newest_pages(landed.rows(batch_id, touched))
+        # A replay must not see batches that came after it the first time. The pages are
+        # chosen once: large documents, links and runs all read them from here.
+        working = f"{out_dir}/working"
+        rows = skew.written(newest_pages(landed.rows(batch_id, touched)).drop("_corrupt_record", "file", "batch_id"), working)
         ws = build_workspace(extractions.bom_rows(rows), extractions.callout_rows(rows), catalog, threshold)
         components = parts.append(ws.components, batch_id).drop("batch_id")
         runs = rows.groupBy("doc_id").agg(
@@ -86,17 +89,24 @@ def stream_workspaces(
         good = Workspace(components, ws.threshold, ws.hot).documents_of(runs)
         failed = documents.failed_workspaces(extractions.broken_records(mine))
         made.append(good.unionByName(failed).withColumn("metadata", F.col("metadata").dropFields("generated_at")), batch_id)
+        store, path = landed._files()
+        store.delete(path(working), True)
 
     writer = arriving.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def newest_pages(records: DataFrame) -> DataFrame:
-    """The newest record of each page: of the last batch, the last file by name, and the greatest digest of the whole record."""
+    """The newest record of each page: of the last batch, the last file by name, and the greatest digest of the whole record.
+
+    Only records of one page, batch and file are told apart by their digest.
+    """
     page = F.coalesce("page_id", F.lit("page_001"))
     whole = F.sha2(F.to_json(F.struct(*[c for c in records.columns if c not in ("batch_id", "file")])), 256)
+    same = W.partitionBy("doc_id", page, "batch_id", "file")
     order = W.partitionBy("doc_id", page).orderBy(F.desc("batch_id"), F.desc("file"), F.desc("_whole"))
-    return records.withColumn("_whole", whole).withColumns({"_n": F.row_number().over(order), "page_id": page}).filter("_n = 1").drop("_n", "_whole")
+    rows = records.withColumn("_same", F.count(F.lit(1)).over(same)).withColumn("_whole", F.when(F.col("_same") > 1, whole))
+    return rows.withColumns({"_n": F.row_number().over(order), "page_id": page}).filter("_n = 1").drop("_n", "_whole", "_same")
 
 
 def _of_newest(components: DataFrame, workspaces: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from draftweave.functions import scalars as sc
 from draftweave.operators import responses
+from draftweave.sources import extractions
 
 from tests.conftest import rows
 
@@ -44,6 +45,13 @@ def test_checks_are_code_that_the_jvm_compiles(spark, tmp_path, name, check):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_stored_callouts_are_read_by_code_that_the_jvm_compiles(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"doc_id": "d", "callouts": [{"bubble_number": 1}]}')
+    stored = extractions.read_extractions(spark, str(tmp_path / "r.json"))
+    assert largest_method(extractions.callout_rows(stored)) < HUGE_METHOD
+    assert largest_method(extractions.bom_rows(stored)) < HUGE_METHOD
+
+
 def test_fields_are_read_together_as_one_by_one(spark):
     objects = [f'{{"a":{v},"b":{w}}}' for v in VALUES for w in ("1", v)] + VALUES + ["{}", '{"b":2}', "{broken"]
     frame = spark.createDataFrame([(t,) for t in objects], "t string").withColumn("v", F.try_parse_json("t"))

@@ -5,7 +5,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from draftweave.streaming import keyed
+from draftweave.operators import skew
+from draftweave.streaming import keyed, workspaces
 from draftweave.streaming.keyed import KeyedTable, newest
 from draftweave.streaming.workspaces import _landed, current_components, current_workspaces, newest_pages, stream_workspaces
 
@@ -104,3 +105,39 @@ def test_keyed_table(spark, tmp_path):
     assert table.rows(keys=some.filter("doc_id = '7'")).count() == 1 and table.rows(upto=1).count() == 100
     table.compact(2, lambda r: newest(r, ["doc_id"]))
     assert rows(table.rows().drop("batch_id")) == want and table.current().bits > keyed.FIRST_BITS
+
+
+def test_a_batch_chooses_its_pages_once_and_leaves_no_working_rows(spark, tmp_path, monkeypatch):
+    chosen = []
+
+    def counted(records):
+        chosen.append(records)
+        return newest_pages(records)
+
+    stored, written = [], skew.written
+    monkeypatch.setattr(workspaces, "newest_pages", counted)
+    monkeypatch.setattr(skew, "written", lambda rows, *path: stored.append(rows) or written(rows, *path))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text("\n".join([page("a", 1, "1"), page("b", 1, "2")]))
+    run(spark, tmp_path)
+    assert len(chosen) == 1 and len(stored) == 1
+    assert outcome(spark, tmp_path) == ([("a", "1"), ("b", "2")], [1, 1])
+    assert not (tmp_path / "out" / "working").exists()
+
+
+def test_records_of_one_file_are_told_apart_by_their_digest(spark):
+    made = [("d", "p", 0, "f", "x"), ("d", "p", 0, "f", "y"), ("d", "p", 0, "e", "z"), ("d", "q", 0, "f", "v"), ("d", "q", 1, "a", "w"), (None, None, 0, "f", "u")]
+    records = spark.createDataFrame(made, "doc_id string, page_id string, batch_id int, file string, text string")
+    last = max("xy", key=lambda t: hashlib.sha256(f'{{"doc_id":"d","page_id":"p","text":"{t}"}}'.encode()).hexdigest())
+    assert rows(newest_pages(records), "page_id", "text") == [("p", last), ("page_001", "u"), ("q", "w")]
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    some = spark.range(0, 40_000, 1, 8).select(F.lit("d").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("t"))
+    table = KeyedTable(spark, str(tmp_path / "t"), some.schema)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "300k")
+    try:
+        assert table.append(some, 0).count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "t").rglob("part-*.parquet"))) > 1
