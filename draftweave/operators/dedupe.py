@@ -51,29 +51,31 @@ def crop_to_page(callouts: DataFrame, crops: DataFrame, on: list[str]) -> DataFr
     """
     geometry = crops.select(*on, F.col("crop").alias("_crop"), F.col("width").alias("_w"), F.col("height").alias("_h"))
     joined = callouts.join(geometry, on, "left")
+    return moved_to_page(joined, F.col("_crop"), F.col("_w"), F.col("_h")).drop("_crop", "_w", "_h")
+
+
+def moved_to_page(callouts: DataFrame, crop: Column, width: Column, height: Column) -> DataFrame:
+    """:func:`crop_to_page` for callouts that carry the crop and the size of their page."""
     box = F.col("bubble_bbox")
     if "bounding_box" in callouts.columns:
         box = geo.pick_bbox(box, F.col("bounding_box"))
-    moved = F.col("_crop").isNotNull()
-    page = F.when(moved, geo.remap_from_crop(box, F.col("_crop"), F.col("_w"), F.col("_h"))).otherwise(box)
-    out = joined.withColumns({"bubble_bbox": page, "bounding_box": page})
+    moved = crop.isNotNull()
+    page = F.when(moved, geo.remap_from_crop(box, crop, width, height)).otherwise(box)
+    out = callouts.withColumns({"bubble_bbox": page, "bounding_box": page})
     if "leader_endpoint" in callouts.columns:
         end = F.col("leader_endpoint")
-        out = out.withColumn(
-            "leader_endpoint",
-            F.when(moved, geo.remap_point_from_crop(end, F.col("_crop"), F.col("_w"), F.col("_h"))).otherwise(end),
-        )
-    return out.drop("_crop", "_w", "_h")
+        out = out.withColumn("leader_endpoint", F.when(moved, geo.remap_point_from_crop(end, crop, width, height)).otherwise(end))
+    return out
 
 
-def tile_crops(tiled: DataFrame) -> DataFrame:
-    """Tiles in the form :func:`crop_to_page` looks up."""
+def tile_crops(tiled: DataFrame, *more: str) -> DataFrame:
+    """Tiles, with further columns of theirs, in the form :func:`crop_to_page` looks up."""
     crop = F.struct(
         F.col("x0").cast("double").alias("x"), F.col("y0").cast("double").alias("y"),
         (F.col("x1") - F.col("x0")).cast("double").alias("width"),
         (F.col("y1") - F.col("y0")).cast("double").alias("height"),
     )
-    return tiled.select("doc_id", "page_id", "tile", crop.alias("crop"), "width", "height")
+    return tiled.select("doc_id", "page_id", "tile", *more, crop.alias("crop"), "width", "height")
 
 
 def page_crops(pages: DataFrame) -> DataFrame:

@@ -330,15 +330,14 @@ def tiled_callouts(responses: DataFrame, tiles: DataFrame, iou: float = 0.5, thr
     """Callouts of tiled pages on the page scale, and tile-prefixed warnings (E-05).
 
     Each tile is parsed and checked against its own size, moved to the page and
-    deduplicated across tiles. A failed tile only warns. Each callout dropped as
+    deduplicated across tiles. Tiles are joined once; their place goes with the
+    rows. A failed tile only warns. Each callout dropped as
     a repeat warns for its page, with a null ``tile``. Responses are parsed
     once: the checked rows, and a row for each response without any, are
     written to the shared folder, and everything after reads them there.
     """
     on = ["doc_id", "page_id", "tile"]
-    geometry = tiles.select(
-        *on, "row", "col", (F.col("x1") - F.col("x0")).alias("tile_w"), (F.col("y1") - F.col("y0")).alias("tile_h"),
-    )
+    geometry = dedupe.tile_crops(tiles, "row", "col").withColumns({"tile_w": F.col("crop.width").cast("int"), "tile_h": F.col("crop.height").cast("int")})
     sent = responses.join(geometry.withColumn("_known", F.lit(True)), on, "left")
     items = list_items(parse_json_response(sent), "callouts", outer=True)
     checked = skew.written(validate_callouts(items, threshold, "tile_w", "tile_h"))
@@ -350,7 +349,7 @@ def tiled_callouts(responses: DataFrame, tiles: DataFrame, iou: float = 0.5, thr
     numbered = rows.filter("valid").withColumn(
         "call_ord", F.struct(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("index").cast("bigint").alias("index"))
     )
-    placed = dedupe.crop_to_page(numbered, dedupe.tile_crops(tiles), on)
+    placed = dedupe.moved_to_page(numbered, F.col("crop"), F.col("width"), F.col("height"))
     kept, pairs = dedupe.kept_and_pairs(
         placed.select(
             "doc_id", "page_id", "call_ord", "bubble_number", "location_description",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from draftweave.functions import scalars as sc
-from draftweave.operators import responses
+from draftweave.operators import dedupe, responses
 from draftweave.sources import extractions
 
 from tests.conftest import rows
@@ -73,6 +73,17 @@ def test_strip_removes_what_a_pattern_for_whitespace_does(spark):
     assert frame.filter(~sc.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
 
 
+def test_tiles_meet_their_responses_once(spark):
+    pages = spark.createDataFrame([("d", "p", 1000, 800)], "doc_id string, page_id string, width int, height int")
+    said = '{"callouts":[{"bubble_number":"1","confidence_score":0.9,"bubble_bbox":{"xmin":100,"ymin":100,"xmax":200,"ymax":200}}]}'
+    raw = spark.createDataFrame([("d", "p", t, said) for t in ("tile[r0c0]", "tile[r1c1]")], "doc_id string, page_id string, tile string, response_text string")
+    kept, warnings = responses.tiled_callouts(raw, dedupe.tiles(pages))
+    boxes = [tuple(round(x, 6) for x in r.bubble_bbox) for r in kept.orderBy("call_ord").collect()]
+    assert boxes == [(53.0, 53.0, 106.0, 106.0), (523.0, 523.0, 576.0, 576.0)]
+    for frame in (kept, warnings):
+        assert "Join" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_odd_responses(spark):
     texts = ["", "  \n", None, "sorry", "[1]", "7", "null", '"x"', "1.5", "true", "{}", "```json\n{}\n```", " ```\n{\"bom_items\": {}}\n``` ", '{"bom_items": null}', '{"bom_items": [1, null, {"item_number": "1"}]}']
     parsed = responses.parse_json_response(sent(spark, texts))
